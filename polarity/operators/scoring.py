@@ -79,11 +79,15 @@ def lexicon_scores(df: DataFrame, id_col: str, tokens: str | Column, lexicon: Da
     tok = F.coalesce(tok, F.array().cast("array<string>"))
 
     # token, 0-based position and up to CONTEXT predecessors, built in the row
-    ctx = F.transform(tok, lambda t, i: F.struct(
+    ctx = F.transform(F.col("_toks"), lambda t, i: F.struct(
         i.alias("pos"), t.alias("tok"),
-        F.slice(tok, F.greatest(F.lit(1), i - (CONTEXT - 1)), F.least(F.lit(CONTEXT), i)).alias("prev")))
-    exploded = (df.select(F.col(id_col), *[F.col(c) for c in carry],
-                          F.size(tok).alias("_ntok"), F.explode_outer(ctx).alias("_c"))
+        F.slice(F.col("_toks"), F.greatest(F.lit(1), i - (CONTEXT - 1)),
+                F.least(F.lit(CONTEXT), i)).alias("prev")))
+    # the token count is taken before the explode so that the array itself
+    # is not needed downstream of the generator
+    counted = df.select(F.col(id_col), *[F.col(c) for c in carry], tok.alias("_toks"),
+                        F.size(tok).alias("_ntok"))
+    exploded = (counted.select(id_col, *carry, "_ntok", F.explode_outer(ctx).alias("_c"))
                 .select(id_col, *carry, "_ntok", F.col("_c.pos").alias("_pos"),
                         F.col("_c.tok").alias("_tok"), F.col("_c.prev").alias("_prev")))
 
@@ -93,10 +97,12 @@ def lexicon_scores(df: DataFrame, id_col: str, tokens: str | Column, lexicon: Da
     # keep the hits, plus one row per text so that texts without hits stay
     joined = joined.filter(F.col("_val").isNotNull() | F.col("_pos").isNull() | (F.col("_pos") == 0))
 
-    v0 = F.col("_val")
+    # v = (val + sign(val) * degree) * (-factor if negated else 1); a zero or
+    # missing valence stays zero / null. Each context lambda is written once.
+    val = F.col("_val")
     negated = (F.exists("_prev", lambda p: p.isin(negators)) if negators else F.lit(False))
-    v1 = F.when(v0 != 0, v0 + F.signum(v0) * _degree_sum(F.col("_prev"), degree)).otherwise(v0)
-    v = F.when(negated & (v1 != 0), v1 * F.lit(-float(negation_factor))).otherwise(v1)
+    scale = F.when(negated, F.lit(-float(negation_factor))).otherwise(F.lit(1.0))
+    v = (val + F.signum(val) * _degree_sum(F.col("_prev"), degree)) * scale
     valued = joined.select(id_col, *carry, "_ntok", v.alias("_v"))
 
     agg = valued.groupBy(id_col, *carry).agg(
@@ -220,7 +226,8 @@ class LexiconScorer(Scorer):
                  negators: Sequence[str] | None = None,
                  degree: Sequence[tuple[str, float]] | None = None,
                  negation_factor: float = NEGATION_FACTOR, alpha: float = ALPHA,
-                 stopwords: Sequence[str] | None = None):
+                 stopwords: Sequence[str] | None = None, clean: bool = True):
+        self.clean = clean
         self.lexicon = lexicon
         self.negators = negators
         self.degree = degree
@@ -235,7 +242,9 @@ class LexiconScorer(Scorer):
         return lexicon_frame(spark, rows), len(rows)
 
     def tokens(self, text_col: str) -> Column:
-        toks = tokenize(basic_clean(text_col))
+        """Tokens of the text: cleaned (T6) and split (T7); with
+        ``clean=False`` the text is taken as already processed."""
+        toks = tokenize(basic_clean(text_col) if self.clean else F.coalesce(F.col(text_col), F.lit("")))
         if self.stopwords is not None:
             toks = F.filter(toks, lambda t: ~t.isin(list(self.stopwords)))
         return toks

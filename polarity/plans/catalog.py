@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polarity.functions.text import preprocess
+from polarity.functions.text import basic_clean, preprocess, stopword_filter, tokenize
 from polarity.operators.scoring import LexiconScorer
 from polarity.plans import params as P
 
@@ -44,12 +44,21 @@ def processed_docs(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
     return docs.select("doc_id", *cols, preprocess("text").alias("processed_text"))
 
 
+def doc_tokens(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
+    """``documents`` with the tokens of the processed text."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", *cols, stopword_filter(tokenize(basic_clean("text"))).alias("tokens"))
+
+
 def doc_scores(spark: SparkSession, sf_dir: str, carry: tuple[str, ...] = (),
                prefix: str = "", with_compound: bool = False) -> DataFrame:
     """Lexicon scores of every document's processed text (one row per doc)."""
-    docs = processed_docs(spark, sf_dir, *carry)
-    return query_scorer().scores(docs, "processed_text", "doc_id", prefix, carry=carry,
-                                 with_compound=with_compound)
+    from polarity.operators.scoring import lexicon_frame, lexicon_scores
+    toks = doc_tokens(spark, sf_dir, *carry)
+    return lexicon_scores(toks, "doc_id", "tokens", lexicon_frame(spark, P.QUERY_LEXICON),
+                          P.QUERY_NEGATORS, P.QUERY_DEGREE, P.NEGATION_FACTOR, P.ALPHA,
+                          carry=carry, prefix=prefix, with_compound=with_compound,
+                          lexicon_rows=len(P.QUERY_LEXICON))
 
 
 @query("m1_lexicon_scores")
