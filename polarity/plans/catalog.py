@@ -1,7 +1,8 @@
 """Registered queries: each binds operators to the driver's tables.
 
 Every query reads whole tables (no id subsets, no row caps); a ``limit`` only
-appears where it is the operator (top-k).
+appears where it is the operator (top-k, sample). Doubles are rounded to 6
+places and counts are BIGINT, matching the SQL in ``oracle.py``.
 """
 
 from __future__ import annotations
@@ -11,11 +12,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polarity.functions.text import basic_clean, preprocess, stopword_filter, tokenize
-from polarity.operators.scoring import LexiconScorer
+from polarity.functions.labels import argmax_label, softmax
+from polarity.functions.text import (
+    basic_clean, collapse_whitespace, compose_text, date_or, decode_label, encode_label,
+    preprocess, preview, remove_stopwords, stopword_filter, tokenize, truncate_tokens, url_domain,
+)
+from polarity.operators import analytics as A
+from polarity.operators import ranking as R
+from polarity.operators import reshape as U
+from polarity.operators import sampling as L
+from polarity.operators import windows as W
+from polarity.operators.joins import first_match_lookup
+from polarity.operators.scoring import (
+    KeywordModel, LexiconScorer, ModelScorer, compare_models, lexicon_frame, lexicon_scores,
+    model_scores,
+)
 from polarity.plans import params as P
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+CLASSES = ("positive", "negative", "neutral")
 
 
 def query(name: str):
@@ -33,45 +48,436 @@ def r6(c) -> F.Column:
     return F.round(F.col(c) if isinstance(c, str) else c, 6)
 
 
-def query_scorer() -> LexiconScorer:
-    return LexiconScorer(P.QUERY_LEXICON, P.QUERY_NEGATORS, P.QUERY_DEGREE,
-                         P.NEGATION_FACTOR, P.ALPHA)
+def rounded(df: DataFrame, cols) -> DataFrame:
+    return df.withColumns({c: r6(c) for c in cols})
 
 
-def processed_docs(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
-    """``documents`` with ``processed_text`` (clean + stop words, no lemma)."""
-    docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", *cols, preprocess("text").alias("processed_text"))
+# --------------------------------------------------------------------------
+# shared building blocks
 
 
-def doc_tokens(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
-    """``documents`` with the tokens of the processed text."""
+def doc_tokens(spark: SparkSession, sf_dir: str, *cols: str, stop: bool = True) -> DataFrame:
+    """``documents`` with tokens of the cleaned text (T6, T7), stop words
+    removed (T8) unless ``stop=False``."""
     docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", *cols, stopword_filter(tokenize(basic_clean("text"))).alias("tokens"))
+    toks = tokenize(basic_clean("text"))
+    return docs.select("doc_id", *cols, (stopword_filter(toks) if stop else toks).alias("tokens"))
 
 
-def doc_scores(spark: SparkSession, sf_dir: str, carry: tuple[str, ...] = (),
-               prefix: str = "", with_compound: bool = False) -> DataFrame:
-    """Lexicon scores of every document's processed text (one row per doc)."""
-    from polarity.operators.scoring import lexicon_frame, lexicon_scores
-    toks = doc_tokens(spark, sf_dir, *carry)
-    return lexicon_scores(toks, "doc_id", "tokens", lexicon_frame(spark, P.QUERY_LEXICON),
+def scores_of(tokens: DataFrame, id_col: str, carry=(), prefix: str = "",
+              with_compound: bool = False) -> DataFrame:
+    return lexicon_scores(tokens, id_col, "tokens", lexicon_frame(tokens.sparkSession, P.QUERY_LEXICON),
                           P.QUERY_NEGATORS, P.QUERY_DEGREE, P.NEGATION_FACTOR, P.ALPHA,
                           carry=carry, prefix=prefix, with_compound=with_compound,
                           lexicon_rows=len(P.QUERY_LEXICON))
 
 
+def doc_scores(spark: SparkSession, sf_dir: str, carry: tuple[str, ...] = (),
+               prefix: str = "", with_compound: bool = False, stop: bool = True) -> DataFrame:
+    """Lexicon scores of every document (one row per doc). ``stop=True`` is
+    model A (processed text), ``stop=False`` model B (cleaned text only)."""
+    toks = doc_tokens(spark, sf_dir, *carry, stop=stop)
+    return scores_of(toks, "doc_id", carry, prefix, with_compound)
+
+
+def two_models(spark: SparkSession, sf_dir: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Wide table: model A (``a_*``) and model B (``b_*``) per document."""
+    a = doc_scores(spark, sf_dir, carry, "a_")
+    b = doc_scores(spark, sf_dir, carry, "b_", stop=False)
+    return a.join(b, ["doc_id", *carry], "inner")
+
+
+def keyword_model():
+    return KeywordModel(P.QUERY_KEYWORDS)
+
+
+def keyword_scores(spark: SparkSession, sf_dir: str, prefix: str = "") -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", preprocess("text").alias("processed_text"))
+    return model_scores(docs, "processed_text", keyword_model, P.LOGIT_LABELS, prefix).drop("processed_text")
+
+
+def expected_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected polarity from ``labels.quality``: 1 positive, 0 negative."""
+    lab = table(spark, sf_dir, "labels")
+    return lab.select("doc_id", F.when(F.col("quality") == 1, "positive")
+                      .when(F.col("quality") == 0, "negative").alias("expected"))
+
+
+# --------------------------------------------------------------------------
+# scoring (M1, M2, M4, M8) and the flagship (A1)
+
+
 @query("m1_lexicon_scores")
 def q_m1_lexicon_scores(spark, sf_dir):
     sc = doc_scores(spark, sf_dir, with_compound=True)
-    return sc.select("doc_id", r6("positive").alias("positive"), r6("negative").alias("negative"),
-                     r6("neutral").alias("neutral"), r6("compound").alias("compound"), "label")
+    return rounded(sc, ["positive", "negative", "neutral", "compound"])
 
 
 @query("a1_mean_by_company")
 def q_a1_mean_by_company(spark, sf_dir):
-    from polarity.operators.analytics import mean_scores
     sc = doc_scores(spark, sf_dir, carry=("source",), prefix="sentiment_")
-    out = mean_scores(sc, ["source"], prefix="sentiment_")
-    return out.select(F.col("source").alias("company"),
-                      *[r6(c).alias(c) for c in ("positive", "negative", "neutral")], "n_rows")
+    out = A.mean_scores(sc, ["source"], prefix="sentiment_")
+    return rounded(out.withColumnRenamed("source", "company"), CLASSES)
+
+
+@query("m2_model_scores")
+def q_m2_model_scores(spark, sf_dir):
+    return rounded(keyword_scores(spark, sf_dir), CLASSES)
+
+
+@query("m4_compare_models")
+def q_m4_compare_models(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", preprocess("text").alias("processed_text"))
+    models = {
+        "lexicon": LexiconScorer(P.QUERY_LEXICON, P.QUERY_NEGATORS, P.QUERY_DEGREE,
+                                 P.NEGATION_FACTOR, P.ALPHA, clean=False),
+        "keyword": ModelScorer(keyword_model, P.LOGIT_LABELS),
+    }
+    return rounded(compare_models(docs, "processed_text", "doc_id", models), CLASSES)
+
+
+@query("m8_side_by_side")
+def q_m8_side_by_side(spark, sf_dir):
+    wide = two_models(spark, sf_dir).join(keyword_scores(spark, sf_dir, "k_"), "doc_id", "inner")
+    cols = [f"{m}_{c}" for m in ("a", "b", "k") for c in CLASSES]
+    return rounded(wide, cols)
+
+
+@query("m10_company_pipeline")
+def q_m10_company_pipeline(spark, sf_dir):
+    """News (documents, company = source) and posts (conversations, entity =
+    role) -> union (U1) -> processed text -> scores -> mean per entity."""
+    news = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("item_id"), F.lit(0).cast("bigint").alias("turn"), "text",
+        F.col("source").alias("company"))
+    posts = table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("item_id"), "turn", F.col("text").alias("content"),
+        F.col("role").alias("company"))
+    both = U.union_sources({"news": news, "posts": posts})
+    toks = both.select("item_id", "turn", "source_type", "company",
+                       stopword_filter(tokenize(basic_clean("text"))).alias("tokens"))
+    sc = scores_of(toks, "item_id", ("turn", "source_type", "company"), "sentiment_")
+    out = A.mean_scores(sc, ["source_type", "company"])
+    return rounded(out, CLASSES)
+
+
+# --------------------------------------------------------------------------
+# text functions
+
+
+@query("t1_collapse_whitespace")
+def q_t1(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", collapse_whitespace("text").alias("text"))
+
+
+@query("t2_url_domain")
+def q_t2(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", url_domain("url").alias("domain"))
+
+
+@query("t6_clean_text")
+def q_t6(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", basic_clean("text").alias("clean_text"))
+
+
+@query("t8_processed_text")
+def q_t8(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", preprocess("text").alias("processed_text"))
+
+
+@query("t8_custom_stopwords")
+def q_t8_custom(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", remove_stopwords(basic_clean("text"), P.CUSTOM_STOPWORDS).alias("processed_text"))
+
+
+@query("t9_lemmatize")
+def q_t9(spark, sf_dir):
+    from polarity.operators.lemma import lemma_frame, lemmatize
+    docs = table(spark, sf_dir, "documents").select("doc_id", preprocess("text").alias("processed_text"))
+    out = lemmatize(docs, "doc_id", "processed_text", lemma_frame(spark, P.QUERY_LEMMAS),
+                    "lemmatized_text", lemma_rows=len(P.QUERY_LEMMAS))
+    return out.select("doc_id", "lemmatized_text")
+
+
+@query("t14_softmax_logits")
+def q_t14(spark, sf_dir):
+    emb = table(spark, sf_dir, "embeddings")
+    logits = F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double"))
+    p = emb.select("vec_id", softmax(logits).alias("_p"))
+    out = p.select("vec_id", *[F.col("_p")[i].alias(c) for i, c in enumerate(P.LOGIT_LABELS)],
+                   argmax_label("_p", P.LOGIT_LABELS).alias("label"))
+    return rounded(out, CLASSES)
+
+
+@query("t15_truncate_tokens")
+def q_t15(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", tokenize(basic_clean("text")).alias("t"))
+    return docs.select("doc_id", F.size("t").cast("bigint").alias("n_tokens"),
+                       F.array_join(truncate_tokens("t", P.MAX_TOKENS), " ").alias("truncated_text"))
+
+
+@query("t16_label_codec")
+def q_t16(spark, sf_dir):
+    lab = table(spark, sf_dir, "labels")
+    name = decode_label(F.col("quality") * 2, P.TRAIN_LABELS)
+    return lab.select("doc_id", name.alias("label_name"),
+                      encode_label(name, P.TRAIN_LABELS).cast("bigint").alias("label_id"))
+
+
+@query("s1_normalise_articles")
+def q_s1(spark, sf_dir):
+    """Article rows projected from documents: title = first line,
+    description = the rest (null when none), published = derived day."""
+    docs = table(spark, sf_dir, "documents")
+    first = F.substring_index("text", "\n", 1)
+    rest = F.expr("substr(text, char_length(substring_index(text, '\\n', 1)) + 2)")
+    arts = docs.select(
+        "doc_id", first.alias("title"), F.when(rest != "", rest).alias("description"),
+        F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 30).cast("int")),
+                      "yyyy-MM-dd'T'10:00:00'Z'").alias("publishedAt"))
+    return arts.select("doc_id", F.md5(compose_text("title", "description")).alias("text_md5"),
+                       F.date_format(date_or("publishedAt"), "yyyy-MM-dd").alias("date"))
+
+
+@query("p7_preview")
+def q_p7(spark, sf_dir):
+    sc = doc_scores(spark, sf_dir)
+    docs = table(spark, sf_dir, "documents").select("doc_id", preview("text", 100).alias("preview"))
+    return docs.join(sc, "doc_id").select("doc_id", "preview", r6("positive").alias("positive"), "label")
+
+
+# --------------------------------------------------------------------------
+# aggregations
+
+
+@query("a2_mean_by_source_type")
+def q_a2(spark, sf_dir):
+    conv = table(spark, sf_dir, "conversations")
+    toks = conv.select("conv_id", "turn", "role",
+                       stopword_filter(tokenize(basic_clean("text"))).alias("tokens"))
+    sc = scores_of(toks, "conv_id", ("turn", "role"), "sentiment_")
+    return rounded(A.mean_scores(sc, ["role"]).withColumnRenamed("role", "source_type"), CLASSES)
+
+
+@query("a3_overall_mean")
+def q_a3(spark, sf_dir):
+    return rounded(A.overall_mean(doc_scores(spark, sf_dir), "positive", "mean_positive"), ["mean_positive"])
+
+
+@query("a4_label_distribution")
+def q_a4(spark, sf_dir):
+    return rounded(A.label_distribution(doc_scores(spark, sf_dir), "label"), ["pct"])
+
+
+@query("a5_agreement")
+def q_a5(spark, sf_dir):
+    return rounded(A.agreement(two_models(spark, sf_dir, ("lang",)), "a_label", "b_label", ["lang"]),
+                   ["agreement_pct"])
+
+
+@query("a6_accuracy")
+def q_a6(spark, sf_dir):
+    joined = doc_scores(spark, sf_dir).join(expected_labels(spark, sf_dir), "doc_id", "inner")
+    clear = R.clear_cases(joined, "expected")
+    return rounded(A.accuracy(clear, "label", "expected"), ["accuracy"])
+
+
+@query("a7_classification_metrics")
+def q_a7(spark, sf_dir):
+    joined = doc_scores(spark, sf_dir).join(expected_labels(spark, sf_dir), "doc_id", "inner")
+    return rounded(A.classification_metrics(joined, "expected", "label"),
+                   ["accuracy", "precision", "recall", "f1"])
+
+
+@query("a8_correlation")
+def q_a8(spark, sf_dir):
+    wide = two_models(spark, sf_dir, ("lang",))
+    return rounded(A.correlation(wide, "a_positive", "b_positive", ["lang"]), ["pearson"])
+
+
+@query("a9_mean_matrix")
+def q_a9(spark, sf_dir):
+    sc = doc_scores(spark, sf_dir, carry=("source", "lang"))
+    return rounded(A.mean_matrix(sc, "lang", "source", "positive"), ["mean_value"])
+
+
+@query("a10_entity_matrix")
+def q_a10(spark, sf_dir):
+    means = q_a1_mean_by_company(spark, sf_dir).select("company", *CLASSES)
+    return A.entity_matrix(means, "company", list(CLASSES))
+
+
+@query("a11_box_stats")
+def q_a11(spark, sf_dir):
+    sc = doc_scores(spark, sf_dir, prefix="sentiment_")
+    long = U.melt_scores(sc, ["doc_id", "sentiment_label"], [f"sentiment_{c}" for c in CLASSES],
+                         with_model=False)
+    out = A.box_stats(long, ["score_type", "sentiment_label"], "score")
+    return rounded(out, ["q1", "median", "q3", "whisker_low", "whisker_high"]) \
+        .withColumnRenamed("sentiment_label", "label")
+
+
+@query("a12_distinct_labels")
+def q_a12(spark, sf_dir):
+    return A.distinct_labels(doc_scores(spark, sf_dir), "label")
+
+
+@query("a13_row_counts")
+def q_a13(spark, sf_dir):
+    return A.row_counts(table(spark, sf_dir, "documents"), ["source", "lang"])
+
+
+@query("a14_confidence")
+def q_a14(spark, sf_dir):
+    sc = doc_scores(spark, sf_dir)
+    return rounded(A.mean_confidence(sc, list(CLASSES), ["label"]), ["mean_confidence", "min_confidence"])
+
+
+# --------------------------------------------------------------------------
+# windows (W1, W2), top-k and samples (L1-L5), filters (P5)
+
+
+def _events(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
+
+
+@query("w1_rolling_mean")
+def q_w1(spark, sf_dir):
+    ev = _events(spark, sf_dir)
+    out = W.rolling_mean(ev, ["value"], P.ROLLING_ROWS, ["ts", "event_id"], ["user_id"])
+    return rounded(out.select("event_id", "user_id", "value_rolling"), ["value_rolling"])
+
+
+@query("w1_rolling_mean_balanced")
+def q_w1_balanced(spark, sf_dir):
+    ev = _events(spark, sf_dir)
+    out = W.rolling_mean_balanced(ev, ["value"], P.ROLLING_ROWS, ["ts", "event_id"], ["user_id"])
+    return rounded(out.select("event_id", "user_id", "value_rolling"), ["value_rolling"])
+
+
+@query("w2_daily_rolling")
+def q_w2(spark, sf_dir):
+    ev = _events(spark, sf_dir)
+    out = W.daily_series(ev, "ts", ["value"], ["event_type"], P.ROLLING_DAYS)
+    out = out.withColumn("date", F.date_format("date", "yyyy-MM-dd"))
+    return rounded(out, ["value", "value_rolling"])
+
+
+@query("l1_first_k_per_company")
+def q_l1(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("company"))
+    out = L.first_k_per_group(docs, ["company"], ["doc_id"], P.TOP_PER_COMPANY, rank_col="position")
+    return out.withColumn("position", F.col("position").cast("bigint"))
+
+
+@query("l2_top_disagreements")
+def q_l2(spark, sf_dir):
+    wide = two_models(spark, sf_dir)
+    # ordered on the severity rounded to 9 places, so that values equal up to
+    # the last bit rank by id in every engine
+    sev = F.round(R.severity(wide, "a_label", "b_label"), 9)
+    out = (R.disagreements(wide, "a_label", "b_label").withColumn("disagreement_score", sev)
+           .orderBy(F.desc("disagreement_score"), "doc_id").limit(P.TOP_DISAGREEMENTS))
+    return rounded(out.select("doc_id", "a_label", "b_label", "disagreement_score"), ["disagreement_score"])
+
+
+@query("p5_disagreements")
+def q_p5(spark, sf_dir):
+    return R.disagreements(two_models(spark, sf_dir), "a_label", "b_label").select("doc_id", "a_label", "b_label")
+
+
+@query("l3_stratified_sample")
+def q_l3(spark, sf_dir):
+    sc = doc_scores(spark, sf_dir)
+    return L.stratified_sample(sc, "label", "doc_id", P.SAMPLE_EXAMPLES, P.SEED).select("doc_id", "label")
+
+
+@query("l4_stratified_split")
+def q_l4(spark, sf_dir):
+    lab = table(spark, sf_dir, "labels")
+    return L.stratified_split(lab, "quality", "doc_id", 0.2, P.SEED).select("doc_id", "quality", "split")
+
+
+@query("l5_sort_by_date")
+def q_l5(spark, sf_dir):
+    ev = _events(spark, sf_dir).withColumn("ts_text", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+    out = W.sort_by(ev, "ts_text", ["event_id"])
+    return out.select("event_id", "ts_text", W.order_key(ev, "ts_text").cast("timestamp_ntz").alias("ts_parsed"))
+
+
+# --------------------------------------------------------------------------
+# reshape, joins and sources
+
+
+@query("u1_union_sources")
+def q_u1(spark, sf_dir):
+    news = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), "text", "source")
+    posts = table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("item_id"), "turn", F.col("text").alias("content"), "role")
+    both = U.union_sources({"news": news, "posts": posts})
+    return both.select("source_type", "item_id", "turn", "source", "role", F.md5("text").alias("text_md5"))
+
+
+@query("u3_melt_scores")
+def q_u3(spark, sf_dir):
+    sc = doc_scores(spark, sf_dir, prefix="sentiment_")
+    long = U.melt_scores(sc, ["doc_id"], [f"sentiment_{c}" for c in CLASSES])
+    return rounded(long, ["score"])
+
+
+@query("j1_author_lookup")
+def q_j1(spark, sf_dir):
+    ev = table(spark, sf_dir, "events").select("event_id", "user_id")
+    cust = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    out = first_match_lookup(ev, cust, "user_id", "c_custkey")
+    return out.select("event_id", "user_id", F.col("c_name").alias("username"), "c_mktsegment")
+
+
+@query("s5_page_articles")
+def q_s5(spark, sf_dir):
+    from polarity.sources.pages import parse_pages
+    pages = table(spark, sf_dir, "pages")
+    return parse_pages(pages).select("page_id", "domain", "title", "text")
+
+
+@query("s7_mentions")
+def q_s7(spark, sf_dir):
+    from polarity.sources.filters import companies_frame, mentions
+    docs = table(spark, sf_dir, "documents").filter(F.col("lang") == "en")
+    comp = companies_frame(spark, P.COMPANIES)
+    return mentions(docs, "text", "doc_id", comp, companies_rows=len(P.COMPANIES))
+
+
+@query("s8_lookback")
+def q_s8(spark, sf_dir):
+    from polarity.sources.filters import lookback
+    ev = _events(spark, sf_dir)
+    return lookback(ev, "ts", P.AS_OF, P.LOOKBACK_DAYS).select("event_id", "user_id", "event_type")
+
+
+@query("s9_url_list")
+def q_s9(spark, sf_dir):
+    from polarity.sources.articles import url_list
+    pages = table(spark, sf_dir, "pages").select(
+        F.regexp_extract("url", r"^[A-Za-z]+://[^/]+/([a-z]{2})/", 1).alias("company"),
+        F.col("page_id").alias("position"), "url")
+    out = url_list(pages, P.TOP_PER_COMPANY)
+    return out.select("company", "position", "url")
+
+
+# --------------------------------------------------------------------------
+# training (M6): no SQL form; the driver checks rows only
+
+
+@query("m6_train_classifier")
+def q_m6(spark, sf_dir):
+    from polarity.operators.training import predict, train_classifier
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    lab = table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") * 2).alias("label"))
+    data = docs.join(lab, "doc_id", "inner")
+    res = train_classifier(data, "text", "label", "doc_id", grid=P.TRAIN_GRID, max_iter=20)
+    val = res.split.filter(F.col("split") == "val").select("doc_id", "text", "label")
+    out = predict(res.model, val, "text", P.TRAIN_LABELS)
+    return rounded(out.drop("text"), [f"sentiment_{c}" for c in CLASSES])

@@ -1,17 +1,21 @@
 """DuckDB SQL for every registered query that SQL can express.
 
 Tables are the driver's views (documents, labels, pages, events, ...).
-Doubles are rounded to 6 places on both sides; counts are BIGINT.
+Doubles are rounded to 6 places on both sides; counts are BIGINT. The SQL is
+an independent formulation of each rule (RE2, list functions, window lags),
+so a match checks the Spark plans rather than repeating them.
 """
 
 from __future__ import annotations
 
 from polarity.plans import params as P
 from polarity.plans.sqlparts import (
-    clean_sql, lexicon_score_sql, stop_filter_sql, tokens_sql,
+    case_map_sql, clean_sql, collapse_sql, domain_sql, lexicon_score_sql, lit,
+    stop_filter_sql, str_list, tokens_sql, values_sql,
 )
 
 ORACLE: dict[str, str] = {}
+CLASSES = ("positive", "negative", "neutral")
 
 
 def sql(name: str):
@@ -21,27 +25,512 @@ def sql(name: str):
     return deco
 
 
-def scored_docs_sql(extra: tuple[str, ...] = ()) -> str:
-    """WITH-chain ending in ``_labelled(doc_id, extra..., positive, negative,
-    neutral, compound, label)`` for the processed text of ``documents``."""
+def r6(expr: str, name: str) -> str:
+    return f"round({expr}, 6) AS {name}"
+
+
+def docs_cte(name: str, stop: bool = True, extra: tuple[str, ...] = ()) -> str:
     ex = "".join(f", {c}" for c in extra)
+    toks = tokens_sql(clean_sql("text"))
+    if stop:
+        toks = stop_filter_sql(toks)
+    return f"{name} AS (SELECT doc_id{ex}, {toks} AS toks FROM documents)"
+
+
+def model(ns: str, cte: str, keys="doc_id", extra: tuple[str, ...] = ()) -> str:
+    return lexicon_score_sql(cte, keys, P.QUERY_LEXICON, P.QUERY_NEGATORS, P.QUERY_DEGREE,
+                             P.NEGATION_FACTOR, P.ALPHA, extra, ns)
+
+
+def model_a(extra: tuple[str, ...] = ()) -> str:
+    """CTEs ending in ``a_labelled``: model A over processed documents."""
+    return "WITH " + docs_cte("ta", True, extra) + model("a", "ta", "doc_id", extra)
+
+
+def two_models(extra: tuple[str, ...] = ()) -> str:
+    """CTEs ending in ``wide(doc_id, extra..., a_*, b_*)``."""
+    sel_extra = "".join(f", a.{c}" for c in extra)
+    cols = ", ".join(f"a.{c} AS a_{c}, b.{c} AS b_{c}" for c in (*CLASSES, "label"))
+    return ("WITH " + docs_cte("ta", True, extra) + ", " + docs_cte("tb", False)
+            + model("a", "ta", "doc_id", extra) + model("b", "tb")
+            + f", wide AS (SELECT a.doc_id{sel_extra}, {cols} FROM a_labelled a "
+              f"JOIN b_labelled b ON a.doc_id = b.doc_id)")
+
+
+def keyword_cte(name: str = "kw", src: str = "documents") -> str:
+    """``{name}(doc_id, positive, negative, neutral, label)`` of the keyword model."""
     toks = stop_filter_sql(tokens_sql(clean_sql("text")))
-    return (f"WITH _t AS (SELECT doc_id{ex}, {toks} AS toks FROM documents)"
-            + lexicon_score_sql("_t", "doc_id", P.QUERY_LEXICON, P.QUERY_NEGATORS, P.QUERY_DEGREE,
-                                P.NEGATION_FACTOR, P.ALPHA, extra))
+    logit = [f"CAST(len(list_filter(toks, lambda x: list_contains({str_list(kw)}, x))) AS DOUBLE)"
+             for kw in P.QUERY_KEYWORDS]
+    names = P.LOGIT_LABELS
+    return f"""{name}_t AS (SELECT doc_id, {toks} AS toks FROM {src}),
+{name}_l AS (SELECT doc_id, {logit[0]} AS l0, {logit[1]} AS l1, {logit[2]} AS l2 FROM {name}_t),
+{name}_e AS (SELECT doc_id, exp(l0 - greatest(l0, l1, l2)) AS e0, exp(l1 - greatest(l0, l1, l2)) AS e1,
+                    exp(l2 - greatest(l0, l1, l2)) AS e2 FROM {name}_l),
+{name}_p AS (SELECT doc_id, e0 / (e0 + e1 + e2) AS p0, e1 / (e0 + e1 + e2) AS p1,
+                    e2 / (e0 + e1 + e2) AS p2 FROM {name}_e),
+{name} AS (SELECT doc_id, p{names.index('positive')} AS positive, p{names.index('negative')} AS negative,
+                  p{names.index('neutral')} AS neutral,
+                  CASE WHEN p0 >= p1 AND p0 >= p2 THEN {lit(names[0])}
+                       WHEN p1 >= p2 THEN {lit(names[1])} ELSE {lit(names[2])} END AS label
+           FROM {name}_p)"""
+
+
+def expected_cte() -> str:
+    return ("expected AS (SELECT doc_id, CASE WHEN quality = 1 THEN 'positive' "
+            "WHEN quality = 0 THEN 'negative' END AS expected FROM labels)")
+
+
+ROUND3 = ", ".join(r6(c, c) for c in CLASSES)
+
+
+# --------------------------------------------------------------------------
+# scoring and the flagship
 
 
 @sql("m1_lexicon_scores")
 def _m1():
-    return scored_docs_sql() + """
-SELECT doc_id, round(positive, 6) AS positive, round(negative, 6) AS negative,
-       round(neutral, 6) AS neutral, round(compound, 6) AS compound, label
-FROM _labelled"""
+    return model_a() + f"\nSELECT doc_id, {ROUND3}, {r6('compound', 'compound')}, label FROM a_labelled"
 
 
 @sql("a1_mean_by_company")
 def _a1():
-    return scored_docs_sql(("source",)) + """
-SELECT source AS company, round(avg(positive), 6) AS positive, round(avg(negative), 6) AS negative,
-       round(avg(neutral), 6) AS neutral, CAST(count(*) AS BIGINT) AS n_rows
-FROM _labelled GROUP BY source"""
+    means = ", ".join(r6(f"avg({c})", c) for c in CLASSES)
+    return model_a(("source",)) + f"""
+SELECT source AS company, {means}, CAST(count(*) AS BIGINT) AS n_rows FROM a_labelled GROUP BY source"""
+
+
+@sql("m2_model_scores")
+def _m2():
+    return "WITH " + keyword_cte() + f"\nSELECT doc_id, {ROUND3}, label FROM kw"
+
+
+@sql("m4_compare_models")
+def _m4():
+    return (model_a() + ", " + keyword_cte() + f"""
+SELECT doc_id, 'lexicon' AS model, {ROUND3}, label FROM a_labelled
+UNION ALL
+SELECT doc_id, 'keyword' AS model, {ROUND3}, label FROM kw""")
+
+
+@sql("m8_side_by_side")
+def _m8():
+    cols = ", ".join(r6(f"w.{m}_{c}", f"{m}_{c}") for m in ("a", "b") for c in CLASSES)
+    kcols = ", ".join(r6(f"k.{c}", f"k_{c}") for c in CLASSES)
+    return (two_models() + ", " + keyword_cte("k0") + f"""
+SELECT w.doc_id, {cols}, w.a_label, w.b_label, {kcols}, k.label AS k_label
+FROM wide w JOIN k0 k ON w.doc_id = k.doc_id""")
+
+
+@sql("m10_company_pipeline")
+def _m10():
+    toks = stop_filter_sql(tokens_sql(clean_sql("text")))
+    means = ", ".join(r6(f"avg({c})", c) for c in CLASSES)
+    return (f"""WITH both_src AS (
+  SELECT doc_id AS item_id, CAST(0 AS BIGINT) AS turn, 'news' AS source_type, source AS company, text
+  FROM documents
+  UNION ALL
+  SELECT conv_id, turn, 'posts', role, text FROM conversations
+), tm AS (SELECT item_id, turn, source_type, company, {toks} AS toks FROM both_src)"""
+            + model("m", "tm", ("item_id", "turn", "source_type"), ("company",)) + f"""
+SELECT source_type, company, {means}, CAST(count(*) AS BIGINT) AS n_rows
+FROM m_labelled GROUP BY source_type, company""")
+
+
+# --------------------------------------------------------------------------
+# text functions
+
+
+@sql("t1_collapse_whitespace")
+def _t1():
+    return f"SELECT doc_id, {collapse_sql('text')} AS text FROM documents"
+
+
+@sql("t2_url_domain")
+def _t2():
+    return f"SELECT page_id, {domain_sql('url')} AS domain FROM pages"
+
+
+@sql("t6_clean_text")
+def _t6():
+    return f"SELECT doc_id, {clean_sql('text')} AS clean_text FROM documents"
+
+
+@sql("t8_processed_text")
+def _t8():
+    return f"SELECT doc_id, array_to_string({stop_filter_sql(tokens_sql(clean_sql('text')))}, ' ') " \
+           f"AS processed_text FROM documents"
+
+
+@sql("t8_custom_stopwords")
+def _t8c():
+    toks = stop_filter_sql(tokens_sql(clean_sql("text")), P.CUSTOM_STOPWORDS)
+    return f"SELECT doc_id, array_to_string({toks}, ' ') AS processed_text FROM documents"
+
+
+@sql("t9_lemmatize")
+def _t9():
+    toks = stop_filter_sql(tokens_sql(clean_sql("text")))
+    whens = " ".join(f"WHEN {lit(k)} THEN {lit(v)}" for k, v in P.QUERY_LEMMAS)
+    lem = f"coalesce(CASE x {whens} END, x)"
+    return (f"SELECT doc_id, array_to_string(list_transform({toks}, lambda x: {lem}), ' ') "
+            f"AS lemmatized_text FROM documents")
+
+
+@sql("t14_softmax_logits")
+def _t14():
+    names = P.LOGIT_LABELS
+    return f"""WITH l AS (
+  SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS l0, CAST(embedding[2] AS DOUBLE) AS l1,
+         CAST(embedding[3] AS DOUBLE) AS l2 FROM embeddings
+), e AS (
+  SELECT vec_id, exp(l0 - greatest(l0, l1, l2)) AS e0, exp(l1 - greatest(l0, l1, l2)) AS e1,
+         exp(l2 - greatest(l0, l1, l2)) AS e2 FROM l
+), p AS (
+  SELECT vec_id, e0 / (e0 + e1 + e2) AS p0, e1 / (e0 + e1 + e2) AS p1, e2 / (e0 + e1 + e2) AS p2 FROM e
+)
+SELECT vec_id, {r6('p0', names[0])}, {r6('p1', names[1])}, {r6('p2', names[2])},
+  CASE WHEN p0 >= p1 AND p0 >= p2 THEN {lit(names[0])} WHEN p1 >= p2 THEN {lit(names[1])}
+       ELSE {lit(names[2])} END AS label
+FROM p"""
+
+
+@sql("t15_truncate_tokens")
+def _t15():
+    toks = tokens_sql(clean_sql("text"))
+    return f"""SELECT doc_id, CAST(len(t) AS BIGINT) AS n_tokens,
+  array_to_string(t[1:{P.MAX_TOKENS}], ' ') AS truncated_text
+FROM (SELECT doc_id, {toks} AS t FROM documents)"""
+
+
+@sql("t16_label_codec")
+def _t16():
+    names = P.TRAIN_LABELS
+    dec = " ".join(f"WHEN {i} THEN {lit(n)}" for i, n in enumerate(names))
+    enc = " ".join(f"WHEN {lit(n)} THEN {i}" for i, n in enumerate(names))
+    return f"""SELECT doc_id, label_name, CAST(CASE label_name {enc} END AS BIGINT) AS label_id
+FROM (SELECT doc_id, CASE quality * 2 {dec} END AS label_name FROM labels)"""
+
+
+@sql("s1_normalise_articles")
+def _s1():
+    return """WITH a AS (
+  SELECT doc_id, split_part(text, chr(10), 1) AS title,
+         NULLIF(substr(text, length(split_part(text, chr(10), 1)) + 2), '') AS description,
+         DATE '2024-01-01' + CAST(doc_id % 30 AS INTEGER) AS published
+  FROM documents
+)
+SELECT doc_id, md5(title || '. ' || coalesce(description, '')) AS text_md5,
+       strftime(published, '%Y-%m-%d') AS date FROM a"""
+
+
+@sql("p7_preview")
+def _p7():
+    return model_a() + """
+SELECT d.doc_id, substr(d.text, 1, 100) || '...' AS preview, round(a.positive, 6) AS positive, a.label
+FROM documents d JOIN a_labelled a ON d.doc_id = a.doc_id"""
+
+
+# --------------------------------------------------------------------------
+# aggregations
+
+
+@sql("a2_mean_by_source_type")
+def _a2():
+    toks = stop_filter_sql(tokens_sql(clean_sql("text")))
+    means = ", ".join(r6(f"avg({c})", c) for c in CLASSES)
+    return (f"WITH tc AS (SELECT conv_id, turn, role, {toks} AS toks FROM conversations)"
+            + model("c", "tc", ("conv_id", "turn"), ("role",)) + f"""
+SELECT role AS source_type, {means}, CAST(count(*) AS BIGINT) AS n_rows FROM c_labelled GROUP BY role""")
+
+
+@sql("a3_overall_mean")
+def _a3():
+    return model_a() + "\nSELECT round(avg(positive), 6) AS mean_positive FROM a_labelled"
+
+
+@sql("a4_label_distribution")
+def _a4():
+    return model_a() + """
+SELECT label, n, round(100.0 * n / sum(n) OVER (), 6) AS pct
+FROM (SELECT label, CAST(count(*) AS BIGINT) AS n FROM a_labelled WHERE label IS NOT NULL GROUP BY label)"""
+
+
+@sql("a5_agreement")
+def _a5():
+    return two_models(("lang",)) + """
+SELECT lang, round(100.0 * avg(CASE WHEN a_label = b_label THEN 1.0 ELSE 0.0 END), 6) AS agreement_pct,
+       CAST(count(*) AS BIGINT) AS n_rows
+FROM wide GROUP BY lang"""
+
+
+@sql("a6_accuracy")
+def _a6():
+    return model_a() + ", " + expected_cte() + """, j AS (
+  SELECT a.label, e.expected FROM a_labelled a JOIN expected e ON a.doc_id = e.doc_id
+  WHERE e.expected IN ('positive', 'negative')
+), g AS (
+  SELECT expected, CAST(count(*) AS BIGINT) AS n,
+         CAST(sum(CASE WHEN label = expected THEN 1 ELSE 0 END) AS BIGINT) AS correct
+  FROM j GROUP BY expected
+  UNION ALL
+  SELECT '__all__', CAST(count(*) AS BIGINT), CAST(sum(CASE WHEN label = expected THEN 1 ELSE 0 END) AS BIGINT)
+  FROM j
+)
+SELECT expected, n, correct, round(correct / n, 6) AS accuracy FROM g"""
+
+
+@sql("a7_classification_metrics")
+def _a7():
+    return model_a() + ", " + expected_cte() + """, cm AS (
+  SELECT e.expected AS y, a.label AS p, count(*) AS n
+  FROM a_labelled a JOIN expected e ON a.doc_id = e.doc_id GROUP BY 1, 2
+), sup AS (SELECT y AS cls, sum(n) AS support FROM cm GROUP BY y),
+pred AS (SELECT p AS cls, sum(n) AS predicted FROM cm GROUP BY p),
+tp AS (SELECT y AS cls, n AS tp FROM cm WHERE y = p),
+per AS (
+  SELECT coalesce(s.cls, q.cls) AS cls, coalesce(s.support, 0) AS support,
+         coalesce(q.predicted, 0) AS predicted, coalesce(t.tp, 0) AS tp
+  FROM sup s FULL JOIN pred q ON s.cls = q.cls LEFT JOIN tp t ON coalesce(s.cls, q.cls) = t.cls
+), m AS (
+  SELECT *, CASE WHEN predicted > 0 THEN tp / predicted ELSE 0.0 END AS pr,
+            CASE WHEN support > 0 THEN tp / support ELSE 0.0 END AS rc FROM per
+), f AS (SELECT *, CASE WHEN pr + rc > 0 THEN 2 * pr * rc / (pr + rc) ELSE 0.0 END AS f1 FROM m)
+SELECT round(sum(tp) / sum(support), 6) AS accuracy,
+       round(sum(pr * support) / sum(support), 6) AS precision,
+       round(sum(rc * support) / sum(support), 6) AS recall,
+       round(sum(f1 * support) / sum(support), 6) AS f1,
+       CAST(sum(support) AS BIGINT) AS n_rows
+FROM f"""
+
+
+@sql("a8_correlation")
+def _a8():
+    return two_models(("lang",)) + """
+SELECT lang, round(corr(a_positive, b_positive), 6) AS pearson FROM wide GROUP BY lang"""
+
+
+@sql("a9_mean_matrix")
+def _a9():
+    return model_a(("source", "lang")) + """
+SELECT source, lang, round(avg(positive), 6) AS mean_value FROM a_labelled
+WHERE source IS NOT NULL AND lang IS NOT NULL GROUP BY source, lang"""
+
+
+@sql("a10_entity_matrix")
+def _a10():
+    parts = " UNION ALL ".join(f"SELECT company, '{c}' AS measure, {c} AS value FROM means" for c in CLASSES)
+    means = ", ".join(r6(f"avg({c})", c) for c in CLASSES)
+    return model_a(("source",)) + f""", means AS (
+  SELECT source AS company, {means} FROM a_labelled GROUP BY source
+)
+{parts}"""
+
+
+@sql("a11_box_stats")
+def _a11():
+    long = " UNION ALL ".join(f"SELECT label, '{c}' AS score_type, {c} AS score FROM a_labelled"
+                              for c in CLASSES)
+    return model_a() + f""", long AS ({long}),
+st AS (
+  SELECT score_type, label, CAST(count(*) AS BIGINT) AS n,
+         quantile_cont(score, 0.25) AS q1, quantile_cont(score, 0.5) AS median,
+         quantile_cont(score, 0.75) AS q3
+  FROM long WHERE score IS NOT NULL GROUP BY score_type, label
+), w AS (
+  SELECT l.score_type, l.label,
+    min(CASE WHEN l.score BETWEEN s.q1 - 1.5 * (s.q3 - s.q1) AND s.q3 + 1.5 * (s.q3 - s.q1) THEN l.score END) AS lo,
+    max(CASE WHEN l.score BETWEEN s.q1 - 1.5 * (s.q3 - s.q1) AND s.q3 + 1.5 * (s.q3 - s.q1) THEN l.score END) AS hi,
+    CAST(count(CASE WHEN NOT (l.score BETWEEN s.q1 - 1.5 * (s.q3 - s.q1) AND s.q3 + 1.5 * (s.q3 - s.q1))
+                    THEN 1 END) AS BIGINT) AS n_outliers
+  FROM long l JOIN st s ON l.score_type = s.score_type AND l.label = s.label
+  WHERE l.score IS NOT NULL
+  GROUP BY l.score_type, l.label
+)
+SELECT s.score_type, s.label, s.n, round(s.q1, 6) AS q1, round(s.median, 6) AS median, round(s.q3, 6) AS q3,
+       round(w.lo, 6) AS whisker_low, round(w.hi, 6) AS whisker_high, w.n_outliers
+FROM st s LEFT JOIN w ON s.score_type = w.score_type AND s.label = w.label"""
+
+
+@sql("a12_distinct_labels")
+def _a12():
+    return model_a() + "\nSELECT DISTINCT label FROM a_labelled"
+
+
+@sql("a13_row_counts")
+def _a13():
+    return "SELECT source, lang, CAST(count(*) AS BIGINT) AS n_rows FROM documents GROUP BY source, lang"
+
+
+@sql("a14_confidence")
+def _a14():
+    return model_a() + """
+SELECT label, round(avg(greatest(positive, negative, neutral)), 6) AS mean_confidence,
+       round(min(greatest(positive, negative, neutral)), 6) AS min_confidence,
+       CAST(count(*) AS BIGINT) AS n_rows
+FROM a_labelled GROUP BY label"""
+
+
+# --------------------------------------------------------------------------
+# windows, top-k, samples
+
+
+_W1 = f"""SELECT event_id, user_id,
+  round(CASE WHEN count(value) OVER w = {P.ROLLING_ROWS} THEN avg(value) OVER w END, 6) AS value_rolling
+FROM events
+WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN {P.ROLLING_ROWS - 1} PRECEDING AND CURRENT ROW)"""
+
+
+@sql("w1_rolling_mean")
+def _w1():
+    return _W1
+
+
+@sql("w1_rolling_mean_balanced")
+def _w1b():
+    return _W1
+
+
+@sql("w2_daily_rolling")
+def _w2():
+    n = P.ROLLING_DAYS
+    return f"""WITH d AS (
+  SELECT event_type, CAST(ts AS DATE) AS date, avg(value) AS value, CAST(count(*) AS BIGINT) AS n_rows
+  FROM events GROUP BY event_type, CAST(ts AS DATE)
+)
+SELECT event_type, strftime(date, '%Y-%m-%d') AS date, round(value, 6) AS value, n_rows,
+  round(CASE WHEN count(value) OVER w = {n} THEN avg(value) OVER w END, 6) AS value_rolling
+FROM d WINDOW w AS (PARTITION BY event_type ORDER BY date ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"""
+
+
+@sql("l1_first_k_per_company")
+def _l1():
+    return f"""SELECT doc_id, company, position FROM (
+  SELECT doc_id, source AS company,
+         CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS BIGINT) AS position
+  FROM documents) WHERE position <= {P.TOP_PER_COMPANY}"""
+
+
+@sql("l2_top_disagreements")
+def _l2():
+    sev = " + ".join(f"abs(a_{c} - b_{c})" for c in CLASSES)
+    return two_models() + f"""
+SELECT doc_id, a_label, b_label, round(round({sev}, 9), 6) AS disagreement_score
+FROM wide WHERE a_label IS DISTINCT FROM b_label
+ORDER BY round({sev}, 9) DESC, doc_id LIMIT {P.TOP_DISAGREEMENTS}"""
+
+
+@sql("p5_disagreements")
+def _p5():
+    return two_models() + "\nSELECT doc_id, a_label, b_label FROM wide WHERE a_label IS DISTINCT FROM b_label"
+
+
+@sql("l3_stratified_sample")
+def _l3():
+    n = P.SAMPLE_EXAMPLES
+    h = f"md5('{P.SEED}:' || CAST(doc_id AS VARCHAR))"
+    return model_a() + f""", k AS (
+  SELECT CAST(floor({n} / (count(DISTINCT label) + max(CASE WHEN label IS NULL THEN 1 ELSE 0 END))) AS BIGINT) AS k,
+         count(DISTINCT label) AS named FROM a_labelled
+), ranked AS (
+  SELECT doc_id, label, row_number() OVER (PARTITION BY label ORDER BY {h}, doc_id) AS rk
+  FROM a_labelled WHERE label IS NOT NULL
+)
+SELECT doc_id, label FROM ranked, k WHERE rk <= k.k
+UNION ALL
+SELECT doc_id, label FROM (
+  SELECT doc_id, label FROM a_labelled, k WHERE k.k = 0 OR k.named = 0 ORDER BY {h}, doc_id LIMIT {n})"""
+
+
+@sql("l4_stratified_split")
+def _l4():
+    h = f"md5('{P.SEED}:' || CAST(doc_id AS VARCHAR))"
+    return f"""SELECT doc_id, quality,
+  CASE WHEN row_number() OVER (PARTITION BY quality ORDER BY {h}, doc_id)
+            <= floor(count(*) OVER (PARTITION BY quality) * 0.2 + 0.5) THEN 'val' ELSE 'train' END AS split
+FROM labels"""
+
+
+@sql("l5_sort_by_date")
+def _l5():
+    return """SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts_text,
+  CAST(strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS TIMESTAMP) AS ts_parsed
+FROM events ORDER BY ts_parsed, event_id"""
+
+
+# --------------------------------------------------------------------------
+# reshape, joins, sources
+
+
+@sql("u1_union_sources")
+def _u1():
+    return """SELECT 'news' AS source_type, doc_id AS item_id, CAST(NULL AS BIGINT) AS turn, source,
+       CAST(NULL AS VARCHAR) AS role, md5(text) AS text_md5 FROM documents
+UNION ALL
+SELECT 'posts', conv_id, turn, CAST(NULL AS VARCHAR), role, md5(text) FROM conversations"""
+
+
+@sql("u3_melt_scores")
+def _u3():
+    parts = " UNION ALL ".join(
+        f"SELECT doc_id, round({c}, 6) AS score, '{c}' AS score_type, 'sentiment' AS model FROM a_labelled"
+        for c in CLASSES)
+    return model_a() + "\n" + parts
+
+
+@sql("j1_author_lookup")
+def _j1():
+    return """WITH c AS (
+  SELECT c_custkey, arg_min(c_name, c_name) AS c_name, arg_min(c_mktsegment, c_name) AS c_mktsegment
+  FROM customer GROUP BY c_custkey
+)
+SELECT e.event_id, e.user_id, c.c_name AS username, c.c_mktsegment
+FROM events e LEFT JOIN c ON e.user_id = c.c_custkey"""
+
+
+def _drop_element(expr: str, tag: str) -> str:
+    return f"regexp_replace({expr}, '(?s)<{tag}\\b[^>]*>.*?</{tag}>', '', 'g')"
+
+
+@sql("s5_page_articles")
+def _s5():
+    body = "regexp_replace(html, '(?s)<!--.*?-->', '', 'g')"
+    for tag in ("script", "style", "nav", "header", "footer", "iframe"):
+        body = _drop_element(body, tag)
+    art = f"regexp_extract({body}, '(?s)<article\\b[^>]*>(.*?)</article>', 1)"
+
+    def text_of(x: str) -> str:
+        x = f"regexp_replace({x}, '<[^>]*>', '', 'g')"
+        x = f"replace(replace({x}, '&quot;', '\"'), '&amp;', '&')"
+        return collapse_sql(x)
+
+    title = "regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1)"
+    return f"SELECT page_id, {domain_sql('url')} AS domain, {text_of(title)} AS title, " \
+           f"{text_of(art)} AS text FROM pages"
+
+
+@sql("s7_mentions")
+def _s7():
+    comp = values_sql(P.COMPANIES, ["VARCHAR", "VARCHAR"], ["company", "term"], "c")
+    toks = tokens_sql(clean_sql("text"))
+    return f"""SELECT DISTINCT t.doc_id, c.company
+FROM (SELECT doc_id, unnest(list_distinct({toks})) AS tok FROM documents WHERE lang = 'en') t
+JOIN {comp} ON t.tok = lower(c.term)"""
+
+
+@sql("s8_lookback")
+def _s8():
+    import datetime as dt
+    end = dt.date.fromisoformat(P.AS_OF) + dt.timedelta(days=1)
+    start = dt.date.fromisoformat(P.AS_OF) - dt.timedelta(days=P.LOOKBACK_DAYS)
+    return f"""SELECT event_id, user_id, event_type FROM events
+WHERE ts >= TIMESTAMP '{start} 00:00:00' AND ts < TIMESTAMP '{end} 00:00:00'"""
+
+
+@sql("s9_url_list")
+def _s9():
+    return f"""SELECT company, position, url FROM (
+  SELECT regexp_extract(url, '^[A-Za-z]+://[^/]+/([a-z]{{2}})/', 1) AS company, page_id AS position, url,
+         row_number() OVER (PARTITION BY regexp_extract(url, '^[A-Za-z]+://[^/]+/([a-z]{{2}})/', 1)
+                            ORDER BY page_id) AS rk
+  FROM pages WHERE coalesce(url, '') <> '') WHERE rk <= {P.TOP_PER_COMPANY}"""

@@ -44,3 +44,11 @@ ROLLING_ROWS = 5
 ROLLING_DAYS = 3
 # Companies searched for in the mention query (fixture words standing in for tickers).
 COMPANIES = (("DER", "der"), ("QUE", "que"), ("ES", "es"), ("THTH", "thth"), ("ZU", "zu"))
+# Custom stop-word list (replaces the default) for the T8 custom query.
+CUSTOM_STOPWORDS = ("de", "la", "der", "die", "que", "le", "des", "und", "et", "les", "un", "el")
+# Query lemma table (token -> lemma) over fixture tokens.
+QUERY_LEMMAS = (("des", "de"), ("les", "le"), ("der", "die"), ("den", "die"), ("une", "un"),
+                ("los", "el"), ("das", "die"), ("ing", "in"), ("ed", "e"))
+# Token cut (T15) and the training grid (M6).
+MAX_TOKENS = 128
+TRAIN_GRID = ({"regParam": 0.01}, {"regParam": 0.1})

@@ -76,52 +76,58 @@ def case_map_sql(expr: str, pairs: Sequence[tuple[str, float]], default: str = "
     return f"coalesce(CASE {expr} {whens} END, {default})"
 
 
-def lexicon_score_sql(tokens_cte: str, id_col: str, lexicon, negators, degree,
-                      negation_factor: float, alpha: float, extra_cols: Sequence[str] = ()) -> str:
-    """M1 in SQL over a CTE ``tokens_cte(id_col, toks, extra...)``. Returns a
-    SELECT with ``id, extra..., positive, negative, neutral, compound, label``.
+def lexicon_score_sql(tokens_cte: str, keys, lexicon, negators, degree,
+                      negation_factor: float, alpha: float, extra_cols: Sequence[str] = (),
+                      ns: str = "") -> str:
+    """M1 in SQL over a CTE ``tokens_cte(keys..., toks, extra...)``. Adds CTEs
+    ending in ``{ns}_labelled(keys..., extra..., positive, negative, neutral,
+    compound, label)``.
 
     Formulated differently from the Spark plan: predecessors come from
     ``lag`` over the token position instead of array slices.
     """
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    k = ", ".join(keys)
     ex = "".join(f", {c}" for c in extra_cols)
+    on = " AND ".join(f"t.{c} = a.{c}" for c in keys)
     negs = str_list(negators) if negators else "[]"
-    lag = [f"lag(tok, {k}) OVER (PARTITION BY {id_col} ORDER BY pos)" for k in (1, 2, 3)]
-    neg = " OR ".join(f"coalesce(list_contains({negs}, p{k}), false)" for k in (1, 2, 3))
-    deg = " + ".join(case_map_sql(f"p{k}", degree) for k in (1, 2, 3))
+    lag = [f"lag(tok, {i}) OVER (PARTITION BY {k} ORDER BY pos)" for i in (1, 2, 3)]
+    neg = " OR ".join(f"coalesce(list_contains({negs}, p{i}), false)" for i in (1, 2, 3))
+    deg = " + ".join(case_map_sql(f"p{i}", degree) for i in (1, 2, 3))
     lex = values_sql(lexicon, ["VARCHAR", "DOUBLE"], ["token", "valence"], "lx")
+    n = ns + "_"
     return f"""
-, _e AS (
-  SELECT {id_col}, unnest(toks) AS tok, unnest(range(len(toks))) AS pos FROM {tokens_cte}
-), _c AS (
-  SELECT {id_col}, pos, tok, {lag[0]} AS p1, {lag[1]} AS p2, {lag[2]} AS p3 FROM _e
-), _h AS (
-  SELECT _c.*, lx.valence AS v0, ({deg}) AS dg, ({neg}) AS ng
-  FROM _c JOIN {lex} ON _c.tok = lx.token
-), _v AS (
-  SELECT {id_col},
+, {n}e AS (
+  SELECT {k}, unnest(toks) AS tok, unnest(range(len(toks))) AS pos FROM {tokens_cte}
+), {n}c AS (
+  SELECT {k}, pos, tok, {lag[0]} AS p1, {lag[1]} AS p2, {lag[2]} AS p3 FROM {n}e
+), {n}h AS (
+  SELECT c.*, lx.valence AS v0, ({deg}) AS dg, ({neg}) AS ng
+  FROM {n}c c JOIN {lex} ON c.tok = lx.token
+), {n}v AS (
+  SELECT {k},
     CASE WHEN ng AND v1 <> 0 THEN v1 * CAST({-float(negation_factor)!r} AS DOUBLE) ELSE v1 END AS v
-  FROM (SELECT *, CASE WHEN v0 <> 0 THEN v0 + sign(v0) * dg ELSE v0 END AS v1 FROM _h)
-), _a AS (
-  SELECT {id_col}, sum(v) AS s,
+  FROM (SELECT *, CASE WHEN v0 <> 0 THEN v0 + sign(v0) * dg ELSE v0 END AS v1 FROM {n}h)
+), {n}a AS (
+  SELECT {k}, sum(v) AS s,
     sum(CASE WHEN v > 0 THEN v + 1 END) AS p,
     sum(CASE WHEN v < 0 THEN 1 - v END) AS n,
     count(CASE WHEN v <> 0 THEN 1 END) AS nz
-  FROM _v GROUP BY {id_col}
-), _s AS (
-  SELECT t.{id_col}{''.join(f', t.{c}' for c in extra_cols)},
-    coalesce(_a.s, 0.0) AS s, coalesce(_a.p, 0.0) AS p, coalesce(_a.n, 0.0) AS n,
-    CAST(len(t.toks) - coalesce(_a.nz, 0) AS DOUBLE) AS z
-  FROM {tokens_cte} t LEFT JOIN _a ON t.{id_col} = _a.{id_col}
-), _scored AS (
-  SELECT {id_col}{ex},
+  FROM {n}v GROUP BY {k}
+), {n}s AS (
+  SELECT {', '.join('t.' + c for c in keys)}{''.join(f', t.{c}' for c in extra_cols)},
+    coalesce(a.s, 0.0) AS s, coalesce(a.p, 0.0) AS p, coalesce(a.n, 0.0) AS n,
+    CAST(len(t.toks) - coalesce(a.nz, 0) AS DOUBLE) AS z
+  FROM {tokens_cte} t LEFT JOIN {n}a a ON {on}
+), {n}scored AS (
+  SELECT {k}{ex},
     CASE WHEN p + n + z > 0 THEN p / (p + n + z) ELSE 0.0 END AS positive,
     CASE WHEN p + n + z > 0 THEN n / (p + n + z) ELSE 0.0 END AS negative,
     CASE WHEN p + n + z > 0 THEN z / (p + n + z) ELSE 0.0 END AS neutral,
     s / sqrt(s * s + CAST({float(alpha)!r} AS DOUBLE)) AS compound
-  FROM _s
-), _labelled AS (
+  FROM {n}s
+), {n}labelled AS (
   SELECT *, CASE WHEN compound >= 0.05 THEN 'positive' WHEN compound <= -0.05 THEN 'negative'
                  ELSE 'neutral' END AS label
-  FROM _scored
+  FROM {n}scored
 )"""
