@@ -18,16 +18,27 @@ from polarity import resources
 # Regular-expression classes.
 # Every character that Python's str.isspace() accepts (29 code points):
 # \t \n \x0b \x0c \r, \x1c-\x1f, space, \x85, \xa0, \u1680, \u2000-\u200a, \u2028, \u2029, \u202f, \u205f, \u3000.
-_SPACE_CHARS = (r"\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
-                r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}")
-SPACE = f"[{_SPACE_CHARS}]"
-NON_SPACE = f"[^{_SPACE_CHARS}]"
+# Written as an explicit list for RE2 (the SQL oracle) and, equal as a set but
+# cheaper to test in Java regex, as Java's white space plus the four
+# characters Java leaves out (\x85, \xa0, \u2007, \u202f).
+_SPACE_CHARS_LIST = (r"\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
+                     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}")
+_SPACE_CHARS_JAVA = r"\p{javaWhitespace}\x{85}\x{a0}\x{2007}\x{202f}"
+SPACE_SQL = f"[{_SPACE_CHARS_LIST}]"
+NON_SPACE_SQL = f"[^{_SPACE_CHARS_LIST}]"
+SPACE = f"[{_SPACE_CHARS_JAVA}]"
+NON_SPACE = f"[^{_SPACE_CHARS_JAVA}]"
 # The 32 ASCII punctuation characters: ! to /, : to @, [ to `, { to ~.
 PUNCT = r"[!-/:-@\[-`{-~]"
 # Decimal digits of every script.
 DIGITS = r"\p{Nd}+"
+URL_SQL = rf"https?://{NON_SPACE_SQL}+|www\.{NON_SPACE_SQL}+"
+EMAIL_SQL = rf"{NON_SPACE_SQL}+@{NON_SPACE_SQL}+"
 URL = rf"https?://{NON_SPACE}+|www\.{NON_SPACE}+"
-EMAIL = rf"{NON_SPACE}+@{NON_SPACE}+"
+# Same matches as ``\S+@\S+`` in linear time for a backtracking engine: a
+# match can only begin where a run of non-space characters begins (and then
+# spans the run), so attempts inside a run are cut by the look-behind.
+EMAIL = rf"(?<!{NON_SPACE}){NON_SPACE}+@{NON_SPACE}+"
 # scheme (optional) followed by '//' and the network location up to / ? #
 NETLOC = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)"
 # ---------------------------------------------------------------------------
@@ -62,8 +73,9 @@ def basic_clean(c: str | Column) -> Column:
     """Lower case, drop URLs, drop e-mail addresses, punctuation to space,
     drop digits, collapse white space, trim. Null gives ''."""
     t = F.lower(F.coalesce(_col(c), F.lit("")))
-    t = F.regexp_replace(t, URL, "")
-    t = F.regexp_replace(t, EMAIL, "")
+    # the URL and e-mail rules only run on texts that can hold a match
+    t = F.when(t.contains("http") | t.contains("www."), F.regexp_replace(t, URL, "")).otherwise(t)
+    t = F.when(t.contains("@"), F.regexp_replace(t, EMAIL, "")).otherwise(t)
     t = F.regexp_replace(t, PUNCT, " ")
     t = F.regexp_replace(t, DIGITS, "")
     t = F.regexp_replace(t, SPACE + "+", " ")

@@ -41,7 +41,8 @@ def query(name: str):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    from polarity.sources.tables import TEXT_TABLES, read_table
+    return read_table(spark, f"{sf_dir}/{name}.parquet", spread=name in TEXT_TABLES)
 
 
 def r6(c) -> F.Column:

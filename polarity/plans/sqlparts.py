@@ -9,7 +9,10 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 
 from polarity import resources
-from polarity.functions.text import DIGITS, EMAIL, NETLOC, PUNCT, SPACE, URL
+from polarity.functions.text import DIGITS, NETLOC, PUNCT
+from polarity.functions.text import EMAIL_SQL as EMAIL
+from polarity.functions.text import SPACE_SQL as SPACE
+from polarity.functions.text import URL_SQL as URL
 
 
 def lit(s: str) -> str:
