@@ -83,8 +83,10 @@ def basic_clean(c: str | Column) -> Column:
 
 
 def tokenize(c: str | Column) -> Column:
-    """T7 on cleaned text: split on single spaces, no empty tokens."""
-    return F.filter(F.split(_col(c), " "), lambda x: x != "")
+    """T7 on cleaned text (single spaces, trimmed): split on the spaces; the
+    empty text gives no token."""
+    t = F.coalesce(_col(c), F.lit(""))
+    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, " "))
 
 
 def tokenize_raw(c: str | Column) -> Column:
@@ -94,6 +96,7 @@ def tokenize_raw(c: str | Column) -> Column:
     return tokenize(t)
 
 
+
 def stopword_filter(tokens: str | Column, stop_words: Iterable[str] | None = None,
                     extra_stopwords: Iterable[str] = ()) -> Column:
     """T8 on a token array. A given list replaces the default; extras are added.

@@ -42,14 +42,6 @@ def degree_frame(spark: SparkSession, pairs: Iterable[tuple[str, float]] | None
     return spark.createDataFrame(rows, DEGREE)
 
 
-def _degree_sum(prev: Column, degree: Sequence[tuple[str, float]]) -> Column:
-    if not degree:
-        return F.lit(0.0)
-    m = F.create_map(*[x for w, d in degree for x in (F.lit(w), F.lit(float(d)))])
-    return F.aggregate(prev, F.lit(0.0),
-                       lambda acc, p: acc + F.coalesce(F.try_element_at(m, p), F.lit(0.0)))
-
-
 def lexicon_scores(df: DataFrame, id_col: str, tokens: str | Column, lexicon: DataFrame,
                    negators: Sequence[str] | None = None,
                    degree: Sequence[tuple[str, float]] | None = None,
@@ -78,18 +70,24 @@ def lexicon_scores(df: DataFrame, id_col: str, tokens: str | Column, lexicon: Da
     tok = F.col(tokens) if isinstance(tokens, str) else tokens
     tok = F.coalesce(tok, F.array().cast("array<string>"))
 
-    # token, 0-based position and up to CONTEXT predecessors, built in the row
-    ctx = F.transform(F.col("_toks"), lambda t, i: F.struct(
-        i.alias("pos"), t.alias("tok"),
-        F.slice(F.col("_toks"), F.greatest(F.lit(1), i - (CONTEXT - 1)),
-                F.least(F.lit(CONTEXT), i)).alias("prev")))
+    # each token with its CONTEXT predecessors, as arrays shifted by 1..CONTEXT
+    # and zipped in the row (built-in array functions, no per-token lambda)
+    n = F.size(F.col("_toks"))
+
+    def shifted(k: int) -> Column:
+        pad = F.array_repeat(F.lit(None).cast("string"), F.least(F.lit(k), n))
+        return F.concat(pad, F.slice(F.col("_toks"), 1, F.greatest(n - k, F.lit(0))))
+
+    prev_names = [f"p{k}" for k in range(1, CONTEXT + 1)]
+    zipped = F.arrays_zip(F.col("_toks").alias("tok"),
+                          *[shifted(k).alias(nm) for k, nm in zip(range(1, CONTEXT + 1), prev_names)])
     # the token count is taken before the explode so that the array itself
     # is not needed downstream of the generator
     counted = df.select(F.col(id_col), *[F.col(c) for c in carry], tok.alias("_toks"),
                         F.size(tok).alias("_ntok"))
-    exploded = (counted.select(id_col, *carry, "_ntok", F.explode_outer(ctx).alias("_c"))
-                .select(id_col, *carry, "_ntok", F.col("_c.pos").alias("_pos"),
-                        F.col("_c.tok").alias("_tok"), F.col("_c.prev").alias("_prev")))
+    exploded = (counted.select(id_col, *carry, "_ntok", F.posexplode_outer(zipped).alias("_pos", "_c"))
+                .select(id_col, *carry, "_ntok", "_pos", F.col("_c.tok").alias("_tok"),
+                        *[F.col(f"_c.{nm}").alias(f"_{nm}") for nm in prev_names]))
 
     lex = lexicon.select(F.col("token").alias("_lt"), F.col("valence").cast("double").alias("_val"))
     lex = broadcast_checked(lex, max_broadcast_rows, lexicon_rows)
@@ -98,11 +96,20 @@ def lexicon_scores(df: DataFrame, id_col: str, tokens: str | Column, lexicon: Da
     joined = joined.filter(F.col("_val").isNotNull() | F.col("_pos").isNull() | (F.col("_pos") == 0))
 
     # v = (val + sign(val) * degree) * (-factor if negated else 1); a zero or
-    # missing valence stays zero / null. Each context lambda is written once.
+    # missing valence stays zero / null.
     val = F.col("_val")
-    negated = (F.exists("_prev", lambda p: p.isin(negators)) if negators else F.lit(False))
+    prev = [F.col(f"_{nm}") for nm in prev_names]
+    negated = F.lit(False)
+    if negators:
+        for p in prev:
+            negated = negated | F.coalesce(p.isin(negators), F.lit(False))
+    degree_sum = F.lit(0.0)
+    if degree:
+        m = F.create_map(*[x for w, d in degree for x in (F.lit(w), F.lit(float(d)))])
+        for p in prev:
+            degree_sum = degree_sum + F.coalesce(F.try_element_at(m, p), F.lit(0.0))
     scale = F.when(negated, F.lit(-float(negation_factor))).otherwise(F.lit(1.0))
-    v = (val + F.signum(val) * _degree_sum(F.col("_prev"), degree)) * scale
+    v = (val + F.signum(val) * degree_sum) * scale
     valued = joined.select(id_col, *carry, "_ntok", v.alias("_v"))
 
     agg = valued.groupBy(id_col, *carry).agg(
