@@ -85,8 +85,7 @@ def basic_clean(c: str | Column) -> Column:
 def tokenize(c: str | Column) -> Column:
     """T7 on cleaned text (single spaces, trimmed): split on the spaces; the
     empty text gives no token."""
-    t = F.coalesce(_col(c), F.lit(""))
-    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, " "))
+    return F.array_remove(F.split(F.coalesce(_col(c), F.lit("")), " "), "")
 
 
 def tokenize_raw(c: str | Column) -> Column:

@@ -148,11 +148,14 @@ def box_stats(long_df: DataFrame, group_cols: Sequence[str], value_col: str = "s
     src = long_df.filter(v.isNotNull())
     qs = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
     if exact:
+        # (group, value, count): the statistics and the whiskers both read
+        # this one aggregate, so the input is planned once (reused exchange)
         pairs = src.groupBy(*group_cols, value_col).agg(F.count(F.lit(1)).alias("_cnt"))
         stats = pairs.groupBy(*group_cols).agg(
             F.sum("_cnt").alias("n"),
             F.percentile(v, qs, F.col("_cnt")).alias("_q"))
     else:
+        pairs = src.select(*group_cols, v, F.lit(1).cast("bigint").alias("_cnt"))
         stats = src.groupBy(*group_cols).agg(
             F.count(F.lit(1)).alias("n"),
             F.percentile_approx(v, qs, accuracy).alias("_q"))
@@ -162,12 +165,12 @@ def box_stats(long_df: DataFrame, group_cols: Sequence[str], value_col: str = "s
                                "hi": F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))})
     # one row per group: bounded by the number of (score type, label) pairs
     fences = broadcast_checked(stats.select(*group_cols, "lo", "hi"))
-    joined = src.join(fences, list(group_cols), "inner")
+    joined = pairs.join(fences, list(group_cols), "inner")
     inside = (v >= F.col("lo")) & (v <= F.col("hi"))
     whisk = joined.groupBy(*group_cols).agg(
         F.min(F.when(inside, v)).alias("whisker_low"),
         F.max(F.when(inside, v)).alias("whisker_high"),
-        F.count(F.when(~inside, 1)).alias("n_outliers"))
+        F.sum(F.when(~inside, F.col("_cnt")).otherwise(0)).cast("bigint").alias("n_outliers"))
     return stats.drop("lo", "hi").join(whisk, list(group_cols), "left")
 
 

@@ -11,15 +11,17 @@ DEFAULT_BROADCAST_ROWS = 2_000_000
 
 def broadcast_checked(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
                       known_rows: int | None = None) -> DataFrame:
-    """Mark ``df`` for broadcast only if it holds at most ``max_rows`` rows.
+    """Mark ``df`` for broadcast only when its size is known to be at most
+    ``max_rows`` rows (a table the caller built, e.g. a lexicon).
 
-    The size is proven by counting at most ``max_rows + 1`` rows (the count
-    stops early) unless the caller built the table and knows its size. Beyond
-    the bound the plain DataFrame is returned and the optimizer picks a
-    shuffle join.
+    Otherwise ``df`` is returned as it is: the optimizer broadcasts it when
+    its size estimate is below ``spark.sql.autoBroadcastJoinThreshold``, and
+    adaptive execution re-checks the real size at run time and keeps a
+    shuffle join beyond it. No counting job is run.
     """
-    n = known_rows if known_rows is not None else df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    if known_rows is not None and known_rows <= max_rows:
+        return F.broadcast(df)
+    return df
 
 
 def first_match_lookup(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
@@ -30,6 +32,8 @@ def first_match_lookup(left: DataFrame, right: DataFrame, left_key: str, right_k
 
     The de-duplication is a partial aggregation on the right side
     (``min_by``), so a hot key does not gather its rows in one task.
+    The de-duplicated side is broadcast when known to be small, else the
+    optimizer and adaptive execution choose the join from its real size.
     """
     cols = [c for c in right.columns if c != right_key]
     packed = F.struct(*[F.col(c) for c in cols])

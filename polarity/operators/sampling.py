@@ -47,20 +47,25 @@ def stratified_sample(df: DataFrame, label_col: str, id_col: str, num_examples:
     """
     require_columns(df, [label_col, id_col])
     lab = F.col(label_col)
-    n_labels = df.select(
-        (F.count_distinct(lab) + F.max(F.when(lab.isNull(), 1).otherwise(0))).alias("n")).scalar()
-    n_named = df.select(F.count_distinct(lab).alias("n")).scalar()
-    k = F.floor(F.lit(num_examples) / n_labels)
     keyed = df.withColumn("_h", seeded_hash(id_col, seed))
+    # candidates: the first num_examples rows of every label (null included),
+    # a group limit applied before the shuffle. They hold every label and
+    # every row any rule below can draw, so all later steps run on at most
+    # num_examples x labels rows.
     w = Window.partitionBy(label_col).orderBy("_h", id_col)
-    drawn = (keyed.filter(lab.isNotNull())
-             .withColumn("_rk", F.row_number().over(w))
-             .filter((F.col("_rk") <= num_examples) & (F.col("_rk") <= k)))
-    nothing = (k == 0) | (n_named == 0)
-    fallback = keyed.filter(nothing).orderBy("_h", id_col).limit(num_examples) \
-        .withColumn("_rk", F.lit(0))
+    cand = keyed.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= num_examples)
+    everything = Window.partitionBy()
+    n_labels = (F.size(F.collect_set(lab).over(everything))
+                + F.max(F.when(lab.isNull(), 1).otherwise(0)).over(everything))
+    n_named = F.size(F.collect_set(lab).over(everything))
+    cand = cand.withColumns({"_k": F.floor(F.lit(num_examples) / n_labels), "_named": n_named})
+    drawn = cand.filter(lab.isNotNull() & (F.col("_rk") <= F.col("_k")))
+    nothing = (F.col("_k") == 0) | (F.col("_named") == 0)
+    fallback = (cand.filter(nothing)
+                .withColumn("_g", F.row_number().over(Window.partitionBy().orderBy("_h", id_col)))
+                .filter(F.col("_g") <= num_examples).drop("_g"))
     return (drawn.unionByName(fallback).orderBy(F.asc_nulls_last(label_col), "_h", id_col)
-            .drop("_h", "_rk"))
+            .drop("_h", "_rk", "_k", "_named"))
 
 
 def stratified_split(df: DataFrame, label_col: str, id_col: str, test_frac: float = 0.2,

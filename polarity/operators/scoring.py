@@ -136,6 +136,33 @@ def lexicon_scores(df: DataFrame, id_col: str, tokens: str | Column, lexicon: Da
     return agg.select(*out)
 
 
+def lexicon_scores_multi(df: DataFrame, id_col: str, tokens: dict[str, Column], lexicon: DataFrame,
+                         negators: Sequence[str] | None = None,
+                         degree: Sequence[tuple[str, float]] | None = None,
+                         negation_factor: float = NEGATION_FACTOR, alpha: float = ALPHA,
+                         carry: Sequence[str] = (), with_compound: bool = False,
+                         lexicon_rows: int | None = None) -> DataFrame:
+    """M1 for several token lists of the same rows in one pass (e.g. the raw
+    and the processed text): one wide row per id with ``{prefix}positive``,
+    ... for every ``prefix`` key of ``tokens``.
+
+    The input is read and cleaned once; each row becomes one row per token
+    list, scored by the same plan keyed by (id, list); the final pivot is an
+    aggregation on the id, which keeps the id partitioning (no shuffle).
+    """
+    names = list(tokens)
+    per_model = F.explode(F.array(*[F.struct(F.lit(n).alias("m"), c.alias("t"))
+                                    for n, c in tokens.items()])).alias("_mt")
+    long_in = df.select(id_col, *carry, per_model).select(id_col, *carry, F.col("_mt.m").alias("_model"),
+                                                          F.col("_mt.t").alias("_mtoks"))
+    long = lexicon_scores(long_in, id_col, "_mtoks", lexicon, negators, degree, negation_factor, alpha,
+                          carry=[*carry, "_model"], prefix="", with_compound=with_compound,
+                          lexicon_rows=lexicon_rows)
+    outs = [*SCORE_CLASSES, "label"] + (["compound"] if with_compound else [])
+    aggs = [F.max(F.when(F.col("_model") == n, F.col(o))).alias(f"{n}{o}") for n in names for o in outs]
+    return long.groupBy(id_col, *carry).agg(*aggs)
+
+
 # ---------------------------------------------------------------------------
 # M2: batch model scoring in Arrow batches
 

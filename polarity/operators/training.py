@@ -13,6 +13,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer, StopWordsRemover
@@ -30,20 +31,28 @@ from polarity.schemas import SCORE_CLASSES, require_columns
 # Default grid (regularisation, elastic-net mix) and feature size.
 DEFAULT_GRID = ({"regParam": 0.01, "elasticNetParam": 0.0},
                 {"regParam": 0.1, "elasticNetParam": 0.0})
-NUM_FEATURES = 1 << 18
+NUM_FEATURES = 1 << 16
 
 
-def build_pipeline(text_col: str = "text", label_col: str = "label", max_iter: int = 50,
-                   num_features: int = NUM_FEATURES, max_tokens: int | None = None,
-                   stopwords: Sequence[str] | None = None) -> Pipeline:
+def feature_stages(num_features: int = NUM_FEATURES, stopwords: Sequence[str] | None = None) -> list:
+    """Tokens of the cleaned text -> stop words -> hashed counts -> IDF."""
     tok = RegexTokenizer(inputCol="_clean", outputCol="_tok", pattern=" ", gaps=True, minTokenLength=1)
     stop = StopWordsRemover(inputCol="_tok", outputCol="_words",
                             stopWords=list(resources.english_stopwords() if stopwords is None else stopwords))
     tf = HashingTF(inputCol="_words", outputCol="_tf", numFeatures=num_features)
     idf = IDF(inputCol="_tf", outputCol="_features")
-    lr = LogisticRegression(featuresCol="_features", labelCol=label_col, family="multinomial",
-                            maxIter=max_iter)
-    return Pipeline(stages=[tok, stop, tf, idf, lr])
+    return [tok, stop, tf, idf]
+
+
+def classifier(label_col: str = "label", max_iter: int = 50, **params) -> LogisticRegression:
+    return LogisticRegression(featuresCol="_features", labelCol=label_col, family="multinomial",
+                              maxIter=max_iter, **params)
+
+
+def build_pipeline(text_col: str = "text", label_col: str = "label", max_iter: int = 50,
+                   num_features: int = NUM_FEATURES, stopwords: Sequence[str] | None = None) -> Pipeline:
+    """The whole pipeline (expects the ``_clean`` column of ``with_clean_text``)."""
+    return Pipeline(stages=[*feature_stages(num_features, stopwords), classifier(label_col, max_iter)])
 
 
 def with_clean_text(df: DataFrame, text_col: str, max_tokens: int | None = None) -> DataFrame:
@@ -79,19 +88,27 @@ def train_classifier(df: DataFrame, text_col: str, label_col: str, id_col: str,
     split = stratified_split(data, label_col, id_col, test_frac, seed).checkpoint(eager=True)
     train = split.filter(F.col("split") == "train")
     val = split.filter(F.col("split") == "val")
+    # the features do not depend on the grid: fit them once, keep the
+    # vectors of both parts while the classifiers are fitted, then release
+    feats = Pipeline(stages=feature_stages(num_features)).fit(train)
+    train_f = feats.transform(train).select(id_col, label_col, "_features").persist(StorageLevel.MEMORY_AND_DISK)
+    val_f = feats.transform(val).select(id_col, label_col, "_features").persist(StorageLevel.MEMORY_AND_DISK)
     best = None
     results = []
-    for params in grid:
-        pipe = build_pipeline(text_col, label_col, max_iter, num_features)
-        lr = pipe.getStages()[-1]
-        model = pipe.fit(train, {getattr(lr, k): v for k, v in params.items()})
-        pred = model.transform(val).withColumn("_pred", F.col("prediction").cast("int"))
-        m = classification_metrics(pred, label_col, "_pred").first().asDict()
-        m.update(params)
-        results.append(m)
-        if best is None or m["f1"] > best[1]["f1"]:
-            best = (model, m, params)
-    return TrainResult(model=best[0], params=best[2], metrics=results, split=split)
+    try:
+        for params in grid:
+            lr_model = classifier(label_col, max_iter, **params).fit(train_f)
+            pred = lr_model.transform(val_f).withColumn("_pred", F.col("prediction").cast("int"))
+            m = classification_metrics(pred, label_col, "_pred").first().asDict()
+            m.update(params)
+            results.append(m)
+            if best is None or m["f1"] > best[1]["f1"]:
+                best = (lr_model, m, params)
+    finally:
+        train_f.unpersist()
+        val_f.unpersist()
+    model = PipelineModel(stages=[*feats.stages, best[0]])
+    return TrainResult(model=model, params=best[2], metrics=results, split=split)
 
 
 def predict(model: PipelineModel, df: DataFrame, text_col: str, labels: Sequence[str],

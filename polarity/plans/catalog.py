@@ -42,7 +42,7 @@ def query(name: str):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     from polarity.sources.tables import TEXT_TABLES, read_table
-    return read_table(spark, f"{sf_dir}/{name}.parquet", spread=name in TEXT_TABLES)
+    return read_table(spark, f"{sf_dir}/{name}.parquet", TEXT_TABLES.get(name))
 
 
 def r6(c) -> F.Column:
@@ -82,10 +82,14 @@ def doc_scores(spark: SparkSession, sf_dir: str, carry: tuple[str, ...] = (),
 
 
 def two_models(spark: SparkSession, sf_dir: str, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Wide table: model A (``a_*``) and model B (``b_*``) per document."""
-    a = doc_scores(spark, sf_dir, carry, "a_")
-    b = doc_scores(spark, sf_dir, carry, "b_", stop=False)
-    return a.join(b, ["doc_id", *carry], "inner")
+    """Wide table: model A (``a_*``, processed text) and model B (``b_*``,
+    cleaned text with stop words) per document, scored in one pass."""
+    from polarity.operators.scoring import lexicon_scores_multi
+    docs = table(spark, sf_dir, "documents").select("doc_id", *carry, tokenize(basic_clean("text")).alias("_all"))
+    toks = {"a_": stopword_filter("_all"), "b_": F.col("_all")}
+    return lexicon_scores_multi(docs, "doc_id", toks, lexicon_frame(spark, P.QUERY_LEXICON),
+                                P.QUERY_NEGATORS, P.QUERY_DEGREE, P.NEGATION_FACTOR, P.ALPHA,
+                                carry=carry, lexicon_rows=len(P.QUERY_LEXICON))
 
 
 def keyword_model():
@@ -478,7 +482,8 @@ def q_m6(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     lab = table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") * 2).alias("label"))
     data = docs.join(lab, "doc_id", "inner")
-    res = train_classifier(data, "text", "label", "doc_id", grid=P.TRAIN_GRID, max_iter=20)
+    res = train_classifier(data, "text", "label", "doc_id", grid=P.TRAIN_GRID, max_iter=20,
+                           num_features=P.TRAIN_FEATURES)
     val = res.split.filter(F.col("split") == "val").select("doc_id", "text", "label")
     out = predict(res.model, val, "text", P.TRAIN_LABELS)
     return rounded(out.drop("text"), [f"sentiment_{c}" for c in CLASSES])

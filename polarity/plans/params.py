@@ -52,3 +52,4 @@ QUERY_LEMMAS = (("des", "de"), ("les", "le"), ("der", "die"), ("den", "die"), ("
 # Token cut (T15) and the training grid (M6).
 MAX_TOKENS = 128
 TRAIN_GRID = ({"regParam": 0.01}, {"regParam": 0.1})
+TRAIN_FEATURES = 1 << 14
