@@ -14,7 +14,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from polarity.operators.joins import broadcast_checked
 from polarity.schemas import SCORE_CLASSES, require_columns
 
 
@@ -164,14 +163,26 @@ def box_stats(long_df: DataFrame, group_cols: Sequence[str], value_col: str = "s
     stats = stats.withColumns({"lo": F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")),
                                "hi": F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))})
     # one row per group: bounded by the number of (score type, label) pairs
-    fences = broadcast_checked(stats.select(*group_cols, "lo", "hi"))
-    joined = pairs.join(fences, list(group_cols), "inner")
+    fences = stats.select(*[F.col(c).alias(f"_f_{c}") for c in group_cols], "lo", "hi")
+    joined = pairs.join(fences, _null_safe_on(pairs, fences, group_cols, "_f_"), "inner")
     inside = (v >= F.col("lo")) & (v <= F.col("hi"))
     whisk = joined.groupBy(*group_cols).agg(
         F.min(F.when(inside, v)).alias("whisker_low"),
         F.max(F.when(inside, v)).alias("whisker_high"),
         F.sum(F.when(~inside, F.col("_cnt")).otherwise(0)).cast("bigint").alias("n_outliers"))
-    return stats.drop("lo", "hi").join(whisk, list(group_cols), "left")
+    whisk = whisk.select(*[F.col(c).alias(f"_w_{c}") for c in group_cols], "whisker_low", "whisker_high",
+                         "n_outliers")
+    out = stats.drop("lo", "hi").join(whisk, _null_safe_on(stats, whisk, group_cols, "_w_"), "left")
+    return out.drop(*[f"_w_{c}" for c in group_cols])
+
+
+def _null_safe_on(left: DataFrame, right: DataFrame, cols: Sequence[str], prefix: str):
+    """Join condition on group columns where null keys match each other."""
+    cond = None
+    for c in cols:
+        e = left[c].eqNullSafe(right[f"{prefix}{c}"])
+        cond = e if cond is None else cond & e
+    return cond
 
 
 def distinct_labels(df: DataFrame, label_col: str) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from polarity.functions.text import compose_text, date_or, url_domain
 from polarity.operators.reshape import ensure_columns
@@ -41,6 +42,9 @@ def normalise_articles(df: DataFrame, as_of: str | None = None) -> DataFrame:
     the url, ``date`` from ``publishedAt`` (the run date when the column is
     absent), missing expected columns as ''. ``source_type = 'news'``."""
     out = df
+    if "source" in out.columns and isinstance(out.schema["source"].dataType, T.StructType):
+        # the API's nested source becomes its name (posts carry a plain string)
+        out = out.withColumn("source", F.col("source.name"))
     if "title" in out.columns and "description" in out.columns:
         out = out.withColumn("text", compose_text("title", "description"))
     if "url" in out.columns:
