@@ -27,6 +27,7 @@ from polarity.operators.analytics import classification_metrics
 from polarity.operators.sampling import stratified_split
 from polarity.operators.scoring import Scorer, register_scorer
 from polarity.schemas import SCORE_CLASSES, require_columns
+from polarity.session import ensure_checkpoint_dir
 
 # Default grid (regularisation, elastic-net mix) and feature size.
 DEFAULT_GRID = ({"regParam": 0.01, "elasticNetParam": 0.0},
@@ -83,6 +84,7 @@ def train_classifier(df: DataFrame, text_col: str, label_col: str, id_col: str,
     grid point) reach the driver.
     """
     require_columns(df, [text_col, label_col, id_col])
+    ensure_checkpoint_dir(df.sparkSession)
     data = with_clean_text(df.select(id_col, text_col, F.col(label_col).cast("int").alias(label_col)),
                            text_col, max_tokens)
     split = stratified_split(data, label_col, id_col, test_frac, seed).checkpoint(eager=True)

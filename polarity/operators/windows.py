@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from polarity.schemas import require_columns
+from polarity.session import ensure_checkpoint_dir
 
 
 def order_key(df: DataFrame, col: str) -> Column:
@@ -70,6 +71,7 @@ def rolling_mean_balanced(df: DataFrame, value_cols: Sequence[str], n: int,
     require_columns(df, [*order_cols, *partition_cols])
     cols = [c for c in value_cols if c in df.columns]
     spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
     nblocks = blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
     part = list(partition_cols)
     keyed = (df.repartitionByRange(nblocks, *part, *order_cols)

@@ -48,10 +48,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not path:
         path = tempfile.mkdtemp(prefix="polarity-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
+    try:
+        if spark.sparkContext.getCheckpointDir() is None:
+            spark.sparkContext.setCheckpointDir(path)
+    except Exception:  # a connect session has no SparkContext: the conf is used
+        pass
     return path
 
 
+def task_slots(spark: SparkSession) -> int:
+    """Number of parallel task slots (default parallelism)."""
+    try:
+        return spark.sparkContext.defaultParallelism
+    except Exception:  # a connect session has no SparkContext
+        return int(spark.conf.get("spark.default.parallelism",
+                                  spark.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub folder of the checkpoint dir for written intermediate tables."""
     base = ensure_checkpoint_dir(spark)

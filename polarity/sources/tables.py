@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from polarity.session import task_slots
+
 # Tables whose rows carry long texts (per-row work is heavy), with their key.
 TEXT_TABLES = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id",
                "benchmark": "item_id"}
@@ -21,7 +23,7 @@ def read_table(spark: SparkSession, path: str, spread_key: str | None = None) ->
     """
     df = spark.read.parquet(path)
     if spread_key:
-        slots = spark.sparkContext.defaultParallelism
+        slots = task_slots(spark)
         if len(df.inputFiles()) < slots:
             df = df.repartition(slots, spread_key)
     return df
