@@ -487,3 +487,32 @@ def q_m6(spark, sf_dir):
     val = res.split.filter(F.col("split") == "val").select("doc_id", "text", "label")
     out = predict(res.model, val, "text", P.TRAIN_LABELS)
     return rounded(out.drop("text"), [f"sentiment_{c}" for c in CLASSES])
+
+
+# --------------------------------------------------------------------------
+# filters and preprocessing variants
+
+
+@query("p4_filter_label")
+def q_p4(spark, sf_dir):
+    sc = doc_scores(spark, sf_dir, carry=("source",))
+    return R.filter_equals(sc, "label", "positive").select("doc_id", "source", r6("positive").alias("positive"))
+
+
+@query("t11_preprocess_lemmatized")
+def q_t11(spark, sf_dir):
+    from polarity.operators.lemma import lemma_frame
+    from polarity.operators.preprocess import preprocess_dataframe
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = preprocess_dataframe(docs, "text", "processed_text", lemmatize_text=True,
+                               lemma_table=lemma_frame(spark, P.QUERY_LEMMAS), id_col="doc_id",
+                               custom_stopwords=P.CUSTOM_STOPWORDS, lemma_rows=len(P.QUERY_LEMMAS))
+    return out.select("doc_id", "processed_text")
+
+
+@query("t12_finance_stopwords")
+def q_t12(spark, sf_dir):
+    from polarity import resources
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", preprocess("text", extra_stopwords=resources.finance_stopwords())
+                       .alias("processed_text"))

@@ -534,3 +534,26 @@ def _s9():
          row_number() OVER (PARTITION BY regexp_extract(url, '^[A-Za-z]+://[^/]+/([a-z]{{2}})/', 1)
                             ORDER BY page_id) AS rk
   FROM pages WHERE coalesce(url, '') <> '') WHERE rk <= {P.TOP_PER_COMPANY}"""
+
+
+@sql("p4_filter_label")
+def _p4():
+    return model_a(("source",)) + \
+        "\nSELECT doc_id, source, round(positive, 6) AS positive FROM a_labelled WHERE label = 'positive'"
+
+
+@sql("t11_preprocess_lemmatized")
+def _t11():
+    toks = stop_filter_sql(tokens_sql(clean_sql("text")), P.CUSTOM_STOPWORDS)
+    whens = " ".join(f"WHEN {lit(k)} THEN {lit(v)}" for k, v in P.QUERY_LEMMAS)
+    return (f"SELECT doc_id, array_to_string(list_transform({toks}, lambda x: coalesce(CASE x {whens} END, x)), ' ') "
+            f"AS processed_text FROM documents")
+
+
+@sql("t12_finance_stopwords")
+def _t12():
+    from polarity import resources
+    words = list(resources.english_stopwords()) + [w for w in resources.finance_stopwords()
+                                                   if w not in resources.english_stopwords()]
+    toks = stop_filter_sql(tokens_sql(clean_sql("text")), words)
+    return f"SELECT doc_id, array_to_string({toks}, ' ') AS processed_text FROM documents"
