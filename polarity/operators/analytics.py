@@ -136,44 +136,35 @@ def box_stats(long_df: DataFrame, group_cols: Sequence[str], value_col: str = "s
               exact: bool = True, accuracy: int = 10000) -> DataFrame:
     """Quartiles (linear interpolation), whiskers at 1.5 IQR, outliers.
 
-    ``exact=True`` takes the quartiles over ``(value, count)`` pairs: the
-    first aggregation is keyed by the group *and* the value, so a hot group
-    is spread over many tasks; the quartile buffer then holds one entry per
-    distinct value. ``exact=False`` uses ``approx_percentile`` (bounded
-    sketch) for very many distinct values.
+    ``exact=True``: rows are first counted per (group, value), a partial
+    aggregation that spreads a hot group over many tasks. The quartiles are
+    then a window aggregate over each group's (value, count) pairs, and one
+    aggregation on the same partitioning gives the whiskers and outliers:
+    the input is read once, with no join. The quartile buffer holds one entry
+    per distinct value of a group. ``exact=False`` uses ``percentile_approx``
+    (a bounded sketch) and reads the input twice (quartiles, then whiskers).
     """
     require_columns(long_df, [*group_cols, value_col])
     v = F.col(value_col)
     src = long_df.filter(v.isNotNull())
     qs = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
     if exact:
-        # (group, value, count): the statistics and the whiskers both read
-        # this one aggregate, so the input is planned once (reused exchange)
         pairs = src.groupBy(*group_cols, value_col).agg(F.count(F.lit(1)).alias("_cnt"))
-        stats = pairs.groupBy(*group_cols).agg(
-            F.sum("_cnt").alias("n"),
-            F.percentile(v, qs, F.col("_cnt")).alias("_q"))
+        rows = pairs.withColumn("_q", F.percentile(v, qs, F.col("_cnt")).over(Window.partitionBy(*group_cols)))
+        cnt = F.col("_cnt")
     else:
-        pairs = src.select(*group_cols, v, F.lit(1).cast("bigint").alias("_cnt"))
-        stats = src.groupBy(*group_cols).agg(
-            F.count(F.lit(1)).alias("n"),
-            F.percentile_approx(v, qs, accuracy).alias("_q"))
-    stats = stats.select(*group_cols, "n", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
-                         F.col("_q")[2].alias("q3"))
-    stats = stats.withColumns({"lo": F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")),
-                               "hi": F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))})
-    # one row per group: bounded by the number of (score type, label) pairs
-    fences = stats.select(*[F.col(c).alias(f"_f_{c}") for c in group_cols], "lo", "hi")
-    joined = pairs.join(fences, _null_safe_on(pairs, fences, group_cols, "_f_"), "inner")
-    inside = (v >= F.col("lo")) & (v <= F.col("hi"))
-    whisk = joined.groupBy(*group_cols).agg(
+        q = src.groupBy(*group_cols).agg(F.percentile_approx(v, qs, accuracy).alias("_q"))
+        q = q.select(*[F.col(c).alias(f"_q_{c}") for c in group_cols], "_q")
+        rows = src.join(q, _null_safe_on(src, q, group_cols, "_q_"), "inner")
+        cnt = F.lit(1)
+    q1, med, q3 = F.col("_q")[0], F.col("_q")[1], F.col("_q")[2]
+    inside = (v >= q1 - 1.5 * (q3 - q1)) & (v <= q3 + 1.5 * (q3 - q1))
+    return rows.groupBy(*group_cols).agg(
+        F.sum(cnt).cast("bigint").alias("n"),
+        F.max(q1).alias("q1"), F.max(med).alias("median"), F.max(q3).alias("q3"),
         F.min(F.when(inside, v)).alias("whisker_low"),
         F.max(F.when(inside, v)).alias("whisker_high"),
-        F.sum(F.when(~inside, F.col("_cnt")).otherwise(0)).cast("bigint").alias("n_outliers"))
-    whisk = whisk.select(*[F.col(c).alias(f"_w_{c}") for c in group_cols], "whisker_low", "whisker_high",
-                         "n_outliers")
-    out = stats.drop("lo", "hi").join(whisk, _null_safe_on(stats, whisk, group_cols, "_w_"), "left")
-    return out.drop(*[f"_w_{c}" for c in group_cols])
+        F.sum(F.when(~inside, cnt).otherwise(0)).cast("bigint").alias("n_outliers"))
 
 
 def _null_safe_on(left: DataFrame, right: DataFrame, cols: Sequence[str], prefix: str):

@@ -58,14 +58,14 @@ def stratified_sample(df: DataFrame, label_col: str, id_col: str, num_examples:
     n_labels = (F.size(F.collect_set(lab).over(everything))
                 + F.max(F.when(lab.isNull(), 1).otherwise(0)).over(everything))
     n_named = F.size(F.collect_set(lab).over(everything))
-    cand = cand.withColumns({"_k": F.floor(F.lit(num_examples) / n_labels), "_named": n_named})
-    drawn = cand.filter(lab.isNotNull() & (F.col("_rk") <= F.col("_k")))
+    cand = cand.withColumns({"_k": F.floor(F.lit(num_examples) / n_labels), "_named": n_named,
+                             "_g": F.row_number().over(everything.orderBy("_h", id_col))})
+    drawn = lab.isNotNull() & (F.col("_rk") <= F.col("_k"))
+    # when no label can give a row, the first num_examples of all rows instead
     nothing = (F.col("_k") == 0) | (F.col("_named") == 0)
-    fallback = (cand.filter(nothing)
-                .withColumn("_g", F.row_number().over(Window.partitionBy().orderBy("_h", id_col)))
-                .filter(F.col("_g") <= num_examples).drop("_g"))
-    return (drawn.unionByName(fallback).orderBy(F.asc_nulls_last(label_col), "_h", id_col)
-            .drop("_h", "_rk", "_k", "_named"))
+    fallback = nothing & (F.col("_g") <= num_examples)
+    return (cand.filter(drawn | fallback).orderBy(F.asc_nulls_last(label_col), "_h", id_col)
+            .drop("_h", "_rk", "_k", "_named", "_g"))
 
 
 def stratified_split(df: DataFrame, label_col: str, id_col: str, test_frac: float = 0.2,
