@@ -7,6 +7,8 @@ plain-Python rules they stand for, in Java regex (Spark) and in RE2.
 
 from __future__ import annotations
 
+import string
+import unicodedata
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column
@@ -39,6 +41,14 @@ URL = rf"https?://{NON_SPACE}+|www\.{NON_SPACE}+"
 # match can only begin where a run of non-space characters begins (and then
 # spans the run), so attempts inside a run are cut by the look-behind.
 EMAIL = rf"(?<!{NON_SPACE}){NON_SPACE}+@{NON_SPACE}+"
+# Character tables for ``translate`` (one pass, no regex): the punctuation
+# above, and, built by rule from Python's Unicode data, every white-space
+# character (str.isspace) and every decimal digit (category Nd), the sets that
+# Python's ``\s`` and ``\d`` match.
+PUNCT_CHARS = string.punctuation
+SPACE_CHARS = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF and chr(c).isspace())
+DIGIT_CHARS = "".join(chr(c) for c in range(0x110000)
+                      if not 0xD800 <= c <= 0xDFFF and unicodedata.category(chr(c)) == "Nd")
 # scheme (optional) followed by '//' and the network location up to / ? #
 NETLOC = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)"
 # ---------------------------------------------------------------------------
@@ -50,7 +60,8 @@ def _col(c: str | Column) -> Column:
 
 def collapse_whitespace(c: str | Column) -> Column:
     """Runs of white space to one space, trimmed; null to ''."""
-    return F.trim(F.regexp_replace(F.coalesce(_col(c), F.lit("")), SPACE + "+", " "))
+    t = F.translate(F.coalesce(_col(c), F.lit("")), SPACE_CHARS, " " * len(SPACE_CHARS))
+    return F.trim(F.regexp_replace(t, " +", " "))
 
 
 def url_domain(c: str | Column) -> Column:
@@ -76,9 +87,12 @@ def basic_clean(c: str | Column) -> Column:
     # the URL and e-mail rules only run on texts that can hold a match
     t = F.when(t.contains("http") | t.contains("www."), F.regexp_replace(t, URL, "")).otherwise(t)
     t = F.when(t.contains("@"), F.regexp_replace(t, EMAIL, "")).otherwise(t)
-    t = F.regexp_replace(t, PUNCT, " ")
-    t = F.regexp_replace(t, DIGITS, "")
-    t = F.regexp_replace(t, SPACE + "+", " ")
+    # one pass: punctuation and white space to a space, digits deleted (the
+    # characters of ``matching`` beyond ``replace`` are removed); then runs
+    # of spaces collapse. Same result as punctuation -> space, digits -> '',
+    # white-space runs -> one space.
+    t = F.translate(t, PUNCT_CHARS + SPACE_CHARS + DIGIT_CHARS, " " * (len(PUNCT_CHARS) + len(SPACE_CHARS)))
+    t = F.regexp_replace(t, " +", " ")
     return F.trim(t)
 
 

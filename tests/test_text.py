@@ -136,3 +136,10 @@ def test_softmax_argmax_first_max(spark):
     assert rows[0].p == pytest.approx([v / sum(e) for v in e])
     assert rows[0].l == "b" and rows[1].l == "a"
     assert sum(rows[1].p) == pytest.approx(1.0)
+
+
+def test_translate_tables():
+    import unicodedata
+    assert len(X.SPACE_CHARS) == 29 and all(ch.isspace() for ch in X.SPACE_CHARS)
+    assert len(X.PUNCT_CHARS) == 32
+    assert all(unicodedata.category(ch) == "Nd" for ch in X.DIGIT_CHARS) and "٣" in X.DIGIT_CHARS
