@@ -8,6 +8,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from polarity.functions.text import basic_clean, tokenize
 from polarity.operators.joins import broadcast_checked
@@ -51,5 +52,10 @@ def lookback(df: DataFrame, ts_col: str, as_of: str, days: int, cap: int | None
     end = dt.date.fromisoformat(as_of) + dt.timedelta(days=1)
     start = dt.date.fromisoformat(as_of) - dt.timedelta(days=days)
     c = F.col(ts_col)
-    return df.filter((c >= F.lit(start.isoformat()).cast("timestamp_ntz")) &
-                     (c < F.lit(end.isoformat()).cast("timestamp_ntz")))
+    dtype = df.schema[ts_col].dataType
+    # bounds typed like the column, so that no cast lands on the column
+    kind = "timestamp" if isinstance(dtype, T.TimestampType) else \
+        "date" if isinstance(dtype, T.DateType) else "timestamp_ntz"
+    lo = F.lit(start.isoformat()).cast(kind)
+    hi = F.lit(end.isoformat()).cast(kind)
+    return df.filter((c >= lo) & (c < hi))
