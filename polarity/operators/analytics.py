@@ -88,11 +88,16 @@ def classification_metrics(df: DataFrame, label_col: str, pred_col: str) -> Data
     is never predicted has precision 0; a class without support has weight 0.
     """
     cm = confusion(df, label_col, pred_col)
-    support = cm.groupBy(F.col("label").alias("cls")).agg(F.sum("n").alias("support"))
-    predicted = cm.groupBy(F.col("pred").alias("cls")).agg(F.sum("n").alias("predicted"))
-    tp = cm.filter(F.col("label") == F.col("pred")).select(F.col("label").alias("cls"), F.col("n").alias("tp"))
-    per = (support.join(predicted, "cls", "full").join(tp, "cls", "left")
-           .na.fill(0, ["support", "predicted", "tp"]))
+    # each confusion cell counts once as support of its true class and once
+    # as a prediction of its predicted class: one aggregation per class
+    roles = F.explode(F.array(
+        F.struct(F.col("label").alias("cls"), F.col("n").alias("support"), F.lit(0).cast("bigint").alias("predicted"),
+                 F.when(F.col("label") == F.col("pred"), F.col("n")).otherwise(0).cast("bigint").alias("tp")),
+        F.struct(F.col("pred").alias("cls"), F.lit(0).cast("bigint").alias("support"), F.col("n").alias("predicted"),
+                 F.lit(0).cast("bigint").alias("tp"))))
+    per = (cm.select(roles.alias("r")).select("r.*")
+           .groupBy("cls").agg(F.sum("support").alias("support"), F.sum("predicted").alias("predicted"),
+                               F.sum("tp").alias("tp")))
     prec = F.coalesce(F.try_divide(F.col("tp"), F.col("predicted")), F.lit(0.0))
     rec = F.coalesce(F.try_divide(F.col("tp"), F.col("support")), F.lit(0.0))
     per = per.withColumns({"p": prec, "r": rec})
