@@ -138,7 +138,8 @@ def entity_matrix(means: DataFrame, entity_col: str, measures: Sequence[str] | N
 
 
 def box_stats(long_df: DataFrame, group_cols: Sequence[str], value_col: str = "score",
-              exact: bool = True, accuracy: int = 10000) -> DataFrame:
+              exact: bool = True, accuracy: int = 10000, balanced: bool = False,
+              blocks: int | None = None) -> DataFrame:
     """Quartiles (linear interpolation), whiskers at 1.5 IQR, outliers.
 
     ``exact=True``: rows are first counted per (group, value), a partial
@@ -148,11 +149,17 @@ def box_stats(long_df: DataFrame, group_cols: Sequence[str], value_col: str = "s
     the input is read once, with no join. The quartile buffer holds one entry
     per distinct value of a group. ``exact=False`` uses ``percentile_approx``
     (a bounded sketch) and reads the input twice (quartiles, then whiskers).
+
+    ``balanced=True`` is exact with bounded tasks however many distinct
+    values a group has (see ``_quartiles_balanced``).
     """
     require_columns(long_df, [*group_cols, value_col])
     v = F.col(value_col)
     src = long_df.filter(v.isNotNull())
     qs = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+    if exact and balanced:
+        pairs = src.groupBy(*group_cols, value_col).agg(F.count(F.lit(1)).alias("_cnt"))
+        return _box_balanced(pairs, list(group_cols), value_col, blocks)
     if exact:
         pairs = src.groupBy(*group_cols, value_col).agg(F.count(F.lit(1)).alias("_cnt"))
         rows = pairs.withColumn("_q", F.percentile(v, qs, F.col("_cnt")).over(Window.partitionBy(*group_cols)))
@@ -172,6 +179,76 @@ def box_stats(long_df: DataFrame, group_cols: Sequence[str], value_col: str = "s
         F.sum(F.when(~inside, cnt).otherwise(0)).cast("bigint").alias("n_outliers"))
 
 
+QUARTILES = (0.25, 0.5, 0.75)
+
+
+def _box_balanced(pairs: DataFrame, group_cols: list[str], value_col: str,
+                  blocks: int | None) -> DataFrame:
+    """Exact quartiles and whiskers with bounded tasks.
+
+    1. the (group, value, count) pairs are range-partitioned on (group,
+       value) into blocks (a hot group spans many blocks) and checkpointed,
+       so block ids are fixed and the pairs are read again without being
+       recomputed;
+    2. counts per (group, block) and their running sums give, for every
+       needed rank (floor and ceil of ``(n - 1) * q``), the block holding it;
+    3. only the rows of those blocks are ranked (one block per task), and
+       the quartile is ``(ceil - h) * v_floor + (h - floor) * v_ceil`` as in
+       Spark's ``percentile``;
+    4. whiskers and outliers: one aggregation of the pairs against the
+       per-group fences.
+    """
+    from polarity.session import ensure_checkpoint_dir
+    spark = pairs.sparkSession
+    ensure_checkpoint_dir(spark)
+    nblocks = blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    v = F.col(value_col)
+    gk = F.to_json(F.struct(*[F.col(c) for c in group_cols])) if group_cols else F.lit("{}")
+    ranged = (pairs.withColumn("_gk", gk).repartitionByRange(nblocks, "_gk", value_col)
+              .withColumn("_blk", F.spark_partition_id()).checkpoint(eager=True))
+    per_blk = ranged.groupBy("_gk", "_blk").agg(F.sum("_cnt").alias("_c"))
+    wg = Window.partitionBy("_gk")
+    per_blk = per_blk.withColumns({
+        "_before": F.coalesce(F.sum("_c").over(wg.orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)),
+                              F.lit(0)),
+        "_n": F.sum("_c").over(wg)})
+    # needed ranks (0-based) per group: floor and ceil of h = (n - 1) * q
+    wanted = F.explode(F.array(*[F.struct(F.lit(i).alias("qi"), F.lit(q).alias("q"), F.lit(w).alias("w"))
+                                 for i, q in enumerate(QUARTILES) for w in (0, 1)]))
+    targets = (per_blk.select("_gk", "_n").dropDuplicates(["_gk"]).select("_gk", "_n", wanted.alias("t"))
+               .select("_gk", "_n", "t.qi", "t.q", "t.w",
+                       ((F.col("_n") - 1) * F.col("t.q")).alias("_h")))
+    targets = targets.withColumn(
+        "_r", F.when(F.col("w") == 0, F.floor("_h")).otherwise(F.ceil("_h")).cast("bigint"))
+    loc = (per_blk.join(targets.drop("_n"), "_gk")
+           .filter((F.col("_r") >= F.col("_before")) & (F.col("_r") < F.col("_before") + F.col("_c")))
+           .select("_gk", "_blk", "qi", "w", "_h", (F.col("_r") - F.col("_before")).alias("_off")))
+    cand = ranged.join(loc.select("_gk", "_blk").distinct(), ["_gk", "_blk"], "inner")
+    run = F.sum("_cnt").over(Window.partitionBy("_gk", "_blk").orderBy(value_col)
+                             .rowsBetween(Window.unboundedPreceding, 0))
+    cand = cand.withColumn("_end", run)
+    hit = (cand.join(loc, ["_gk", "_blk"], "inner")
+           .filter((F.col("_off") >= F.col("_end") - F.col("_cnt")) & (F.col("_off") < F.col("_end"))))
+    per_q = hit.groupBy("_gk", "qi").agg(
+        F.max(F.when(F.col("w") == 0, v)).alias("_v0"), F.max(F.when(F.col("w") == 1, v)).alias("_v1"),
+        F.max("_h").alias("_h"))
+    lo_pos, hi_pos = F.floor("_h"), F.ceil("_h")
+    quant = F.when(lo_pos == hi_pos, F.col("_v0")).otherwise(
+        (hi_pos - F.col("_h")) * F.col("_v0") + (F.col("_h") - lo_pos) * F.col("_v1"))
+    stats = per_q.groupBy("_gk").agg(*[F.max(F.when(F.col("qi") == i, quant)).alias(name)
+                                       for i, name in enumerate(("q1", "median", "q3"))])
+    fences = stats.select("_gk", "q1", "q3")
+    inside = (v >= F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))) & \
+             (v <= F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
+    whisk = ranged.join(fences, "_gk", "inner").groupBy("_gk", *group_cols).agg(
+        F.sum("_cnt").cast("bigint").alias("n"),
+        F.min(F.when(inside, v)).alias("whisker_low"),
+        F.max(F.when(inside, v)).alias("whisker_high"),
+        F.sum(F.when(~inside, F.col("_cnt")).otherwise(0)).cast("bigint").alias("n_outliers"))
+    return whisk.join(stats, "_gk", "inner").select(
+        *group_cols, "n", "q1", "median", "q3", "whisker_low", "whisker_high", "n_outliers")
+
+
 def _null_safe_on(left: DataFrame, right: DataFrame, cols: Sequence[str], prefix: str):
     """Join condition on group columns where null keys match each other."""
     cond = None

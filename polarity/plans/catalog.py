@@ -324,6 +324,16 @@ def q_a11(spark, sf_dir):
         .withColumnRenamed("sentiment_label", "label")
 
 
+@query("a11_box_stats_balanced")
+def q_a11_balanced(spark, sf_dir):
+    sc = doc_scores(spark, sf_dir, prefix="sentiment_")
+    long = U.melt_scores(sc, ["doc_id", "sentiment_label"], [f"sentiment_{c}" for c in CLASSES],
+                         with_model=False)
+    out = A.box_stats(long, ["score_type", "sentiment_label"], "score", balanced=True)
+    return rounded(out, ["q1", "median", "q3", "whisker_low", "whisker_high"]) \
+        .withColumnRenamed("sentiment_label", "label")
+
+
 @query("a12_distinct_labels")
 def q_a12(spark, sf_dir):
     return A.distinct_labels(doc_scores(spark, sf_dir), "label")

@@ -352,6 +352,11 @@ SELECT s.score_type, s.label, s.n, round(s.q1, 6) AS q1, round(s.median, 6) AS m
 FROM st s LEFT JOIN w ON s.score_type = w.score_type AND s.label = w.label"""
 
 
+@sql("a11_box_stats_balanced")
+def _a11b():
+    return _a11()
+
+
 @sql("a12_distinct_labels")
 def _a12():
     return model_a() + "\nSELECT DISTINCT label FROM a_labelled"

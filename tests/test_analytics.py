@@ -166,3 +166,19 @@ def test_filters(scored):
     df, pdf = scored
     assert R.filter_equals(df, "source_type", "news").count() == (pdf.source_type == "news").sum()
     assert R.clear_cases(df, "sentiment_label").count() == pdf.sentiment_label.isin(["positive", "negative"]).sum()
+
+
+def test_box_stats_balanced_equals_window(spark):
+    import numpy as np
+    rng = np.random.default_rng(5)
+    # one hot group with many distinct values, small groups, ties, a null group
+    rows = [("hot", float(x)) for x in rng.normal(0, 1, 3000)]
+    rows += [("tie", 1.0)] * 50 + [("tie", 2.0)] * 3 + [("one", 7.0)]
+    rows += [(None, float(x)) for x in rng.integers(0, 5, 40)]
+    df = spark.createDataFrame(rows, "g string, score double")
+    a = {r.g: r for r in A.box_stats(df, ["g"]).collect()}
+    b = {r.g: r for r in A.box_stats(df, ["g"], balanced=True, blocks=7).collect()}
+    assert set(a) == set(b)
+    for g in a:
+        for f in ("n", "q1", "median", "q3", "whisker_low", "whisker_high", "n_outliers"):
+            assert getattr(b[g], f) == pytest.approx(getattr(a[g], f)), (g, f)
