@@ -74,7 +74,7 @@ class TrainResult:
 
 def train_classifier(df: DataFrame, text_col: str, label_col: str, id_col: str,
                      grid: Sequence[dict] = DEFAULT_GRID, test_frac: float = 0.2, seed: int = 42,
-                     max_tokens: int | None = 128, max_iter: int = 50,
+                     max_tokens: int | None = None, max_iter: int = 50,
                      num_features: int = NUM_FEATURES) -> TrainResult:
     """M6: fit one pipeline per grid point on the train split, keep the one
     with the best weighted F1 on the validation split.
@@ -114,7 +114,7 @@ def train_classifier(df: DataFrame, text_col: str, label_col: str, id_col: str,
 
 
 def predict(model: PipelineModel, df: DataFrame, text_col: str, labels: Sequence[str],
-            prefix: str = "sentiment_", max_tokens: int | None = 128) -> DataFrame:
+            prefix: str = "sentiment_", max_tokens: int | None = None) -> DataFrame:
     """Class probabilities as score columns + label; ``labels`` is the class
     order of the training labels (id -> name). Rows in = rows out."""
     data = with_clean_text(df, text_col, max_tokens)
@@ -144,7 +144,7 @@ class TrainedScorer(Scorer):
     name = "trained"
 
     def __init__(self, path: str | None = None, model: PipelineModel | None = None,
-                 labels: Sequence[str] = ("negative", "neutral", "positive"), max_tokens: int | None = 128):
+                 labels: Sequence[str] = ("negative", "neutral", "positive"), max_tokens: int | None = None):
         if model is None and path is None:
             raise ValueError("give a model or the path of a saved model")
         self.model = model or load_model(path)
