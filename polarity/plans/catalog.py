@@ -450,6 +450,21 @@ def q_j1(spark, sf_dir):
     return out.select("event_id", "user_id", F.col("c_name").alias("username"), "c_mktsegment")
 
 
+@query("s3_csv_round_trip")
+def q_s3(spark, sf_dir):
+    """S4 then S3: the whole documents table (multi-line texts, quotes)
+    written as header CSV under the shared checkpoint folder and read back
+    with its schema; the texts must come back unchanged."""
+    import uuid
+    from polarity.session import scratch_path
+    from polarity.sources.files import read_text_csv, write_csv
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    path = scratch_path(spark, f"csv-round-trip-{uuid.uuid4().hex}")
+    write_csv(docs, path)
+    back = read_text_csv(spark, path, "doc_id bigint, text string, source string")
+    return back.select("doc_id", F.md5("text").alias("text_md5"), "source")
+
+
 @query("s5_page_articles")
 def q_s5(spark, sf_dir):
     from polarity.sources.pages import parse_pages

@@ -497,6 +497,11 @@ def _drop_element(expr: str, tag: str) -> str:
     return f"regexp_replace({expr}, '(?s)<{tag}\\b[^>]*>.*?</{tag}>', '', 'g')"
 
 
+@sql("s3_csv_round_trip")
+def _s3():
+    return "SELECT doc_id, md5(text) AS text_md5, source FROM documents"
+
+
 @sql("s5_page_articles")
 def _s5():
     body = "regexp_replace(html, '(?s)<!--.*?-->', '', 'g')"
