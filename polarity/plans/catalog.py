@@ -46,7 +46,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def r6(c) -> F.Column:
-    return F.round(F.col(c) if isinstance(c, str) else c, 6)
+    """Round to 6 places; ``+ 0.0`` turns a negative zero into zero, so that
+    both engines print and hash zero the same way."""
+    return F.round(F.col(c) if isinstance(c, str) else c, 6) + F.lit(0.0)
 
 
 def rounded(df: DataFrame, cols) -> DataFrame:
@@ -432,7 +434,10 @@ def q_u1(spark, sf_dir):
     posts = table(spark, sf_dir, "conversations").select(
         F.col("conv_id").alias("item_id"), "turn", F.col("text").alias("content"), "role")
     both = U.union_sources({"news": news, "posts": posts})
-    return both.select("source_type", "item_id", "turn", "source", "role", F.md5("text").alias("text_md5"))
+    # ``turn`` is null for news rows; as text it reads the same in every
+    # client (a nullable integer turns into floats in some conversions)
+    return both.select("source_type", "item_id", F.col("turn").cast("string").alias("turn"), "source", "role",
+                       F.md5("text").alias("text_md5"))
 
 
 @query("u3_melt_scores")

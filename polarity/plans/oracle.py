@@ -20,11 +20,42 @@ CLASSES = ("positive", "negative", "neutral")
 
 def sql(name: str):
     def deco(fn):
-        ORACLE[name] = fn()
+        ORACLE[name] = canonical_zero(fn())
         return fn
     return deco
 
 
+def canonical_zero(text: str) -> str:
+    """Wrap every ``round(x, 6)`` as ``(round(x, 6) + 0.0)``: a negative zero
+    becomes zero, as on the Spark side. Parentheses inside quoted strings are
+    skipped."""
+    out, i, n = [], 0, len(text)
+    while i < n:
+        if text.startswith("round(", i) and (i == 0 or not (text[i - 1].isalnum() or text[i - 1] == "_")):
+            depth, j, quote = 0, i + len("round"), False
+            while j < n:
+                ch = text[j]
+                if ch == "'":
+                    quote = not quote
+                elif not quote and ch == "(":
+                    depth += 1
+                elif not quote and ch == ")":
+                    depth -= 1
+                    if depth == 0:
+                        break
+                j += 1
+            inner = canonical_zero(text[i + len("round("):j])
+            if inner.rstrip().endswith(", 6"):
+                out.append(f"(round({inner}) + CAST(0 AS DOUBLE))")
+            else:
+                out.append(f"round({inner})")
+            i = j + 1
+        else:
+            out.append(text[i])
+            i += 1
+    return "".join(out)
+
+
 def r6(expr: str, name: str) -> str:
     return f"round({expr}, 6) AS {name}"
 
@@ -469,10 +500,10 @@ FROM events ORDER BY ts_parsed, event_id"""
 
 @sql("u1_union_sources")
 def _u1():
-    return """SELECT 'news' AS source_type, doc_id AS item_id, CAST(NULL AS BIGINT) AS turn, source,
+    return """SELECT 'news' AS source_type, doc_id AS item_id, CAST(NULL AS VARCHAR) AS turn, source,
        CAST(NULL AS VARCHAR) AS role, md5(text) AS text_md5 FROM documents
 UNION ALL
-SELECT 'posts', conv_id, turn, CAST(NULL AS VARCHAR), role, md5(text) FROM conversations"""
+SELECT 'posts', conv_id, CAST(turn AS VARCHAR), CAST(NULL AS VARCHAR), role, md5(text) FROM conversations"""
 
 
 @sql("u3_melt_scores")
