@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from polarity.plans import params as P
 from polarity.plans.sqlparts import (
-    case_map_sql, clean_sql, collapse_sql, domain_sql, lexicon_score_sql, lit,
+    clean_sql, collapse_sql, domain_sql, lexicon_score_sql, lit,
     stop_filter_sql, str_list, tokens_sql, values_sql,
 )
 
