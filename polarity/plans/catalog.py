@@ -146,7 +146,18 @@ def q_m4_compare_models(spark, sf_dir):
 
 @query("m8_side_by_side")
 def q_m8_side_by_side(spark, sf_dir):
-    wide = two_models(spark, sf_dir).join(keyword_scores(spark, sf_dir, "k_"), "doc_id", "inner")
+    """Three models side by side in one pass over ``documents``: the keyword
+    model adds its columns on each row (Arrow batches), they are carried
+    through the lexicon job that scores models A and B together; no join."""
+    from polarity.operators.scoring import lexicon_scores_multi
+    docs = table(spark, sf_dir, "documents").select("doc_id", tokenize(basic_clean("text")).alias("_all"))
+    docs = docs.withColumn("_processed", F.array_join(stopword_filter("_all"), " "))
+    docs = model_scores(docs, "_processed", keyword_model, P.LOGIT_LABELS, "k_")
+    kcols = [f"k_{c}" for c in (*CLASSES, "label")]
+    toks = {"a_": stopword_filter("_all"), "b_": F.col("_all")}
+    wide = lexicon_scores_multi(docs, "doc_id", toks, lexicon_frame(spark, P.QUERY_LEXICON),
+                                P.QUERY_NEGATORS, P.QUERY_DEGREE, P.NEGATION_FACTOR, P.ALPHA,
+                                carry=kcols, lexicon_rows=len(P.QUERY_LEXICON))
     cols = [f"{m}_{c}" for m in ("a", "b", "k") for c in CLASSES]
     return rounded(wide, cols)
 

@@ -89,10 +89,16 @@ def dashboard(df: DataFrame, text_col: str, id_col: str, models: dict[str, str |
     names = list(models)
     reference = reference or names[0]
     wide = df
-    for name in names:
-        scorer = models[name] if isinstance(models[name], Scorer) else create_scorer(models[name])
-        sc = scorer.scores(df.select(id_col, text_col), text_col, id_col, f"{name}_")
-        wide = wide.join(sc.drop(text_col) if text_col in sc.columns else sc, id_col, "left")
+    scorers = {n: (m if isinstance(m, Scorer) else create_scorer(m)) for n, m in models.items()}
+    # row-wise scorers (Arrow models) add their columns on the rows; scorers
+    # that aggregate per text (lexicon) are joined back by the id
+    for name, scorer in scorers.items():
+        if not scorer.needs_id:
+            wide = scorer.score(wide, text_col, id_col, f"{name}_")
+    for name, scorer in scorers.items():
+        if scorer.needs_id:
+            sc = scorer.scores(df.select(id_col, text_col), text_col, id_col, f"{name}_")
+            wide = wide.join(sc, id_col, "left")
     spark = df.sparkSession
     if out_dir:
         path = os.path.join(out_dir, "side_by_side")

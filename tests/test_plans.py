@@ -44,3 +44,9 @@ def test_column_pruning_at_scan(spark):
     df = C.QUERIES["s8_lookback"](spark, SF01)
     plan = executed(df)
     assert "ReadSchema: struct<event_id:bigint,ts:timestamp_ntz,user_id:bigint,event_type:string>" in plan
+
+
+def test_side_by_side_one_scan_no_join(spark):
+    plan = executed(C.QUERIES["m8_side_by_side"](spark, SF01))
+    assert plan.count("FileScan parquet") == 1
+    assert "SortMergeJoin" not in plan and "ArrowEvalPython" in plan
