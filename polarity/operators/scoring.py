@@ -357,16 +357,33 @@ def score(df: DataFrame, text_col: str, model: str | Scorer | None = None,
 def compare_models(df: DataFrame, text_col: str, id_col: str,
                    models: dict[str, str | Scorer]) -> DataFrame:
     """M4: long form ``(id, model, positive, negative, neutral, label)``;
-    rows out = rows in x models."""
-    parts = []
-    for name, model in models.items():
-        sc = _as_scorer(model).scores(df, text_col, id_col, "")
-        parts.append(sc.select(id_col, F.lit(name).alias("model"),
-                               *[F.col(c) for c in SCORE_CLASSES], F.col("label")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    rows out = rows in x models.
+
+    The input is read once: row-wise scorers (Arrow models) add their
+    columns to the rows, the first scorer that aggregates per text (lexicon)
+    carries those columns through its job, further ones are joined by the
+    id; one explode then gives the long form.
+    """
+    require_columns(df, [text_col, id_col])
+    scorers = {n: _as_scorer(m) for n, m in models.items()}
+    wide = df.select(id_col, text_col)
+    carried: list[str] = []
+    for name, sc in scorers.items():
+        if not sc.needs_id:
+            wide = sc.score(wide, text_col, id_col, f"_{name}_")
+            carried += [f"_{name}_{c}" for c in (*SCORE_CLASSES, "label")]
+    per_text = [n for n, sc in scorers.items() if sc.needs_id]
+    if per_text:
+        first = scorers[per_text[0]]
+        out = first.scores(wide, text_col, id_col, f"_{per_text[0]}_", carry=carried)
+        for name in per_text[1:]:
+            out = out.join(scorers[name].scores(wide, text_col, id_col, f"_{name}_"), id_col, "left")
+    else:
+        out = wide.drop(text_col)
+    rows = F.explode(F.array(*[
+        F.struct(F.lit(n).alias("model"), *[F.col(f"_{n}_{c}").alias(c) for c in (*SCORE_CLASSES, "label")])
+        for n in scorers]))
+    return out.select(id_col, rows.alias("_r")).select(id_col, "_r.*")
 
 
 def score_if_needed(df: DataFrame, text_col: str = "text",

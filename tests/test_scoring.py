@@ -185,3 +185,16 @@ def test_score_if_needed(spark, docs):
     assert same is out
     with pytest.raises(ValueError):
         S.score_if_needed(docs, "text", ["nope"], "sentiment_label")
+
+
+def test_compare_models_mixed_equals_single(spark, docs):
+    other = S.LexiconScorer([("bad", -1.0), ("good", 0.5)], [], [])
+    kw = S.create_scorer("keyword", keywords=(("good",), ("bad",), ()))
+    models = {"lex": scorer(), "lex2": other, "kw": kw}
+    out = S.compare_models(docs, "text", "id", models)
+    assert out.count() == len(TEXTS) * 3
+    cols = ["id", "positive", "negative", "neutral", "label"]
+    for name, m in models.items():
+        alone = m.scores(docs, "text", "id", "").select(*cols)
+        got = out.filter(F.col("model") == name).select(*cols)
+        assert got.exceptAll(alone).count() == 0 and alone.exceptAll(got).count() == 0, name
