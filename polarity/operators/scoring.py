@@ -386,6 +386,23 @@ def compare_models(df: DataFrame, text_col: str, id_col: str,
     return out.select(id_col, rows.alias("_r")).select(id_col, "_r.*")
 
 
+def analyze_text(spark: SparkSession, text: str, model: str | Scorer | None = None) -> dict:
+    """One text as a one-row table: ``{positive, negative, neutral, label}``."""
+    one = spark.createDataFrame([(0, text)], "id long, text string")
+    row = _as_scorer(model).scores(one, "text", "id", "").first()
+    return {c: row[c] for c in (*SCORE_CLASSES, "label")}
+
+
+def compare_models_on_text(spark: SparkSession, text: str,
+                           models: dict[str, str | Scorer] | None = None) -> dict[str, dict]:
+    """M4 for one text: model name -> score record (default: every
+    registered scorer that needs no arguments)."""
+    models = models or {"lexicon": "lexicon", "keyword": "keyword"}
+    one = spark.createDataFrame([(0, text)], "id long, text string")
+    return {r["model"]: {c: r[c] for c in (*SCORE_CLASSES, "label")}
+            for r in compare_models(one, "text", "id", models).collect()}
+
+
 def score_if_needed(df: DataFrame, text_col: str = "text",
                     sentiment_columns: Sequence[str] | None = None,
                     label_column: str | None = None, model: str | Scorer | None = None,

@@ -198,3 +198,11 @@ def test_compare_models_mixed_equals_single(spark, docs):
         alone = m.scores(docs, "text", "id", "").select(*cols)
         got = out.filter(F.col("model") == name).select(*cols)
         assert got.exceptAll(alone).count() == 0 and alone.exceptAll(got).count() == 0, name
+
+
+def test_single_text_helpers(spark):
+    rec = S.analyze_text(spark, "A great and very good day.", S.LexiconScorer(LEX, NEG, DEG))
+    assert rec["label"] == "positive" and round(rec["positive"] + rec["negative"] + rec["neutral"], 1) == 1.0
+    both = S.compare_models_on_text(spark, "bad bad news", {"lex": S.LexiconScorer(LEX, NEG, DEG),
+                                                            "kw": S.create_scorer("keyword")})
+    assert set(both) == {"lex", "kw"} and both["lex"]["label"] == "negative"
