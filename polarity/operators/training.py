@@ -85,11 +85,12 @@ def train_classifier(df: DataFrame, text_col: str, label_col: str, id_col: str,
     """
     require_columns(df, [text_col, label_col, id_col])
     ensure_checkpoint_dir(df.sparkSession)
-    data = with_clean_text(df.select(id_col, text_col, F.col(label_col).cast("int").alias(label_col)),
-                           text_col, max_tokens)
+    data = df.select(id_col, text_col, F.col(label_col).cast("int").alias(label_col))
+    # the split reads its input more than once (counts, then marks): it gets
+    # the raw rows, and the cleaning runs once, after the checkpoint
     split = stratified_split(data, label_col, id_col, test_frac, seed).checkpoint(eager=True)
-    train = split.filter(F.col("split") == "train")
-    val = split.filter(F.col("split") == "val")
+    train = with_clean_text(split.filter(F.col("split") == "train"), text_col, max_tokens)
+    val = with_clean_text(split.filter(F.col("split") == "val"), text_col, max_tokens)
     # the features do not depend on the grid: fit them once, keep the
     # vectors of both parts while the classifiers are fitted, then release
     feats = Pipeline(stages=feature_stages(num_features)).fit(train)
