@@ -69,7 +69,8 @@ def stratified_sample(df: DataFrame, label_col: str, id_col: str, num_examples:
 
 
 def stratified_split(df: DataFrame, label_col: str, id_col: str, test_frac: float = 0.2,
-                     seed: int = 42, bucket_digits: int = 5, split_col: str = "split") -> DataFrame:
+                     seed: int = 42, bucket_digits: int = 5, split_col: str = "split",
+                     materialize: bool = False) -> DataFrame:
     """L4: exact stratified split. Per label the first ``round(test_frac * n)``
     rows in hash order are ``val``, the rest ``train``.
 
@@ -81,6 +82,13 @@ def stratified_split(df: DataFrame, label_col: str, id_col: str, test_frac: floa
     require_columns(df, [label_col, id_col])
     keyed = df.withColumn("_h", seeded_hash(id_col, seed)) \
         .withColumn("_b", F.substring("_h", 1, bucket_digits))
+    if materialize:
+        # the rows are read three times (counts, boundary bucket, marks):
+        # with ``materialize`` they are written once to the shared
+        # checkpoint folder instead of being recomputed
+        from polarity.session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(df.sparkSession)
+        keyed = keyed.checkpoint(eager=True)
     counts = keyed.groupBy(label_col, "_b").agg(F.count(F.lit(1)).alias("_c"))
     wl = Window.partitionBy(label_col)
     run = wl.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)

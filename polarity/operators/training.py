@@ -79,8 +79,8 @@ def train_classifier(df: DataFrame, text_col: str, label_col: str, id_col: str,
     """M6: fit one pipeline per grid point on the train split, keep the one
     with the best weighted F1 on the validation split.
 
-    The split table is checkpointed (shared checkpoint folder) so that all
-    fits read the same materialised rows. Only the metric rows (one per
+    The split's input is checkpointed once (shared checkpoint folder), so
+    the split and all fits read the same materialised rows. Only the metric rows (one per
     grid point) reach the driver.
     """
     require_columns(df, [text_col, label_col, id_col])
@@ -88,7 +88,7 @@ def train_classifier(df: DataFrame, text_col: str, label_col: str, id_col: str,
     data = df.select(id_col, text_col, F.col(label_col).cast("int").alias(label_col))
     # the split reads its input more than once (counts, then marks): it gets
     # the raw rows, and the cleaning runs once, after the checkpoint
-    split = stratified_split(data, label_col, id_col, test_frac, seed).checkpoint(eager=True)
+    split = stratified_split(data, label_col, id_col, test_frac, seed, materialize=True)
     train = with_clean_text(split.filter(F.col("split") == "train"), text_col, max_tokens)
     val = with_clean_text(split.filter(F.col("split") == "val"), text_col, max_tokens)
     # the features do not depend on the grid: fit them once, keep the
