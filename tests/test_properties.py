@@ -54,3 +54,25 @@ def test_split_exact(spark, labels, frac):
                      key=lambda i: (hashlib.md5(f"7:{i}".encode()).hexdigest(), i))
         m = int(len(ids) * frac + 0.5)
         assert [i for i in ids if got[i] == "val"] == ids[:m]
+
+
+@SETTINGS
+@given(st.lists(st.tuples(st.integers(0, 3), st.one_of(st.none(), st.floats(-100, 100))), min_size=1, max_size=150),
+       st.integers(1, 5), st.integers(1, 6))
+def test_rolling_balanced_equals_pandas(spark, rows, n, blocks):
+    import math
+
+    import pandas as pd
+
+    from polarity.operators.windows import rolling_mean_balanced
+    data = [(i, e, i * 7 % 11, v) for i, (e, v) in enumerate(rows)]
+    df = spark.createDataFrame(data, "id long, e int, t int, v double")
+    got = {r.id: r.v_rolling for r in
+           rolling_mean_balanced(df, ["v"], n, ["t", "id"], ["e"], blocks=blocks).collect()}
+    pdf = pd.DataFrame(data, columns=["id", "e", "t", "v"]).astype({"v": "float64"})
+    for _, g in pdf.sort_values(["t", "id"]).groupby("e"):
+        for i, want in zip(g.id, g.v.rolling(n).mean()):
+            if math.isnan(want):
+                assert got[i] is None
+            else:
+                assert got[i] == pytest.approx(want)
