@@ -75,7 +75,7 @@ def write_company_outputs(results: dict[str, DataFrame], out_dir: str, run_ts: s
 
 def dashboard(df: DataFrame, text_col: str, id_col: str, models: dict[str, str | Scorer],
               reference: str | None = None, num_examples: int = 10, seed: int = 42,
-              out_dir: str | None = None) -> dict[str, DataFrame]:
+              out_dir: str | None = None, balanced_stats: bool = False) -> dict[str, DataFrame]:
     """M8: every model's four columns next to the input (``{name}_*``) and
     the report tables over them: label distribution of the reference model
     (A4), box statistics of all scores by the reference label (A11),
@@ -84,6 +84,8 @@ def dashboard(df: DataFrame, text_col: str, id_col: str, models: dict[str, str |
 
     With ``out_dir`` the wide table is written once (parquet) and the
     reports read it back; all tables are written there too.
+    ``balanced_stats`` computes the exact box statistics with bounded tasks
+    (for label groups with very many distinct scores).
     """
     require_columns(df, [text_col, id_col])
     names = list(models)
@@ -110,7 +112,7 @@ def dashboard(df: DataFrame, text_col: str, id_col: str, models: dict[str, str |
     out = {
         "side_by_side": wide,
         "distribution": A.label_distribution(wide, ref_label),
-        "box": A.box_stats(long, ["model", "score_type", ref_label], "score"),
+        "box": A.box_stats(long, ["model", "score_type", ref_label], "score", balanced=balanced_stats),
         "examples": L.stratified_sample(wide, ref_label, id_col, num_examples, seed),
     }
     for other in names:

@@ -45,6 +45,9 @@ def test_dashboard(spark, tmp_dir):
     assert out["box"].count() > 0 and out["examples"].count() > 0
     assert 0 <= out["agreement_kw"].first().agreement_pct <= 100
     assert os.path.isdir(os.path.join(tmp_dir, "dash", "box"))
+    balanced = PL.dashboard(df, "text", "id", models, balanced_stats=True)["box"]
+    cols = ["model", "score_type", "lex_label", "n", "q1", "median", "q3", "n_outliers"]
+    assert balanced.select(cols).exceptAll(out["box"].select(cols)).count() == 0
 
 
 def test_stream_scoring_matches_batch(spark, tmp_dir):
