@@ -161,3 +161,17 @@ def test_first_match_lookup(spark):
     right = spark.createDataFrame([(10, "b", 2), (10, "a", 1), (11, "c", 1)], "uid int, name string, pos int")
     out = {r.eid: r.name for r in first_match_lookup(left, right, "uid", "uid", order_col="pos").collect()}
     assert out == {1: "a", 2: "c", 3: None}
+
+
+def test_read_table_spreads_only_small_inputs(spark, tmp_dir):
+    from polarity.session import task_slots
+    from polarity.sources.tables import read_table
+    df = spark.range(0, 1000).withColumnRenamed("id", "doc_id")
+    many = os.path.join(tmp_dir, "many")
+    df.repartition(task_slots(spark) + 2).write.parquet(many)
+    one = os.path.join(tmp_dir, "one")
+    df.coalesce(1).write.parquet(one)
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" not in plan(read_table(spark, many, "doc_id"))
+    spread = read_table(spark, one, "doc_id")
+    assert "REPARTITION_BY_NUM" in plan(spread) and spread.count() == 1000
