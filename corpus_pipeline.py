@@ -1,15 +1,104 @@
-"""Corpus pipeline: documents in, packed training bins out."""
+"""Corpus pipeline: documents in, packed training bins out.
+
+``STAGES`` are (name, function) pairs. Each function takes (spark, docs,
+sf_dir), works on all rows its predecessor kept and returns a DataFrame; all
+but the last return the columns of ``docs``. ``run`` writes the result of each
+stage as Parquet in the shared folder and reads it as the next one's input.
+
+Nulls, empty texts, repeated rows, empty tables and further columns of any name
+are handled as the operators state; a stage never looks at columns beside
+doc_id, text, source and (to update it) n_chars.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from polarity.llm import toxicity
+from polarity.llm.decontaminate import contamination
+from polarity.llm.ngram_join import linked_groups
+from polarity.llm.packing import pack, word_count
+from polarity.llm.repeats import remove_repeats
+from polarity.llm.scratch import materialise, remove, shared_dir, table
+
+
+def _plain(docs: DataFrame) -> DataFrame:
+    """Columns under names that no operator uses; the position tells them apart."""
+    return docs.toDF(*(f"d{i}" for i in range(len(docs.columns))))
+
+
+def _at(docs: DataFrame, column: str) -> str:
+    return f"d{docs.columns.index(column)}"
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below 0.5."""
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), usable=~toxicity.held_out("id"))
+    scored = toxicity.score(_plain(docs), model, text_col=_at(docs, "text"))
+    return scored.filter("score < 0.5").drop("score", "offending").toDF(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the smallest id; of rows of one id the one with the smallest text."""
+    rows, key, text = _plain(docs), _at(docs, "doc_id"), _at(docs, "text")
+    groups = materialise(linked_groups(docs))
+    copies = groups.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("copy")).distinct()
+    kept = rows.join(copies, rows[key] == F.col("copy"), "left_anti")
+    repeated = groups.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("again")).count().filter("count > 1").select("again")
+    if repeated.limit(1).count():
+        first = F.row_number().over(Window.partitionBy(key).orderBy(text))
+        one = kept.join(repeated, kept[key] == F.col("again"), "left_semi").withColumn("place", first).filter("place = 1").drop("place")
+        kept = kept.join(repeated, kept[key] == F.col("again"), "left_anti").union(one)
+    return kept.toDF(*docs.columns)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages that occur again; other texts stay as they are,
+    and documents of which nothing is left go."""
+    text = _at(docs, "text")
+    done = remove_repeats(_plain(docs), _at(docs, "doc_id"), text, carry=list(_plain(docs).columns))
+    done = done.filter("n_removed = 0 OR n_removed < n_words").withColumn(text, F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col(text)))
+    if "n_chars" in docs.columns:
+        n = _at(docs, "n_chars")
+        done = done.withColumn(n, F.when(F.col("n_removed") > 0, F.length(text)).otherwise(F.col(n)).cast(docs.schema["n_chars"].dataType))
+    return done.drop("n_words", "n_removed", "kept").toDF(*docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that share no window with a benchmark item."""
+    found = contamination(docs, table(spark, sf_dir, "benchmark"))
+    hit = found.filter(F.size("spans") > 0).select(F.col("doc_id").alias("hit_id"), F.col("key").alias("hit_key")).distinct()
+    rows = _plain(docs)
+    same = rows[_at(docs, "doc_id")].eqNullSafe(F.col("hit_id")) & (F.hash(rows[_at(docs, "text")]) == F.col("hit_key"))
+    return rows.join(hit, same, "left_anti").toDF(*docs.columns)
+
+
+def pack_bins(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents with their place in the training bins, counted in words."""
+    return pack(docs.select("doc_id", "source", word_count("text").alias("n_tokens"), F.xxhash64("text").alias("cluster")))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("ngram_jaccard_join", drop_near_copies),
+    ("substring_dedup", cut_repeats),
+    ("benchmark_decontamination", drop_contaminated),
+    ("best_fit_packing", pack_bins),
+]
 
-STAGES: list = []
+#: A classifier trained here decides the first stage, which SQL can't express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4()}"
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            remove(spark, f"{folder}/{k - 1}")
     return docs

@@ -6,16 +6,25 @@ expresses the query on whole tables; the others are tested against brute force.
 
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from polarity.llm import token_files, toxicity, warc
 from polarity.llm.decontaminate import contamination, covered
+from polarity.llm.html_text import main_text
+from polarity.llm.licences import scan_licences
+from polarity.llm.multiset import edited_fingerprints
 from polarity.llm.ngram_join import linked_groups
+from polarity.llm.oracle import ORACLE  # noqa: F401
+from polarity.llm.packing import pack, word_count
 from polarity.llm.repeats import remove_repeats
-from polarity.llm.scratch import table
+from polarity.llm.scratch import materialise, remove, shared_dir, table
 
 QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+END_ID = 2
 
 
 def query(fn):
@@ -23,6 +32,17 @@ def query(fn):
     return fn
 
 
+@query
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = main_text(table(spark, sf_dir, "pages"), carry=["page_id", "url"])
+    return done.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licences(table(spark, sf_dir, "documents"))
+
+
 @query
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked_groups(table(spark, sf_dir, "documents"))
@@ -34,6 +54,49 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/warc-{uuid.uuid4()}"
+    warc.write_warc(table(spark, sf_dir, "pages"), path)
+    captures = warc.assemble(warc.read_warc(spark, path, payloads=False))
+    fields = F.col("metadata.fields")
+    done = materialise(captures.select(
+        fields["key"].cast("long").alias("page_id"), fields["payload-bytes"].cast("long").alias("payload_bytes"),
+        F.col("response.digest").alias("payload_digest"), F.col("response.record_type").alias("record_type"),
+        F.try_element_at(fields, F.lit("refers-to-key")).cast("long").alias("refers_to")))
+    remove(spark, path)
+    return done
+
+
+@query
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/tokens-{uuid.uuid4()}"
+    token_files.write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), END_ID)
+    done = materialise(token_files.read_tokens(spark, path, with_ids=False))
+    remove(spark, path)
+    return token_files.with_starts(done).select("doc_id", "start", "n_tokens", F.col("crc").alias("ids_crc32"))
+
+
+@query
+def op7_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), usable=~toxicity.held_out("id"))
+    done = toxicity.score(docs, model, carry=["doc_id"])
+    return done.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
+                       F.size("offending").alias("n_offending"))
+
+
+@query
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pack(docs.select("doc_id", "source", word_count("text").alias("n_tokens"), F.xxhash64("text").alias("cluster")))
+
+
 @query
 def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

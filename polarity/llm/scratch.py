@@ -35,3 +35,10 @@ def text_bytes(df: DataFrame, column: str) -> int:
     """Exact size of a text column, which fixes how many buckets a job uses."""
     from pyspark.sql import functions as F
     return int(df.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()[0])
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this library wrote, in whichever store it is."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
