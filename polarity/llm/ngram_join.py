@@ -14,10 +14,13 @@ of all rows costs its bucket one entry a chunk. Only counts of shared shingles
 come back, and since an intersection holds shared shingles only, rows are
 verified without their texts.
 
-Equal sets are one representative. Where a prefix shingle is held by many
-representatives, each is first verified against the smallest one (a star, as
-many pairs as postings); pairs that are linked by then need no check of their
-own, and only pairs from different groups are matched and verified.
+Equal sets are one representative. The holders of a prefix shingle are first
+verified against the smallest of them (a star, as many pairs as postings);
+pairs that are linked by then need no check of their own, and only pairs from
+different groups are matched and verified. A shingle that ``HOT`` or more
+representatives hold gets an exact way of its own: its near holders are compared
+by their difference to what most of them hold (see ``_delta_join``), so that a
+large group of near copies never forms its pairs.
 
 Rows without words have no shingles and no links; rows of 1 to 4 words have
 their whole sequence as the one shingle. Rows of one id are one node. A null
@@ -33,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from polarity.llm.components import connected_components
@@ -47,6 +50,7 @@ CHUNK_ROWS = 60_000          # row places of a chunk fit 16 bits
 BUCKET_SHINGLES = 1_500_000  # that a bucket counts on average
 LONGEST = 8                  # largest l a row may choose
 VERIFY = 8                   # cost of verifying a pair, in postings
+HOT = 16                     # holders from which a shingle's holders are compared by difference
 _MANY = 0xFFFF
 
 
@@ -253,16 +257,70 @@ def shingle_sets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return back.groupBy("chunk").applyInArrow(_prefixes(percent), _SETS)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of representatives whose similarity reaches the bound, exactly."""
+def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of representatives with both sizes and the size of their intersection."""
     a = sets.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("shared").alias("shared_a"))
     b = sets.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("shared").alias("shared_b"))
-    both = F.size(F.array_intersect("shared_a", "shared_b"))
-    return pairs.join(b, "b").join(a, "a").filter(100 * both >= percent * (F.col("n_a") + F.col("n_b") - both)).select("a", "b")
-
-
-def _sized(percent: int) -> F.Column:
-    return 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    return pairs.join(b, "b").join(a, "a").withColumn("both", F.size(F.array_intersect("shared_a", "shared_b"))).drop("shared_a", "shared_b")
+
+
+def _similar(percent: int) -> Column:
+    return 100 * F.col("both") >= percent * (F.col("n_a") + F.col("n_b") - F.col("both"))
+
+
+def _possible(percent: int) -> Column:
+    """Bound by sizes: no more can be common than the smaller number of shingles that any other row holds."""
+    return (100 + percent) * F.least("s_a", "s_b") >= percent * (F.col("n_a") + F.col("n_b"))
+
+
+def _side(rows: DataFrame, side: str, *more: str) -> DataFrame:
+    """Columns of one side of a self-join."""
+    return rows.select("token", *(F.col(c).alias(f"{new}{side}") for c, new in (("rep", ""), ("n", "n_"), ("s", "s_"), ("l", "l_"), ("g", "g_"))),
+                       *(F.col(c).alias(f"{c}_{side}") for c in more))
+
+
+def _delta_join(members: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(sure links, candidate pairs) among the ``members`` (p, rep, g) of each
+    group p, for groups whose sets are mostly alike.
+
+    Let C be the shingles that most members hold and D = set xor C. Then
+    ``|a xor b| = |D_a| + |D_b| - 2 |D_a & D_b|``, so with t percent and
+    ``r = (100 + t) |D| - (100 - t) n`` two members are linked exactly if
+    ``|D_a & D_b| >= (r_a + r_b) / (2 (100 + t))``. A member whose r is no more
+    than the negated smallest r is linked to that innermost member. The others
+    (outer) are joined, with each other and with the inner ones, on prefixes of
+    their D's, rarest first: what nearly all members hold is in no D, so the
+    pairs of a large group of near copies are never formed.
+    """
+    t = 100 + percent
+    have = members.join(sets.select("rep", "n", "shared"), "rep")
+    size = members.groupBy("p").agg(F.count("*").alias("k"))
+    common = (have.select("p", F.explode("shared").alias("token")).groupBy("p", "token").agg(F.count("*").alias("c"))
+              .join(size, "p").filter(2 * F.col("c") > F.col("k")).groupBy("p").agg(F.collect_list("token").alias("core")))
+    core = F.coalesce("core", F.array().cast("array<long>"))
+    delta = F.concat(F.array_except("shared", core), F.array_except(core, F.col("shared")))
+    alone = F.col("n") - F.size("shared")
+    rows = (have.join(common, "p", "left").select("p", "rep", "g", "n", alone.alias("alone"), delta.alias("delta"))
+            .withColumn("d", F.size("delta") + F.col("alone")).withColumn("r", t * F.col("d") - (100 - percent) * F.col("n")))
+    rows = materialise(rows)
+    inner = rows.groupBy("p").agg(F.min(F.struct("r", "rep", "g")).alias("m"))
+    rows = rows.join(inner, "p").withColumn("out", F.col("r") + F.col("m.r") > 0)
+    sure = rows.filter(~F.col("out") & (F.col("g") != F.col("m.g"))).select(F.col("rep").alias("a"), F.col("m.rep").alias("b"))
+    least = rows.filter("out").groupBy("p").agg(F.min("r").alias("r_out"))
+    rows = rows.join(least, "p")  # groups without outer members are settled
+    need = lambda r: F.greatest(F.lit(1), F.ceil((F.col("r") + r) / (2 * t)))
+    prefix = lambda r: F.col("d") - need(r) + 1 - F.col("alone")  # noqa: E731  its own shingles come first
+    rows = rows.withColumn("with_out", prefix(F.col("r_out"))).withColumn("with_in", F.when(F.col("out"), prefix(F.col("m.r"))).otherwise(0))
+    parts = rows.filter("with_out > 0 OR with_in > 0").select("p", "rep", "g", "out", "with_out", "with_in", F.explode("delta").alias("token"))
+    seen = rows.select("p", F.explode("delta").alias("token")).groupBy("p", "token").agg(F.count("*").alias("c"))
+    place = F.row_number().over(Window.partitionBy("p", "rep").orderBy("c", "token"))
+    parts = parts.join(seen, ["p", "token"]).withColumn("place", place).filter(F.col("place") <= F.greatest("with_out", "with_in"))
+    parts = materialise(parts.select("p", "token", "rep", "g", "out", (F.col("place") <= F.col("with_out")).alias("for_out"), (F.col("place") <= F.col("with_in")).alias("for_in")))
+    a = parts.filter("out").select("p", "token", F.col("rep").alias("a"), F.col("g").alias("g_a"), F.col("for_out").alias("x"), F.col("for_in").alias("y"))
+    b = parts.select("p", "token", F.col("rep").alias("b"), F.col("g").alias("g_b"), F.col("out").alias("out_b"), F.col("for_out").alias("z"))
+    both_out = F.col("out_b") & F.col("x") & F.col("z") & (F.col("a") > F.col("b"))
+    met = a.join(b, ["p", "token"]).filter((F.col("g_a") != F.col("g_b")) & (both_out | (~F.col("out_b") & F.col("y") & F.col("z"))))
+    return sure, met.select("a", "b").distinct()
 
 
 def linked_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE, percent: int = 80) -> DataFrame:
@@ -272,26 +330,42 @@ def linked_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     key = ["n", "digest_a", "digest_b"]
     sets = materialise(every.filter("shared IS NOT NULL").groupBy(*key).agg(
         F.min("id").alias("rep"), F.min_by(F.struct("shared", "n_prefix", "l"), "id").alias("s")).select("rep", "n", *key[1:], "s.*"))
-    prefix = sets.select(F.col("rep"), "n", "l", F.explode(F.slice("shared", F.lit(1), F.col("n_prefix"))).alias("token"))
+    prefix = sets.select("rep", "n", F.size("shared").alias("s"), "l", F.explode(F.slice("shared", F.lit(1), F.col("n_prefix"))).alias("token"))
     # stars: everyone against the smallest holder of each shingle
-    low = prefix.groupBy("token").agg(F.min(F.struct("rep", "n")).alias("low"), F.count("*").alias("held")).filter("held > 1")
-    star = (prefix.join(low, "token").select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("low.rep").alias("b"), F.col("low.n").alias("n_b"))
-            .filter((F.col("a") != F.col("b")) & _sized(percent)).select("a", "b").distinct())
-    near = materialise(_verified(star, sets, percent))
-    group = materialise(connected_components(near))
-    # the rest: pairs of different groups that share enough of their prefixes
-    held = (prefix.join(group, prefix.rep == group.node, "left").select("token", "rep", "n", "l", F.coalesce("component", "rep").alias("g")))
+    low = prefix.groupBy("token").agg(F.min(F.struct("rep", "n", "s")).alias("low"), F.count("*").alias("held")).filter("held > 1")
+    star = (prefix.join(low, "token").select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("s").alias("s_a"), F.col("low.rep").alias("b"),
+                                             F.col("low.n").alias("n_b"), F.col("low.s").alias("s_b"), (F.col("held") >= HOT).alias("hot"))
+            .filter(F.col("a") != F.col("b")).filter(F.col("hot") | _possible(percent)).groupBy("a", "b").agg(F.max("hot").alias("hot")))
+    near = materialise(_measured(star, sets))
+    links = near.filter(_similar(percent)).select("a", "b")
+    group = materialise(connected_components(links))
+    # the rest: pairs of different groups that meet in a shingle
+    held = (prefix.join(low.select("token", F.col("low.rep").alias("p"), (F.col("held") >= HOT).alias("hot")), "token")
+            .join(group, prefix.rep == group.node, "left").select("token", "p", "hot", "rep", "n", "s", "l", F.coalesce("component", "rep").alias("g")))
     mixed = held.groupBy("token").agg(F.min("g").alias("x"), F.max("g").alias("y")).filter("x != y").select("token")
-    held = held.join(mixed, "token", "left_semi")
-    a = held.select("token", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("l").alias("l_a"), F.col("g").alias("g_a"))
-    b = held.select("token", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("l").alias("l_b"), F.col("g").alias("g_b"))
-    rest = (a.join(b, "token").filter((F.col("a") > F.col("b")) & (F.col("g_a") != F.col("g_b")) & _sized(percent))
-            .groupBy("a", "b").agg(F.count("*").alias("m"), F.first(F.least("l_a", "l_b")).alias("l")).filter("m >= l").select("a", "b"))
+    held = materialise(held.join(mixed, "token", "left_semi"))
+    differ = F.col("g_a") != F.col("g_b")
+    # few holders: pairs must share as many shingles as the smaller l of both
+    cold = held.filter("NOT hot")
+    few = (_side(cold, "a").join(_side(cold, "b"), "token").filter((F.col("a") > F.col("b")) & differ & _possible(percent))
+           .groupBy("a", "b").agg(F.count("*").alias("m"), F.first(F.least("l_a", "l_b")).alias("l")).filter("m >= l").select("a", "b"))
+    # many holders: by the smallest holder, near ones (half in common) in their difference to the group's
+    # common set, far ones against all
+    close = near.filter("hot AND 3 * both >= n_a + n_b").select(F.col("a").alias("rep"), F.col("b").alias("p"), F.lit(True).alias("near"))
+    hot = held.filter("hot").join(close, ["rep", "p"], "left").withColumn("near", F.coalesce("near", F.col("rep") == F.col("p")))
+    hot = materialise(hot)
+    far = (_side(hot.filter("NOT near"), "a").join(_side(hot, "b", "near"), "token")
+           .filter(differ & _possible(percent) & (F.col("near_b") | (F.col("a") > F.col("b")))).select("a", "b"))
+    members = hot.filter("near").select("p", "rep", "g").distinct()
+    split = members.groupBy("p").agg(F.min("g").alias("x"), F.max("g").alias("y")).filter("x != y").select("p")
+    sure, met = _delta_join(members.join(split, "p", "left_semi"), sets, percent)
+    rest = few.union(far.union(met).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))).distinct()
+    found = _measured(rest, sets).filter(_similar(percent)).select("a", "b").union(sure)
     member = every.filter("shared IS NOT NULL").join(sets.select("rep", *key), key).select("id", "rep").distinct()
     # an id whose rows have several sets links them
     several = member.groupBy("id").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).filter("x != y").select("id", F.col("x").alias("b"))
     several = member.join(several, "id").filter("rep != b").select(F.col("rep").alias("a"), "b")
-    links = near.union(_verified(rest, sets, percent)).union(several)
+    links = links.union(found).union(several)
     whole = connected_components(links)
     named = (member.join(whole, F.col("rep") == F.col("node"), "left")
              .groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("component_id")))
