@@ -17,6 +17,8 @@ alike among themselves (1) and unlike all others (0).
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,24 +35,34 @@ NO_ID = -(1 << 63)
 
 
 def paragraphs(text: Column) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), CUT), F.trim), lambda p: p != "")
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), CUT), lambda p: F.trim(p)), lambda p: p != "")
+
+
+def _hashes(parts: Column, seed: int) -> Column:
+    return F.transform(parts, lambda p: F.xxhash64(p, F.lit(seed)))
+
+
+def _half_sum(hashes: Column, by: int) -> Column:
+    """Sum of one 32-bit half of each hash, modulo 2**32."""
+    low = (1 << EXACT_BITS) - 1
+    return F.aggregate(hashes, F.lit(0).cast("long"), lambda a, x: (a + F.shiftrightunsigned(x, by).bitwiseAND(low)).bitwiseAND(low))
+
+
+def _sign_sum(hashes: Column, bit: Column) -> Column:
+    """Sum of +1 or -1 by one bit of each hash."""
+    return F.aggregate(hashes, F.lit(0).cast("long"), lambda a, x: a + 1 - F.call_function("shiftright", x, bit).bitwiseAND(1) * 2)
 
 
 def lanes(parts: Column) -> Column:
     """Summed vectors of an array of paragraphs: EXACT sums, then SIGNS signed sums."""
-    low = (1 << EXACT_BITS) - 1
-    out = []
-    for seed in range(EXACT // 2):
-        h = F.transform(parts, lambda p, seed=seed: F.xxhash64(p, F.lit(seed)))
-        out.append(F.array(*(F.aggregate(h, F.lit(0).cast("long"), lambda a, x, by=by: (a + F.shiftrightunsigned(x, by).bitwiseAND(low)).bitwiseAND(low))
-                             for by in (0, 32))))
+    exact = [_half_sum(_hashes(parts, seed), by) for seed in range(EXACT // 2) for by in (0, 32)]
     half = 1 << SIGN_BITS - 1
-    for seed in range(EXACT, EXACT + SIGNS // 64):
-        h = F.transform(parts, lambda p, seed=seed: F.xxhash64(p, F.lit(seed)))
-        signed = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda j, h=h: F.aggregate(
-            h, F.lit(0).cast("long"), lambda a, x: a + 1 - F.call_function("shiftright", x, j).bitwiseAND(1) * 2))
-        out.append(F.transform(signed, lambda v: F.pmod(v + half, F.lit(2 * half)) - half))
-    return F.concat(*out)
+
+    def signs(seed: int) -> Column:
+        hashes = _hashes(parts, seed)
+        return F.transform(F.sequence(F.lit(0), F.lit(63)), lambda j: F.pmod(_sign_sum(hashes, j) + half, F.lit(2 * half)) - half)
+
+    return F.concat(F.array(*exact), *(signs(EXACT + k) for k in range(SIGNS // 64)))
 
 
 def combine(a: Column, b: Column, sign: int = 1) -> Column:
@@ -95,17 +107,14 @@ def with_next(df: DataFrame, size: int) -> DataFrame:
     low = sorted({edges["low"], *(edges["q"] if parts > 1 else [])})
     width = [max(1, -(-(b - a) // finer)) for a, b in zip(low, [*low[1:], edges["high"] + 1])]
     fence = F.size(F.filter(F.array(*(F.lit(x).cast("long") for x in low)), lambda f: f <= F.col("id")))
-    step = F.element_at(F.array(*(F.lit(x).cast("decimal(20,0)") for x in width)), F.col("fence"))
-    base = F.element_at(F.array(*(F.lit(x).cast("decimal(20,0)") for x in low)), F.col("fence"))
-    inside = F.floor((F.col("id").cast("decimal(20,0)") - base) / step).cast("long")
+    exact = lambda values: F.element_at(F.array(*(F.lit(Decimal(x)).cast("decimal(20,0)") for x in values)), F.col("fence"))
+    inside = F.floor((F.col("id").cast("decimal(20,0)") - exact(low)) / exact(width)).cast("long")
     dealt = df.withColumn("fence", fence).withColumn("bucket", F.col("fence") * (finer + 1) + F.least(inside, F.lit(finer))).drop("fence")
 
     first = dealt.groupBy("bucket").agg(F.min(F.struct("id", "text")).alias("head"))
     order = Window.orderBy("bucket")
-    after = dealt.groupBy("bucket").agg(F.lit(1).alias("_")).select(
-        "bucket", F.coalesce(F.lead("bucket").over(order), F.first("bucket").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).alias("follows"),
-        F.min("bucket").over(Window.partitionBy()).alias("lowest"), F.lead("bucket").over(order).isNull().alias("end"))
-    after = after.select("bucket", F.when(F.col("end"), F.col("lowest")).otherwise(F.col("follows")).alias("follows"))
+    after = dealt.select("bucket").distinct().select(
+        "bucket", F.coalesce(F.lead("bucket").over(order), F.min("bucket").over(Window.partitionBy())).alias("follows"))
     heads = after.join(first.withColumnRenamed("bucket", "follows"), "follows").select("bucket", F.col("head.text").alias("head_text"))
     w = Window.partitionBy("bucket").orderBy("id", "text")
     led = dealt.withColumn("v", lanes(paragraphs(F.col("text")))).withColumns(
