@@ -36,7 +36,7 @@ HASH_BITS = 20
 FEATURES = 4096      # kept by association with the label
 STEPS = 300
 RATE = 0.1
-DECAY = 1e-3         # L2 weight
+DECAY = 0.1          # L2 weight, against the summed loss
 PREFIXES = (3, 4, 5, 6)
 SUFFIXES = (3, 4)
 _ENDS = np.zeros(256, dtype=np.int64)
@@ -137,7 +137,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # at most `sample` rows of 16 bytes
     texts = materialise(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("label", "text"))
     size = dict(texts.groupBy("label").count().collect())
-    empty = Model(np.zeros(1 << HASH_BITS, dtype=np.float32), -30.0)
+    empty = Model(np.zeros(1 << HASH_BITS, dtype=np.float32), -np.inf)
     if len(size) < 2:
         return empty
     a, b = F.col("toxic") / size[1], F.col("clean") / size[0]
