@@ -21,9 +21,9 @@ from polarity.operators.reshape import (  # noqa: F401
 )
 from polarity.operators.sampling import first_k_per_group, stratified_sample, stratified_split  # noqa: F401
 from polarity.operators.scoring import (  # noqa: F401
-    KeywordModel, LexiconScorer, ModelScorer, Scorer, analyze_text, available_scorers, compare_models,
+    KeywordModel, add_lexicon_scores, LexiconScorer, ModelScorer, Scorer, analyze_text, available_scorers, compare_models,
     compare_models_on_text, create_scorer,
-    lexicon_frame, lexicon_scores, lexicon_scores_multi, model_scores, register_scorer, score,
+    lexicon_frame, lexicon_scores, model_scores, register_scorer, score,
     score_if_needed,
 )
 from polarity.operators.training import (  # noqa: F401

@@ -75,11 +75,20 @@ def compose_text(title: str | Column, description: str | Column) -> Column:
 
 
 def date_or(ts: str | Column, as_of: str | None = None) -> Column:
-    """T4: calendar date of a timestamp string (ISO 8601), else ``as_of``."""
-    d = F.to_date(F.try_to_timestamp(_col(ts)))
+    """T4: calendar date, in UTC, of a timestamp string (ISO 8601), else ``as_of``."""
+    d = F.date_from_unix_date(F.floor(F.unix_seconds(utc_timestamp(ts)) / 86400).cast("int"))
     return d if as_of is None else F.coalesce(d, F.lit(as_of).cast("date"))
 
 
+def utc_timestamp(ts: str | Column) -> Column:
+    """Instant of a timestamp string; one without a zone is taken as UTC,
+    whatever the session's time zone is. Null if it can't be read."""
+    c = F.trim(_col(ts))
+    zoned = c.rlike(r"(?i)([zZ]|[+-]\d{1,2}(:?\d{2})?|\s(utc|gmt)([+-]\d{1,2}(:\d{2})?)?|[a-z]+/[a-z_]+)$") & c.contains(":")
+    dated = F.when(c.rlike(r"^\d{4}-\d{1,2}(-\d{1,2})?$"), F.concat(c, F.lit(" 00:00:00"))).otherwise(c)
+    return F.try_to_timestamp(F.when(F.coalesce(zoned, F.lit(False)), c).otherwise(F.concat(dated, F.lit(" UTC"))))
+
+
 def basic_clean(c: str | Column) -> Column:
     """Lower case, drop URLs, drop e-mail addresses, punctuation to space,
     drop digits, collapse white space, trim. Null gives ''."""

@@ -38,14 +38,14 @@ def label_distribution(df: DataFrame, label_col: str, include_null: bool = False
     """A4: ``(label, n, pct)`` sorted by ``n`` descending.
 
     ``include_null=False`` drops unlabelled rows (they are not counted in the
-    denominator either); ``True`` keeps them as a null label. The percentage
-    window runs over the aggregated result, one row per label.
+    denominator either); ``True`` keeps them as a null label. The total is one
+    row, joined to the counts.
     """
     require_columns(df, [label_col])
     src = df if include_null else df.filter(F.col(label_col).isNotNull())
     counts = src.groupBy(F.col(label_col).alias("label")).agg(F.count(F.lit(1)).alias("n"))
-    total = F.sum("n").over(Window.partitionBy())
-    return (counts.withColumn("pct", F.lit(100.0) * F.col("n") / total)
+    total = counts.agg(F.sum("n").alias("_total"))  # one row
+    return (counts.join(F.broadcast(total)).withColumn("pct", F.lit(100.0) * F.col("n") / F.col("_total")).drop("_total")
             .orderBy(F.desc("n"), F.asc_nulls_last("label")))
 
 
@@ -138,45 +138,47 @@ def entity_matrix(means: DataFrame, entity_col: str, measures: Sequence[str] | N
 
 
 def box_stats(long_df: DataFrame, group_cols: Sequence[str], value_col: str = "score",
-              exact: bool = True, accuracy: int = 10000, balanced: bool = False,
-              blocks: int | None = None) -> DataFrame:
+              exact: bool = True, accuracy: int = 10000, blocks: int | None = None) -> DataFrame:
     """Quartiles (linear interpolation), whiskers at 1.5 IQR, outliers.
 
     ``exact=True``: rows are first counted per (group, value), a partial
-    aggregation that spreads a hot group over many tasks. The quartiles are
-    then a window aggregate over each group's (value, count) pairs, and one
-    aggregation on the same partitioning gives the whiskers and outliers:
-    the input is read once, with no join. The quartile buffer holds one entry
-    per distinct value of a group. ``exact=False`` uses ``percentile_approx``
-    (a bounded sketch) and reads the input twice (quartiles, then whiskers).
-
-    ``balanced=True`` is exact with bounded tasks however many distinct
-    values a group has (see ``_quartiles_balanced``).
+    aggregation, and the pairs are dealt over blocks of (group, value), so the
+    tasks stay bounded however many distinct values a group has (see
+    ``_box_balanced``). ``exact=False`` uses ``percentile_approx`` (a bounded
+    sketch) and reads the input twice. Fences, a row per group, are joined by
+    broadcast when their size allows.
     """
     require_columns(long_df, [*group_cols, value_col])
     v = F.col(value_col)
     src = long_df.filter(v.isNotNull())
-    qs = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    if exact and balanced:
-        pairs = src.groupBy(*group_cols, value_col).agg(F.count(F.lit(1)).alias("_cnt"))
-        return _box_balanced(pairs, list(group_cols), value_col, blocks)
     if exact:
         pairs = src.groupBy(*group_cols, value_col).agg(F.count(F.lit(1)).alias("_cnt"))
-        rows = pairs.withColumn("_q", F.percentile(v, qs, F.col("_cnt")).over(Window.partitionBy(*group_cols)))
-        cnt = F.col("_cnt")
-    else:
-        q = src.groupBy(*group_cols).agg(F.percentile_approx(v, qs, accuracy).alias("_q"))
-        q = q.select(*[F.col(c).alias(f"_q_{c}") for c in group_cols], "_q")
-        rows = src.join(q, _null_safe_on(src, q, group_cols, "_q_"), "inner")
-        cnt = F.lit(1)
+        return _box_balanced(pairs, list(group_cols), value_col, blocks)
+    qs = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+    q = src.groupBy(*group_cols).agg(F.percentile_approx(v, qs, accuracy).alias("_q"))
+    q = _few(q.select(*[F.col(c).alias(f"_q_{c}") for c in group_cols], "_q"))
+    rows = src.join(q, _null_safe_on(src, q, group_cols, "_q_"), "inner")
     q1, med, q3 = F.col("_q")[0], F.col("_q")[1], F.col("_q")[2]
     inside = (v >= q1 - 1.5 * (q3 - q1)) & (v <= q3 + 1.5 * (q3 - q1))
     return rows.groupBy(*group_cols).agg(
-        F.sum(cnt).cast("bigint").alias("n"),
+        F.count(F.lit(1)).alias("n"),
         F.max(q1).alias("q1"), F.max(med).alias("median"), F.max(q3).alias("q3"),
         F.min(F.when(inside, v)).alias("whisker_low"),
         F.max(F.when(inside, v)).alias("whisker_high"),
-        F.sum(F.when(~inside, cnt).otherwise(0)).cast("bigint").alias("n_outliers"))
+        F.sum(F.when(~inside, 1).otherwise(0)).cast("bigint").alias("n_outliers"))
+
+
+# Groups whose fences (a few numbers each) are broadcast; more are joined.
+FEW_GROUPS = 100_000
+
+
+def _few(groups: DataFrame) -> DataFrame:
+    """A checkpointed table of one row per group, marked for broadcast when it
+    has at most ``FEW_GROUPS`` rows."""
+    from polarity.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(groups.sparkSession)
+    groups = groups.checkpoint(eager=True)
+    return F.broadcast(groups) if groups.limit(FEW_GROUPS + 1).count() <= FEW_GROUPS else groups
 
 
 QUARTILES = (0.25, 0.5, 0.75)
@@ -237,14 +239,18 @@ def _box_balanced(pairs: DataFrame, group_cols: list[str], value_col: str,
         (hi_pos - F.col("_h")) * F.col("_v0") + (F.col("_h") - lo_pos) * F.col("_v1"))
     stats = per_q.groupBy("_gk").agg(*[F.max(F.when(F.col("qi") == i, quant)).alias(name)
                                        for i, name in enumerate(("q1", "median", "q3"))])
+    stats = _few(stats)
     fences = stats.select("_gk", "q1", "q3")
+    fences = F.broadcast(fences) if fences.limit(FEW_GROUPS + 1).count() <= FEW_GROUPS else fences
     inside = (v >= F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))) & \
              (v <= F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
-    whisk = ranged.join(fences, "_gk", "inner").groupBy("_gk", *group_cols).agg(
-        F.sum("_cnt").cast("bigint").alias("n"),
-        F.min(F.when(inside, v)).alias("whisker_low"),
-        F.max(F.when(inside, v)).alias("whisker_high"),
-        F.sum(F.when(~inside, F.col("_cnt")).otherwise(0)).cast("bigint").alias("n_outliers"))
+    # one row per (group, block) first, then per group
+    part = ranged.join(fences, "_gk", "inner").groupBy("_gk", *group_cols, "_blk").agg(
+        F.sum("_cnt").alias("n"), F.min(F.when(inside, v)).alias("whisker_low"), F.max(F.when(inside, v)).alias("whisker_high"),
+        F.sum(F.when(~inside, F.col("_cnt")).otherwise(0)).alias("n_outliers"))
+    whisk = part.groupBy("_gk", *group_cols).agg(
+        F.sum("n").cast("bigint").alias("n"), F.min("whisker_low").alias("whisker_low"),
+        F.max("whisker_high").alias("whisker_high"), F.sum("n_outliers").cast("bigint").alias("n_outliers"))
     return whisk.join(stats, "_gk", "inner").select(
         *group_cols, "n", "q1", "median", "q3", "whisker_low", "whisker_high", "n_outliers")
 

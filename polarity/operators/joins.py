@@ -2,31 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A side is broadcast only when it is proven to hold at most this many rows.
-DEFAULT_BROADCAST_ROWS = 2_000_000
+# A side is broadcast only when its plan bounds it to this many bytes.
+BROADCAST_BYTES = 64 << 20
 
 
-def broadcast_checked(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
-                      known_rows: int | None = None) -> DataFrame:
-    """Mark ``df`` for broadcast only when its size is known to be at most
-    ``max_rows`` rows (a table the caller built, e.g. a lexicon).
+def broadcast_checked(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark ``df`` for broadcast when it is a driver-built table (a lexicon, a
+    company list) whose plan states a size of at most ``max_bytes``.
 
     Otherwise ``df`` is returned as it is: the optimizer broadcasts it when
     its size estimate is below ``spark.sql.autoBroadcastJoinThreshold``, and
     adaptive execution re-checks the real size at run time and keeps a
     shuffle join beyond it. No counting job is run.
     """
-    if known_rows is not None and known_rows <= max_rows:
-        return F.broadcast(df)
-    return df
+    plan = df._jdf.queryExecution().optimizedPlan()
+    return F.broadcast(df) if _driver_built(plan) and plan.stats().sizeInBytes().longValue() <= max_bytes else df
+
+
+def _driver_built(plan) -> bool:
+    leaves = plan.collectLeaves()
+    return all(leaves.apply(i).nodeName() == "LocalRelation" for i in range(leaves.size()))
 
 
 def first_match_lookup(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
-                       order_col: str | None = None, max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
-                       right_known_rows: int | None = None) -> DataFrame:
+                       order_col: str | None = None) -> DataFrame:
     """Left join keeping every left row once; of duplicate right keys the
     first one (by ``order_col``, else the key itself) wins.
 
@@ -42,12 +44,7 @@ def first_match_lookup(left: DataFrame, right: DataFrame, left_key: str, right_k
     else:
         best = F.min_by(packed, F.col(order_col))
     dedup = right.groupBy(right_key).agg(best.alias("_m")).select(right_key, "_m.*")
-    dedup = broadcast_checked(dedup, max_broadcast_rows, right_known_rows)
+    dedup = broadcast_checked(dedup)
     if left_key == right_key:
         return left.join(dedup, on=left_key, how="left")
     return left.join(dedup, left[left_key] == dedup[right_key], "left")
-
-
-def row_number_by(df: DataFrame, partition: list[str], order: list, name: str = "rn") -> DataFrame:
-    w = Window.partitionBy(*partition).orderBy(*order)
-    return df.withColumn(name, F.row_number().over(w).cast("bigint"))

@@ -1,46 +1,83 @@
-"""Lemmatisation with a dictionary table ``(token, lemma)``.
+"""Lemmatisation with a dictionary ``(token, lemma)``, inside the row.
 
-Tokens are exploded with their position, looked up by a size-checked
-broadcast join, and put back in order per text. Texts without tokens keep
-an empty result (outer explode).
+Texts are never exploded or shuffled. A short dictionary is written into the
+plan (hash-set tests); a longer one, of at most ``DICTIONARY_ROWS`` entries, is
+broadcast to Arrow batches. A token that the dictionary gives more than one
+lemma takes the smallest.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterable, Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polarity.operators.joins import DEFAULT_BROADCAST_ROWS, broadcast_checked
 from polarity.schemas import LEMMA, require_columns
 
+PLAN_ROWS = 200
+DICTIONARY_ROWS = 500_000
+
 
 def lemma_frame(spark: SparkSession, pairs) -> DataFrame:
     return spark.createDataFrame(list(pairs), LEMMA)
 
 
-def lemmatize_tokens(df: DataFrame, id_col: str, tokens_col: str, lemmas: DataFrame,
-                     out_col: str = "lemmas", lemma_rows: int | None = None,
-                     max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """One row per id: ``out_col`` = tokens with each replaced by its lemma
-    (unknown tokens unchanged), in the original order."""
-    require_columns(df, [id_col, tokens_col])
-    ex = df.select(id_col, F.posexplode_outer(tokens_col).alias("_p", "_t"))
-    lm = broadcast_checked(lemmas.select(F.col("token").alias("_lt"), F.col("lemma").alias("_lm")),
-                           max_broadcast_rows, lemma_rows)
-    j = ex.join(lm, ex["_t"] == lm["_lt"], "left")
-    item = F.when(F.col("_p").isNotNull(), F.struct(F.col("_p"), F.coalesce("_lm", "_t").alias("_w")))
-    agg = j.groupBy(id_col).agg(F.array_sort(F.collect_list(item)).alias("_l"))
-    return agg.select(id_col, F.transform("_l", lambda s: s["_w"]).alias(out_col))
+def dictionary(lemmas: DataFrame | Iterable[tuple[str, str]]) -> dict[str, str]:
+    """The dictionary as a mapping; a table of more than ``DICTIONARY_ROWS`` rows is an error."""
+    if isinstance(lemmas, DataFrame):
+        rows = lemmas.select("token", "lemma").limit(DICTIONARY_ROWS + 1).collect()
+        if len(rows) > DICTIONARY_ROWS:
+            raise ValueError(f"the lemma table has more than {DICTIONARY_ROWS} rows")
+        lemmas = [tuple(r) for r in rows]
+    out: dict[str, str] = {}
+    for token, lemma in lemmas:
+        if token is not None and lemma is not None:
+            out[token] = min(lemma, out.get(token, lemma))
+    return out
+
+
+def lemmas_of(tokens: Column, lemmas: dict[str, str], spark: SparkSession) -> Column:
+    """Tokens with each replaced by its lemma, others unchanged; null gives none."""
+    tokens = F.coalesce(tokens, F.array().cast("array<string>"))
+    changed = {t: x for t, x in lemmas.items() if t != x}
+    if not changed:
+        return tokens
+    if len(changed) <= PLAN_ROWS:
+        by_lemma: dict[str, list[str]] = {}
+        for t, x in changed.items():
+            by_lemma.setdefault(x, []).append(t)
+
+        def one(t: Column) -> Column:
+            out = F
+            for x, words in by_lemma.items():
+                out = out.when(t.isin(words), F.lit(x))
+            return F.when(t.isin(list(changed)), out).otherwise(t)
+
+        return F.transform(tokens, one)
+    shared = spark.sparkContext.broadcast(changed)
+
+    @F.pandas_udf("array<string>")
+    def look_up(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        get = shared.value.get
+        for rows in batches:
+            yield rows.map(lambda toks: [get(t, t) for t in toks])
+
+    return look_up(tokens)
+
+
+def lemmatize_tokens(df: DataFrame, tokens_col: str, lemmas: DataFrame | Iterable[tuple[str, str]],
+                     out_col: str = "lemmas") -> DataFrame:
+    """``df`` with ``out_col`` = tokens with each replaced by its lemma, in order."""
+    require_columns(df, [tokens_col])
+    return df.withColumn(out_col, lemmas_of(F.col(tokens_col), dictionary(lemmas), df.sparkSession))
 
 
-def lemmatize(df: DataFrame, id_col: str, text_col: str, lemmas: DataFrame,
-              out_col: str | None = None, lemma_rows: int | None = None) -> DataFrame:
+def lemmatize(df: DataFrame, text_col: str, lemmas: DataFrame | Iterable[tuple[str, str]],
+              out_col: str | None = None) -> DataFrame:
     """T9 on space-separated text: the input rows with ``out_col`` (default
-    ``text_col``) lemmatised; joined back by id, so the row count holds."""
-    require_columns(df, [id_col, text_col])
-    toks = df.select(id_col, F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), " "),
-                                      lambda x: x != "").alias("_toks"))
-    lem = lemmatize_tokens(toks, id_col, "_toks", lemmas, "_lem", lemma_rows)
-    out = out_col or text_col
-    res = df.join(lem, on=id_col, how="left")
-    return res.withColumn(out, F.array_join(F.coalesce("_lem", F.array().cast("array<string>")), " ")).drop("_lem")
+    ``text_col``) lemmatised."""
+    require_columns(df, [text_col])
+    toks = F.array_remove(F.split(F.coalesce(F.col(text_col), F.lit("")), " "), "")
+    return df.withColumn(out_col or text_col, F.array_join(lemmas_of(toks, dictionary(lemmas), df.sparkSession), " "))

@@ -14,19 +14,20 @@ from polarity.schemas import require_columns
 
 def preprocess_dataframe(df: DataFrame, text_column: str, new_column_name: str | None = None,
                          clean: bool = True, remove_stops: bool = True, lemmatize_text: bool = False,
-                         lemma_table: DataFrame | None = None, id_col: str | None = None,
+                         lemma_table: DataFrame | Iterable[tuple[str, str]] | None = None,
                          custom_stopwords: Sequence[str] | None = None,
-                         extra_stopwords: Iterable[str] = (), lemma_rows: int | None = None) -> DataFrame:
+                         extra_stopwords: Iterable[str] = ()) -> DataFrame:
     """The input with ``new_column_name`` (default: ``text_column``
     itself) holding the processed text; ``ValueError`` when the column is
-    missing. Lemmatisation needs a ``(token, lemma)`` table and an id column
-    (the tokens are looked up by a join); the rest is one column expression.
+    missing. Lemmatisation needs a ``(token, lemma)`` dictionary, of which the
+    library has none of its own; so it is off unless asked for. All of it
+    happens in the row.
     """
     require_columns(df, [text_column])
     out_col = new_column_name or text_column
     out = df.withColumn(out_col, preprocess(text_column, clean, remove_stops, custom_stopwords, extra_stopwords))
     if lemmatize_text:
-        if lemma_table is None or id_col is None:
-            raise ValueError("lemmatisation needs lemma_table and id_col")
-        out = lemmatize(out, id_col, out_col, lemma_table, out_col, lemma_rows)
+        if lemma_table is None:
+            raise ValueError("lemmatisation needs lemma_table")
+        out = lemmatize(out, out_col, lemma_table)
     return out.withColumn(out_col, F.coalesce(F.col(out_col), F.lit("")))

@@ -2,12 +2,11 @@
 score columns (M3), comparing models (M4), the registry (M5) and
 score-if-needed (M9).
 
-Lexicon scorer as a Spark job: each token is paired with its three
-predecessors *before* the explode (so no window over tokens is needed), the
-tokens are looked up in the lexicon by a broadcast hash join whose size is
-checked, and the per-token valences are summed per text. All tokens of a
-text are in the same task, so the partial aggregation leaves about one row
-per text for the shuffle, however long the text is.
+The lexicon scorer is a column expression: each token is paired with its
+three predecessors inside the row, tokens outside the lexicon are filtered
+out by a hash-set test, and the valences of the few hits are summed. A text
+is scored where it is read: no id, no explode, no shuffle. Only a lexicon
+table too large for a plan (``PLAN_LEXICON_ROWS``) is joined instead.
 """
 
 from __future__ import annotations
@@ -22,13 +21,14 @@ from pyspark.sql import types as T
 from polarity import resources
 from polarity.functions.labels import argmax_label, label_from_compound, softmax
 from polarity.functions.text import basic_clean, tokenize
-from polarity.operators.joins import DEFAULT_BROADCAST_ROWS, broadcast_checked
 from polarity.schemas import DEGREE, LEXICON, SCORE_CLASSES, require_columns
 
 # Defaults of the lexicon scorer (parameters, not hard-coded in the rules).
 NEGATION_FACTOR = 0.75
 ALPHA = 15.0
 CONTEXT = 3
+# Entries of a lexicon table that are written into the plan; more are joined.
+PLAN_LEXICON_ROWS = 20_000
 
 
 def lexicon_frame(spark: SparkSession, pairs: Iterable[tuple[str, float]] | None = None) -> DataFrame:
@@ -42,16 +42,88 @@ def degree_frame(spark: SparkSession, pairs: Iterable[tuple[str, float]] | None
     return spark.createDataFrame(rows, DEGREE)
 
 
-def lexicon_scores(df: DataFrame, id_col: str, tokens: str | Column, lexicon: DataFrame,
-                   negators: Sequence[str] | None = None,
-                   degree: Sequence[tuple[str, float]] | None = None,
-                   negation_factor: float = NEGATION_FACTOR, alpha: float = ALPHA,
-                   carry: Sequence[str] = (), prefix: str = "sentiment_",
-                   with_compound: bool = False,
-                   lexicon_rows: int | None = None,
-                   max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """M1: one row per ``id_col`` with shares of positive, negative, neutral
-    valence and the label.
+def lexicon_rows(lexicon: Iterable[tuple[str, float]]) -> list[tuple[str, float]]:
+    """One valence per token. Entries that repeat a token with the same
+    valence count once; with another one they are an error."""
+    seen: dict[str, float] = {}
+    for token, valence in lexicon:
+        if token is None or valence is None:
+            continue
+        if seen.setdefault(token, float(valence)) != float(valence):
+            raise ValueError(f"the lexicon gives {token!r} more than one valence")
+    return list(seen.items())
+
+
+def _in_context(tokens: Column) -> Column:
+    """Structs ``tok, p1 .. pCONTEXT``: each token with its predecessors, as
+    arrays shifted by 1..CONTEXT and zipped in the row."""
+    n = F.size(tokens)
+
+    def shifted(k: int) -> Column:
+        pad = F.array_repeat(F.lit(None).cast("string"), F.least(F.lit(k), n))
+        return F.concat(pad, F.slice(tokens, 1, F.greatest(n - k, F.lit(0))))
+
+    return F.arrays_zip(tokens.alias("tok"), *[shifted(k).alias(f"p{k}") for k in range(1, CONTEXT + 1)])
+
+
+def _value(valence: Column, previous: Sequence[Column], negators: Sequence[str],
+           degree: Sequence[tuple[str, float]], negation_factor: float) -> Column:
+    """Valence of a hit in its context: ``(val + sign(val) * degree) *
+    (-factor if negated)``."""
+    negated, degree_sum = F.lit(False), F.lit(0.0)
+    for p in previous:
+        if negators:
+            negated = negated | F.coalesce(p.isin(list(negators)), F.lit(False))
+        if degree:
+            degree_sum = degree_sum + _lookup(p, degree, 0.0)
+    scale = F.when(negated, F.lit(-float(negation_factor))).otherwise(F.lit(1.0))
+    return (valence + F.signum(valence) * degree_sum) * scale
+
+
+def _lookup(token: Column, pairs: Iterable[tuple[str, float]], default: float | None) -> Column:
+    """Value of a token: one hash-set test per distinct value."""
+    by_value: dict[float, list[str]] = {}
+    for word, value in pairs:
+        by_value.setdefault(float(value), []).append(word)
+    out = None
+    for value, words in by_value.items():
+        hit = F.coalesce(token.isin(words), F.lit(False))
+        out = F.when(hit, F.lit(value)) if out is None else out.when(hit, F.lit(value))
+    return F.lit(default).cast("double") if out is None else out.otherwise(F.lit(default).cast("double"))
+
+
+def _sums(values: Column) -> Column:
+    """``s`` (sum), ``p`` (sum of v + 1 over v > 0), ``n`` (sum of 1 - v over
+    v < 0) and ``k`` (number of v != 0) of an array of valences."""
+    zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("p"), F.lit(0.0).alias("n"), F.lit(0).cast("long").alias("k"))
+    return F.aggregate(values, zero, lambda a, v: F.struct(
+        (a["s"] + v).alias("s"), (a["p"] + F.when(v > 0, v + 1).otherwise(0.0)).alias("p"),
+        (a["n"] + F.when(v < 0, 1 - v).otherwise(0.0)).alias("n"),
+        (a["k"] + F.when(v != 0, 1).otherwise(0)).alias("k")))
+
+
+def _shares(sums: Column, n_tokens: Column, alpha: float, prefix: str, with_compound: bool) -> dict[str, Column]:
+    """Output columns from the sums of a text."""
+    S, P, N = sums["s"], sums["p"], sums["n"]
+    Z = (n_tokens - sums["k"]).cast("double")
+    total = P + N + Z
+    compound = S / F.sqrt(S * S + F.lit(float(alpha)))
+    share = lambda x: F.when(total > 0, x / total).otherwise(F.lit(0.0))
+    out = {f"{prefix}positive": share(P), f"{prefix}negative": share(N), f"{prefix}neutral": share(Z),
+           f"{prefix}label": label_from_compound(compound)}
+    if with_compound:
+        out[f"{prefix}compound"] = compound
+    return out
+
+
+def add_lexicon_scores(df: DataFrame, tokens: dict[str, Column], lexicon: Iterable[tuple[str, float]],
+                       negators: Sequence[str] | None = None,
+                       degree: Sequence[tuple[str, float]] | None = None,
+                       negation_factor: float = NEGATION_FACTOR, alpha: float = ALPHA,
+                       with_compound: bool = False) -> DataFrame:
+    """M1 in the row: ``df`` with ``{prefix}positive``, ``{prefix}negative``,
+    ``{prefix}neutral`` and ``{prefix}label`` for every ``prefix`` key of
+    ``tokens`` (e.g. the raw and the processed text).
 
     Rules (after the published rule-based social-media scorer of Hutto and
     Gilbert, 2014): a token's valence ``v`` comes from the lexicon (else 0);
@@ -60,107 +132,86 @@ def lexicon_scores(df: DataFrame, id_col: str, tokens: str | Column, lexicon: Da
     ``-negation_factor``. ``S = sum(v)``, ``compound = S / sqrt(S^2 + alpha)``;
     ``P = sum(v + 1 | v > 0)``, ``N = sum(1 - v | v < 0)``, ``Z = #(v = 0)``
     and the shares are ``P, N, Z`` over ``P + N + Z``. No tokens: all shares 0,
-    label neutral.
-
-    ``carry`` columns are passed through (they must be constant per id); use
-    them instead of a join back when only aggregates are wanted.
+    label neutral. Every row is scored by itself, whatever ids repeat.
     """
+    pairs = [(w, v) for w, v in lexicon_rows(lexicon) if v != 0]
+    words = [w for w, _ in pairs]
     negators = list(resources.negators() if negators is None else negators)
     degree = list(resources.degree_words() if degree is None else degree)
+    out = df
+    for i, (prefix, toks) in enumerate(tokens.items()):
+        toks = F.coalesce(toks, F.array().cast("array<string>"))
+        hits = F.filter(_in_context(F.col(f"_toks{i}")), lambda c: F.coalesce(c["tok"].isin(words), F.lit(False)))
+        values = F.transform(hits, lambda c: _value(
+            _lookup(c["tok"], pairs, None), [c[f"p{k}"] for k in range(1, CONTEXT + 1)], negators, degree, negation_factor))
+        out = out.withColumn(f"_toks{i}", toks)
+        out = out.withColumn(f"_sums{i}", _sums(values) if words else _sums(F.array().cast("array<double>")))
+        out = out.withColumns(_shares(F.col(f"_sums{i}"), F.size(f"_toks{i}"), alpha, prefix, with_compound))
+        out = out.drop(f"_toks{i}", f"_sums{i}")
+    return out
+
+
+def lexicon_scores(df: DataFrame, id_col: str, tokens: str | Column, lexicon: DataFrame | Iterable[tuple[str, float]],
+                   negators: Sequence[str] | None = None,
+                   degree: Sequence[tuple[str, float]] | None = None,
+                   negation_factor: float = NEGATION_FACTOR, alpha: float = ALPHA,
+                   carry: Sequence[str] = (), prefix: str = "sentiment_",
+                   with_compound: bool = False) -> DataFrame:
+    """M1: ``id_col``, the ``carry`` columns and the scores of each row.
+
+    A lexicon of pairs, or a table of at most ``PLAN_LEXICON_ROWS`` rows, is
+    scored in the row (:func:`add_lexicon_scores`). A larger table is joined:
+    tokens are exploded, and the sums are grouped by ``id_col``, which must
+    then be unique and not null (a second row of an id raises). Carried
+    columns go through as values, not as grouping keys.
+    """
     tok = F.col(tokens) if isinstance(tokens, str) else tokens
-    tok = F.coalesce(tok, F.array().cast("array<string>"))
+    names = [f"{prefix}{c}" for c in (*SCORE_CLASSES, "label")] + ([f"{prefix}compound"] if with_compound else [])
+    pairs = small_lexicon(lexicon)
+    if pairs is not None:
+        rows = df.select(id_col, *carry, tok.alias("_tokens"))
+        done = add_lexicon_scores(rows, {prefix: F.col("_tokens")}, pairs, negators, degree, negation_factor, alpha, with_compound)
+        return done.select(id_col, *carry, *names)
 
-    # each token with its CONTEXT predecessors, as arrays shifted by 1..CONTEXT
-    # and zipped in the row (built-in array functions, no per-token lambda)
-    n = F.size(F.col("_toks"))
-
-    def shifted(k: int) -> Column:
-        pad = F.array_repeat(F.lit(None).cast("string"), F.least(F.lit(k), n))
-        return F.concat(pad, F.slice(F.col("_toks"), 1, F.greatest(n - k, F.lit(0))))
-
-    prev_names = [f"p{k}" for k in range(1, CONTEXT + 1)]
-    zipped = F.arrays_zip(F.col("_toks").alias("tok"),
-                          *[shifted(k).alias(nm) for k, nm in zip(range(1, CONTEXT + 1), prev_names)])
-    # the token count is taken before the explode so that the array itself
-    # is not needed downstream of the generator
-    counted = df.select(F.col(id_col), *[F.col(c) for c in carry], tok.alias("_toks"),
-                        F.size(tok).alias("_ntok"))
-    exploded = (counted.select(id_col, *carry, "_ntok", F.posexplode_outer(zipped).alias("_pos", "_c"))
-                .select(id_col, *carry, "_ntok", "_pos", F.col("_c.tok").alias("_tok"),
-                        *[F.col(f"_c.{nm}").alias(f"_{nm}") for nm in prev_names]))
-
-    lex = lexicon.select(F.col("token").alias("_lt"), F.col("valence").cast("double").alias("_val"))
-    lex = broadcast_checked(lex, max_broadcast_rows, lexicon_rows)
-    joined = exploded.join(lex, exploded["_tok"] == lex["_lt"], "left")
-    # keep the hits, plus one row per text so that texts without hits stay
-    joined = joined.filter(F.col("_val").isNotNull() | F.col("_pos").isNull() | (F.col("_pos") == 0))
-
-    # v = (val + sign(val) * degree) * (-factor if negated else 1); a zero or
-    # missing valence stays zero / null.
-    val = F.col("_val")
-    prev = [F.col(f"_{nm}") for nm in prev_names]
-    negated = F.lit(False)
-    if negators:
-        for p in prev:
-            negated = negated | F.coalesce(p.isin(negators), F.lit(False))
-    degree_sum = F.lit(0.0)
-    if degree:
-        m = F.create_map(*[x for w, d in degree for x in (F.lit(w), F.lit(float(d)))])
-        for p in prev:
-            degree_sum = degree_sum + F.coalesce(F.try_element_at(m, p), F.lit(0.0))
-    scale = F.when(negated, F.lit(-float(negation_factor))).otherwise(F.lit(1.0))
-    v = (val + F.signum(val) * degree_sum) * scale
-    valued = joined.select(id_col, *carry, "_ntok", v.alias("_v"))
-
-    agg = valued.groupBy(id_col, *carry).agg(
-        F.sum("_v").alias("_ssum"),
-        F.sum(F.when(F.col("_v") > 0, F.col("_v") + 1)).alias("_psum"),
-        F.sum(F.when(F.col("_v") < 0, 1 - F.col("_v"))).alias("_nsum"),
-        F.count(F.when(F.col("_v") != 0, 1)).alias("_nz"),
-        F.max("_ntok").alias("_ntok"))
-
-    S = F.coalesce(F.col("_ssum"), F.lit(0.0))
-    P = F.coalesce(F.col("_psum"), F.lit(0.0))
-    N = F.coalesce(F.col("_nsum"), F.lit(0.0))
-    Z = (F.col("_ntok") - F.col("_nz")).cast("double")
-    total = P + N + Z
-    compound = S / F.sqrt(S * S + F.lit(float(alpha)))
-    share = lambda x: F.when(total > 0, x / total).otherwise(F.lit(0.0))
-    out = [F.col(id_col), *[F.col(c) for c in carry],
-           share(P).alias(f"{prefix}positive"),
-           share(N).alias(f"{prefix}negative"),
-           share(Z).alias(f"{prefix}neutral"),
-           label_from_compound(compound).alias(f"{prefix}label")]
-    if with_compound:
-        out.append(compound.alias(f"{prefix}compound"))
-    return agg.select(*out)
-
-
-def lexicon_scores_multi(df: DataFrame, id_col: str, tokens: dict[str, Column], lexicon: DataFrame,
-                         negators: Sequence[str] | None = None,
-                         degree: Sequence[tuple[str, float]] | None = None,
-                         negation_factor: float = NEGATION_FACTOR, alpha: float = ALPHA,
-                         carry: Sequence[str] = (), with_compound: bool = False,
-                         lexicon_rows: int | None = None) -> DataFrame:
-    """M1 for several token lists of the same rows in one pass (e.g. the raw
-    and the processed text): one wide row per id with ``{prefix}positive``,
-    ... for every ``prefix`` key of ``tokens``.
-
-    The input is read and cleaned once; each row becomes one row per token
-    list, scored by the same plan keyed by (id, list); the final pivot is an
-    aggregation on the id, which keeps the id partitioning (no shuffle).
-    """
-    names = list(tokens)
-    per_model = F.explode(F.array(*[F.struct(F.lit(n).alias("m"), c.alias("t"))
-                                    for n, c in tokens.items()])).alias("_mt")
-    long_in = df.select(id_col, *carry, per_model).select(id_col, *carry, F.col("_mt.m").alias("_model"),
-                                                          F.col("_mt.t").alias("_mtoks"))
-    long = lexicon_scores(long_in, id_col, "_mtoks", lexicon, negators, degree, negation_factor, alpha,
-                          carry=[*carry, "_model"], prefix="", with_compound=with_compound,
-                          lexicon_rows=lexicon_rows)
-    outs = [*SCORE_CLASSES, "label"] + (["compound"] if with_compound else [])
-    aggs = [F.max(F.when(F.col("_model") == n, F.col(o))).alias(f"{n}{o}") for n in names for o in outs]
-    return long.groupBy(id_col, *carry).agg(*aggs)
+    negators = list(resources.negators() if negators is None else negators)
+    degree = list(resources.degree_words() if degree is None else degree)
+    toks = F.coalesce(tok, F.array().cast("array<string>"))
+    rows = df.select(F.col(id_col).alias("_id"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)], toks.alias("_toks"))
+    kept = [f"_c{i}" for i in range(len(carry))]
+    ex = (rows.select("_id", *kept, F.size("_toks").alias("_ntok"), F.posexplode_outer(_in_context(F.col("_toks"))).alias("_pos", "_c"))
+          # whatever is carried goes with a text's first token only
+          .select("_id", *[F.when(F.coalesce(F.col("_pos"), F.lit(0)) == 0, F.col(c)).alias(c) for c in kept], "_ntok", "_pos", "_c"))
+    one = lexicon.filter("token IS NOT NULL").groupBy(F.col("token").alias("_lt")).agg(
+        F.min(F.col("valence").cast("double")).alias("_val"), F.max(F.col("valence").cast("double")).alias("_other"))
+    clash = F.concat(F.lit("the lexicon gives more than one valence to "), F.col("_lt"))
+    one = one.select("_lt", F.when(F.col("_val") == F.col("_other"), F.col("_val")).otherwise(
+        F.raise_error(clash).cast("double")).alias("_val"))
+    joined = ex.join(one, F.col("_c.tok") == F.col("_lt"), "left")
+    # the hits, plus one row per text so that texts without hits stay
+    first = F.coalesce(F.col("_pos"), F.lit(0)) == 0
+    joined = joined.filter(F.col("_val").isNotNull() | first)
+    v = _value(F.col("_val"), [F.col(f"_c.p{k}") for k in range(1, CONTEXT + 1)], negators, degree, negation_factor)
+    valued = joined.select("_id", *kept, "_ntok", first.alias("_first"), v.alias("_v"))
+    agg = valued.groupBy("_id").agg(
+        *[F.max_by(c, F.col("_first").cast("int")).alias(c) for c in kept],
+        F.coalesce(F.sum("_v"), F.lit(0.0)).alias("s"),
+        F.coalesce(F.sum(F.when(F.col("_v") > 0, F.col("_v") + 1)), F.lit(0.0)).alias("p"),
+        F.coalesce(F.sum(F.when(F.col("_v") < 0, 1 - F.col("_v"))), F.lit(0.0)).alias("n"),
+        F.count(F.when(F.col("_v") != 0, 1)).alias("k"),
+        F.max("_ntok").alias("_ntok"), F.count(F.when(F.col("_first"), 1)).alias("_rows"))
+    again = F.raise_error(F.concat(F.lit("the id of the texts is null or not unique: "), F.coalesce(F.col("_id").cast("string"), F.lit("null"))))
+    checked = agg.withColumn("_ntok", F.when((F.col("_rows") == 1) & F.col("_id").isNotNull(), F.col("_ntok")).otherwise(again.cast("int")))
+    checked = checked.withColumn("_sums", F.struct("s", "p", "n", "k"))
+    out = checked.withColumns(_shares(F.col("_sums"), F.col("_ntok"), alpha, prefix, with_compound))
+    return out.select(F.col("_id").alias(id_col), *[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)], *names)
+
+
+def small_lexicon(lexicon: DataFrame | Iterable[tuple[str, float]]) -> list[tuple[str, float]] | None:
+    """The entries of a lexicon that fits a plan; None for a larger table."""
+    if not isinstance(lexicon, DataFrame):
+        return lexicon_rows(lexicon)
+    rows = lexicon.select("token", F.col("valence").cast("double")).limit(PLAN_LEXICON_ROWS + 1).collect()
+    return lexicon_rows([tuple(r) for r in rows]) if len(rows) <= PLAN_LEXICON_ROWS else None
 
 
 # ---------------------------------------------------------------------------
@@ -239,10 +290,6 @@ class Scorer:
     """Adds ``{prefix}positive|negative|neutral|label`` to a DataFrame."""
 
     name = "scorer"
-    needs_id = False
-
-    def scores(self, df: DataFrame, text_col: str, id_col: str | None, prefix: str) -> DataFrame:
-        raise NotImplementedError
 
     def score(self, df: DataFrame, text_col: str, id_col: str | None = None,
               prefix: str = "sentiment_") -> DataFrame:
@@ -251,10 +298,11 @@ class Scorer:
 
 class LexiconScorer(Scorer):
     """M1 behind the scorer interface. Texts are cleaned (T6) and split
-    first; cleaning is idempotent, so processed text may be passed too."""
+    first; cleaning is idempotent, so processed text may be passed too. Rows
+    are scored in place; only a lexicon table of more than
+    ``PLAN_LEXICON_ROWS`` rows needs a unique id column."""
 
     name = "lexicon"
-    needs_id = True
 
     def __init__(self, lexicon: Sequence[tuple[str, float]] | DataFrame | None = None,
                  negators: Sequence[str] | None = None,
@@ -262,19 +310,14 @@ class LexiconScorer(Scorer):
                  negation_factor: float = NEGATION_FACTOR, alpha: float = ALPHA,
                  stopwords: Sequence[str] | None = None, clean: bool = True):
         self.clean = clean
-        self.lexicon = lexicon
+        self.lexicon = resources.seed_lexicon() if lexicon is None else lexicon
+        self.pairs = small_lexicon(self.lexicon)
         self.negators = negators
         self.degree = degree
         self.negation_factor = negation_factor
         self.alpha = alpha
         self.stopwords = stopwords
 
-    def _lexicon(self, spark: SparkSession) -> tuple[DataFrame, int | None]:
-        if isinstance(self.lexicon, DataFrame):
-            return self.lexicon, None
-        rows = list(resources.seed_lexicon() if self.lexicon is None else self.lexicon)
-        return lexicon_frame(spark, rows), len(rows)
-
     def tokens(self, text_col: str) -> Column:
         """Tokens of the text: cleaned (T6) and split (T7); with
         ``clean=False`` the text is taken as already processed."""
@@ -283,20 +326,17 @@ class LexiconScorer(Scorer):
             toks = F.filter(toks, lambda t: ~t.isin(list(self.stopwords)))
         return toks
 
-    def scores(self, df, text_col, id_col, prefix, carry=(), with_compound=False):
-        if id_col is None:
-            raise ValueError("the lexicon scorer needs a unique id column (id_col)")
-        lex, n = self._lexicon(df.sparkSession)
-        base = df.select(id_col, *carry, self.tokens(text_col).alias("_tokens"))
-        return lexicon_scores(base, id_col, "_tokens", lex, self.negators, self.degree,
-                              self.negation_factor, self.alpha, carry=carry, prefix=prefix,
-                              with_compound=with_compound, lexicon_rows=n)
-
-    def score(self, df, text_col, id_col=None, prefix="sentiment_"):
+    def score(self, df, text_col, id_col=None, prefix="sentiment_", with_compound=False):
         require_columns(df, [text_col] + ([id_col] if id_col else []))
-        sc = self.scores(df, text_col, id_col, prefix)
-        # one row per id on the right: the left join keeps the row count
-        return df.join(sc, on=id_col, how="left")
+        if self.pairs is not None:
+            return add_lexicon_scores(df, {prefix: self.tokens(text_col)}, self.pairs, self.negators, self.degree,
+                                      self.negation_factor, self.alpha, with_compound)
+        if id_col is None:
+            raise ValueError("a lexicon table of this size is joined, which needs a unique id column (id_col)")
+        rows = df.select(id_col, self.tokens(text_col).alias("_tokens"))
+        done = lexicon_scores(rows, id_col, "_tokens", self.lexicon, self.negators, self.degree, self.negation_factor,
+                              self.alpha, prefix=prefix, with_compound=with_compound)
+        return df.join(done, on=id_col, how="left")
 
 
 class ModelScorer(Scorer):
@@ -313,10 +353,6 @@ class ModelScorer(Scorer):
     def score(self, df, text_col, id_col=None, prefix="sentiment_"):
         return model_scores(df, text_col, self.model_factory, self.labels, prefix, self.batch_size)
 
-    def scores(self, df, text_col, id_col, prefix):
-        cols = ([id_col] if id_col else [])
-        return self.score(df.select(*cols, text_col), text_col, id_col, prefix).drop(text_col)
-
 
 _REGISTRY: dict[str, Callable[..., Scorer]] = {}
 DEFAULT_SCORER = "lexicon"
@@ -334,7 +370,7 @@ def create_scorer(name: str | None = None, **kwargs) -> Scorer:
     """M5: scorer by name (case-insensitive); ``ValueError`` lists valid names."""
     key = (name or DEFAULT_SCORER).lower()
     if key not in _REGISTRY:
-        raise ValueError(f"Unknown model: {key}. Available models: {available_scorers()}")
+        raise ValueError(f"no scorer is registered as {key!r}; registered: {', '.join(available_scorers())}")
     return _REGISTRY[key](**kwargs)
 
 
@@ -359,27 +395,14 @@ def compare_models(df: DataFrame, text_col: str, id_col: str,
     """M4: long form ``(id, model, positive, negative, neutral, label)``;
     rows out = rows in x models.
 
-    The input is read once: row-wise scorers (Arrow models) add their
-    columns to the rows, the first scorer that aggregates per text (lexicon)
-    carries those columns through its job, further ones are joined by the
-    id; one explode then gives the long form.
+    The input is read once: every scorer adds its columns to the rows, and one
+    explode gives the long form.
     """
     require_columns(df, [text_col, id_col])
     scorers = {n: _as_scorer(m) for n, m in models.items()}
-    wide = df.select(id_col, text_col)
-    carried: list[str] = []
+    out = df.select(id_col, text_col)
     for name, sc in scorers.items():
-        if not sc.needs_id:
-            wide = sc.score(wide, text_col, id_col, f"_{name}_")
-            carried += [f"_{name}_{c}" for c in (*SCORE_CLASSES, "label")]
-    per_text = [n for n, sc in scorers.items() if sc.needs_id]
-    if per_text:
-        first = scorers[per_text[0]]
-        out = first.scores(wide, text_col, id_col, f"_{per_text[0]}_", carry=carried)
-        for name in per_text[1:]:
-            out = out.join(scorers[name].scores(wide, text_col, id_col, f"_{name}_"), id_col, "left")
-    else:
-        out = wide.drop(text_col)
+        out = sc.score(out, text_col, id_col, f"_{name}_")
     rows = F.explode(F.array(*[
         F.struct(F.lit(n).alias("model"), *[F.col(f"_{n}_{c}").alias(c) for c in (*SCORE_CLASSES, "label")])
         for n in scorers]))
@@ -389,7 +412,7 @@ def compare_models(df: DataFrame, text_col: str, id_col: str,
 def analyze_text(spark: SparkSession, text: str, model: str | Scorer | None = None) -> dict:
     """One text as a one-row table: ``{positive, negative, neutral, label}``."""
     one = spark.createDataFrame([(0, text)], "id long, text string")
-    row = _as_scorer(model).scores(one, "text", "id", "").first()
+    row = _as_scorer(model).score(one, "text", "id", "").first()
     return {c: row[c] for c in (*SCORE_CLASSES, "label")}
 
 

@@ -27,12 +27,13 @@ from polarity.operators.analytics import classification_metrics
 from polarity.operators.sampling import stratified_split
 from polarity.operators.scoring import Scorer, register_scorer
 from polarity.schemas import SCORE_CLASSES, require_columns
-from polarity.session import ensure_checkpoint_dir
 
 # Default grid (regularisation, elastic-net mix) and feature size.
 DEFAULT_GRID = ({"regParam": 0.01, "elasticNetParam": 0.0},
                 {"regParam": 0.1, "elasticNetParam": 0.0})
 NUM_FEATURES = 1 << 16
+# Tokens of a text that training reads by default; None reads whole texts.
+TRAIN_TOKENS = 128
 
 
 def feature_stages(num_features: int = NUM_FEATURES, stopwords: Sequence[str] | None = None) -> list:
@@ -74,21 +75,18 @@ class TrainResult:
 
 def train_classifier(df: DataFrame, text_col: str, label_col: str, id_col: str,
                      grid: Sequence[dict] = DEFAULT_GRID, test_frac: float = 0.2, seed: int = 42,
-                     max_tokens: int | None = None, max_iter: int = 50,
+                     max_tokens: int | None = TRAIN_TOKENS, max_iter: int = 50,
                      num_features: int = NUM_FEATURES) -> TrainResult:
     """M6: fit one pipeline per grid point on the train split, keep the one
     with the best weighted F1 on the validation split.
 
-    The split's input is checkpointed once (shared checkpoint folder), so
-    the split and all fits read the same materialised rows. Only the metric rows (one per
-    grid point) reach the driver.
+    The features are fitted and kept once for all grid points. Only the
+    metric rows (one per grid point) reach the driver.
     """
     require_columns(df, [text_col, label_col, id_col])
-    ensure_checkpoint_dir(df.sparkSession)
     data = df.select(id_col, text_col, F.col(label_col).cast("int").alias(label_col))
-    # the split reads its input more than once (counts, then marks): it gets
-    # the raw rows, and the cleaning runs once, after the checkpoint
-    split = stratified_split(data, label_col, id_col, test_frac, seed, materialize=True)
+    # the split counts ids and labels, and marks the rows with a comparison
+    split = stratified_split(data, label_col, id_col, test_frac, seed)
     train = with_clean_text(split.filter(F.col("split") == "train"), text_col, max_tokens)
     val = with_clean_text(split.filter(F.col("split") == "val"), text_col, max_tokens)
     # the features do not depend on the grid: fit them once, keep the

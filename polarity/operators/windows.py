@@ -89,8 +89,13 @@ def rolling_mean_balanced(df: DataFrame, value_cols: Sequence[str], n: int,
     wanted = (starts.select(*part, F.col("_blk").alias("_target"),
                             F.explode(F.sequence(F.col("_s") - (n - 1), F.col("_s") - 1)).alias("_q"))
               .filter(F.col("_q") >= 1))
-    halo = (tails.join(wanted, [*part, "_q"], "inner")
-            .drop("_blk", "_q").withColumnRenamed("_target", "_blk")
+    # entities may be null: they are matched null-safe
+    wanted = wanted.select(*[F.col(c).alias(f"_w{i}") for i, c in enumerate(part)], "_target", F.col("_q").alias("_wq"))
+    same = F.col("_q") == F.col("_wq")
+    for i, c in enumerate(part):
+        same = same & F.col(c).eqNullSafe(F.col(f"_w{i}"))
+    halo = (tails.join(wanted, same, "inner")
+            .drop("_blk", "_q", "_wq", *[f"_w{i}" for i in range(len(part))]).withColumnRenamed("_target", "_blk")
             .withColumn("_own", F.lit(False)))
     rows = keyed.withColumn("_own", F.lit(True)).unionByName(halo)
     w = Window.partitionBy(*part, "_blk").orderBy(*order_cols).rowsBetween(-(n - 1), 0)

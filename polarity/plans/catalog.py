@@ -24,8 +24,8 @@ from polarity.operators import sampling as L
 from polarity.operators import windows as W
 from polarity.operators.joins import first_match_lookup
 from polarity.operators.scoring import (
-    KeywordModel, LexiconScorer, ModelScorer, compare_models, lexicon_frame, lexicon_scores,
-    model_scores,
+    KeywordModel, LexiconScorer, ModelScorer, add_lexicon_scores, compare_models, create_scorer, lexicon_scores,
+    model_scores, score,
 )
 from polarity.plans import params as P
 
@@ -41,8 +41,8 @@ def query(name: str):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    from polarity.sources.tables import TEXT_TABLES, read_table
-    return read_table(spark, f"{sf_dir}/{name}.parquet", TEXT_TABLES.get(name))
+    from polarity.sources.tables import read_table
+    return read_table(spark, f"{sf_dir}/{name}.parquet")
 
 
 def r6(c) -> F.Column:
@@ -69,10 +69,9 @@ def doc_tokens(spark: SparkSession, sf_dir: str, *cols: str, stop: bool = True)
 
 def scores_of(tokens: DataFrame, id_col: str, carry=(), prefix: str = "",
               with_compound: bool = False) -> DataFrame:
-    return lexicon_scores(tokens, id_col, "tokens", lexicon_frame(tokens.sparkSession, P.QUERY_LEXICON),
+    return lexicon_scores(tokens, id_col, "tokens", P.QUERY_LEXICON,
                           P.QUERY_NEGATORS, P.QUERY_DEGREE, P.NEGATION_FACTOR, P.ALPHA,
-                          carry=carry, prefix=prefix, with_compound=with_compound,
-                          lexicon_rows=len(P.QUERY_LEXICON))
+                          carry=carry, prefix=prefix, with_compound=with_compound)
 
 
 def doc_scores(spark: SparkSession, sf_dir: str, carry: tuple[str, ...] = (),
@@ -86,12 +85,10 @@ def doc_scores(spark: SparkSession, sf_dir: str, carry: tuple[str, ...] = (),
 def two_models(spark: SparkSession, sf_dir: str, carry: tuple[str, ...] = ()) -> DataFrame:
     """Wide table: model A (``a_*``, processed text) and model B (``b_*``,
     cleaned text with stop words) per document, scored in one pass."""
-    from polarity.operators.scoring import lexicon_scores_multi
     docs = table(spark, sf_dir, "documents").select("doc_id", *carry, tokenize(basic_clean("text")).alias("_all"))
     toks = {"a_": stopword_filter("_all"), "b_": F.col("_all")}
-    return lexicon_scores_multi(docs, "doc_id", toks, lexicon_frame(spark, P.QUERY_LEXICON),
-                                P.QUERY_NEGATORS, P.QUERY_DEGREE, P.NEGATION_FACTOR, P.ALPHA,
-                                carry=carry, lexicon_rows=len(P.QUERY_LEXICON))
+    return add_lexicon_scores(docs, toks, P.QUERY_LEXICON, P.QUERY_NEGATORS, P.QUERY_DEGREE,
+                              P.NEGATION_FACTOR, P.ALPHA).drop("_all")
 
 
 def keyword_model():
@@ -144,40 +141,97 @@ def q_m4_compare_models(spark, sf_dir):
     return rounded(compare_models(docs, "processed_text", "doc_id", models), CLASSES)
 
 
+def query_scorer(clean: bool = True, stop: bool = True) -> LexiconScorer:
+    """The lexicon scorer of the queries: model A (``stop``) or B."""
+    from polarity import resources
+    return LexiconScorer(P.QUERY_LEXICON, P.QUERY_NEGATORS, P.QUERY_DEGREE, P.NEGATION_FACTOR, P.ALPHA,
+                         stopwords=resources.english_stopwords() if stop else None, clean=clean)
+
+
+def doc_dashboard(spark, sf_dir) -> dict[str, DataFrame]:
+    """The dashboard over ``documents``: models A, B and the keyword model."""
+    from polarity.plans.pipelines import dashboard
+    docs = table(spark, sf_dir, "documents").select("doc_id", preprocess("text", remove_stops=False).alias("text"))
+    models = {"a": query_scorer(clean=False), "b": query_scorer(clean=False, stop=False),
+              "k": ProcessedModel(keyword_model, P.LOGIT_LABELS)}
+    return dashboard(docs, "text", "doc_id", models, num_examples=P.SAMPLE_EXAMPLES, seed=P.SEED,
+                     num_disagreements=P.TOP_DISAGREEMENTS)
+
+
+class ProcessedModel(ModelScorer):
+    """The keyword model on processed text (stop words removed)."""
+
+    def score(self, df, text_col, id_col=None, prefix="sentiment_"):
+        rows = df.withColumn("_processed", F.array_join(stopword_filter(tokenize(text_col)), " "))
+        return super().score(rows, "_processed", id_col, prefix).drop("_processed")
+
+
 @query("m8_side_by_side")
 def q_m8_side_by_side(spark, sf_dir):
-    """Three models side by side in one pass over ``documents``: the keyword
-    model adds its columns on each row (Arrow batches), they are carried
-    through the lexicon job that scores models A and B together; no join."""
-    from polarity.operators.scoring import lexicon_scores_multi
-    docs = table(spark, sf_dir, "documents").select("doc_id", tokenize(basic_clean("text")).alias("_all"))
-    docs = docs.withColumn("_processed", F.array_join(stopword_filter("_all"), " "))
-    docs = model_scores(docs, "_processed", keyword_model, P.LOGIT_LABELS, "k_")
-    kcols = [f"k_{c}" for c in (*CLASSES, "label")]
-    toks = {"a_": stopword_filter("_all"), "b_": F.col("_all")}
-    wide = lexicon_scores_multi(docs, "doc_id", toks, lexicon_frame(spark, P.QUERY_LEXICON),
-                                P.QUERY_NEGATORS, P.QUERY_DEGREE, P.NEGATION_FACTOR, P.ALPHA,
-                                carry=kcols, lexicon_rows=len(P.QUERY_LEXICON))
     cols = [f"{m}_{c}" for m in ("a", "b", "k") for c in CLASSES]
-    return rounded(wide, cols)
+    return rounded(doc_dashboard(spark, sf_dir)["side_by_side"].drop("text"), cols)
+
+
+@query("m8_distribution")
+def q_m8_distribution(spark, sf_dir):
+    return rounded(doc_dashboard(spark, sf_dir)["distribution"], ["pct"])
+
+
+@query("m8_agreement")
+def q_m8_agreement(spark, sf_dir):
+    out = doc_dashboard(spark, sf_dir)
+    both = out["agreement_b"].withColumn("model", F.lit("b")).unionByName(out["agreement_k"].withColumn("model", F.lit("k")))
+    return rounded(both, ["agreement_pct"])
+
+
+@query("m8_examples")
+def q_m8_examples(spark, sf_dir):
+    return doc_dashboard(spark, sf_dir)["examples"].select("doc_id", "a_label", "a_positive", "preview")
 
 
 @query("m10_company_pipeline")
 def q_m10_company_pipeline(spark, sf_dir):
-    """News (documents, company = source) and posts (conversations, entity =
-    role) -> union (U1) -> processed text -> scores -> mean per entity."""
-    news = table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("item_id"), F.lit(0).cast("bigint").alias("turn"), "text",
-        F.col("source").alias("company"))
-    posts = table(spark, sf_dir, "conversations").select(
-        F.col("conv_id").alias("item_id"), "turn", F.col("text").alias("content"),
-        F.col("role").alias("company"))
-    both = U.union_sources({"news": news, "posts": posts})
-    toks = both.select("item_id", "turn", "source_type", "company",
-                       stopword_filter(tokenize(basic_clean("text"))).alias("tokens"))
-    sc = scores_of(toks, "item_id", ("turn", "source_type", "company"), "sentiment_")
-    out = A.mean_scores(sc, ["source_type", "company"])
-    return rounded(out, CLASSES)
+    """News (documents, company = source) and posts (conversations, company =
+    role) through the company pipeline."""
+    from polarity.plans.pipelines import company_pipeline
+    news = table(spark, sf_dir, "documents").select("text", F.col("source").alias("company"))
+    posts = table(spark, sf_dir, "conversations").select(F.col("text").alias("content"), F.col("role").alias("company"))
+    out = company_pipeline(news, posts, query_scorer(clean=False, stop=False), sources="both")
+    return rounded(A.mean_scores(out["scored"], ["source_type", "company"]), CLASSES)
+
+
+@query("m3_score_documents")
+def q_m3_documents(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = score(docs, "text", query_scorer())
+    return rounded(out.drop("text"), [f"sentiment_{c}" for c in CLASSES])
+
+
+@query("m3_score_conversations")
+def q_m3_conversations(spark, sf_dir):
+    conv = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    out = score(conv, "text", query_scorer())
+    return rounded(out.drop("text"), [f"sentiment_{c}" for c in CLASSES])
+
+
+@query("m9_score_if_needed")
+def q_m9(spark, sf_dir):
+    """Documents come unscored and are scored; scored rows pass unchanged."""
+    from polarity.operators.scoring import score_if_needed
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored, cols, label = score_if_needed(docs, "text", model=query_scorer())
+    same, cols, label = score_if_needed(scored, "text", cols, label)
+    return rounded(same.select("doc_id", *cols, label), cols)
+
+
+@query("m5_scorer_by_name")
+def q_m5(spark, sf_dir):
+    """Scorers built by name through the registry, in any case."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", preprocess("text").alias("text"))
+    keyword = create_scorer("KeyWord", keywords=P.QUERY_KEYWORDS, labels=P.LOGIT_LABELS)
+    lexicon = create_scorer("Lexicon", lexicon=P.QUERY_LEXICON, negators=P.QUERY_NEGATORS, degree=P.QUERY_DEGREE,
+                            negation_factor=P.NEGATION_FACTOR, alpha=P.ALPHA, clean=False)
+    return rounded(compare_models(docs, "text", "doc_id", {"lexicon": lexicon, "keyword": keyword}), CLASSES)
 
 
 # --------------------------------------------------------------------------
@@ -214,19 +268,19 @@ def q_t8_custom(spark, sf_dir):
 def q_t9(spark, sf_dir):
     from polarity.operators.lemma import lemma_frame, lemmatize
     docs = table(spark, sf_dir, "documents").select("doc_id", preprocess("text").alias("processed_text"))
-    out = lemmatize(docs, "doc_id", "processed_text", lemma_frame(spark, P.QUERY_LEMMAS),
-                    "lemmatized_text", lemma_rows=len(P.QUERY_LEMMAS))
+    out = lemmatize(docs, "processed_text", lemma_frame(spark, P.QUERY_LEMMAS), "lemmatized_text")
     return out.select("doc_id", "lemmatized_text")
 
 
 @query("t14_softmax_logits")
 def q_t14(spark, sf_dir):
     emb = table(spark, sf_dir, "embeddings")
-    logits = F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double"))
+    # every value of the vector is the logit of a class, named by its position
+    logits = F.transform("embedding", lambda x: x.cast("double"))
     p = emb.select("vec_id", softmax(logits).alias("_p"))
-    out = p.select("vec_id", *[F.col("_p")[i].alias(c) for i, c in enumerate(P.LOGIT_LABELS)],
-                   argmax_label("_p", P.LOGIT_LABELS).alias("label"))
-    return rounded(out, CLASSES)
+    names = [str(i) for i in range(P.LOGIT_CLASSES)]
+    return rounded(p.select("vec_id", F.array_max("_p").alias("top"), argmax_label("_p", names).alias("label"),
+                            F.aggregate("_p", F.lit(0.0), lambda a, x: a + x * x).alias("sum_of_squares")), ["top", "sum_of_squares"])
 
 
 @query("t15_truncate_tokens")
@@ -261,9 +315,10 @@ def q_s1(spark, sf_dir):
 
 @query("p7_preview")
 def q_p7(spark, sf_dir):
-    sc = doc_scores(spark, sf_dir)
-    docs = table(spark, sf_dir, "documents").select("doc_id", preview("text", 100).alias("preview"))
-    return docs.join(sc, "doc_id").select("doc_id", "preview", r6("positive").alias("positive"), "label")
+    docs = table(spark, sf_dir, "documents").withColumn("preview", preview("text", 100))
+    toks = docs.select("doc_id", "preview", stopword_filter(tokenize(basic_clean("text"))).alias("tokens"))
+    sc = scores_of(toks, "doc_id", ("preview",))
+    return sc.select("doc_id", "preview", r6("positive").alias("positive"), "label")
 
 
 # --------------------------------------------------------------------------
@@ -342,7 +397,7 @@ def q_a11_balanced(spark, sf_dir):
     sc = doc_scores(spark, sf_dir, prefix="sentiment_")
     long = U.melt_scores(sc, ["doc_id", "sentiment_label"], [f"sentiment_{c}" for c in CLASSES],
                          with_model=False)
-    out = A.box_stats(long, ["score_type", "sentiment_label"], "score", balanced=True)
+    out = A.box_stats(long, ["score_type", "sentiment_label"], "score", blocks=P.BOX_BLOCKS)
     return rounded(out, ["q1", "median", "q3", "whisker_low", "whisker_high"]) \
         .withColumnRenamed("sentiment_label", "label")
 
@@ -493,7 +548,7 @@ def q_s7(spark, sf_dir):
     from polarity.sources.filters import companies_frame, mentions
     docs = table(spark, sf_dir, "documents").filter(F.col("lang") == "en")
     comp = companies_frame(spark, P.COMPANIES)
-    return mentions(docs, "text", "doc_id", comp, companies_rows=len(P.COMPANIES))
+    return mentions(docs, "text", "doc_id", comp)
 
 
 @query("s8_lookback")
@@ -524,7 +579,7 @@ def q_m6(spark, sf_dir):
     lab = table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") * 2).alias("label"))
     data = docs.join(lab, "doc_id", "inner")
     res = train_classifier(data, "text", "label", "doc_id", grid=P.TRAIN_GRID, max_iter=20,
-                           num_features=P.TRAIN_FEATURES)
+                           num_features=P.TRAIN_FEATURES, max_tokens=None)
     val = res.split.filter(F.col("split") == "val").select("doc_id", "text", "label")
     out = predict(res.model, val, "text", P.TRAIN_LABELS)
     return rounded(out.drop("text"), [f"sentiment_{c}" for c in CLASSES])
@@ -546,14 +601,12 @@ def q_t11(spark, sf_dir):
     from polarity.operators.preprocess import preprocess_dataframe
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = preprocess_dataframe(docs, "text", "processed_text", lemmatize_text=True,
-                               lemma_table=lemma_frame(spark, P.QUERY_LEMMAS), id_col="doc_id",
-                               custom_stopwords=P.CUSTOM_STOPWORDS, lemma_rows=len(P.QUERY_LEMMAS))
+                               lemma_table=lemma_frame(spark, P.QUERY_LEMMAS),
+                               custom_stopwords=P.CUSTOM_STOPWORDS)
     return out.select("doc_id", "processed_text")
 
 
 @query("t12_finance_stopwords")
 def q_t12(spark, sf_dir):
-    from polarity import resources
     docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", preprocess("text", extra_stopwords=resources.finance_stopwords())
-                       .alias("processed_text"))
+    return docs.select("doc_id", preprocess("text", extra_stopwords=P.EXTRA_STOPWORDS).alias("processed_text"))

@@ -153,6 +153,60 @@ SELECT w.doc_id, {cols}, w.a_label, w.b_label, {kcols}, k.label AS k_label
 FROM wide w JOIN k0 k ON w.doc_id = k.doc_id""")
 
 
+@sql("m8_distribution")
+def _m8_distribution():
+    return model_a() + f"""
+SELECT label, count(*)::BIGINT AS n, {r6("100.0 * count(*) / sum(count(*)) OVER ()", "pct")} FROM a_labelled GROUP BY label"""
+
+
+@sql("m8_agreement")
+def _m8_agreement():
+    pct = r6("100.0 * count(*) FILTER (a_label = label) / count(*)", "agreement_pct")
+    return two_models() + ", " + keyword_cte("k0") + f""", pairs AS (
+  SELECT 'b' AS model, a_label, b_label AS label FROM wide
+  UNION ALL SELECT 'k', a_label, label FROM wide JOIN k0 USING (doc_id))
+SELECT model, {pct}, count(*)::BIGINT AS n_rows FROM pairs GROUP BY model"""
+
+
+@sql("m8_examples")
+def _m8_examples():
+    clean = clean_sql("text")
+    return model_a() + f""", ranked AS (
+  SELECT doc_id, label, positive, row_number() OVER (PARTITION BY label ORDER BY md5('{P.SEED}:' || doc_id), doc_id) AS rk FROM a_labelled)
+SELECT r.doc_id, r.label AS a_label, printf('%.4f', r.positive) AS a_positive, substr({clean}, 1, 100) || '...' AS preview
+FROM ranked r JOIN documents d ON d.doc_id = r.doc_id
+WHERE rk <= {P.SAMPLE_EXAMPLES} // (SELECT count(DISTINCT label) FROM a_labelled)"""
+
+
+def _scored(table: str, keys: str) -> str:
+    """CTEs and columns of model A over a table with the given key columns."""
+    toks = stop_filter_sql(tokens_sql(clean_sql("text")))
+    names = [k.strip() for k in keys.split(",")]
+    cols = ", ".join(r6(c, f"sentiment_{c}") for c in CLASSES)
+    return (f"WITH tm AS (SELECT {keys}, {toks} AS toks FROM {table})" + model("m", "tm", names if len(names) > 1 else keys)
+            + f"\nSELECT {keys}, {cols}, label AS sentiment_label FROM m_labelled")
+
+
+@sql("m3_score_documents")
+def _m3_documents():
+    return _scored("documents", "doc_id")
+
+
+@sql("m3_score_conversations")
+def _m3_conversations():
+    return _scored("conversations", "conv_id, turn")
+
+
+@sql("m9_score_if_needed")
+def _m9():
+    return _scored("documents", "doc_id")
+
+
+@sql("m5_scorer_by_name")
+def _m5():
+    return ORACLE["m4_compare_models"]
+
+
 @sql("m10_company_pipeline")
 def _m10():
     toks = stop_filter_sql(tokens_sql(clean_sql("text")))
@@ -210,20 +264,13 @@ def _t9():
 
 @sql("t14_softmax_logits")
 def _t14():
-    names = P.LOGIT_LABELS
     return f"""WITH l AS (
-  SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS l0, CAST(embedding[2] AS DOUBLE) AS l1,
-         CAST(embedding[3] AS DOUBLE) AS l2 FROM embeddings
-), e AS (
-  SELECT vec_id, exp(l0 - greatest(l0, l1, l2)) AS e0, exp(l1 - greatest(l0, l1, l2)) AS e1,
-         exp(l2 - greatest(l0, l1, l2)) AS e2 FROM l
-), p AS (
-  SELECT vec_id, e0 / (e0 + e1 + e2) AS p0, e1 / (e0 + e1 + e2) AS p1, e2 / (e0 + e1 + e2) AS p2 FROM e
-)
-SELECT vec_id, {r6('p0', names[0])}, {r6('p1', names[1])}, {r6('p2', names[2])},
-  CASE WHEN p0 >= p1 AND p0 >= p2 THEN {lit(names[0])} WHEN p1 >= p2 THEN {lit(names[1])}
-       ELSE {lit(names[2])} END AS label
-FROM p"""
+  SELECT vec_id, unnest(embedding)::DOUBLE AS logit, unnest(range(len(embedding))) AS class FROM embeddings
+), m AS (SELECT vec_id, max(logit) AS top FROM l GROUP BY vec_id),
+e AS (SELECT vec_id, class, exp(logit - top) AS e FROM l JOIN m USING (vec_id)),
+p AS (SELECT vec_id, class, e / sum(e) OVER (PARTITION BY vec_id) AS p FROM e)
+SELECT vec_id, {r6('max(p)', 'top')}, (min_by(class, (-p, class)))::VARCHAR AS label, {r6('sum(p * p)', 'sum_of_squares')}
+FROM p GROUP BY vec_id"""
 
 
 @sql("t15_truncate_tokens")
@@ -594,7 +641,6 @@ def _t11():
 @sql("t12_finance_stopwords")
 def _t12():
     from polarity import resources
-    words = list(resources.english_stopwords()) + [w for w in resources.finance_stopwords()
-                                                   if w not in resources.english_stopwords()]
+    words = list(resources.english_stopwords()) + [w for w in P.EXTRA_STOPWORDS if w not in resources.english_stopwords()]
     toks = stop_filter_sql(tokens_sql(clean_sql("text")), words)
     return f"SELECT doc_id, array_to_string({toks}, ' ') AS processed_text FROM documents"

@@ -28,6 +28,7 @@ QUERY_KEYWORDS = (
 )
 # Class order of the logits in ``embeddings`` and of the keyword model.
 LOGIT_LABELS = ("positive", "negative", "neutral")
+LOGIT_CLASSES = 64
 # Class order used by the training labels (0 negative, 1 neutral, 2 positive).
 TRAIN_LABELS = ("negative", "neutral", "positive")
 
@@ -40,12 +41,15 @@ TOP_PER_COMPANY = 10
 TOP_DISAGREEMENTS = 5
 SAMPLE_EXAMPLES = 10
 SEED = 42
+BOX_BLOCKS = 16
 ROLLING_ROWS = 5
 ROLLING_DAYS = 3
 # Companies searched for in the mention query (fixture words standing in for tickers).
 COMPANIES = (("DER", "der"), ("QUE", "que"), ("ES", "es"), ("THTH", "thth"), ("ZU", "zu"))
 # Custom stop-word list (replaces the default) for the T8 custom query.
 CUSTOM_STOPWORDS = ("de", "la", "der", "die", "que", "le", "des", "und", "et", "les", "un", "el")
+# Words a caller adds to the stop words.
+EXTRA_STOPWORDS = ("tion", "ment", "ing", "ly", "en", "que", "heit", "keit")
 # Query lemma table (token -> lemma) over fixture tokens.
 QUERY_LEMMAS = (("des", "de"), ("les", "le"), ("der", "die"), ("den", "die"), ("une", "un"),
                 ("los", "el"), ("das", "die"), ("ing", "in"), ("ed", "e"))

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from polarity.functions.text import preprocess
+from polarity.functions.text import preprocess, preview
 from polarity.operators import analytics as A
 from polarity.operators import ranking as R
 from polarity.operators import reshape as U
@@ -22,6 +22,7 @@ from polarity.operators import sampling as L
 from polarity.operators.scoring import Scorer, create_scorer
 from polarity.schemas import SCORE_CLASSES, require_columns
 from polarity.sources.files import write_csv, write_parquet
+from polarity.sources.filters import lookback, mentions_any
 
 SOURCES = ("news", "twitter", "both")
 
@@ -29,17 +30,27 @@ SOURCES = ("news", "twitter", "both")
 def company_pipeline(news: DataFrame | None = None, posts: DataFrame | None = None,
                      model: str | Scorer | None = None, do_preprocess: bool = True,
                      sources: str = "news", as_of: str | None = None,
-                     custom_stopwords: Sequence[str] | None = None) -> dict[str, DataFrame]:
+                     custom_stopwords: Sequence[str] | None = None,
+                     companies: Sequence[tuple[str, str]] | None = None, days: int | None = None,
+                     per_company: int | None = None) -> dict[str, DataFrame]:
     """M10 for any number of companies at once (no loop over companies).
 
     ``news``: normalised articles (``articles()``), ``posts``: normalised
     posts (``posts()``); ``sources`` picks news, twitter or both. The rows
-    are united (U1), their text processed (clean + stop words, no lemma),
-    scored, given the run date where they have none, and averaged per
-    company (A1). Returns ``scored`` and ``means``.
+    are united (U1), collected, their text processed (clean + stop words, no
+    lemma), scored in the row, given the run date where they have none, and
+    averaged per company (A1). Returns ``scored`` and ``means``.
+
+    Collecting, each off unless given: ``companies``, pairs of (company, search
+    term), keeps rows whose text holds a term of their company (S7) and names
+    the company of rows that come without one; ``days`` keeps rows dated in
+    that many days before ``as_of`` (S8); ``per_company`` keeps the newest rows
+    of each source type and company (L1).
     """
     if sources not in SOURCES:
         raise ValueError(f"sources must be one of {SOURCES}")
+    if days is not None and as_of is None:
+        raise ValueError("days needs as_of, the day the window ends")
     frames = {}
     if sources in ("news", "both") and news is not None:
         frames["news"] = news
@@ -48,20 +59,22 @@ def company_pipeline(news: DataFrame | None = None, posts: DataFrame | None = No
     if not frames:
         raise ValueError("no input for the chosen sources")
     both = U.union_sources(frames)
+    if companies is not None:
+        both = of_companies(both, companies)
     require_columns(both, ["text", "company"])
-    # a stable key for the per-text aggregation of the lexicon scorer
-    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("source_type", "company", "url", "id", "position")
-             if c in both.columns]
-    both = both.withColumn("_key", F.sha2(F.concat_ws("\u0001", *parts), 256))
+    if "date" not in both.columns and as_of is not None:
+        both = both.withColumn("date", F.lit(as_of).cast("date"))
+    if days is not None:
+        both = lookback(both, "date", as_of, days)
+    if per_company is not None:
+        newest = [F.desc("date")] if "date" in both.columns else []
+        both = L.first_k_per_group(both, ["source_type", "company"], [*newest, F.xxhash64("text"), "text"], per_company)
     text_col = "text"
     if do_preprocess:
         both = both.withColumn("processed_text", preprocess("text", custom_stopwords=custom_stopwords))
         text_col = "processed_text"
     scorer = model if isinstance(model, Scorer) else create_scorer(model)
-    scored = scorer.score(both, text_col, "_key")
-    if "date" not in scored.columns and as_of is not None:
-        scored = scored.withColumn("date", F.lit(as_of).cast("date"))
-    scored = scored.drop("_key")
+    scored = scorer.score(both, text_col)
     return {"scored": scored, "means": A.mean_scores(scored, ["company"])}
 
 
@@ -73,53 +86,68 @@ def write_company_outputs(results: dict[str, DataFrame], out_dir: str, run_ts: s
     write_csv(results["means"].withColumn("run_ts", F.lit(run_ts)), os.path.join(out_dir, f"means_{run_ts}"))
 
 
+def of_companies(df: DataFrame, companies: Sequence[tuple[str, str]]) -> DataFrame:
+    """Rows whose text holds a search term of their company; a row without a
+    company comes out once for each company it mentions."""
+    if "company" not in df.columns:
+        df = df.withColumn("company", F.lit(None).cast("string"))
+    names: dict[str, list[str]] = {}
+    for company, term in companies:
+        names.setdefault(company, []).append(term)
+    found = F.array(*[F.when(F.coalesce(mentions_any("text", terms), F.lit(False)), F.lit(company)) for company, terms in names.items()])
+    rows = df.withColumn("_company", F.explode(F.array_compact(found)))
+    return (rows.filter(F.col("company").isNull() | (F.col("company") == F.col("_company")))
+            .withColumn("company", F.col("_company")).drop("_company"))
+
+
+def example_table(df: DataFrame, text_col: str, score_cols: Sequence[str], width: int = 100, places: int = 4) -> DataFrame:
+    """A preview of the text first, scores as text with fixed places."""
+    shown = df.withColumns({c: F.format_string(f"%.{places}f", F.col(c)) for c in score_cols})
+    return shown.withColumn("preview", preview(text_col, width))
+
+
 def dashboard(df: DataFrame, text_col: str, id_col: str, models: dict[str, str | Scorer],
               reference: str | None = None, num_examples: int = 10, seed: int = 42,
-              out_dir: str | None = None, balanced_stats: bool = False) -> dict[str, DataFrame]:
+              out_dir: str | None = None, num_disagreements: int | None = 5,
+              compare: bool = True) -> dict[str, DataFrame]:
     """M8: every model's four columns next to the input (``{name}_*``) and
     the report tables over them: label distribution of the reference model
     (A4), box statistics of all scores by the reference label (A11),
     stratified examples (L3), agreement of each model with the reference
     (A5) and the largest disagreements with it (L2).
 
-    With ``out_dir`` the wide table is written once (parquet) and the
-    reports read it back; all tables are written there too.
-    ``balanced_stats`` computes the exact box statistics with bounded tasks
-    (for label groups with very many distinct scores).
+    The input is read once by the wide table. With ``out_dir`` that table is
+    written (parquet) and the reports read it back; all tables are written
+    there too. Without it each report computes the scores it needs.
+    ``compare=False`` reports on the reference model alone;
+    ``num_disagreements=None`` lists all disagreements.
     """
     require_columns(df, [text_col, id_col])
     names = list(models)
     reference = reference or names[0]
     wide = df
-    scorers = {n: (m if isinstance(m, Scorer) else create_scorer(m)) for n, m in models.items()}
-    # row-wise scorers (Arrow models) add their columns on the rows; scorers
-    # that aggregate per text (lexicon) are joined back by the id
-    for name, scorer in scorers.items():
-        if not scorer.needs_id:
-            wide = scorer.score(wide, text_col, id_col, f"{name}_")
-    for name, scorer in scorers.items():
-        if scorer.needs_id:
-            sc = scorer.scores(df.select(id_col, text_col), text_col, id_col, f"{name}_")
-            wide = wide.join(sc, id_col, "left")
+    for name, m in models.items():  # each scorer adds its columns to the rows
+        wide = (m if isinstance(m, Scorer) else create_scorer(m)).score(wide, text_col, id_col, f"{name}_")
     spark = df.sparkSession
     if out_dir:
         path = os.path.join(out_dir, "side_by_side")
         write_parquet(wide, path, mode="overwrite")
         wide = spark.read.parquet(path)
     ref_label = f"{reference}_label"
+    names = names if compare else [reference]
     score_cols = [f"{n}_{c}" for n in names for c in SCORE_CLASSES]
     long = U.melt_scores(wide, [id_col, ref_label], score_cols)
     out = {
         "side_by_side": wide,
         "distribution": A.label_distribution(wide, ref_label),
-        "box": A.box_stats(long, ["model", "score_type", ref_label], "score", balanced=balanced_stats),
-        "examples": L.stratified_sample(wide, ref_label, id_col, num_examples, seed),
+        "box": A.box_stats(long, ["model", "score_type", ref_label], "score"),
+        "examples": example_table(L.stratified_sample(wide, ref_label, id_col, num_examples, seed), text_col, score_cols),
     }
     for other in names:
         if other == reference:
             continue
         out[f"agreement_{other}"] = A.agreement(wide, ref_label, f"{other}_label")
-        out[f"disagreements_{other}"] = R.top_disagreements(wide, ref_label, f"{other}_label", id_col, 5)
+        out[f"disagreements_{other}"] = R.top_disagreements(wide, ref_label, f"{other}_label", id_col, num_disagreements)
     if out_dir:
         for key, frame in out.items():
             if key != "side_by_side":

@@ -24,12 +24,6 @@ def english_stopwords() -> tuple[str, ...]:
     return _lines("stopwords_en.txt")
 
 
-@lru_cache(maxsize=None)
-def finance_stopwords() -> tuple[str, ...]:
-    """Own list of finance filler words. Holds no polarity words on purpose."""
-    return _lines("finance_stopwords_en.txt")
-
-
 @lru_cache(maxsize=None)
 def negators() -> tuple[str, ...]:
     return _lines("negators_en.txt")

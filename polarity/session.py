@@ -33,38 +33,28 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     conf.update(extra or {})
     for k, v in conf.items():
         builder = builder.config(k, v)
-    spark = builder.getOrCreate()
-    ensure_checkpoint_dir(spark)
-    return spark
+    return builder.getOrCreate()
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the shared folder named by ``spark.checkpoint.dir``.
+    """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only when the session names none (local runs, tests) a fresh local folder
-    is taken; a cluster must name a shared one.
+    A cluster session must name one: a folder of one machine would be lost or
+    unreadable for the others. Only a ``local`` session, which has no other
+    machine, gets a fresh folder when it names none.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not path:
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="polarity-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
-    try:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(path)
-    except Exception:  # a connect session has no SparkContext: the conf is used
-        pass
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(path)
     return path
 
 
-def task_slots(spark: SparkSession) -> int:
-    """Number of parallel task slots (default parallelism)."""
-    try:
-        return spark.sparkContext.defaultParallelism
-    except Exception:  # a connect session has no SparkContext
-        return int(spark.conf.get("spark.default.parallelism",
-                                  spark.conf.get("spark.sql.shuffle.partitions", "200")))
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub folder of the checkpoint dir for written intermediate tables."""
     base = ensure_checkpoint_dir(spark)

@@ -11,10 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from polarity.functions.text import compose_text, date_or, url_domain
+from polarity.functions.text import compose_text, date_or, url_domain, utc_timestamp
 from polarity.operators.reshape import ensure_columns
 from polarity.operators.sampling import first_k_per_group
 from polarity.schemas import ARTICLE_RESPONSE, require_columns
+from polarity.sources.filters import lookback
 
 EXPECTED = ("url", "domain", "title", "text", "date")
 
@@ -32,9 +33,9 @@ def split_responses(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def explode_articles(responses: DataFrame) -> DataFrame:
-    """One row per article with its 1-based ``position`` in the response."""
-    return (responses.select("company", F.posexplode("articles").alias("_pos", "a"))
-            .select("company", (F.col("_pos") + 1).cast("int").alias("position"), "a.*"))
+    """One row per article with its response's file and its 1-based ``position`` there."""
+    return (responses.select("_file", "company", F.posexplode("articles").alias("_pos", "a"))
+            .select("_file", "company", (F.col("_pos") + 1).cast("int").alias("position"), "a.*"))
 
 
 def normalise_articles(df: DataFrame, as_of: str | None = None) -> DataFrame:
@@ -57,17 +58,26 @@ def normalise_articles(df: DataFrame, as_of: str | None = None) -> DataFrame:
     return out.withColumn("source_type", F.lit("news"))
 
 
-def articles(spark: SparkSession, path: str, per_company: int = 10,
+def articles(spark: SparkSession, path: str, per_company: int | None = None, days: int | None = None,
              as_of: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """S1 end to end: (articles, rejected responses); first ``per_company``
-    articles of each company in response order (L1)."""
+    """S1 end to end: (articles, rejected responses).
+
+    ``days`` keeps articles published in that many days before ``as_of``
+    (which it needs); ``per_company`` the first articles of each company in
+    the order of (response file, position, url) (L1). Both are off unless given.
+    """
+    if days is not None and as_of is None:
+        raise ValueError("days needs as_of, the day the window ends")
     ok, bad = split_responses(read_article_responses(spark, path))
-    arts = first_k_per_group(explode_articles(ok), ["company"], ["position"], per_company)
-    return normalise_articles(arts, as_of), bad
+    arts = explode_articles(ok)
+    if days is not None:
+        arts = lookback(arts.withColumn("_ts", utc_timestamp("publishedAt")), "_ts", as_of, days).drop("_ts")
+    arts = first_k_per_group(arts, ["company"], ["_file", "position", "url"], per_company)
+    return normalise_articles(arts.drop("_file"), as_of), bad
 
 
-def url_list(df: DataFrame, k: int = 10, group_cols=("company",), order_col: str = "position") -> DataFrame:
-    """Rows with a non-empty url, first ``k`` per group."""
+def url_list(df: DataFrame, k: int | None = None, group_cols=("company",), order_col: str = "position") -> DataFrame:
+    """Rows with a non-empty url; the first ``k`` per group if given."""
     require_columns(df, ["url", order_col, *group_cols])
     kept = df.filter(F.coalesce(F.col("url"), F.lit("")) != "")
     return first_k_per_group(kept, list(group_cols), [order_col], k)

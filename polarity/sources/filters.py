@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from polarity.functions.text import basic_clean, tokenize
 from polarity.operators.joins import broadcast_checked
 from polarity.schemas import require_columns
 
@@ -18,23 +17,43 @@ from polarity.schemas import require_columns
 def mentions_one(df: DataFrame, text_col: str, term: str) -> DataFrame:
     """S7 for one company: the term as a whole word, any case (also ``$TERM``)."""
     require_columns(df, [text_col])
-    return df.filter(F.col(text_col).rlike(r"(?i)\b" + re.escape(term) + r"\b"))
+    return df.filter(mentions_any(text_col, [term]))
+
+
+def mentions_any(text_col: str, terms: Sequence[str]) -> F.Column:
+    """True where the text holds one of the terms as whole words, in any case."""
+    # a term may begin or end with a sign ($, .), where \b would never match
+    found = "|".join(re.escape(t) for t in terms)
+    return F.col(text_col).rlike(rf"(?iu)(?<![\p{{L}}\p{{N}}])(?:{found})(?![\p{{L}}\p{{N}}])")
 
 
 def mentions(df: DataFrame, text_col: str, id_col: str, companies: DataFrame,
-             company_col: str = "company", term_col: str = "term",
-             companies_rows: int | None = None) -> DataFrame:
+             company_col: str = "company", term_col: str = "term") -> DataFrame:
     """S7 for many companies: ``(id, company)`` for every text that holds a
-    company's term as a token (after cleaning, so ``$term`` counts).
+    company's term as whole words, in any case.
 
-    Tokens are exploded and joined with the size-checked company table; the
-    distinct (id, company) pairs come from a partial aggregation.
+    Texts and terms are split by the same rule (runs of letters and digits),
+    so ``$AAPL``, "Goldman Sachs", ``BRK.B`` and ``3M`` are found. Tokens are
+    joined with the size-checked table of first words, and the words that
+    follow are compared in the row; the distinct pairs come from a partial
+    aggregation. A term without letters or digits matches nothing.
     """
     require_columns(df, [text_col, id_col])
-    terms = companies.select(F.lower(F.col(term_col)).alias("_term"), F.col(company_col).alias("company"))
-    terms = broadcast_checked(terms, known_rows=companies_rows)
-    toks = df.select(id_col, F.explode(F.array_distinct(tokenize(basic_clean(text_col)))).alias("_tok"))
-    return toks.join(terms, toks["_tok"] == terms["_term"], "inner").select(id_col, "company").distinct()
+    terms = (companies.select(_words(F.col(term_col)).alias("_term"), F.col(company_col).alias("company"))
+             .filter(F.size("_term") > 0).select(F.col("_term")[0].alias("_first"), "_term", "company"))
+    terms = broadcast_checked(terms)
+    words = df.select(id_col, _words(F.col(text_col)).alias("_words"))
+    longest = int(companies.agg(F.max(F.size(_words(F.col(term_col))))).first()[0] or 0)
+    starts = F.transform("_words", lambda w, i: F.struct(w.alias("first"), F.slice(F.col("_words"), i + 1, max(longest, 1)).alias("run")))
+    toks = words.select(id_col, F.explode(F.array_distinct(starts)).alias("_s"))
+    hit = toks.join(terms, F.col("_s.first") == F.col("_first"), "inner")
+    hit = hit.filter(F.slice(F.col("_s.run"), F.lit(1), F.size("_term")) == F.col("_term"))
+    return hit.select(id_col, "company").distinct()
+
+
+def _words(text: F.Column) -> F.Column:
+    """Lower-case runs of letters and digits."""
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
 def companies_frame(spark: SparkSession, pairs: Sequence[tuple[str, str]]) -> DataFrame:

@@ -152,7 +152,7 @@ def _parse(html: pd.Series) -> pd.DataFrame:
             t, x = extract(h)
             titles.append(t), texts.append(x), errors.append(None)
         except Exception as e:  # one bad page must not stop the others (S6)
-            titles.append(None), texts.append(None), errors.append(f"{type(e).__name__}: {e}"[:500])
+            titles.append(None), texts.append(None), errors.append(f"{type(e).__name__}: {e}")
     return pd.DataFrame({"title": titles, "text": texts, "error": errors})
 
 

@@ -2,7 +2,7 @@
 
 Saved responses are read from a landing folder. The author of a post is
 looked up in the ``includes.users`` list of the same response (first match
-or null), as a join keyed by (file, user id).
+or null), inside the row.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polarity.functions.text import date_or
+from polarity.functions.text import date_or, utc_timestamp
 from polarity.schemas import POST_RESPONSE
 
 RETWEET_PREFIX = "RT @"
@@ -23,18 +23,14 @@ def read_post_responses(spark: SparkSession, path: str) -> DataFrame:
 
 def explode_posts(responses: DataFrame) -> DataFrame:
     """Rows ``id, text, created_at, author_id, username, like_count,
-    retweet_count, reply_count, lang, company``; empty ``data`` gives none."""
-    posts = (responses.select("_file", "company", F.posexplode("data").alias("position", "p"))
-             .select("_file", "company", (F.col("position") + 1).cast("int").alias("position"), "p.*"))
-    users = (responses.select("_file", F.posexplode("includes.users").alias("_upos", "u"))
-             .select("_file", "_upos", F.col("u.id").alias("_uid"), F.col("u.username").alias("username")))
-    # first match per (file, user id): smallest position in the users list
-    first = (users.groupBy("_file", "_uid")
-             .agg(F.min_by("username", "_upos").alias("username")))
-    joined = posts.join(first, (posts["_file"] == first["_file"]) & (posts["author_id"] == first["_uid"]),
-                        "left").drop(first["_file"]).drop("_uid")
-    return joined.select(
-        "id", "text", "created_at", "author_id", "username",
+    retweet_count, reply_count, lang, company``, with the response's file and
+    the ``position`` in it; empty ``data`` gives none."""
+    posts = (responses.select("_file", "company", F.col("includes.users").alias("_users"),
+                              F.posexplode("data").alias("position", "p"))
+             .select("_file", "company", "_users", (F.col("position") + 1).cast("int").alias("position"), "p.*"))
+    same = F.filter("_users", lambda u: u["id"] == F.col("author_id"))
+    return posts.select(
+        "_file", "id", "text", "created_at", "author_id", F.get(same, F.lit(0))["username"].alias("username"),
         F.col("public_metrics.like_count").alias("like_count"),
         F.col("public_metrics.retweet_count").alias("retweet_count"),
         F.col("public_metrics.reply_count").alias("reply_count"),
@@ -46,7 +42,7 @@ def normalise_posts(df: DataFrame, source_name: str = "twitter") -> DataFrame:
     return df.select(
         F.col("id"), F.col("text").alias("content"), date_or("created_at").alias("date"),
         F.lit(source_name).alias("source"), F.col("company"),
-        F.try_to_timestamp(F.col("created_at")).alias("published_at"))
+        utc_timestamp("created_at").alias("published_at"))
 
 
 def english_original(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -55,15 +51,20 @@ def english_original(df: DataFrame, text_col: str = "text", lang_col: str = "lan
                      ~F.coalesce(F.col(text_col).startswith(RETWEET_PREFIX), F.lit(False)))
 
 
-def posts(spark: SparkSession, path: str, per_company: int = 50, days: int = 7,
-          as_of: str | None = None) -> DataFrame:
-    """S2 end to end: English originals in the look-back window (capped at
-    7 days), first ``per_company`` per company, normalised."""
+def posts(spark: SparkSession, path: str, per_company: int | None = None, days: int | None = None,
+          as_of: str | None = None, days_cap: int | None = None) -> DataFrame:
+    """S2 end to end: English originals, normalised.
+
+    ``days`` keeps the look-back window of that many days before ``as_of``
+    (which it needs), ``days_cap`` limits it (the recent-search API gives 7);
+    ``per_company`` keeps the first rows of each company in the order of
+    (response file, position, id). Both are off unless given.
+    """
     from polarity.operators.sampling import first_k_per_group
     from polarity.sources.filters import lookback
+    if days is not None and as_of is None:
+        raise ValueError("days needs as_of, the day the window ends")
     rows = english_original(explode_posts(read_post_responses(spark, path)))
-    if as_of is not None:
-        rows = lookback(rows.withColumn("_ts", F.try_to_timestamp("created_at")), "_ts", as_of,
-                        min(days, 7)).drop("_ts")
-    rows = first_k_per_group(rows, ["company"], ["position"], min(per_company, 100))
-    return normalise_posts(rows)
+    if days is not None:
+        rows = lookback(rows.withColumn("_ts", utc_timestamp("created_at")), "_ts", as_of, days, days_cap).drop("_ts")
+    return normalise_posts(first_k_per_group(rows, ["company"], ["_file", "position", "id"], per_company))

@@ -4,26 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from polarity.session import task_slots
 
-# Tables whose rows carry long texts (per-row work is heavy), with their key.
-TEXT_TABLES = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id",
-               "benchmark": "item_id"}
-
-
-def read_table(spark: SparkSession, path: str, spread_key: str | None = None) -> DataFrame:
-    """Parquet table; with ``spread_key``, an input of fewer files than
-    task slots is hash-partitioned on that key over the slots.
-
-    A large table has many splits already and is read as it is (no
-    shuffle). A small text table (few files, one row group each) would
-    otherwise run all its text work in one task; partitioning it on its key
-    also lets later aggregations and joins on that key skip their shuffle.
-    Filters and column pruning still reach the scan below the repartition.
-    """
-    df = spark.read.parquet(path)
-    if spread_key:
-        slots = task_slots(spark)
-        if len(df.inputFiles()) < slots:
-            df = df.repartition(slots, spread_key)
-    return df
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """Parquet table, read as it is. How finely a file is split is up to
+    ``spark.sql.files.maxPartitionBytes`` and its row groups."""
+    return spark.read.parquet(path)

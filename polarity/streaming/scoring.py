@@ -9,8 +9,6 @@ run again after a failure replaces its own output: the sink is idempotent.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,7 +16,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from polarity.functions.text import preprocess
 from polarity.operators.scoring import Scorer, create_scorer
-from polarity.session import scratch_path
 
 
 def score_batch(batch: DataFrame, text_col: str, id_col: str, scorer: Scorer,
@@ -32,11 +29,12 @@ def score_batch(batch: DataFrame, text_col: str, id_col: str, scorer: Scorer,
 
 def score_stream(spark: SparkSession, source_path: str, schema: T.StructType, sink_path: str,
                  text_col: str = "text", id_col: str = "id", model: str | Scorer | None = None,
-                 fmt: str = "parquet", checkpoint: str | None = None, available_now: bool = True,
-                 max_files_per_trigger: int | None = None) -> StreamingQuery:
+                 fmt: str = "parquet", available_now: bool = True,
+                 max_files_per_trigger: int | None = None, *, checkpoint: str) -> StreamingQuery:
     """Start the stream; with ``available_now`` it processes what is there
-    and stops. The checkpoint defaults to a folder under the shared
-    ``spark.checkpoint.dir``."""
+    and stops. ``checkpoint`` is a folder of this stream alone, in a store that
+    outlives the session: a stream started again with another one would count
+    its batches from 0 and replace the output of earlier ones."""
     scorer = model if isinstance(model, Scorer) else create_scorer(model)
     reader = spark.readStream.schema(schema).format(fmt)
     if max_files_per_trigger:
@@ -49,7 +47,6 @@ def score_stream(spark: SparkSession, source_path: str, schema: T.StructType, si
          .partitionBy("batch_id").parquet(sink_path))
 
     writer = (stream.writeStream.foreachBatch(write_batch)
-              .option("checkpointLocation", checkpoint or scratch_path(spark, os.path.join(
-                  "streams", os.path.basename(os.path.normpath(sink_path))))))
+              .option("checkpointLocation", checkpoint))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
     return writer.start()

@@ -22,11 +22,13 @@ def test_entry_runs(spark):
 def test_every_query_has_sql_or_is_documented():
     qs, sql = E.queries(), E.oracle_sql()
     assert set(sql) <= set(qs)
-    assert set(qs) - set(sql) == ROWS_ONLY
+    own = {q for q in qs if not q.startswith("op") and q != "pipeline"}  # the others may be absent
+    assert own - set(sql) == ROWS_ONLY
 
 
 FAST = ["a1_mean_by_company", "m1_lexicon_scores", "a11_box_stats", "l4_stratified_split",
-        "s5_page_articles", "w1_rolling_mean_balanced", "t6_clean_text", "m2_model_scores"]
+        "s5_page_articles", "w1_rolling_mean_balanced", "t6_clean_text", "m2_model_scores",
+        "m3_score_documents", "m8_side_by_side", "m8_examples", "m10_company_pipeline", "t14_softmax_logits", "l3_stratified_sample"]
 
 
 @pytest.mark.parametrize("name", FAST)

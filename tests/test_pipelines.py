@@ -45,9 +45,34 @@ def test_dashboard(spark, tmp_dir):
     assert out["box"].count() > 0 and out["examples"].count() > 0
     assert 0 <= out["agreement_kw"].first().agreement_pct <= 100
     assert os.path.isdir(os.path.join(tmp_dir, "dash", "box"))
-    balanced = PL.dashboard(df, "text", "id", models, balanced_stats=True)["box"]
+    lazy = PL.dashboard(df, "text", "id", models)
     cols = ["model", "score_type", "lex_label", "n", "q1", "median", "q3", "n_outliers"]
-    assert balanced.select(cols).exceptAll(out["box"].select(cols)).count() == 0
+    assert lazy["box"].select(cols).exceptAll(out["box"].select(cols)).count() == 0
+    plan = lazy["side_by_side"]._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    shown = out["examples"].first()
+    assert shown.preview.endswith("...") and len(shown.lex_positive.split(".")[1]) == 4
+    alone = PL.dashboard(df, "text", "id", models, compare=False, num_disagreements=None)
+    assert "agreement_kw" not in alone and {r.model for r in alone["box"].collect()} == {"lex"}
+
+
+def test_company_pipeline_collects(spark):
+    rows = [("ACME", "good ACME news", "2024-01-29", "u1"), ("ACME", "bad acme news", "2024-01-28", "u1"), ("ACME", "nothing of it", "2024-01-29", "u2"),
+            (None, "Big Blue and $ACME", "2024-01-30", "u3"), ("BLUE", "old big  blue", "2023-01-30", "u4"), ("BLUE", "good big blue", "2024-01-25", "u5")]
+    news = spark.createDataFrame(rows, "company string, text string, date string, url string").withColumn("date", F.col("date").cast("date"))
+    out = PL.company_pipeline(news, model=LexiconScorer(LEX), companies=[("ACME", "acme"), ("BLUE", "big blue")], days=7, as_of="2024-01-30")
+    got = sorted((r.company, r.text) for r in out["scored"].collect())
+    assert got == [("ACME", "Big Blue and $ACME"), ("ACME", "bad acme news"), ("ACME", "good ACME news"), ("BLUE", "Big Blue and $ACME"), ("BLUE", "good big blue")]
+    top = PL.company_pipeline(news, model=LexiconScorer(LEX), companies=[("ACME", "acme"), ("BLUE", "big blue")], per_company=1)
+    assert {(r.company, r.text) for r in top["scored"].collect()} == {("ACME", "Big Blue and $ACME"), ("BLUE", "Big Blue and $ACME")}
+    with pytest.raises(ValueError):
+        PL.company_pipeline(news, days=3)
+
+
+def test_company_pipeline_scores_each_row_by_itself(spark):
+    news = spark.createDataFrame([("A", "good"), ("A", "bad"), ("A", "good"), ("A", "table")], "company string, text string")
+    got = sorted((r.text, r.sentiment_label, r.sentiment_neutral) for r in PL.company_pipeline(news, model=LexiconScorer([("good", 2.0), ("bad", -2.0)]))["scored"].collect())
+    assert got == [("bad", "negative", 0.0), ("good", "positive", 0.0), ("good", "positive", 0.0), ("table", "neutral", 1.0)]
 
 
 def test_stream_scoring_matches_batch(spark, tmp_dir):

@@ -13,11 +13,9 @@ def executed(df):
 
 def test_flagship_exchanges(spark):
     plan = executed(C.QUERIES["a1_mean_by_company"](spark, SF01))
-    # the key spread of the small input and the final group-by; the per-text
-    # aggregation reuses the key partitioning, the lexicon is broadcast
-    assert plan.count("Exchange hashpartitioning") == 2
-    assert "BroadcastHashJoin" in plan
-    assert "Python" not in plan
+    # texts are scored where they are read: one scan, the final group-by, no join
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("FileScan parquet") == 1
+    assert "Join" not in plan and "Python" not in plan
 
 
 def test_text_functions_stay_in_jvm(spark):
@@ -30,6 +28,23 @@ def test_top_k_limits_before_shuffle(spark):
     assert "WindowGroupLimit" in plan
 
 
+def test_lemmas_and_scores_stay_in_the_row(spark):
+    for q in ("t9_lemmatize", "t11_preprocess_lemmatized", "m3_score_documents", "m4_compare_models", "m8_side_by_side", "p7_preview"):
+        plan = executed(C.QUERIES[q](spark, SF01))
+        assert "Exchange" not in plan and "Join" not in plan and plan.count("FileScan parquet") == 1, q
+
+
+def test_split_shuffles_ids_only(spark):
+    from polarity.operators.sampling import stratified_split
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = spark.read.parquet(f"{SF01}/documents.parquet")
+        plan = executed(stratified_split(docs, "lang", "doc_id"))
+        assert "Exchange hashpartitioning" not in plan and "BroadcastNestedLoopJoin" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_two_models_one_pass(spark):
     plan = executed(C.QUERIES["a5_agreement"](spark, SF01))
     assert plan.count("FileScan parquet") == 1

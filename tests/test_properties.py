@@ -35,7 +35,7 @@ def test_clean_equals_python(spark, batch):
 def test_lexicon_equals_brute_force(spark, batch):
     df = spark.createDataFrame(list(enumerate(batch)), "id long, t string")
     toks = {r.id: r.k for r in df.select("id", X.tokenize(X.basic_clean("t")).alias("k")).collect()}
-    sc = {r.id: r for r in S.LexiconScorer(LEX, NEG, DEG).scores(df, "t", "id", "", with_compound=True).collect()}
+    sc = {r.id: r for r in S.LexiconScorer(LEX, NEG, DEG).score(df, "t", None, "", with_compound=True).collect()}
     for i, t in toks.items():
         p, n, z, c, lab = brute(t)
         r = sc[i]

@@ -64,10 +64,3 @@ def test_split_repeatable(labelled):
     a = L.stratified_split(df, "label", "id")
     b = L.stratified_split(df, "label", "id")
     assert a.exceptAll(b).count() == 0
-
-
-def test_split_materialized_equal(labelled):
-    df, _ = labelled
-    a = L.stratified_split(df, "label", "id", materialize=True)
-    b = L.stratified_split(df, "label", "id")
-    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0

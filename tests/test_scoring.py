@@ -68,7 +68,7 @@ def scorer():
 
 def test_lexicon_matches_brute_force(spark, docs):
     toks = {r.id: r.t for r in docs.select("id", tokenize(basic_clean("text")).alias("t")).collect()}
-    sc = scorer().scores(docs, "text", "id", "", with_compound=True)
+    sc = scorer().score(docs, "text", None, "", with_compound=True)
     rows = {r.id: r for r in sc.collect()}
     assert len(rows) == len(TEXTS)
     for i, t in toks.items():
@@ -100,7 +100,7 @@ def test_clear_texts_classified(spark, docs):
 def test_negation_and_degree(spark):
     df = spark.createDataFrame([(1, "good"), (2, "not good"), (3, "very good"), (4, "not very good")],
                                "id long, text string")
-    sc = {r.id: r for r in scorer().scores(df, "text", "id", "", with_compound=True).collect()}
+    sc = {r.id: r for r in scorer().score(df, "text", None, "", with_compound=True).collect()}
     assert sc[2].compound < 0 < sc[1].compound < sc[3].compound
     assert sc[4].compound == pytest.approx(brute(["not", "very", "good"])[3])
 
@@ -113,8 +113,7 @@ def test_score_keeps_columns_and_rows(spark, docs):
     assert out.count() == docs.count()
     with pytest.raises(ValueError):
         S.score(docs, "missing", scorer(), "id")
-    with pytest.raises(ValueError):
-        scorer().score(docs, "text", None)
+    assert S.score(docs, "text").count() == docs.count()  # the default scorer needs no id
 
 
 def test_repeatable(spark, docs):
@@ -123,18 +122,56 @@ def test_repeatable(spark, docs):
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
 
-def test_plan_broadcast_join_no_python(spark, docs):
-    sc = scorer().scores(docs, "text", "id", "")
-    plan = sc._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in plan or "BroadcastExchange" in plan
-    assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+def test_scores_in_the_row(spark, docs):
+    plan = scorer().score(docs, "text")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan and "Python" not in plan
+
+
+REPEATED = [(1, "good news"), (1, "bad bad news"), (None, "good"), (None, "nothing"), (2, "very good"), (2, "very good")]
+
+
+def test_repeated_and_null_ids(spark):
+    df = spark.createDataFrame(REPEATED, "id long, text string")
+    out = scorer().score(df, "text", "id").collect()
+    assert len(out) == len(REPEATED)
+    for r in out:
+        shares = (r.sentiment_positive, r.sentiment_negative, r.sentiment_neutral)
+        assert all(0 <= x <= 1 for x in shares) and sum(shares) == pytest.approx(1)
+    assert {(r.text, r.sentiment_label) for r in out} >= {("good news", "positive"), ("bad bad news", "negative")}
+
+
+def test_repeated_lexicon_tokens(spark):
+    df = spark.createDataFrame([(1, "good day")], "id long, text string")
+    r = S.LexiconScorer([("good", 2.0)] * 3).score(df, "text").first()
+    once = S.LexiconScorer([("good", 2.0)]).score(df, "text").first()
+    assert r == once and 0 < r.sentiment_neutral < 1
+    with pytest.raises(ValueError, match="more than one valence"):
+        S.LexiconScorer([("good", 2.0), ("good", 1.0)])
+
+
+def test_large_lexicon_tables_are_joined(spark, docs, monkeypatch):
+    table = S.lexicon_frame(spark, [*LEX, LEX[0]])
+    small = S.LexiconScorer(table, NEG, DEG).score(docs, "text", "id")
+    monkeypatch.setattr(S, "PLAN_LEXICON_ROWS", 2)
+    large = S.LexiconScorer(table, NEG, DEG)
+    cols = ["id", "expected", "sentiment_label", *[F.round(f"sentiment_{c}", 9).alias(c) for c in S.SCORE_CLASSES]]
+    got = large.score(docs, "text", "id")
+    assert "Join" in got._jdf.queryExecution().executedPlan().toString()
+    assert got.select(*cols).exceptAll(small.select(*cols)).count() == 0
+    with pytest.raises(ValueError, match="id"):
+        large.score(docs, "text")
+    with pytest.raises(Exception, match="not unique"):
+        large.score(spark.createDataFrame(REPEATED, "id long, text string"), "text", "id").collect()
+    clash = S.LexiconScorer(S.lexicon_frame(spark, [*LEX, (LEX[0][0], 9.0)]), NEG, DEG)
+    with pytest.raises(Exception, match="more than one valence"):
+        clash.score(docs, "text", "id").collect()
 
 
 def test_registry(spark):
     assert "lexicon" in S.available_scorers() and "keyword" in S.available_scorers()
     assert isinstance(S.create_scorer("LEXICON"), S.LexiconScorer)
     assert isinstance(S.create_scorer(None), S.LexiconScorer)
-    with pytest.raises(ValueError, match="Available models"):
+    with pytest.raises(ValueError, match="registered"):
         S.create_scorer("no-such-model")
 
 
@@ -166,14 +203,11 @@ def test_compare_models_long_form(spark, docs):
     assert set(out.columns) == {"id", "model", "positive", "negative", "neutral", "label"}
 
 
-def test_multi_model_equals_single(spark, docs):
+def test_several_token_lists_in_one_pass(spark, docs):
     toks = docs.select("id", tokenize(basic_clean("text")).alias("t"))
-    lex = S.lexicon_frame(spark, LEX)
-    multi = S.lexicon_scores_multi(toks, "id", {"a_": F.col("t"), "b_": F.slice("t", 1, 3)}, lex, NEG, DEG,
-                                   lexicon_rows=len(LEX))
-    a = S.lexicon_scores(toks, "id", "t", lex, NEG, DEG, prefix="a_", lexicon_rows=len(LEX))
-    b = S.lexicon_scores(toks.withColumn("t", F.slice("t", 1, 3)), "id", "t", lex, NEG, DEG, prefix="b_",
-                         lexicon_rows=len(LEX))
+    multi = S.add_lexicon_scores(toks, {"a_": F.col("t"), "b_": F.slice("t", 1, 3)}, LEX, NEG, DEG).drop("t")
+    a = S.lexicon_scores(toks, "id", "t", LEX, NEG, DEG, prefix="a_")
+    b = S.lexicon_scores(toks.withColumn("t", F.slice("t", 1, 3)), "id", "t", LEX, NEG, DEG, prefix="b_")
     joined = a.join(b, "id")
     assert multi.select(*sorted(joined.columns)).exceptAll(joined.select(*sorted(joined.columns))).count() == 0
 
@@ -195,7 +229,7 @@ def test_compare_models_mixed_equals_single(spark, docs):
     assert out.count() == len(TEXTS) * 3
     cols = ["id", "positive", "negative", "neutral", "label"]
     for name, m in models.items():
-        alone = m.scores(docs, "text", "id", "").select(*cols)
+        alone = m.score(docs, "text", "id", "").select(*cols)
         got = out.filter(F.col("model") == name).select(*cols)
         assert got.exceptAll(alone).count() == 0 and alone.exceptAll(got).count() == 0, name
 

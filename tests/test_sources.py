@@ -84,20 +84,51 @@ def test_post_source(spark, post_landing):
     assert rows[10 ** 18 + 1].username == "first"     # author listed twice: first wins
     assert rows[4].username is None                    # author missing
     assert rows[4].like_count == 5
-    kept = SO.posts(spark, post_landing, per_company=50, days=30, as_of="2024-01-30")
-    ids = sorted(r.id for r in kept.collect())
-    assert ids == [4, 5, 10 ** 18 + 1] or ids == [4, 10 ** 18 + 1]
-    # look-back is capped at 7 days for posts
-    assert sorted(r.id for r in kept.collect()) == [4, 10 ** 18 + 1]
+    ids = lambda **kw: sorted(r.id for r in SO.posts(spark, post_landing, **kw).collect())
+    assert ids() == ids(days=30, as_of="2024-01-30") == [4, 5, 10 ** 18 + 1]
+    assert ids(days=30, as_of="2024-01-30", days_cap=7) == [4, 10 ** 18 + 1]
+    assert ids(per_company=1) == [10 ** 18 + 1]
+    with pytest.raises(ValueError):
+        SO.posts(spark, post_landing, days=7)
+    kept = SO.posts(spark, post_landing)
     assert set(kept.columns) == {"id", "content", "date", "source", "company", "published_at"}
 
 
+def test_no_hidden_cap_and_paged_order(spark, tmp_dir):
+    land = os.path.join(tmp_dir, "pages")
+    for page in range(3):
+        data = [{"id": 1000 * page + k, "text": f"p{page} {k}", "created_at": "2024-01-29T10:00:00Z", "author_id": 1, "lang": "en",
+                 "public_metrics": {"like_count": 0, "retweet_count": 0, "reply_count": 0}} for k in range(90)]
+        write_json(land, f"page{page}.json", {"company": "ACME", "data": data, "includes": {"users": []}})
+    assert SO.posts(spark, land).count() == 270
+    assert SO.posts(spark, land, per_company=250).count() == 250
+    first = sorted(r.id for r in SO.posts(spark, land, per_company=100).collect())
+    assert first == [*range(90), *range(1000, 1010)]
+
+
+def test_dates_are_utc_in_any_session_zone(spark):
+    from polarity.functions.text import date_or
+    stamps = ["2024-01-29T23:30:00Z", "2024-01-29T23:30:00", "2024-01-29", "2024-01-29 23:30:00-02:00", "2024-01-30T00:30:00+01:00", "bad", None, "2024-01-29T10:00:00.123Z"]
+    want = ["2024-01-29", "2024-01-29", "2024-01-29", "2024-01-30", "2024-01-29", None, None, "2024-01-29"]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(stamps)], "i int, s string").select("i", date_or("s").cast("string").alias("d"))
+    for zone in ("UTC", "Pacific/Auckland", "America/Los_Angeles"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        try:
+            assert [r.d for r in df.orderBy("i").collect()] == want, zone
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_csv_round_trip(spark, tmp_dir):
-    df = spark.createDataFrame([(1, 'line one\nline two, with "quotes"'), (2, "plain")], "id int, text string")
+    df = spark.createDataFrame([(1, 'line one\nline two, with "quotes"'), (2, "plain"), (3, "  lead and trail  "), (4, ""), (5, None), (6, " "), (7, "\t\u00a0x")],
+                               "id int, text string")
     path = os.path.join(tmp_dir, "csv")
     SF.write_csv(df, path)
     back = SF.read_text_csv(spark, path, "id int, text string")
-    assert sorted(back.collect()) == sorted(df.collect())
+    assert sorted(back.collect(), key=lambda r: r.id) == sorted(df.collect(), key=lambda r: r.id)
+    flat = os.path.join(tmp_dir, "flat")
+    SF.write_csv(df.filter("id > 1"), flat)
+    assert SF.read_text_csv(spark, flat, "id int, text string", multi_line=False).exceptAll(df.filter("id > 1")).count() == 0
     other = os.path.join(tmp_dir, "nocsv")
     SF.write_csv(df.select("id"), other)
     with pytest.raises(ValueError):
@@ -145,9 +176,15 @@ def test_mentions_and_lookback(spark):
                                 (4, "academy is not acme-like?", "2024-01-31 00:00:00")],
                                "id long, text string, ts string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
     comp = SL.companies_frame(spark, [("ACME", "acme"), ("BETA", "beta")])
-    got = sorted((r.id, r.company) for r in SL.mentions(df, "text", "id", comp, companies_rows=2).collect())
+    got = sorted((r.id, r.company) for r in SL.mentions(df, "text", "id", comp).collect())
     assert got == [(1, "ACME"), (2, "ACME"), (2, "BETA"), (4, "ACME")]
     assert [r.id for r in SL.mentions_one(df, "text", "beta").collect()] == [2]
+    texts = spark.createDataFrame([(1, "Goldman  Sachs, again"), (2, "goldman and sachs"), (3, "3M up"), (4, "BRK.B. and brk b"), (5, "brkb 13m"), (6, None), (7, "sachs goldman sachs")],
+                                  "id long, text string")
+    comp = SL.companies_frame(spark, [("GS", "Goldman Sachs"), ("MMM", "3M"), ("BRK", "BRK.B"), ("NONE", "..."), ("NULL", None)])
+    assert sorted((r.id, r.company) for r in SL.mentions(texts, "text", "id", comp).collect()) == [(1, "GS"), (3, "MMM"), (4, "BRK"), (7, "GS")]
+    assert [r.id for r in SL.mentions_one(texts, "text", "BRK.B").collect()] == [4]
+    assert [r.id for r in SL.mentions_one(df, "text", "$ACME").collect()] == [1]
     assert sorted(r.id for r in SL.lookback(df, "ts", "2024-01-30", 7).collect()) == [1, 3]
     assert sorted(r.id for r in SL.lookback(df, "ts", "2024-01-30", 30, cap=7).collect()) == [1, 3]
     plan = SL.lookback(spark.read.parquet("/root/testdata/sf0.001/events.parquet"), "ts", "2024-01-30", 7) \
@@ -163,15 +200,14 @@ def test_first_match_lookup(spark):
     assert out == {1: "a", 2: "c", 3: None}
 
 
-def test_read_table_spreads_only_small_inputs(spark, tmp_dir):
-    from polarity.session import task_slots
-    from polarity.sources.tables import read_table
-    df = spark.range(0, 1000).withColumnRenamed("id", "doc_id")
-    many = os.path.join(tmp_dir, "many")
-    df.repartition(task_slots(spark) + 2).write.parquet(many)
-    one = os.path.join(tmp_dir, "one")
-    df.coalesce(1).write.parquet(one)
-    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
-    assert "REPARTITION_BY_NUM" not in plan(read_table(spark, many, "doc_id"))
-    spread = read_table(spark, one, "doc_id")
-    assert "REPARTITION_BY_NUM" in plan(spread) and spread.count() == 1000
+def test_a_cluster_session_must_name_a_shared_folder(spark, monkeypatch):
+    from polarity import session
+
+    class Context:
+        master, getCheckpointDir = "spark://host:7077", staticmethod(lambda: None)
+
+    class Session:
+        sparkContext, conf = Context, {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.ensure_checkpoint_dir(Session)

@@ -77,3 +77,11 @@ def test_sort_by_parses_strings(spark):
     df = spark.createDataFrame([(1, "2024-01-02 00:00:00"), (2, "2023-12-31 10:00:00"), (3, "bad")],
                                "id int, d string")
     assert [r.id for r in W.sort_by(df, "d", ["id"]).collect()] == [2, 1, 3]
+
+
+def test_balanced_rolling_mean_of_a_null_entity(spark):
+    rows = [(None if k % 3 == 0 else "a", k, float(k * k % 17)) for k in range(100)]
+    df = spark.createDataFrame(rows, "e string, t int, x double")
+    a = W.rolling_mean(df, ["x"], 5, ["t"], ["e"])
+    b = W.rolling_mean_balanced(df, ["x"], 5, ["t"], ["e"], blocks=7)
+    assert a.exceptAll(b.select(a.columns)).count() == 0
