@@ -54,7 +54,8 @@ def top_disagreements(df: DataFrame, label_a: str, label_b: str, id_col: str,
     if sev is None:
         out = out.orderBy(id_col)
     else:
-        out = out.withColumn("disagreement_score", sev).orderBy(F.desc("disagreement_score"), id_col)
+        # rounded, so that severities equal up to the last bit rank by id
+        out = out.withColumn("disagreement_score", F.round(sev, 9)).orderBy(F.desc("disagreement_score"), id_col)
     return out.limit(k) if k is not None else out
 
 

@@ -300,6 +300,7 @@ def q_t16(spark, sf_dir):
 
 @query("s1_normalise_articles")
 def q_s1(spark, sf_dir):
+    from polarity.sources.articles import normalise_articles
     """Article rows projected from documents: title = first line,
     description = the rest (null when none), published = derived day."""
     docs = table(spark, sf_dir, "documents")
@@ -309,8 +310,7 @@ def q_s1(spark, sf_dir):
         "doc_id", first.alias("title"), F.when(rest != "", rest).alias("description"),
         F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 30).cast("int")),
                       "yyyy-MM-dd'T'10:00:00'Z'").alias("publishedAt"))
-    return arts.select("doc_id", F.md5(compose_text("title", "description")).alias("text_md5"),
-                       F.date_format(date_or("publishedAt"), "yyyy-MM-dd").alias("date"))
+    return normalise_articles(arts).select("doc_id", F.md5("text").alias("text_md5"), F.date_format("date", "yyyy-MM-dd").alias("date"))
 
 
 @query("p7_preview")
@@ -458,11 +458,7 @@ def q_l1(spark, sf_dir):
 @query("l2_top_disagreements")
 def q_l2(spark, sf_dir):
     wide = two_models(spark, sf_dir)
-    # ordered on the severity rounded to 9 places, so that values equal up to
-    # the last bit rank by id in every engine
-    sev = F.round(R.severity(wide, "a_label", "b_label"), 9)
-    out = (R.disagreements(wide, "a_label", "b_label").withColumn("disagreement_score", sev)
-           .orderBy(F.desc("disagreement_score"), "doc_id").limit(P.TOP_DISAGREEMENTS))
+    out = R.top_disagreements(wide, "a_label", "b_label", "doc_id", P.TOP_DISAGREEMENTS)
     return rounded(out.select("doc_id", "a_label", "b_label", "disagreement_score"), ["disagreement_score"])
 
 
@@ -610,3 +606,136 @@ def q_t11(spark, sf_dir):
 def q_t12(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", preprocess("text", extra_stopwords=P.EXTRA_STOPWORDS).alias("processed_text"))
+
+
+# --------------------------------------------------------------------------
+# saved responses (S1, S2), rejects (S6), constants and defaults (P1-P3),
+# pasted scores (P6), unions (U2) and edge cases of the sources
+
+
+def landed(responses: DataFrame) -> str:
+    """Write responses as JSON lines under the shared folder."""
+    import uuid
+    from polarity.session import scratch_path
+    path = scratch_path(responses.sparkSession, f"responses-{uuid.uuid4().hex}")
+    responses.write.json(path)
+    return path
+
+
+def article_responses(spark, sf_dir) -> DataFrame:
+    """Documents as saved search responses of 40 ids; every seventh was refused."""
+    docs = table(spark, sf_dir, "documents").withColumn("page", F.floor(F.col("doc_id") / 40))
+    article = F.struct(
+        F.col("doc_id").alias("order"), F.substring_index("text", "\n", 1).alias("title"),
+        F.concat(F.lit("https://news.example/"), F.col("doc_id")).alias("url"),
+        F.when(F.col("doc_id") % 11 != 0, F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 30).cast("int")),
+                                                        "yyyy-MM-dd'T'23:30:00'Z'")).alias("publishedAt"))
+    pages = docs.groupBy(F.col("source").alias("company"), "page").agg(F.array_sort(F.collect_list(article)).alias("articles"))
+    return pages.select("company", F.when(F.col("page") % 7 == 6, "error").otherwise("ok").alias("status"),
+                        F.transform("articles", lambda a: a.dropFields("order")).alias("articles"))
+
+
+@query("s1_articles")
+def q_s1_articles(spark, sf_dir):
+    from polarity.sources.articles import articles
+    arts, _ = articles(spark, landed(article_responses(spark, sf_dir)), multi_line=False)
+    return arts.select("company", "url", "domain", "source_type", F.col("position").cast("bigint").alias("position"),
+                       F.md5("text").alias("text_md5"), F.date_format("date", "yyyy-MM-dd").alias("date"))
+
+
+@query("s1_rejected_responses")
+def q_s1_rejected(spark, sf_dir):
+    from polarity.sources.articles import articles
+    _, bad = articles(spark, landed(article_responses(spark, sf_dir)), multi_line=False)
+    return bad.groupBy("company").agg(F.count("*").alias("n_rejected"), F.sum(F.size("articles")).alias("n_articles"))
+
+
+@query("s2_posts")
+def q_s2_posts(spark, sf_dir):
+    """Conversations as saved post responses, one per conversation and role."""
+    from polarity.sources.posts import posts
+    conv = table(spark, sf_dir, "conversations")
+    post = F.struct(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("id"),
+        F.when((F.col("conv_id") + F.col("turn")) % 10 == 0, F.concat(F.lit("RT @x: "), F.col("text"))).otherwise(F.col("text")).alias("text"),
+        F.concat(F.lit("2024-01-"), F.lpad(((F.col("conv_id") % 28) + 1).cast("string"), 2, "0"), F.lit("T12:00:00Z")).alias("created_at"),
+        (F.col("turn") % 5).cast("long").alias("author_id"), F.when(F.col("conv_id") % 3 == 0, "fr").otherwise("en").alias("lang"))
+    users = F.array(*[F.struct(F.lit(i).cast("long").alias("id"), F.lit(n).alias("username")) for i, n in ((0, "zero"), (1, "one"), (1, "again"), (2, "two"))])
+    responses = (conv.groupBy(F.col("role").alias("company"), "conv_id").agg(F.array_sort(F.collect_list(post)).alias("data"))
+                 .select("company", "data", F.struct(users.alias("users")).alias("includes")))
+    out = posts(spark, landed(responses), days=P.LOOKBACK_DAYS, as_of=P.AS_OF, multi_line=False)
+    return out.select("id", F.md5("content").alias("content_md5"), F.date_format("date", "yyyy-MM-dd").alias("date"), "source", "company")
+
+
+@query("s6_page_rejects")
+def q_s6(spark, sf_dir):
+    """Pages with some html missing: accepted and rejected rows by message."""
+    from polarity.sources.pages import parse_pages, split_parsed
+    pages = table(spark, sf_dir, "pages").withColumn("html", F.when(F.col("page_id") % 9 != 0, F.col("html")))
+    good, bad = split_parsed(parse_pages(pages))
+    return good.withColumn("error", F.lit("none")).select("page_id", "error").unionByName(bad.select("page_id", "error")) \
+        .groupBy("error").agg(F.count("*").alias("n_pages"), F.min("page_id").alias("first_page"))
+
+
+@query("p1_normalised_posts")
+def q_p1(spark, sf_dir):
+    from polarity.sources.posts import normalise_posts
+    rows = table(spark, sf_dir, "conversations").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text", F.lit("2024-01-29T23:30:00-02:00").alias("created_at"), F.col("role").alias("company"))
+    return normalise_posts(rows).select("id", F.md5("content").alias("content_md5"), F.date_format("date", "yyyy-MM-dd").alias("date"), "source", "company")
+
+
+@query("p2_expected_columns")
+def q_p2(spark, sf_dir):
+    from polarity.sources.articles import EXPECTED
+    out = U.ensure_columns(table(spark, sf_dir, "documents").select("doc_id", "text"), EXPECTED, "")
+    return out.select("doc_id", F.md5("text").alias("text_md5"), *[c for c in EXPECTED if c != "text"])
+
+
+@query("p3_run_constants")
+def q_p3(spark, sf_dir):
+    return U.with_constants(table(spark, sf_dir, "labels").select("doc_id"), {"company": "ACME", "run_date": P.AS_OF})
+
+
+@query("p6_paste_scores")
+def q_p6(spark, sf_dir):
+    base = doc_scores(spark, sf_dir, prefix="a_")
+    other = doc_scores(spark, sf_dir, prefix="b_", stop=False)
+    out = U.paste_scores(base, other, "doc_id")
+    return rounded(out, [f"{m}_{c}" for m in ("a", "b") for c in CLASSES])
+
+
+@query("u2_union_all")
+def q_u2(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    parts = [docs.filter(F.col("lang") == x).select("doc_id", "lang", *more) for x, more in (("en", ["source"]), ("de", []), ("fr", ["n_chars"]), ("es", []))]
+    out = U.union_all(parts)
+    return out.groupBy("lang").agg(F.count("*").alias("n"), F.count("source").alias("n_source"), F.count("n_chars").alias("n_n_chars"))
+
+
+@query("s3_csv_edge_texts")
+def q_s3_edges(spark, sf_dir):
+    """The CSV round trip with texts padded by blanks, emptied and nulled."""
+    import uuid
+    from polarity.session import scratch_path
+    from polarity.sources.files import read_text_csv, write_csv
+    docs = table(spark, sf_dir, "documents")
+    text = (F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("  "), F.col("text"), F.lit(" \t ")))
+            .when(F.col("doc_id") % 5 == 1, F.lit("")).when(F.col("doc_id") % 5 == 2, F.lit(None)).otherwise(F.col("text")))
+    path = scratch_path(spark, f"csv-edges-{uuid.uuid4().hex}")
+    write_csv(docs.select("doc_id", text.alias("text")), path)
+    back = read_text_csv(spark, path, "doc_id bigint, text string")
+    return back.select("doc_id", F.md5("text").alias("text_md5"))
+
+
+@query("s7_mentions_phrases")
+def q_s7_phrases(spark, sf_dir):
+    from polarity.sources.filters import companies_frame, mentions
+    return mentions(table(spark, sf_dir, "documents"), "text", "doc_id", companies_frame(spark, P.PHRASES))
+
+
+@query("w1_rolling_mean_null_entity")
+def q_w1_null(spark, sf_dir):
+    ev = _events(spark, sf_dir).withColumn("user_id", F.expr(f"nullif(user_id, {P.NULLED_USER})"))
+    out = W.rolling_mean_balanced(ev, ["value"], P.ROLLING_ROWS, ["ts", "event_id"], ["user_id"])
+    return rounded(out.select("event_id", "value_rolling"), ["value_rolling"])

@@ -597,13 +597,95 @@ def _s5():
            f"{text_of(art)} AS text FROM pages"
 
 
+def _mentions(companies, where: str = "true") -> str:
+    comp = values_sql(companies, ["VARCHAR", "VARCHAR"], ["company", "term"], "c")
+    words = "array_to_string(regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+'), ' ')"
+    return f"""SELECT DISTINCT t.doc_id, c.company
+FROM (SELECT doc_id, ' ' || {words.format("text")} || ' ' AS words FROM documents WHERE {where}) t
+JOIN {comp} ON contains(t.words, ' ' || {words.format("c.term")} || ' ')"""
+
+
 @sql("s7_mentions")
 def _s7():
-    comp = values_sql(P.COMPANIES, ["VARCHAR", "VARCHAR"], ["company", "term"], "c")
-    toks = tokens_sql(clean_sql("text"))
-    return f"""SELECT DISTINCT t.doc_id, c.company
-FROM (SELECT doc_id, unnest(list_distinct({toks})) AS tok FROM documents WHERE lang = 'en') t
-JOIN {comp} ON t.tok = lower(c.term)"""
+    return _mentions(P.COMPANIES, "lang = 'en'")
+
+
+@sql("s7_mentions_phrases")
+def _s7_phrases():
+    return _mentions(P.PHRASES)
+
+
+_ARTICLES = """a AS (
+  SELECT source AS company, doc_id // 40 AS page, doc_id, 'https://news.example/' || doc_id AS url,
+    split_part(text, chr(10), 1) || '. ' AS text,
+    CASE WHEN doc_id % 11 <> 0 THEN strftime(DATE '2024-01-01' + CAST(doc_id % 30 AS INTEGER), '%Y-%m-%d') END AS date,
+    row_number() OVER (PARTITION BY source, doc_id // 40 ORDER BY doc_id) AS position FROM documents)"""
+
+
+@sql("s1_articles")
+def _s1_articles():
+    return f"""WITH {_ARTICLES}
+SELECT company, url, 'news.example' AS domain, 'news' AS source_type, position, md5(text) AS text_md5, date FROM a WHERE page % 7 <> 6"""
+
+
+@sql("s1_rejected_responses")
+def _s1_rejected():
+    return f"""WITH {_ARTICLES}
+SELECT company, count(DISTINCT page)::BIGINT AS n_rejected, count(*)::BIGINT AS n_articles FROM a WHERE page % 7 = 6 GROUP BY company"""
+
+
+@sql("s2_posts")
+def _s2_posts():
+    import datetime as dt
+    first = dt.date.fromisoformat(P.AS_OF) - dt.timedelta(days=P.LOOKBACK_DAYS)
+    return f"""WITH c AS (SELECT *, DATE '2024-01-01' + CAST(conv_id % 28 AS INTEGER) AS day FROM conversations)
+SELECT conv_id * 1000 + turn AS id, md5(text) AS content_md5, strftime(day, '%Y-%m-%d') AS date, 'twitter' AS source, role AS company
+FROM c WHERE conv_id % 3 <> 0 AND (conv_id + turn) % 10 <> 0 AND text NOT LIKE 'RT @%' AND day BETWEEN DATE '{first}' AND DATE '{P.AS_OF}'"""
+
+
+@sql("s6_page_rejects")
+def _s6():
+    return """SELECT CASE WHEN page_id % 9 = 0 OR html IS NULL THEN 'missing html' ELSE 'none' END AS error,
+count(*)::BIGINT AS n_pages, min(page_id) AS first_page FROM pages GROUP BY 1"""
+
+
+@sql("p1_normalised_posts")
+def _p1():
+    return "SELECT conv_id * 1000 + turn AS id, md5(text) AS content_md5, '2024-01-30' AS date, 'twitter' AS source, role AS company FROM conversations"
+
+
+@sql("p2_expected_columns")
+def _p2():
+    return "SELECT doc_id, md5(text) AS text_md5, '' AS url, '' AS domain, '' AS title, '' AS date FROM documents"
+
+
+@sql("p3_run_constants")
+def _p3():
+    return f"SELECT doc_id, 'ACME' AS company, '{P.AS_OF}' AS run_date FROM labels"
+
+
+@sql("p6_paste_scores")
+def _p6():
+    cols = ", ".join(r6(f"{m}_{c}", f"{m}_{c}") for m in ("a", "b") for c in CLASSES)
+    return two_models() + f"\nSELECT doc_id, {cols}, a_label, b_label FROM wide"
+
+
+@sql("u2_union_all")
+def _u2():
+    return """SELECT lang, count(*)::BIGINT AS n, count(CASE WHEN lang = 'en' THEN source END)::BIGINT AS n_source,
+count(CASE WHEN lang = 'fr' THEN n_chars END)::BIGINT AS n_n_chars FROM documents WHERE lang IN ('en', 'de', 'fr', 'es') GROUP BY lang"""
+
+
+@sql("s3_csv_edge_texts")
+def _s3_edges():
+    return """SELECT doc_id, md5(CASE doc_id % 5 WHEN 0 THEN '  ' || text || ' ' || chr(9) || ' ' WHEN 1 THEN '' WHEN 2 THEN NULL ELSE text END) AS text_md5
+FROM documents"""
+
+
+@sql("w1_rolling_mean_null_entity")
+def _w1_null():
+    w = f"OVER (PARTITION BY nullif(user_id, {P.NULLED_USER}) ORDER BY ts, event_id ROWS BETWEEN {P.ROLLING_ROWS - 1} PRECEDING AND CURRENT ROW)"
+    return f"SELECT event_id, CASE WHEN count(value) {w} = {P.ROLLING_ROWS} THEN {r6(f'avg(value) {w}', 'x').rsplit(' AS ', 1)[0]} END AS value_rolling FROM events"
 
 
 @sql("s8_lookback")

@@ -46,6 +46,9 @@ ROLLING_ROWS = 5
 ROLLING_DAYS = 3
 # Companies searched for in the mention query (fixture words standing in for tickers).
 COMPANIES = (("DER", "der"), ("QUE", "que"), ("ES", "es"), ("THTH", "thth"), ("ZU", "zu"))
+# Two-word search terms of the phrase query, and the entity it sets to null.
+PHRASES = (("DELA", "de la"), ("OFTHE", "Of The"), ("INDER", "in der"), ("THE", "the"), ("NONE", "no such phrase"))
+NULLED_USER = 7
 # Custom stop-word list (replaces the default) for the T8 custom query.
 CUSTOM_STOPWORDS = ("de", "la", "der", "die", "que", "le", "des", "und", "et", "les", "un", "el")
 # Words a caller adds to the stop words.

@@ -20,9 +20,10 @@ from polarity.sources.filters import lookback
 EXPECTED = ("url", "domain", "title", "text", "date")
 
 
-def read_article_responses(spark: SparkSession, path: str) -> DataFrame:
-    """Raw responses; whole-file JSON documents, schema not inferred."""
-    return (spark.read.schema(ARTICLE_RESPONSE).option("multiLine", True)
+def read_article_responses(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Raw responses, schema not inferred: a JSON document per file, or one per
+    line with ``multi_line=False`` (such files are split over tasks)."""
+    return (spark.read.schema(ARTICLE_RESPONSE).option("multiLine", multi_line)
             .json(path).withColumn("_file", F.col("_metadata.file_path")))
 
 
@@ -59,7 +60,7 @@ def normalise_articles(df: DataFrame, as_of: str | None = None) -> DataFrame:
 
 
 def articles(spark: SparkSession, path: str, per_company: int | None = None, days: int | None = None,
-             as_of: str | None = None) -> tuple[DataFrame, DataFrame]:
+             as_of: str | None = None, multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
     """S1 end to end: (articles, rejected responses).
 
     ``days`` keeps articles published in that many days before ``as_of``
@@ -68,7 +69,7 @@ def articles(spark: SparkSession, path: str, per_company: int | None = None, day
     """
     if days is not None and as_of is None:
         raise ValueError("days needs as_of, the day the window ends")
-    ok, bad = split_responses(read_article_responses(spark, path))
+    ok, bad = split_responses(read_article_responses(spark, path, multi_line))
     arts = explode_articles(ok)
     if days is not None:
         arts = lookback(arts.withColumn("_ts", utc_timestamp("publishedAt")), "_ts", as_of, days).drop("_ts")

@@ -16,8 +16,8 @@ from polarity.schemas import POST_RESPONSE
 RETWEET_PREFIX = "RT @"
 
 
-def read_post_responses(spark: SparkSession, path: str) -> DataFrame:
-    return (spark.read.schema(POST_RESPONSE).option("multiLine", True)
+def read_post_responses(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    return (spark.read.schema(POST_RESPONSE).option("multiLine", multi_line)
             .json(path).withColumn("_file", F.col("_metadata.file_path")))
 
 
@@ -52,7 +52,7 @@ def english_original(df: DataFrame, text_col: str = "text", lang_col: str = "lan
 
 
 def posts(spark: SparkSession, path: str, per_company: int | None = None, days: int | None = None,
-          as_of: str | None = None, days_cap: int | None = None) -> DataFrame:
+          as_of: str | None = None, days_cap: int | None = None, multi_line: bool = True) -> DataFrame:
     """S2 end to end: English originals, normalised.
 
     ``days`` keeps the look-back window of that many days before ``as_of``
@@ -64,7 +64,7 @@ def posts(spark: SparkSession, path: str, per_company: int | None = None, days:
     from polarity.sources.filters import lookback
     if days is not None and as_of is None:
         raise ValueError("days needs as_of, the day the window ends")
-    rows = english_original(explode_posts(read_post_responses(spark, path)))
+    rows = english_original(explode_posts(read_post_responses(spark, path, multi_line)))
     if days is not None:
         rows = lookback(rows.withColumn("_ts", utc_timestamp("created_at")), "_ts", as_of, days, days_cap).drop("_ts")
     return normalise_posts(first_k_per_group(rows, ["company"], ["_file", "position", "id"], per_company))
