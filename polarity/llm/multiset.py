@@ -17,6 +17,7 @@ alike among themselves (1) and unlike all others (0).
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
@@ -38,6 +39,11 @@ def paragraphs(text: Column) -> Column:
     return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), CUT), lambda p: F.trim(p)), lambda p: p != "")
 
 
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
 def _hashes(parts: Column, seed: int) -> Column:
     return F.transform(parts, lambda p: F.xxhash64(p, F.lit(seed)))
 
@@ -48,21 +54,41 @@ def _half_sum(hashes: Column, by: int) -> Column:
     return F.aggregate(hashes, F.lit(0).cast("long"), lambda a, x: (a + F.shiftrightunsigned(x, by).bitwiseAND(low)).bitwiseAND(low))
 
 
-def _sign_sum(hashes: Column, bit: Column) -> Column:
-    """Sum of +1 or -1 by one bit of each hash."""
-    return F.aggregate(hashes, F.lit(0).cast("long"), lambda a, x: a + 1 - F.call_function("shiftright", x, bit).bitwiseAND(1) * 2)
+def _plane(run: Column, bit: int) -> Column:
+    """How many hashes of a run have this bit of each byte set, one count per byte of a long."""
+    return F.aggregate(run, F.lit(0).cast("long"), lambda a, x: a + F.shiftrightunsigned(x, bit).bitwiseAND(0x0101010101010101))
+
+
+def _sign_sums(hashes: Column) -> Column:
+    """For each of 64 bits the sum of +1 or -1 by that bit of each hash, modulo
+    2**SIGN_BITS. Eight bits are counted at a time, over runs of at most 127
+    hashes, so that no count leaves its byte."""
+    half = 1 << SIGN_BITS - 1
+    n = F.size(hashes)
+    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((n - 1) / 127).cast("int"))), lambda i: F.slice(hashes, i * 127 + 1, F.lit(127)))
+    planes = F.transform(runs, lambda run: F.array(*(_plane(run, bit) for bit in range(8))))
+
+    def signed(counted: Column) -> Column:
+        def one(j: Column) -> Column:  # bit j of a hash is bit j % 8 of byte j / 8
+            ones = F.aggregate(counted, F.lit(0).cast("long"), lambda a, p: a + F.call_function(
+                "shiftrightunsigned", F.get(p, j % 8), j - j % 8).bitwiseAND(255))
+            return F.pmod(ones * 2 - n + half, F.lit(2 * half)) - half
+
+        return F.transform(F.sequence(F.lit(0), F.lit(63)), one)
+
+    return _once(planes, signed)
 
 
 def lanes(parts: Column) -> Column:
     """Summed vectors of an array of paragraphs: EXACT sums, then SIGNS signed sums."""
-    exact = [_half_sum(_hashes(parts, seed), by) for seed in range(EXACT // 2) for by in (0, 32)]
-    half = 1 << SIGN_BITS - 1
+    def exact(hashes: Column) -> Column:
+        return F.array(_half_sum(hashes, 0), _half_sum(hashes, 32))
 
-    def signs(seed: int) -> Column:
-        hashes = _hashes(parts, seed)
-        return F.transform(F.sequence(F.lit(0), F.lit(63)), lambda j: F.pmod(_sign_sum(hashes, j) + half, F.lit(2 * half)) - half)
+    def all_of(p: Column) -> Column:
+        return F.concat(*(_once(_hashes(p, seed), exact) for seed in range(EXACT // 2)),
+                        *(_once(_hashes(p, EXACT + k), _sign_sums) for k in range(SIGNS // 64)))
 
-    return F.concat(F.array(*exact), *(signs(EXACT + k) for k in range(SIGNS // 64)))
+    return _once(parts, all_of)
 
 
 def combine(a: Column, b: Column, sign: int = 1) -> Column:
@@ -81,12 +107,17 @@ def as_text(v: Column) -> Column:
 
 def likeness(a: Column, b: Column) -> Column:
     """0 to 1; 1 for equal lanes."""
-    def dot(x, y):
+    def dot(x: Column, y: Column) -> Column:
         return F.aggregate(F.zip_with(F.slice(x, EXACT + 1, SIGNS), F.slice(y, EXACT + 1, SIGNS), lambda p, q: (p * q).cast("double")),
                            F.lit(0.0), lambda s, v: s + v)
-    size = F.sqrt(dot(a, a) * dot(b, b))
-    cosine = F.when(size > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot(a, b) / size))).otherwise(0.0)
-    return F.when(a == b, 1.0).otherwise(F.round(cosine, 6))
+
+    def of(pair: Column) -> Column:
+        x, y = pair["a"], pair["b"]
+        cosine = _once(F.struct(dot(x, y).alias("xy"), F.sqrt(dot(x, x) * dot(y, y)).alias("size")), lambda d: F.when(
+            d["size"] > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), d["xy"] / d["size"]))).otherwise(0.0))
+        return F.when(x == y, 1.0).otherwise(F.round(cosine, 6))
+
+    return _once(F.struct(a.alias("a"), b.alias("b")), of)
 
 
 def with_next(df: DataFrame, size: int) -> DataFrame:
