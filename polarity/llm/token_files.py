@@ -35,7 +35,7 @@ from polarity.llm.words import BLANKS, U, A, pieces
 NO_ID = -(1 << 63)
 GROUP_IDS = 1 << 22       # ids that are coded side by side
 FILE_BYTES = 20 << 20     # text bytes whose ids make a file, on average
-KNOWN_PIECES = 400_000    # pieces a task remembers before it starts anew
+KNOWN_PIECES = 1_000_000  # pieces a worker remembers before it starts anew
 _MAGIC = b"TOKR"
 _HEAD = struct.Struct("<4sIIIIQ")  # magic, documents, blocks, vocabulary, bytes of the index, ids
 _BLOCK = struct.Struct("<III")     # ids, checksum, bytes
@@ -56,8 +56,8 @@ class PieceEncoder:
         self.forget()
 
     def forget(self):
-        self.place: dict[int, int] = {}
-        self.start, self.count, self.ids, self.n_ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32), 0
+        self.names = np.zeros(0, np.uint64)  # hashes of known pieces, sorted
+        self.start, self.count, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     @staticmethod
     def cuts(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -76,7 +76,8 @@ class PieceEncoder:
         cut[offsets] = True
         return np.flatnonzero(cut[:n])
 
-    def _learn(self, raw: bytes, start: np.ndarray, end: np.ndarray, names: list[int]):
+    def _learn(self, raw: bytes, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place among the ids, number of ids) of new pieces."""
         first, last = np.frombuffer(raw, np.uint8)[start], np.frombuffer(raw, np.uint8)[end - 1]
         plain = _BLANK[first] & (last > 0x20) & (last < 0x7F)  # may stand side by side
         found = [np.zeros(0, np.uint32)]
@@ -98,11 +99,9 @@ class PieceEncoder:
             found.append(np.array([t for x in each for t in x.ids], dtype=np.uint32))
         ids = np.concatenate(found)
         begin = np.empty(len(order), np.int64)
-        begin[order] = np.cumsum(count[order]) - count[order] + self.n_ids
-        at = len(self.start)
-        self.start, self.count, self.ids = np.append(self.start, begin), np.append(self.count, count), np.append(self.ids, ids)
-        self.n_ids += len(ids)
-        self.place.update(zip(names, range(at, at + len(names))))
+        begin[order] = np.cumsum(count[order]) - count[order] + len(self.ids)
+        self.ids = np.append(self.ids, ids)
+        return begin, count
 
     def encode(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows, ids in each row)."""
@@ -111,15 +110,18 @@ class PieceEncoder:
         if not len(start):
             return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
         name, index, which = np.unique(A.of_runs(A.codes[buf], start, end) ^ (end - start).astype(np.uint64), return_index=True, return_inverse=True)
-        names = name.tolist()
-        if len(self.place) > KNOWN_PIECES:
+        if len(self.names) > KNOWN_PIECES:
             self.forget()
-        get = self.place.get
-        new = [i for i, x in enumerate(names) if get(x) is None]
-        if new:
-            j = index[new]
-            self._learn(buf.tobytes(), start[j], end[j], [names[i] for i in new])
-        place = np.fromiter((get(x) for x in names), np.int64, len(names))[which]
+        at = np.searchsorted(self.names, name)
+        known = np.zeros(len(name), dtype=bool)
+        inside = at < len(self.names)
+        known[inside] = self.names[at[inside]] == name[inside]
+        if not known.all():
+            new = ~known
+            begin, count = self._learn(buf.tobytes(), start[index[new]], end[index[new]])
+            self.names, self.start, self.count = (np.insert(old, at[new], x) for old, x in ((self.names, name[new]), (self.start, begin), (self.count, count)))
+            at = np.searchsorted(self.names, name)
+        place = at[which]
         count = self.count[place]
         upto = np.cumsum(count)
         ids = self.ids[np.repeat(self.start[place] - (upto - count), count) + np.arange(upto[-1])]
@@ -127,9 +129,20 @@ class PieceEncoder:
         return ids, np.diff(np.concatenate([[0], upto])[edge])
 
 
+_ENCODERS: dict[str, PieceEncoder] = {}
+
+
+def _encoder(tokenizer_json: str) -> PieceEncoder:
+    """One encoder per Python worker, so that its tasks share what it knows."""
+    if tokenizer_json not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[tokenizer_json] = PieceEncoder(tokenizer_json)
+    return _ENCODERS[tokenizer_json]
+
+
 def _encode_rows(tokenizer, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(tokenizer.value)
+        encoder = _encoder(tokenizer.value)
         wide = "<u2" if max(encoder.size, end_id + 1) <= 1 << 16 else "<u4"
         for rows, buf, offsets in pieces(batches, "text", 1 << 20):
             ids, count = encoder.encode(buf, offsets)
