@@ -142,11 +142,16 @@ def remove_stopwords(c: str | Column, stop_words: Iterable[str] | None = None,
 
 def preprocess(c: str | Column, clean: bool = True, remove_stops: bool = True,
                custom_stopwords: Sequence[str] | None = None,
-               extra_stopwords: Iterable[str] = ()) -> Column:
-    """T10 without lemmatisation (that step needs a table: see operators.lemma)."""
+               extra_stopwords: Iterable[str] = (), lemmas: dict[str, str] | None = None) -> Column:
+    """Clean, drop stop words, and, with a dictionary ``lemmas`` (token to
+    lemma), put each token's lemma for it. The library has no dictionary of its
+    own, so the last step is off unless one is given."""
     t = basic_clean(c) if clean else F.coalesce(_col(c), F.lit(""))
     if remove_stops:
         t = remove_stopwords(t, custom_stopwords, extra_stopwords, cleaned=clean)
+    if lemmas:
+        from polarity.operators.lemma import lemmas_of
+        t = F.array_join(lemmas_of(tokenize(t), lemmas), " ")
     return t
 
 

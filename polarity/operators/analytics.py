@@ -38,12 +38,15 @@ def label_distribution(df: DataFrame, label_col: str, include_null: bool = False
     """A4: ``(label, n, pct)`` sorted by ``n`` descending.
 
     ``include_null=False`` drops unlabelled rows (they are not counted in the
-    denominator either); ``True`` keeps them as a null label. The total is one
-    row, joined to the counts.
+    denominator either); ``True`` keeps them as a null label. The counts, a
+    row per label, are kept, so the input is read once; the total is one row.
     """
+    from polarity.session import ensure_checkpoint_dir
     require_columns(df, [label_col])
-    src = df if include_null else df.filter(F.col(label_col).isNotNull())
-    counts = src.groupBy(F.col(label_col).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    counted = F.lit(1) if include_null else F.col("label")  # a null label counts 0
+    counts = df.select(F.col(label_col).alias("label")).groupBy("label").agg(F.count(counted).alias("n")).filter("n > 0")
+    ensure_checkpoint_dir(df.sparkSession)
+    counts = counts.checkpoint(eager=True)
     total = counts.agg(F.sum("n").alias("_total"))  # one row
     return (counts.join(F.broadcast(total)).withColumn("pct", F.lit(100.0) * F.col("n") / F.col("_total")).drop("_total")
             .orderBy(F.desc("n"), F.asc_nulls_last("label")))

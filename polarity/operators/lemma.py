@@ -38,7 +38,7 @@ def dictionary(lemmas: DataFrame | Iterable[tuple[str, str]]) -> dict[str, str]:
     return out
 
 
-def lemmas_of(tokens: Column, lemmas: dict[str, str], spark: SparkSession) -> Column:
+def lemmas_of(tokens: Column, lemmas: dict[str, str], spark: SparkSession | None = None) -> Column:
     """Tokens with each replaced by its lemma, others unchanged; null gives none."""
     tokens = F.coalesce(tokens, F.array().cast("array<string>"))
     changed = {t: x for t, x in lemmas.items() if t != x}
@@ -56,7 +56,7 @@ def lemmas_of(tokens: Column, lemmas: dict[str, str], spark: SparkSession) -> Co
             return F.when(t.isin(list(changed)), out).otherwise(t)
 
         return F.transform(tokens, one)
-    shared = spark.sparkContext.broadcast(changed)
+    shared = (spark or SparkSession.active()).sparkContext.broadcast(changed)
 
     @F.pandas_udf("array<string>")
     def look_up(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

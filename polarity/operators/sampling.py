@@ -54,12 +54,14 @@ def stratified_sample(df: DataFrame, label_col: str, id_col: str, num_examples:
     # candidates: the first num_examples rows of every label (null included),
     # a group limit applied before the shuffle. They hold every label and
     # every row any rule below can draw, so all later steps run on at most
-    # num_examples x labels rows.
+    # num_examples x labels rows, which are kept.
     w = Window.partitionBy(label_col).orderBy("_h", id_col)
     cand = keyed.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= num_examples)
-    # the number of labels, one row
-    sizes = df.agg(F.count_distinct(lab).alias("_named"),
-                   F.max(F.when(lab.isNull(), 1).otherwise(0)).alias("_null"))
+    from polarity.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    cand = cand.checkpoint(eager=True)
+    sizes = cand.agg(F.count_distinct(lab).alias("_named"),
+                     F.max(F.when(lab.isNull(), 1).otherwise(0)).alias("_null"))
     n_labels = F.col("_named") + F.col("_null")
     cand = cand.join(F.broadcast(sizes.select("_named", "_null"))).withColumn("_k", F.floor(F.lit(num_examples) / n_labels))
     drawn = cand.filter(lab.isNotNull() & (F.col("_rk") <= F.col("_k")))

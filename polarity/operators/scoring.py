@@ -56,7 +56,7 @@ def lexicon_rows(lexicon: Iterable[tuple[str, float]]) -> list[tuple[str, float]
 
 def _in_context(tokens: Column) -> Column:
     """Structs ``tok, p1 .. pCONTEXT``: each token with its predecessors, as
-    arrays shifted by 1..CONTEXT and zipped in the row."""
+    arrays shifted by 1..CONTEXT and zipped in the row (for the join path)."""
     n = F.size(tokens)
 
     def shifted(k: int) -> Column:
@@ -66,6 +66,12 @@ def _in_context(tokens: Column) -> Column:
     return F.arrays_zip(tokens.alias("tok"), *[shifted(k).alias(f"p{k}") for k in range(1, CONTEXT + 1)])
 
 
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body
+    names it and wherever the optimizer moves the whole expression."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
 def _value(valence: Column, previous: Sequence[Column], negators: Sequence[str],
            degree: Sequence[tuple[str, float]], negation_factor: float) -> Column:
     """Valence of a hit in its context: ``(val + sign(val) * degree) *
@@ -138,16 +144,26 @@ def add_lexicon_scores(df: DataFrame, tokens: dict[str, Column], lexicon: Iterab
     words = [w for w, _ in pairs]
     negators = list(resources.negators() if negators is None else negators)
     degree = list(resources.degree_words() if degree is None else degree)
+
+    def values(toks: Column) -> Column:
+        """Valences of the hits, each in the context of the tokens before it."""
+        if not words:
+            return F.array().cast("array<double>")
+        placed = F.transform(toks, lambda w, i: F.struct(w.alias("tok"), i.alias("i")))
+        hits = F.filter(placed, lambda c: F.coalesce(c["tok"].isin(words), F.lit(False)))
+        return F.transform(hits, lambda c: _value(
+            _lookup(c["tok"], pairs, None), [F.get(toks, c["i"] - k) for k in range(1, CONTEXT + 1)], negators, degree, negation_factor))
+
+    def scored(toks: Column) -> Column:
+        return _once(_sums(values(toks)), lambda sums: F.struct(
+            *[c.alias(n) for n, c in _shares(sums, F.size(toks), alpha, "", with_compound).items()]))
+
     out = df
     for i, (prefix, toks) in enumerate(tokens.items()):
-        toks = F.coalesce(toks, F.array().cast("array<string>"))
-        hits = F.filter(_in_context(F.col(f"_toks{i}")), lambda c: F.coalesce(c["tok"].isin(words), F.lit(False)))
-        values = F.transform(hits, lambda c: _value(
-            _lookup(c["tok"], pairs, None), [c[f"p{k}"] for k in range(1, CONTEXT + 1)], negators, degree, negation_factor))
-        out = out.withColumn(f"_toks{i}", toks)
-        out = out.withColumn(f"_sums{i}", _sums(values) if words else _sums(F.array().cast("array<double>")))
-        out = out.withColumns(_shares(F.col(f"_sums{i}"), F.size(f"_toks{i}"), alpha, prefix, with_compound))
-        out = out.drop(f"_toks{i}", f"_sums{i}")
+        one = _once(F.coalesce(toks, F.array().cast("array<string>")), scored)
+        names = [*SCORE_CLASSES, "label"] + (["compound"] if with_compound else [])
+        out = out.withColumn(f"_scores{i}", one)
+        out = out.withColumns({f"{prefix}{n}": F.col(f"_scores{i}")[n] for n in names}).drop(f"_scores{i}")
     return out
 
 

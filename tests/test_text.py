@@ -143,3 +143,12 @@ def test_translate_tables():
     assert len(X.SPACE_CHARS) == 29 and all(ch.isspace() for ch in X.SPACE_CHARS)
     assert len(X.PUNCT_CHARS) == 32
     assert all(unicodedata.category(ch) == "Nd" for ch in X.DIGIT_CHARS) and "٣" in X.DIGIT_CHARS
+
+
+def test_preprocess_with_lemmas(spark):
+    df = spark.createDataFrame([("The cars were running, fast!",), (None,)], "t string")
+    few = {"cars": "car", "running": "run"}
+    many = few | {f"w{i}": "w" for i in range(300)}  # beyond the plan: broadcast to Arrow batches
+    for lemmas in (few, many):
+        assert [r[0] for r in df.select(X.preprocess("t", lemmas=lemmas)).collect()] == ["car run fast", ""]
+    assert [r[0] for r in df.select(X.preprocess("t")).collect()] == ["cars running fast", ""]
