@@ -33,7 +33,7 @@ from polarity.llm.words import ALNUM, U, A, Words, mix, pieces
 
 SAMPLE = 24_000      # labelled documents at most
 HASH_BITS = 20
-FEATURES = 4096      # kept by association with the label
+FEATURES = 1024      # kept by association with the label
 STEPS = 300
 RATE = 0.1
 DECAY = 0.1          # L2 weight, against the summed loss
@@ -93,7 +93,7 @@ def _occurrences(kept: np.ndarray):
             of = np.searchsorted(words.first, first, side="right") - 1
             n = np.bincount(of, minlength=rows.num_rows)
             edge = np.searchsorted(of[pair >> 20], np.arange(rows.num_rows + 1)).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(edge), pa.array(x.astype(np.int32))) for x in (pair >> 20, pair & (1 << 20) - 1)]
+            lists = [pa.ListArray.from_arrays(pa.array(edge), pa.array(x)) for x in ((pair >> 20).astype(np.int32), (pair & (1 << 20) - 1).astype(np.int16))]
             yield pa.RecordBatch.from_arrays([rows.column("label"), pa.array(n.astype(np.int32)), *lists], names=["label", "n", "sentence", "feature"])
 
     return run
@@ -108,7 +108,8 @@ class Model:
 
 def _fit(label, n, doc, sentence, feature, size: int) -> tuple[np.ndarray, float]:
     """Adam on the mean negative log likelihood of the noisy-or of sentences."""
-    _, s = np.unique(doc << 32 | sentence, return_inverse=True)
+    _, s = np.unique(doc.astype(np.int64) << 32 | sentence, return_inverse=True)
+    s = s.astype(np.int32)
     of = np.zeros(s.max() + 1 if len(s) else 0, dtype=np.int64)
     of[s] = doc
     plain = n - np.bincount(of, minlength=len(n))  # sentences without a kept feature
@@ -144,10 +145,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     p = (F.col("toxic") + F.col("clean") + 1) / (size[0] + size[1] + 2)
     counts = texts.mapInArrow(_class_counts, "feature long, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     kept = np.array([r[0] for r in counts.orderBy(F.desc(F.abs(a - b) / F.sqrt(p * (1 - p))), "feature").limit(FEATURES).select("feature").collect()], dtype=np.int64)
-    found = texts.mapInArrow(_occurrences(kept), "label int, n int, sentence array<int>, feature array<int>").toArrow()
-    flat = lambda c: np.concatenate([np.zeros(0, np.int64), *(x.flatten().to_numpy(zero_copy_only=False) for x in found.column(c).chunks)]).astype(np.int64)
-    doc = np.repeat(np.arange(found.num_rows), np.concatenate([np.zeros(0, np.int64), *(x.value_lengths().to_numpy() for x in found.column("feature").chunks)]).astype(np.int64))
-    w, bias = _fit(found.column("label").to_numpy(), found.column("n").to_numpy().astype(np.int64), doc, flat("sentence"), flat("feature"), len(kept))
+    found = texts.mapInArrow(_occurrences(kept), "label int, n int, sentence array<int>, feature array<short>").toArrow()
+    flat = lambda c: np.concatenate([np.zeros(0, np.int32), *(x.flatten().to_numpy(zero_copy_only=False) for x in found.column(c).chunks)]).astype(np.int32)
+    each = np.concatenate([np.zeros(0, np.int32), *(x.value_lengths().to_numpy(zero_copy_only=False) for x in found.column("feature").chunks)])
+    doc = np.repeat(np.arange(found.num_rows, dtype=np.int32), each)
+    label, n, sentence, feature = found.column("label").to_numpy(), found.column("n").to_numpy().astype(np.int64), flat("sentence"), flat("feature")
+    del found
+    w, bias = _fit(label, n, doc, sentence, feature, len(kept))
     empty.weights[kept] = w
     return Model(empty.weights, bias)
 
