@@ -7,7 +7,8 @@ looked up, and so is each of their lines, as a notice often stands alone.
 
 Only digests and ids are joined; texts stay where they are read. The list of
 known licences is a resource of the library (or the caller's, whose size is
-checked before it is broadcast).
+checked before it is broadcast). Parts without any of the few words of which
+every known text holds one are passed over before they are normalised.
 
 Null and empty texts match nothing. Rows of one id and text have equal results,
 once for each row. Only the named columns are read.
@@ -41,19 +42,43 @@ def canonical(text: Column) -> Column:
 
 
 def known_licences(spark: SparkSession, licences: list[tuple[str, str]] | None = None) -> DataFrame:
-    """(digest, license_id); of several ids with one digest the smallest."""
+    """(digest, license_id, canonical); of several ids with one digest the smallest."""
     rows = spark.createDataFrame(LICENCES if licences is None else licences, "license_id string, text string")
-    return rows.groupBy(F.sha2(canonical(F.col("text")), 256).alias("digest")).agg(F.min("license_id").alias("license_id"))
+    forms = rows.select("license_id", canonical(F.col("text")).alias("canonical")).filter("canonical != ''")
+    return forms.groupBy("canonical").agg(F.min("license_id").alias("license_id")).select(F.sha2("canonical", 256).alias("digest"), "license_id", "canonical")
+
+
+def anchors(forms: list[str]) -> list[str]:
+    """Few words of which every canonical form holds one. Each stands in any
+    text of that form as it is, as equivalent spellings are not chosen."""
+    spelled = {w for pair in SAME_WORDS.items() for w in " ".join(pair).split()}
+    left = [{w for w in f.split() if w.isascii() and w.isalnum() and w not in spelled} for f in forms]
+    left = [{w for w in f if len(w) > 4} or f for f in left]  # short words are in any text
+    if not all(left):
+        return []
+    chosen = []
+    while left:
+        words = sorted(set().union(*left))
+        best = max(words, key=lambda w: (sum(w in f for f in left), len(w)))
+        chosen.append(best)
+        left = [f for f in left if best not in f]
+    return chosen
 
 
 def scan_licences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: DataFrame | None = None) -> DataFrame:
     """One row per row of ``df``: its id, ``license_id`` (whose text it is, else
     null), ``n_license_lines`` and ``line_licenses`` (sorted ids of its lines)."""
     known = known_licences(df.sparkSession) if known is None else known
-    known = F.broadcast(known) if known.limit(MOST_KNOWN + 1).count() <= MOST_KNOWN else known
+    forms = [r[0] for r in known.select("canonical").limit(MOST_KNOWN + 1).collect()]
+    few = len(forms) <= MOST_KNOWN
+    known = known.select("digest", "license_id")
+    known = F.broadcast(known) if few else known
     rows = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
     lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct((i + 1).alias("line"), x.alias("part")))
     parts = rows.select("id", "key", F.explode(F.concat(F.array(F.struct(F.lit(0).alias("line"), F.col("text").alias("part"))), lines)).alias("p"))
+    words = anchors(forms) if few else []
+    if words:  # a cheap test that every match passes
+        parts = parts.filter(F.lower("p.part").rlike("|".join(words)))
     digests = parts.select("id", "key", F.col("p.line").alias("line"), canonical(F.col("p.part")).alias("c")).filter("c != ''")
     hits = digests.select("id", "key", "line", F.sha2("c", 256).alias("digest")).join(known, "digest")
     found = hits.dropDuplicates(["id", "key", "line"]).groupBy("id", "key").agg(
