@@ -45,7 +45,7 @@ from polarity.llm.words import NOT_BLANK, U, A, Words, grams, inside_rows, mix,
 
 SHINGLE = 5
 NO_ID = -(1 << 63)
-CHUNK_SHINGLES = 2_000_000
+CHUNK_SHINGLES = 1_000_000
 CHUNK_ROWS = 60_000          # row places of a chunk fit 16 bits
 BUCKET_SHINGLES = 1_500_000  # that a bucket counts on average
 LONGEST = 8                  # largest l a row may choose
