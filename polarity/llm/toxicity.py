@@ -8,9 +8,11 @@ it from document labels alone. So the model also tells which sentences made a
 document toxic.
 
 Training reads at most ``SAMPLE`` labelled documents (the first by a hash of
-their id): one distributed pass counts features by class, the ``FEATURES`` with
-the strongest association are kept, and their occurrences by sentence, a small
-table, are fitted by gradient steps on the driver. Scoring is one pass without
+their id): one distributed pass counts features by class, and every feature of
+``SUPPORT`` documents whose association with the label is significant is kept
+(the ``FEATURES`` strongest ones at least). Their occurrences by sentence are
+checkpointed and stay on the executors; a gradient step sums one vector a task
+over them, and the driver holds the weights only. Scoring is one pass without
 a shuffle.
 
 Null and empty texts have no sentences and score 0, as does everything if the
@@ -33,9 +35,12 @@ from polarity.llm.words import ALNUM, U, A, Words, mix, pieces
 
 SAMPLE = 24_000      # labelled documents at most
 HASH_BITS = 20
-FEATURES = 1024      # kept by association with the label
+SUPPORT = 2          # documents that hold a feature, at least
+SIGNIFICANT = 3.0    # standard errors between the classes' shares of documents that hold a feature
+FEATURES = 4096      # the strongest ones, which are kept in any case
 STEPS = 300
 RATE = 0.1
+TASKS = 16           # of a gradient step, at most
 DECAY = 0.1          # L2 weight, against the summed loss
 PREFIXES = (3, 4, 5, 6)
 SUFFIXES = (3, 4)
@@ -80,7 +85,7 @@ def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _occurrences(kept: np.ndarray):
-    """Per document: number of sentences, and the kept features of those that have some."""
+    """Per run of documents: labels, sentences without a kept feature, and (document, features) of those with some, as bytes."""
     index = np.full(1 << HASH_BITS, -1, dtype=np.int32)
     index[kept] = np.arange(len(kept))
 
@@ -89,12 +94,35 @@ def _occurrences(kept: np.ndarray):
             words = Words(buf, offsets, ALNUM, lower=True)
             feature, sentence, first = _features(words)
             which = index[feature]
-            pair = np.unique(sentence[which >= 0] << 20 | which[which >= 0])
-            of = np.searchsorted(words.first, first, side="right") - 1
-            n = np.bincount(of, minlength=rows.num_rows)
-            edge = np.searchsorted(of[pair >> 20], np.arange(rows.num_rows + 1)).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(edge), pa.array(x)) for x in ((pair >> 20).astype(np.int32), (pair & (1 << 20) - 1).astype(np.int16))]
-            yield pa.RecordBatch.from_arrays([rows.column("label"), pa.array(n.astype(np.int32)), *lists], names=["label", "n", "sentence", "feature"])
+            pair = np.unique(sentence[which >= 0] << HASH_BITS | which[which >= 0])
+            found, s = np.unique(pair >> HASH_BITS, return_inverse=True)
+            row = np.searchsorted(words.first, first, side="right") - 1
+            of = row[found]
+            plain = np.bincount(row, minlength=rows.num_rows) - np.bincount(of, minlength=rows.num_rows)
+            columns = (rows.column("label").to_numpy(), plain, of, s, pair & (1 << HASH_BITS) - 1)
+            yield pa.RecordBatch.from_arrays([pa.array([x.astype(np.int32).tobytes()], pa.binary()) for x in columns], names=_OCCURRENCES)
+
+    return run
+
+
+_OCCURRENCES = ["label", "plain", "of", "sentence", "feature"]
+
+
+def _gradient(shared):
+    """One vector a task: the slope of the summed negative log likelihood by weight, the bias last."""
+
+    def run(rows: Iterator[tuple]) -> Iterator[np.ndarray]:
+        w = shared.value
+        g, b = np.zeros_like(w), w[-1]
+        for r in rows:
+            label, plain, of, s, feature = (np.frombuffer(x, np.int32) for x in r)
+            x = b + np.bincount(s, weights=w[feature], minlength=len(of))
+            total = np.bincount(of, weights=np.logaddexp(0, x), minlength=len(plain)) + plain * np.logaddexp(0, b)
+            slope = np.where(label == 1, -1 / np.expm1(np.clip(total, 1e-9, 500)), 1.0)
+            each = slope[of] / (1 + np.exp(-x))
+            g[:-1] += np.bincount(feature, weights=each[s], minlength=len(w) - 1)
+            g[-1] += each.sum() + (slope * plain).sum() / (1 + np.exp(-b))
+        yield g
 
     return run
 
@@ -106,24 +134,18 @@ class Model:
     bias: float
 
 
-def _fit(label, n, doc, sentence, feature, size: int) -> tuple[np.ndarray, float]:
+def _fit(found: DataFrame, n: int, size: int) -> tuple[np.ndarray, float]:
     """Adam on the mean negative log likelihood of the noisy-or of sentences."""
-    _, s = np.unique(doc.astype(np.int64) << 32 | sentence, return_inverse=True)
-    s = s.astype(np.int32)
-    of = np.zeros(s.max() + 1 if len(s) else 0, dtype=np.int64)
-    of[s] = doc
-    plain = n - np.bincount(of, minlength=len(n))  # sentences without a kept feature
-    w, b = np.zeros(size + 1), 0.0
+    context = found.sparkSession.sparkContext
+    rows = found.coalesce(min(TASKS, max(context.defaultParallelism, 1))).rdd.map(tuple)  # planned once, for all steps
+    w = np.zeros(size + 1)
     w[-1] = -4.0
     m, v = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, STEPS + 1):
-        b = w[-1]
-        x = b + np.bincount(s, weights=w[feature], minlength=len(of))
-        total = np.bincount(of, weights=np.logaddexp(0, x), minlength=len(n)) + plain * np.logaddexp(0, b)
-        slope = np.where(label == 1, -1 / np.expm1(np.clip(total, 1e-9, 500)), 1.0) / max(len(n), 1)
-        each = slope[of] / (1 + np.exp(-x))
-        g = np.append(np.bincount(feature, weights=each[s], minlength=size), each.sum() + (slope * plain).sum() / (1 + np.exp(-b)))
-        g[:-1] += DECAY / max(len(n), 1) * w[:-1]
+        shared = context.broadcast(w)
+        g = sum(rows.mapPartitions(_gradient(shared)).collect()) / max(n, 1)
+        shared.destroy()
+        g[:-1] += DECAY / max(n, 1) * w[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w = w - RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
     return w[:-1], float(w[-1])
@@ -144,14 +166,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     a, b = F.col("toxic") / size[1], F.col("clean") / size[0]
     p = (F.col("toxic") + F.col("clean") + 1) / (size[0] + size[1] + 2)
     counts = texts.mapInArrow(_class_counts, "feature long, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    kept = np.array([r[0] for r in counts.orderBy(F.desc(F.abs(a - b) / F.sqrt(p * (1 - p))), "feature").limit(FEATURES).select("feature").collect()], dtype=np.int64)
-    found = texts.mapInArrow(_occurrences(kept), "label int, n int, sentence array<int>, feature array<short>").toArrow()
-    flat = lambda c: np.concatenate([np.zeros(0, np.int32), *(x.flatten().to_numpy(zero_copy_only=False) for x in found.column(c).chunks)]).astype(np.int32)
-    each = np.concatenate([np.zeros(0, np.int32), *(x.value_lengths().to_numpy(zero_copy_only=False) for x in found.column("feature").chunks)])
-    doc = np.repeat(np.arange(found.num_rows, dtype=np.int32), each)
-    label, n, sentence, feature = found.column("label").to_numpy(), found.column("n").to_numpy().astype(np.int64), flat("sentence"), flat("feature")
-    del found
-    w, bias = _fit(label, n, doc, sentence, feature, len(kept))
+    strength = F.abs(a - b) / F.sqrt(p * (1 - p) * (1 / size[0] + 1 / size[1]))
+    ranked = materialise(counts.select("feature", strength.alias("strength"), (F.col("clean") + F.col("toxic")).alias("support")))
+    most = max(FEATURES, ranked.filter((F.col("support") >= SUPPORT) & (F.col("strength") >= SIGNIFICANT)).count())
+    order = [F.desc((F.col("support") >= SUPPORT) & (F.col("strength") >= SIGNIFICANT)), F.desc("strength"), "feature"]
+    kept = ranked.orderBy(*order).limit(most).select("feature").toArrow().column(0).to_numpy()  # 8 MB at most
+    found = materialise(texts.mapInArrow(_occurrences(kept), ", ".join(f"{c} binary" for c in _OCCURRENCES)))
+    w, bias = _fit(found, size[0] + size[1], len(kept))
     empty.weights[kept] = w
     return Model(empty.weights, bias)
 

@@ -54,3 +54,14 @@ def test_noisy_or_is_the_union_of_sentences(spark):
     two = spark.createDataFrame([(1, "Ab vilest cd."), (2, "Ef rotten gh."), (3, "Ab vilest cd. Ef rotten gh.")], "doc_id long, text string")
     s = {r["doc_id"]: r["score"] for r in T.score(two, model).collect()}
     assert abs((1 - s[3]) - (1 - s[1]) * (1 - s[2])) < 1e-6
+
+
+def test_every_word_of_a_broad_vocabulary_counts(spark):
+    r = random.Random(8)
+    words = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(1000)]
+    rows = [(i, prose(i, 12, 60).capitalize() + (f". Ab {' '.join(words[(4 * i + k) % 1000] for k in range(4))} cd." if i % 3 == 0 else ".")) for i in range(3000)]
+    model = T.train(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id long, toxic int"))
+    alone = spark.createDataFrame([(k, f"Ab {w} cd.") for k, w in enumerate(words)], "doc_id long, text string")
+    used = {w for i, t in rows if i % 3 == 0 for w in t.split()}
+    missed = [w["doc_id"] for w in T.score(alone, model).filter("score < 0.5").collect() if words[w["doc_id"]] in used]
+    assert len(used & set(words)) > 300 and missed == []
