@@ -3,7 +3,8 @@
 Encoding splits texts at places where the tokenizer surely splits too (before a
 blank that follows a visible character), so that each distinct piece is given
 to the tokenizer once per task and looked up afterwards; the ids are those of
-whole texts. ``end_id`` closes each document.
+whole texts. Added tokens (such as an end-of-text mark) that stand in a text are
+one id each, as in the library by default. ``end_id`` closes each document.
 
 Rows are dealt by ranges of their id and sorted, so each file holds a run of
 documents in ascending order. A file is a sequence of groups, each framed by
@@ -18,6 +19,7 @@ sorts first and stays null. Rows of one id follow each other by their text.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -44,14 +46,18 @@ _BLANK[list(BLANKS)] = True
 
 
 class PieceEncoder:
-    """Ids of texts through a tokenizer, each distinct piece encoded once."""
+    """Ids of texts through a tokenizer, each distinct piece encoded once. With
+    ``special_as_text`` special tokens that stand in a text are split as any text."""
 
-    def __init__(self, tokenizer_json: str):
+    def __init__(self, tokenizer_json: str, special_as_text: bool = True):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        lengths = [len(self.tokenizer.id_to_token(i) or "") for i in range(self.size)]
+        added = self.tokenizer.get_added_tokens_decoder()
+        lengths = [len(added[i].content.encode()) if i in added else len(self.tokenizer.id_to_token(i) or "") for i in range(self.size)]
+        wide = [t.content.encode() for t in added.values() if t.rstrip or _BLANK[list(t.content.encode())].any()]  # a cut may fall into these
+        self.wide = re.compile(b"(?=(" + b"|".join(re.escape(x) for x in sorted(wide, key=len, reverse=True)) + b"))") if wide else None
         self.bytes_of = np.array(lengths, dtype=np.int64)  # a byte-level vocabulary has a sign per byte
         self.forget()
 
@@ -76,10 +82,18 @@ class PieceEncoder:
         cut[offsets] = True
         return np.flatnonzero(cut[:n])
 
+    def _around_added(self, start: np.ndarray, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """The cuts but those inside an added token or at its end; row starts stay."""
+        whole = np.zeros(len(buf) + 1, dtype=bool)
+        for m in self.wide.finditer(buf.tobytes()):
+            whole[m.start() + 1:m.end(1) + 1] = True
+        whole[offsets] = False
+        return start[~whole[start]]
+
     def _learn(self, raw: bytes, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place among the ids, number of ids) of new pieces."""
         first, last = np.frombuffer(raw, np.uint8)[start], np.frombuffer(raw, np.uint8)[end - 1]
-        plain = _BLANK[first] & (last > 0x20) & (last < 0x7F)  # may stand side by side
+        plain = _BLANK[first] & (last > 0x20) & (last < 0x7F) & (self.wide is None)  # may stand side by side
         found = [np.zeros(0, np.uint32)]
         count = np.zeros(len(start), np.int64)
         order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
@@ -106,6 +120,8 @@ class PieceEncoder:
     def encode(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows, ids in each row)."""
         start = self.cuts(buf, offsets)
+        if self.wide:
+            start = self._around_added(start, buf, offsets)
         end = np.append(start[1:], len(buf))
         if not len(start):
             return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
@@ -136,7 +152,7 @@ def _encoder(tokenizer_json: str) -> PieceEncoder:
     """One encoder per Python worker, so that its tasks share what it knows."""
     if tokenizer_json not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[tokenizer_json] = PieceEncoder(tokenizer_json)
+        _ENCODERS[tokenizer_json] = PieceEncoder(tokenizer_json, special_as_text=False)
     return _ENCODERS[tokenizer_json]
 
 

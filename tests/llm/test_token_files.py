@@ -75,3 +75,26 @@ def test_documents_that_span_groups_and_files(spark, tokenizer, tmp_path, monkey
 def test_empty_table(spark, no_docs, tmp_path):
     T.write_tokens(no_docs, f"{tmp_path}/none", PATH, 2)
     assert T.with_starts(T.read_tokens(spark, f"{tmp_path}/none")).collect() == []
+
+
+def test_added_tokens_in_texts_are_one_id(spark, tmp_path):
+    plain = Tokenizer.from_file(PATH)
+    rows = [(1, "x <|endoftext|> y"), (2, "a<|endoftext|>b  <|endoftext|><|endoftext|> \n c <|endoftext"), (3, "|> plain text")]
+    want = [whole(plain, t) for _, t in rows]
+    assert 50256 in want[0]
+    T.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), f"{tmp_path}/a", PATH, 2)
+    got = {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in T.read_tokens(spark, f"{tmp_path}/a").collect()}
+    assert [got[i] for i, _ in rows] == want
+
+
+def test_no_cut_divides_an_added_token():
+    from polarity.llm.words import text_buffer
+    from tokenizers import AddedToken
+    import pyarrow as pa
+    plain = Tokenizer.from_file(PATH)
+    plain.add_special_tokens([AddedToken("<| end of text |>"), AddedToken("<cut>", rstrip=True), AddedToken("<é>", lstrip=True)])
+    encoder = T.PieceEncoder(plain.to_str(), special_as_text=False)
+    marks = [*ODD, "<| end of text |>", "a <cut>  b", "a  <é> b <| end", " of text |> c", "<cut> <| end of text |> x"]
+    texts = [a + b for a in marks for b in marks]
+    ids, count = encoder.encode(*text_buffer(pa.array(texts, pa.string())))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(count)[:-1])] == [whole(plain, t)[:-1] for t in texts]
