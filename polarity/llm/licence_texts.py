@@ -1,9 +1,36 @@
 """Known licences: id, and the text or notice by which it is recognised.
 
 Fixed values: public licence texts and the notices their owners recommend.
-Copyright lines are left out, as the scan drops them.
+Copyright lines of the short ones are left out, as the scan drops them. Long
+texts are files of ``licence_files``, as published; those with an appendix on
+how to apply them are known without it, too.
 """
 
+from pathlib import Path
+
+_DIR = Path(__file__).resolve().parent / "licence_files"
+_FILES = {
+    "Apache-2.0": "Apache-2.0", "Artistic": "Artistic-1.0-Perl", "Artistic-2.0": "Artistic-2.0", "CC-BY-SA-3.0": "CC-BY-SA-3.0", "CC-BY-SA-4.0": "CC-BY-SA-4.0",
+    "CC0-1.0": "CC0-1.0", "EPL-1.0": "EPL-1.0", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0",
+    "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0", "Unlicense": "Unlicense",
+}
+_APPENDIX = "END OF TERMS AND CONDITIONS"
+_UNLICENSE_LINK = "\n\nFor more information, please refer to <https://unlicense.org/>"
+
+
+def _long_texts() -> list[tuple[str, str]]:
+    found = []
+    for name, license_id in _FILES.items():
+        text = (_DIR / f"{name}.txt").read_text(encoding="utf-8")
+        found.append((license_id, text))
+        if _APPENDIX in text:
+            terms = text[:text.index(_APPENDIX)]
+            found += [(license_id, terms), (license_id, terms + _APPENDIX)]
+        if license_id == "Unlicense":
+            found.append((license_id, text + _UNLICENSE_LINK))
+    return found
+
+
 _MIT_GRANT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
@@ -66,4 +93,5 @@ LICENCES: list[tuple[str, str]] = [
     ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
     ("CC0-1.0", "Released under CC0 1.0."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    *_long_texts(),
 ]

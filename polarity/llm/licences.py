@@ -1,6 +1,6 @@
 """Licence scan by canonical digests.
 
-A text is brought to a canonical form: lower case, no copyright lines, one
+A text is brought to a canonical form: lower case, no copyright notices, one
 spelling of equivalent words, no punctuation, single blanks. Its SHA-256 is
 joined with the digests of known licences in the same form. Whole texts are
 looked up, and so is each of their lines, as a notice often stands alone.
@@ -28,7 +28,9 @@ SAME_WORDS = {
     "fulfil": "fulfill", "noncommercial": "non commercial", "non infringement": "noninfringement", "per cent": "percent",
     "copyright owner": "copyright holder", "copyright owners": "copyright holders", "https": "http", "v": "version",
 }
-_COPYRIGHT = r"(?im)^[\s#*/;\-]*(copyright\b|\(c\)|©|all rights reserved)[^\n]*$"
+#: A notice begins a line and ends with its sentence or the line: copyright followed by (c), a year, a place for one, or "by".
+_COPYRIGHT = (r"(?im)^[\s#*/;\-]*(?:copyright[\s,:]*(?:\(c\)|©|\d{4}|by\b|[\[<{])|\(c\)\s*(?:copyright\b|\d{4}|by\b|[\[<{])|©|all rights reserved\b)"
+              r"[^\n]*?(?:(?<=\p{L}{4})\.(?=[ \t]+\p{L})(?:[ \t]*all rights reserved\b\.?)?|$)")
 MOST_KNOWN = 20_000  # known texts that are broadcast; more are shuffled
 
 

@@ -20,3 +20,23 @@ def test_known_texts_differ_by_licence(spark):
     from polarity.llm.licences import known_licences
     assert known_licences(spark).count() >= len({i for i, _ in LICENCES})
     assert known_licences(spark).filter("license_id = 'MIT'").count() == len([1 for i, _ in LICENCES if i == "MIT"])
+
+
+def test_whole_texts_of_long_licences(spark):
+    from polarity.llm.licence_texts import _DIR, _FILES
+    assert {f.stem for f in _DIR.iterdir()} == set(_FILES)
+    rows = [(i, (_DIR / f"{name}.txt").read_text(encoding="utf-8")) for i, name in enumerate(_FILES)]
+    got = {r["doc_id"]: r["license_id"] for r in scan_licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i, _ in rows] == list(_FILES.values())
+
+
+def test_only_notices_are_dropped(spark):
+    import textwrap
+    texts = dict(LICENCES[::-1])
+    mit = [t for i, t in LICENCES if i == "MIT"][0]
+    bsd = texts["BSD-3-Clause"]
+    rows = [(1, "\n".join(textwrap.wrap(mit, w))) for w in range(40, 100)] + [(2, "\n".join(textwrap.wrap(bsd, w))) for w in range(40, 100)]
+    rows += [(2, "Copyright 2020 The Foo Authors. All rights reserved. " + bsd), (2, "(c) 2020 Foo Inc. All rights reserved.\n" + bsd), (2, "Copyright by Foo Limited. " + bsd),
+             (3, "Copyright law holds for " + bsd), (3, "(c) You must retain " + bsd)]
+    got = {(r["doc_id"], r["license_id"]) for r in scan_licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, "MIT"), (2, "BSD-3-Clause"), (3, None)}
