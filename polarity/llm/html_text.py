@@ -3,15 +3,19 @@
 Every page is parsed once for its containers (body, main, article, section,
 div, td). A text block gives its characters outside links, less those inside,
 to its container and a falling share to the containers around it. The
-container with the highest score casts a vote for its generalised path: tags
-and classes from the root, digits written as 0. Votes are summed by (host,
+container with the highest score, or the article or main around it, or else
+the containers around it that hold further unlinked blocks of their own, casts
+a vote for its generalised path: tags and classes from the root, digits written
+as 0. Votes are summed by (host,
 path) in Spark; the path with most votes wins the host (then the higher score,
 then the smaller path). The second pass takes the text of the containers at
 the winning path, or of the page's own best container if it has none there.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles
-and reader comments are left out, by tag, role, class or id. A header inside
-an article belongs to it.
+and reader comments are left out, by tag, role, class or id. Classes and ids
+count if all of their parts say so ("site-footer", not "has-sidebar"), and not
+for an element that holds most of the page's text, comments and consent boxes
+aside. A header inside an article belongs to it.
 
 Null and empty pages give an empty text. Pages without a host follow their own
 best container. Repeated rows each vote. Only the named columns are read.
@@ -43,6 +47,10 @@ LEFT_OUT_WORDS = frozenset("""ad ads adv advert advertisement adverts banner bre
     discussion disqus footer form header masthead menu menubar modal nav navbar navigation newsletter notice notification overlay pager pagination
     popup promo promotion recommended related reply replies respond share sharing sidebar social sponsor sponsored subscribe subscription toolbar
     widget""".split())
+PLACE_WORDS = frozenset("""area bar block bottom box container global inner item items left link links list lower main outer page panel posts primary right
+    secondary section site slot top unit upper wrap wrapper""".split())  # say nothing beside one of LEFT_OUT_WORDS
+COMMENT_WORDS = frozenset("comment comments discussion disqus replies reply respond".split())
+SURE_WORDS = COMMENT_WORDS | frozenset("consent cookie cookies modal newsletter overlay popup".split())  # left out whatever they hold
 #: Start tags that end an open element of these kinds, with the tags that keep it open.
 ENDS_SELF = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)),
              "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
@@ -51,65 +59,113 @@ FEW_HOSTS = 50_000    # hosts whose paths (some 100 bytes each) are broadcast; m
 SALTS = 16
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(>|\Z)|</?[a-zA-Z][^>]*(?:>|\Z)""", re.S)
-_ATTRIBUTE = re.compile(r"""(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/"'>]|\Z)""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=][^\s>/=]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 _BLANK = re.compile(r"\s+")
 _SPLIT = re.compile(r"[^a-z]+|(?<=[a-z])(?=\d)")
 _DIGITS = re.compile(r"\d+")
 
 
-def _unwanted(tag: str, attributes: dict, inside_article: bool) -> bool:
+HARD, NAMED = 1, 2    # left out in any case; by a class or id, if it doesn't hold most of the page
+
+
+def _attributes(source: str) -> dict:
+    """Attributes of a start tag by lower-case name; the first of one name counts."""
+    found: dict = {}
+    for name, value in _ATTRIBUTE.findall(source):
+        found.setdefault(name.lower(), unescape(value[1:-1] if value[:1] in ('"', "'") else value))
+    return found
+
+
+def _named(attributes: dict) -> set[str]:
+    """Words of the classes and ids all of whose parts name what is left out."""
+    found: set[str] = set()
+    for name in f"{attributes.get('class', '')} {attributes.get('id', '')}".split():
+        parts = {w for w in _SPLIT.split(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", name).lower()) if w}
+        if parts & LEFT_OUT_WORDS and parts <= LEFT_OUT_WORDS | PLACE_WORDS:
+            found |= parts & LEFT_OUT_WORDS
+    return found
+
+
+def _unwanted(tag: str, attributes: dict, inside_article: bool) -> int:
     if tag in LEFT_OUT or (tag == "header" and not inside_article):
-        return True
+        return HARD
     if not attributes or tag in ("html", "body"):
-        return False
+        return 0
     if "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or attributes.get("role", "").lower() in LEFT_OUT_ROLES:
-        return True
+        return HARD
     if "display:none" in attributes.get("style", "").lower().replace(" ", ""):
-        return True
+        return HARD
+    words = _named(attributes)
     if tag in ("article", "main"):
-        return "comment" in attributes.get("class", "").lower()
-    named = f"{attributes.get('class', '')} {attributes.get('id', '')}"
-    return any(w in LEFT_OUT_WORDS for w in _SPLIT.split(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", named).lower()))
+        return HARD if words & COMMENT_WORDS else 0
+    if inside_article:
+        words.discard("header")
+    return HARD if words & SURE_WORDS else NAMED if words else 0
+
+
+def parse(page: str) -> tuple[list[str], list[tuple]]:
+    """(text blocks of the wanted parts, containers as (path, first block, block after the last, score,
+    score of its own blocks, place of the container around it or -1))."""
+    blocks, containers, held, total = _parse(page, frozenset())
+    most = frozenset(at for at, n in held.items() if 2 * n > total)
+    return _parse(page, most)[:2] if most else (blocks, containers)
 
 
-def parse(page: str) -> tuple[list[str], list[tuple[str, int, int, float]]]:
-    """(text blocks of the wanted parts, containers as (path, first block, block after the last, score))."""
+def _parse(page: str, wanted: frozenset[int]) -> tuple[list[str], list[tuple], dict[int, int], int]:
+    """Blocks and containers, the characters that each element left out by name
+    holds, by its place in the page, and those of all text. Elements at the
+    places ``wanted`` stay."""
     blocks: list[str] = []
     containers: list[list] = []
     stack: list[tuple] = []       # (tag, path, container or None, left out, link)
-    out = links = articles = 0
+    out = links = articles = hard = total = 0
+    held: dict[int, int] = {}
+    named: list[int] = []
     text: list[str] = []
     linked = at = 0
 
     def flush():
         nonlocal linked
         if text:
+            own = True
             block = _BLANK.sub(" ", "".join(text)).strip()
             if block:
                 score, share = max(len(block) - 2 * linked, 0), 1.0
                 for entry in reversed(stack):
                     if entry[2] is not None:
                         containers[entry[2]][3] += score * share
+                        containers[entry[2]][4] += score * own
+                        own = False
                         share *= SHARE
                 blocks.append(block)
             text.clear()
         linked = 0
 
     def close(depth: int):
-        nonlocal out, links, articles
+        nonlocal out, links, articles, hard
         while len(stack) > depth:
             tag, _, container, unwanted, link = stack[-1]
+            hard -= unwanted == HARD
+            if unwanted == NAMED:
+                at = named.pop()
+                if named:
+                    held[named[-1]] += held[at]
             if tag in BLOCKS or unwanted:
                 flush()
             if container is not None:
                 containers[container][2] = len(blocks)
-            out -= unwanted
+            out -= unwanted > 0
             links -= link
             articles -= tag == "article"
             stack.pop()
 
     def say(piece: str):
-        nonlocal linked
+        nonlocal linked, total
+        if piece and not hard:
+            n = len("".join(piece.split()))
+            total += n
+            if named:
+                held[named[-1]] += n
         if piece and not out:
             piece = unescape(piece)
             text.append(piece)
@@ -151,8 +207,10 @@ def parse(page: str) -> tuple[list[str], list[tuple[str, int, int, float]]]:
                     break
         if tag in VOID:
             continue
-        attributes = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(m[3])}
+        attributes = _attributes(m[3])
         unwanted = _unwanted(tag, attributes, articles > 0)
+        if unwanted == NAMED and m.start() in wanted:
+            unwanted = 0
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)", re.I).search(page, at)
             if tag != "noscript" or unwanted:
@@ -164,19 +222,39 @@ def parse(page: str) -> tuple[list[str], list[tuple[str, int, int, float]]]:
         container = None
         if tag in CONTAINERS and not out and not unwanted:
             container = len(containers)
-            containers.append([path, len(blocks), len(blocks), 0.0])
-        out += unwanted
+            around = next((entry[2] for entry in reversed(stack) if entry[2] is not None), -1)
+            containers.append([path, len(blocks), len(blocks), 0.0, 0.0, around])
+        out += unwanted > 0
+        hard += unwanted == HARD
+        if unwanted == NAMED:
+            named.append(m.start())
+            held[m.start()] = 0
         links += tag == "a"
         articles += tag == "article"
         stack.append((tag, path, container, unwanted, tag == "a"))
     flush()
     close(0)
-    return blocks, [tuple(c) for c in containers]
+    return blocks, [tuple(c) for c in containers], held, total
 
 
 def best_container(containers) -> tuple | None:
-    """The highest score; the outermost of equals, as it comes first."""
-    return max(containers, key=lambda c: c[3], default=None)
+    """The highest score (the outermost of equals, as it comes first), or the
+    innermost article or main around it; without one, what is around it as long
+    as that, body aside, holds unlinked blocks of its own."""
+    best = max(containers, key=lambda c: c[3], default=None)
+    if best is None or best[3] <= 0:
+        return best
+    tag = lambda c: c[0].rsplit(">", 1)[-1].split(".", 1)[0]
+    c = best
+    while True:
+        if tag(c) in ("article", "main"):
+            return c
+        if c[5] < 0:
+            break
+        c = containers[c[5]]
+    while best[5] >= 0 and containers[best[5]][4] > 0 and tag(containers[best[5]]) != "body":
+        best = containers[best[5]]
+    return best
 
 
 def extract(page: str | None, path: str | None = None) -> str:

@@ -50,3 +50,23 @@ def test_hosts(spark):
     urls = ["http://A.b/x", "https://u:p@c.d:8/x", "ftp://e", "x", None, "http:///p"]
     df = spark.createDataFrame([(u,) for u in urls], "u string").select(host_of(F.col("u")))
     assert [r[0] for r in df.collect()] == ["a.b", "c.d", "e", "", "", ""]
+
+
+LONG = "A long sentence of the article, of which there are several. " * 8
+BODY = f"<h1>The title</h1><p>The lead.</p><div class=body><p>{LONG}</p></div>"
+WANT = f"The title\nThe lead.\n{LONG.strip()}"
+
+
+@pytest.mark.parametrize("page,want", [
+    *((SHELL.format(f"<div class='{c}'>{BODY}</div>"), WANT) for c in ("content has-sidebar", "no-sidebar", "page comments-open", "sidebar", "widget")),
+    *((SHELL.format(f"<{t} class='post comments-open'>{BODY}</{t}>"), WANT) for t in ("article", "main")),
+    (SHELL.format(f"<article><div class='entry-header'><h1>The title</h1></div><div class=header>By me</div><p>{LONG}</p></article>"), f"The title\nBy me\n{LONG.strip()}"),
+    *((SHELL.format(f"<article><p {a}>{LONG}</p><p>End</p></article>"), f"{LONG.strip()}\nEnd")
+      for a in ("data-state='hidden'", "title='a hidden gem'", "data-class='ad'", "data-role='menu'", "title='x class=ad'", "class=x class=ad")),
+    (SHELL.format(f"<article>{BODY}<p hidden>no<p>yes</article>"), WANT + "\nyes"),
+    (SHELL.format(f"<main><div>{BODY}</div><div class='related-links'>More of this</div></main>"), WANT),
+    (SHELL.format(f"<div class=site-footer>no</div><div class=cookie-notice>{LONG}</div><div class='ad slot'>no</div><article><p>Short</article>"), "Short"),
+    (SHELL.format(f"<div class=post><h1>The title</h1><p>The lead.</p><div class=x><p>{LONG}</p></div></div><div class=else><p>other</div>"), WANT),
+])
+def test_ordinary_layouts_keep_the_article(page, want):
+    assert extract(page) == want
