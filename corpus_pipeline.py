@@ -3,7 +3,10 @@
 ``STAGES`` are (name, function) pairs. Each function takes (spark, docs,
 sf_dir), works on all rows its predecessor kept and returns a DataFrame; all
 but the last return the columns of ``docs``. ``run`` writes the result of each
-stage as Parquet in the shared folder and reads it as the next one's input.
+stage as Parquet in the shared folder and reads it as the next one's input. The
+first result gets a number for each row, ``ROW``, by which the next stages tell
+rows apart, whatever their ids; a stage that is given rows without it numbers
+them itself.
 
 Nulls, empty texts, repeated rows, empty tables and further columns of any name
 are handled as the operators state; a stage never looks at columns beside
@@ -14,7 +17,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from polarity.llm import toxicity
@@ -25,11 +28,23 @@ from polarity.llm.repeats import remove_repeats
 from polarity.llm.scratch import materialise, remove, shared_dir, table
 
 
+ROW = "__pipeline_row"
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``ROW``, which is stable as it is read from files."""
+    return docs if ROW in docs.columns else materialise(docs.withColumn(ROW, F.monotonically_increasing_id()))
+
+
 def _plain(docs: DataFrame) -> DataFrame:
     """Columns under names that no operator uses; the position tells them apart."""
     return docs.toDF(*(f"d{i}" for i in range(len(docs.columns))))
 
 
+def _names(docs: DataFrame) -> list[str]:
+    return [f"`{c.replace('`', '``')}`" for c in docs.columns]
+
+
 def _at(docs: DataFrame, column: str) -> str:
     return f"d{docs.columns.index(column)}"
 
@@ -42,24 +57,23 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id; of rows of one id the one with the smallest text."""
-    rows, key, text = _plain(docs), _at(docs, "doc_id"), _at(docs, "text")
-    groups = materialise(linked_groups(docs))
-    copies = groups.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("copy")).distinct()
-    kept = rows.join(copies, rows[key] == F.col("copy"), "left_anti")
-    repeated = groups.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("again")).count().filter("count > 1").select("again")
-    if repeated.limit(1).count():
-        first = F.row_number().over(Window.partitionBy(key).orderBy(text))
-        one = kept.join(repeated, kept[key] == F.col("again"), "left_semi").withColumn("place", first).filter("place = 1").drop("place")
-        kept = kept.join(repeated, kept[key] == F.col("again"), "left_anti").union(one)
-    return kept.toDF(*docs.columns)
+    """Of each group of linked rows the one with the smallest id, of these the one with the smallest text; null ids come last."""
+    every = _numbered(docs)
+    rows, number, key, text = _plain(every), _at(every, ROW), _at(every, "doc_id"), _at(every, "text")
+    groups = materialise(linked_groups(every.select(F.col(ROW).alias("doc_id"), "text")))
+    several = groups.filter("doc_id != component_id").select("component_id").distinct()
+    members = groups.join(several, "component_id", "left_semi").select(F.col("doc_id").alias("member"), "component_id")
+    order = F.struct(F.col(key).isNull(), F.col(key), F.col(text), F.col("member"))
+    first = members.join(rows.select(number, key, text), F.col("member") == F.col(number)).groupBy("component_id").agg(F.min_by("member", order).alias("first"))
+    copies = members.join(first, "component_id").filter("member != first").select(F.col("member").alias("copy"))
+    return rows.join(copies, rows[number] == F.col("copy"), "left_anti").toDF(*every.columns).select(*_names(docs))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that occur again; other texts stay as they are,
     and documents of which nothing is left go."""
-    text = _at(docs, "text")
-    done = remove_repeats(_plain(docs), _at(docs, "doc_id"), text, carry=list(_plain(docs).columns))
+    every, text = _numbered(docs), _at(docs, "text")
+    done = remove_repeats(_plain(every), _at(every, ROW), text, carry=list(_plain(docs).columns))
     done = done.filter("n_removed = 0 OR n_removed < n_words").withColumn(text, F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col(text)))
     if "n_chars" in docs.columns:
         n = _at(docs, "n_chars")
@@ -69,11 +83,11 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share no window with a benchmark item."""
-    found = contamination(docs, table(spark, sf_dir, "benchmark"))
-    hit = found.filter(F.size("spans") > 0).select(F.col("doc_id").alias("hit_id"), F.col("key").alias("hit_key")).distinct()
-    rows = _plain(docs)
-    same = rows[_at(docs, "doc_id")].eqNullSafe(F.col("hit_id")) & (F.hash(rows[_at(docs, "text")]) == F.col("hit_key"))
-    return rows.join(hit, same, "left_anti").toDF(*docs.columns)
+    every = _numbered(docs)
+    found = contamination(every.select(F.col(ROW).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    hit = found.filter(F.size("spans") > 0).select(F.col("doc_id").alias("hit"))
+    rows = _plain(every)
+    return rows.join(hit, rows[_at(every, ROW)] == F.col("hit"), "left_anti").toDF(*every.columns).select(*_names(docs))
 
 
 def pack_bins(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -95,9 +109,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4()}"
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents").drop(ROW)
     for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        done = stage(spark, docs, sf_dir)
+        done = done if k else done.withColumn(ROW, F.monotonically_increasing_id())
+        done.write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
         if k:
             remove(spark, f"{folder}/{k - 1}")

@@ -95,3 +95,18 @@ def test_stages_take_edge_rows_and_empty_tables(spark, edge_docs, no_docs):
     assert C.pack_bins(spark, edge_docs, SF).count() >= edge_docs.count()
     kept = C.drop_near_copies(spark, edge_docs, SF).collect()
     assert [r["doc_id"] for r in kept].count(10) == 0 and [r["doc_id"] for r in kept].count(8) == 1
+
+
+def test_rows_of_one_id_are_documents_of_their_own(spark):
+    from llm_rows import prose
+    x, y = "Aa " + prose(71, 200), "Zz " + prose(72, 200)
+    words = y.split()
+    near = " ".join([*words[:100], "changed", *words[101:]])
+    other = "Mm " + prose(73, 200)
+    rows = [(5, x), (5, y), (7, near), (None, other), (None, other), (None, x), (None, prose(74, 200))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = rows_of(C.drop_near_copies(spark, docs, SF))
+    assert got == sorted([(5, x), (5, y), (None, other), (None, rows[-1][1])], key=str)
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first()["text"]
+    docs = spark.createDataFrame([(1, x + " " + item), (1, x), (None, y + " " + item), (None, y)], "doc_id long, text string")
+    assert rows_of(C.drop_contaminated(spark, docs, SF)) == sorted([(1, x), (None, y)], key=str)
