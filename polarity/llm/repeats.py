@@ -9,7 +9,10 @@ fingerprints sorted, and equal neighbours counted.
 
 A map task sends each distinct super-k-mer of a chunk once, whatever the
 number of its copies: copies inside the chunk already repeat each other. So a
-passage held by a third of all rows costs its bucket one string per chunk.
+passage held by a third of all rows costs its bucket one string per chunk. At
+its edges the strings hold each row's own words and differ; a minimiser of many
+different strings is found by a count beforehand, and its windows are dealt one
+by one, as fingerprints, by the value of the fingerprint.
 
 Null and empty texts have no words. Rows with equal id and text are separate
 rows whose windows repeat each other. A null id is kept as it is. Only the
@@ -33,6 +36,8 @@ WINDOW = 35
 MER = 4
 CHUNK_WORDS = 1_500_000  # words of which a map task gathers super-k-mers before it sends them
 BUCKET_BYTES = 8 << 20   # packed text that a bucket holds on average
+HOT_STRINGS = 20_000     # different strings of a minimiser whose windows are dealt one by one
+HOT_IN_CHUNK = 8         # different strings of a chunk's minimisers that are counted
 NO_ID = -(1 << 63)
 _POSITION = U((1 << 24) - 1)
 
@@ -72,7 +77,48 @@ def _super_kmers(words: Words, window: int, mer: int):
     return w0, size, row[begin], m[at[begin]], A.of_runs(h, w0, w0 + size) ^ size.astype(np.uint64)
 
 
-def _send(window: int, mer: int, buckets: int):
+def _many(window: int, mer: int, least: int):
+    """(minimiser, different strings) of each chunk's minimisers with at least ``least``."""
+    def emit(chunk):
+        minimiser, name = (np.concatenate(c) for c in zip(*chunk))
+        found, n = np.unique(minimiser[np.unique(name, return_index=True)[1]], return_counts=True)
+        some = n >= least
+        return pa.RecordBatch.from_arrays([pa.array(found[some].view(np.int64)), pa.array(n[some].astype(np.int64))], names=["minimiser", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, held = [], 0
+        for _, buf, offsets in pieces(batches, "text"):
+            words = Words(buf, offsets, NOT_BLANK, lower=False)
+            chunk.append(_super_kmers(words, window, mer)[3:])
+            held += len(words)
+            if held >= CHUNK_WORDS:
+                yield emit(chunk)
+                chunk, held = [], 0
+        if chunk:
+            yield emit(chunk)
+
+    return run
+
+
+def _send(window: int, mer: int, buckets: int, shared):
+    def emit_windows(chunk):
+        a, b, ids, keys, first = (np.concatenate(c) for c in zip(*chunk))
+        _, index, inverse, count = np.unique(a ^ mix(b), return_index=True, return_inverse=True, return_counts=True)
+        rows = []
+        again = np.flatnonzero(count[inverse] > 1)
+        if len(again):
+            rows.append(_packed(int(a[again[0]] % U(buckets)), b"", np.full(len(again), window), ids[again], keys[again], first[again], np.zeros(0)))
+        bucket = (a[index] % U(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+            i = index[part]
+            rows.append(_packed(int(bucket[part[0]]), a[i].tobytes() + b[i].tobytes(), np.zeros(0), ids[i], keys[i], first[i], np.minimum(count[part], 2)))
+            if len(rows) >= 256:
+                yield _batch(rows, _PACKED_ARROW)
+                rows = []
+        if rows:
+            yield _batch(rows, _PACKED_ARROW)
+
     def emit(chunk):
         strings, length, size, ids, keys, first, minimiser, name = (
             sum(c, []) if isinstance(c[0], list) else np.concatenate(c) for c in zip(*chunk))
@@ -94,21 +140,36 @@ def _send(window: int, mer: int, buckets: int):
             yield _batch(rows, _PACKED_ARROW)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, held = [], 0
+        hot = shared.value
+        chunk, windows, held = [], [], 0
         for rows, buf, offsets in pieces(batches, "text"):
             words = Words(buf, offsets, NOT_BLANK, lower=False)
-            w0, size, row, minimiser, name = _super_kmers(words, window, mer)
+            found = _super_kmers(words, window, mer)
+            many = np.isin(found[3], hot)
+            held += len(words)
+            if many.any():
+                w0, size, row = (x[many] for x in found[:3])
+                n = size - window + 1
+                at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(w0, n)
+                row = np.repeat(row, n)
+                windows.append((A.of_runs(words.hashes(A), at, at + window), B.of_runs(words.hashes(B), at, at + window),
+                                rows.column("id").to_numpy()[row], rows.column("key").to_numpy()[row], at - words.first[row]))
+            w0, size, row, minimiser, name = (x[~many] for x in found)
             if len(w0):
                 a, b = words.starts[w0], words.ends[w0 + size - 1]
                 raw = buf.tobytes()
                 ids, keys = rows.column("id").to_numpy(), rows.column("key").to_numpy()
                 chunk.append(([raw[s:e] for s, e in zip(a.tolist(), b.tolist())], b - a, size, ids[row], keys[row], w0 - words.first[row], minimiser, name))
-                held += len(words)
             if held >= CHUNK_WORDS:
-                yield from emit(chunk)
-                chunk, held = [], 0
+                if chunk:
+                    yield from emit(chunk)
+                if windows:
+                    yield from emit_windows(windows)
+                chunk, windows, held = [], [], 0
         if chunk:
             yield from emit(chunk)
+        if windows:
+            yield from emit_windows(windows)
 
     return run
 
@@ -128,6 +189,15 @@ def _count(window: int):
                 continue
             held.append(whose)
             copies = np.frombuffer(r["copies"], np.int8)
+            if not len(length):  # windows by fingerprint
+                prints = np.frombuffer(blob(r["strings"]), np.uint64)
+                prints_a.append(prints[:len(copies)])
+                prints_b.append(prints[len(copies):])
+                string.append(np.arange(len(copies)) + begin)
+                copies_of.append(copies)
+                offset.append(np.zeros(len(copies), np.int64))
+                begin += len(copies)
+                continue
             buf = np.frombuffer(blob(r["strings"]), np.uint8)
             edges = np.concatenate([[0], np.cumsum(length, dtype=np.int64)])
             at = 0
@@ -176,6 +246,14 @@ def _keyed(df: DataFrame, id_col: str, text_col: str):
                      F.hash(F.col(text_col)).alias("key"))
 
 
+def _sent(df: DataFrame, id_col: str, text_col: str, window: int, mer: int, buckets: int) -> DataFrame:
+    """Packed super-k-mers and, of hot minimisers, windows, with their buckets."""
+    rows = _keyed(df, id_col, text_col)
+    counts = rows.select("text").mapInArrow(_many(window, mer, HOT_IN_CHUNK), "minimiser long, n long").groupBy("minimiser").agg(F.sum("n").alias("n"))
+    hot = counts.filter(F.col("n") >= HOT_STRINGS).select("minimiser").toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64)
+    return rows.mapInArrow(_send(window, mer, buckets, df.sparkSession.sparkContext.broadcast(hot)), _PACKED)
+
+
 def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, mer: int = MER) -> DataFrame:
     """Word spans ``[first, last)`` of each row that repeated windows cover:
     one row per (id, key) with ``spans`` sorted by their first word. ``key`` is
@@ -184,8 +262,7 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         raise ValueError("mer must be between 1 and window")
     spark = df.sparkSession
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-3 * text_bytes(df, text_col) // BUCKET_BYTES))
-    packed = _keyed(df, id_col, text_col).mapInArrow(_send(window, mer, buckets), _PACKED)
-    found = packed.groupBy("bucket").applyInArrow(_count(window), _SPANS)
+    found = _sent(df, id_col, text_col, window, mer, buckets).groupBy("bucket").applyInArrow(_count(window), _SPANS)
     return found.groupBy("id", "key").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("spans"))
 
 

@@ -43,3 +43,18 @@ def test_carried_columns_and_empty_table(edge_docs, no_docs):
     assert done.columns == ["id", "key", "spans", "bucket", "text", "n_words", "n_removed", "kept"]
     assert done.count() == edge_docs.count()
     assert remove_repeats(no_docs).collect() == []
+
+
+def test_a_hot_minimiser_is_split(spark, monkeypatch):
+    from polarity.llm import repeats as R
+    common = prose(900, 20)
+    rows = [(i, prose(2 * i, 40, 100_000) + " " + common + " " + prose(2 * i + 1 - (i % 50 == 0) * 2 * i, 40, 100_000)) for i in range(600)]
+    rows += [(700 + i, rows[i][1]) for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    in_bucket = lambda: R._sent(df, "doc_id", "text", 35, 4, 64).selectExpr("bucket", "length(keys) / 4 AS n", "length(copies) AS c").filter("c > 0").groupBy("bucket").sum("n")
+    monkeypatch.setattr(R, "HOT_STRINGS", 100)
+    sizes = [r[1] for r in in_bucket().collect()]
+    assert max(sizes) < 3 * sum(sizes) / 64
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in R.remove_repeats(df).collect()}
+    assert got == {i: (n, gone, kept) for i, n, gone, kept in brute(rows, 35)}
+    assert sum(gone > 0 for _, gone, _ in got.values()) >= 6
