@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,10 +24,14 @@ def label_from_compound(c: str | Column) -> Column:
 def softmax(logits: str | Column) -> Column:
     """Numerically stable soft-max of an ARRAY<DOUBLE>."""
     x = F.col(logits) if isinstance(logits, str) else logits
-    m = F.array_max(x)
-    e = F.transform(x, lambda v: F.exp(v - m))
-    s = F.aggregate(e, F.lit(0.0), lambda a, v: a + v)
-    return F.transform(e, lambda v: v / s)
+    # each intermediate is bound once: named again, it would be computed for every element
+    e = _once(F.array_max(x), lambda m: F.transform(x, lambda v: F.exp(v - m)))
+    return _once(e, lambda e: _once(F.aggregate(e, F.lit(0.0), lambda a, v: a + v), lambda s: F.transform(e, lambda v: v / s)))
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once for a row."""
+    return F.transform(F.array(value), use)[0]
 
 
 def argmax_label(probs: str | Column, labels: Sequence[str]) -> Column:

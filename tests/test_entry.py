@@ -5,7 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF001
+from paths import SF001
 
 ROWS_ONLY = {"m6_train_classifier"}
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark "

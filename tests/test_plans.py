@@ -2,7 +2,7 @@
 
 import pytest
 
-from conftest import SF01
+from paths import SF01
 from polarity.plans import catalog as C
 
 
