@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from polarity.llm.scratch import materialise
+from polarity.llm.scratch import materialise, scratch_scope
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -17,6 +17,12 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     needs no task of its own. Rounds grow with the logarithm of the longest
     path; the edges of a round are checkpointed and never leave the cluster.
     """
+    with scratch_scope(edges.sparkSession) as keep:
+        now = keep(_stars(edges, rounds))
+    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").distinct())
+
+
+def _stars(edges: DataFrame, rounds: int) -> DataFrame:
     now = materialise(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     last = None
     for _ in range(rounds):
@@ -28,8 +34,6 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         now = materialise(small.filter("a != b").distinct())
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if state == last:
-            break
+            return now
         last = state
-    else:
-        raise RuntimeError("components did not settle")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").distinct())
+    raise RuntimeError("components did not settle")

@@ -30,13 +30,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from polarity.llm.words import ALNUM, U, Words, grams, inside_rows, mix, pieces, sliding_min
+from polarity.llm.words import ALNUM, U, Words, grams, inside_rows, leftmost_min, mix, pieces
 
 N = 10
 K = 6
 FILTER_BITS = 1 << 24
 SALTS = 16
-_POSITION = U((1 << 24) - 1)
 
 
 def _marks(words: Words, h: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -44,8 +43,7 @@ def _marks(words: Words, h: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.
     start, row = inside_rows(words, n)
     if not len(start):
         return start, row
-    keyed = (mix(grams(h, k)) & ~_POSITION) | np.arange(len(h) - k + 1, dtype=np.uint64)
-    at = (sliding_min(keyed, n - k + 1)[start] & _POSITION).astype(np.int64)
+    at = leftmost_min(mix(grams(h, k)), n - k + 1)[start]
     new = np.ones(len(at), dtype=bool)
     new[1:] = at[1:] != at[:-1]
     return at[new], row[new]

@@ -11,11 +11,11 @@ s AS (
   FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 2))) AS i FROM w WHERE len(words) > 0)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 shared AS (
-  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n_both
   FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
 linked AS (
   SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
-  WHERE 100 * both >= 80 * (x.n + y.n - both)),
+  WHERE 100 * n_both >= 80 * (x.n + y.n - n_both)),
 edges AS (SELECT a, b FROM linked UNION ALL SELECT b, a FROM linked),
 reach AS (
   SELECT a AS doc_id, a AS seen FROM edges
@@ -31,11 +31,11 @@ windows AS (
   SELECT doc_id, i, md5(array_to_string(words[i:i + 34], ' ')) AS win
   FROM (SELECT doc_id, words, unnest(range(1, len(words) - 33)) AS i FROM w WHERE len(words) >= 35)),
 twice AS (SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY win) > 1),
-gone AS (SELECT DISTINCT doc_id, i + k AS at FROM twice, (SELECT unnest(range(35)) AS k)),
-each AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS at FROM w),
+gone AS (SELECT DISTINCT doc_id, i + k AS pos FROM twice, (SELECT unnest(range(35)) AS k)),
+each AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS pos FROM w),
 kept AS (
-  SELECT e.doc_id, string_agg(word, ' ' ORDER BY e.at) AS kept, count(*) AS n
-  FROM each e ANTI JOIN gone g ON e.doc_id = g.doc_id AND e.at = g.at GROUP BY e.doc_id)
+  SELECT e.doc_id, string_agg(word, ' ' ORDER BY e.pos) AS kept, count(*) AS n
+  FROM each e ANTI JOIN gone g ON e.doc_id = g.doc_id AND e.pos = g.pos GROUP BY e.doc_id)
 SELECT w.doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIGINT AS n_removed,
   sha256(coalesce(kept, '')) AS kept_sha256
 FROM w LEFT JOIN kept USING (doc_id)
@@ -53,7 +53,7 @@ runs AS (
   SELECT doc_id, i, n, array_to_string(words[i:i + n - 1], ' ') AS win
   FROM (SELECT doc_id, words, n, unnest(range(1, len(words) - n + 2)) AS i FROM d, sizes WHERE len(words) >= n)),
 hits AS (SELECT doc_id, i, n, item FROM runs JOIN windows USING (n, win)),
-hit AS (SELECT doc_id, count(DISTINCT at) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS at FROM hits) GROUP BY doc_id),
+hit AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS pos FROM hits) GROUP BY doc_id),
 items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
 SELECT d.doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import uuid
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,6 +69,7 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers  # a package of this machine, which only this query needs
     path = f"{shared_dir(spark)}/tokens-{uuid.uuid4()}"
     token_files.write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), END_ID)
     done = materialise(token_files.read_tokens(spark, path, with_ids=False))

@@ -14,9 +14,13 @@ its edges the strings hold each row's own words and differ; a minimiser of many
 different strings is found by a count beforehand, and its windows are dealt one
 by one, as fingerprints, by the value of the fingerprint.
 
-Null and empty texts have no words. Rows with equal id and text are separate
-rows whose windows repeat each other. A null id is kept as it is. Only the
-id and text columns are read, so other columns may have any name.
+In a chunk a row has a number of two bytes, which its super-k-mers carry; the
+chunk's head has the 128-bit digest of each row's text. What is repeated in a
+text depends on the text alone, so spans go back to rows by that digest.
+
+Null and empty texts have no words. Equal rows are separate rows whose windows
+repeat each other, whatever their ids. A null id is kept as it is. Only the
+text column is read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -26,37 +30,42 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from polarity.llm.scratch import text_bytes
-from polarity.llm.words import NOT_BLANK, U, A, B, Words, grams, inside_rows, mix, pieces, sliding_min
+from polarity.llm.scratch import materialise, scratch_scope, text_bytes
+from polarity.llm.words import NOT_BLANK, U, A, B, Words, grams, inside_rows, leftmost_min, mix, pieces
 
 WINDOW = 35
 MER = 4
 CHUNK_WORDS = 1_500_000  # words of which a map task gathers super-k-mers before it sends them
 BUCKET_BYTES = 8 << 20   # packed text that a bucket holds on average
-HOT_STRINGS = 20_000     # different strings of a minimiser whose windows are dealt one by one
-HOT_IN_CHUNK = 8         # different strings of a chunk's minimisers that are counted
-NO_ID = -(1 << 63)
-_POSITION = U((1 << 24) - 1)
+HOT_STRINGS = 20_000     # strings of a minimiser whose windows are dealt one by one
+MOST_HOT = 1_000_000     # such minimisers; beyond, only those of more strings than the data over this
+CHUNK_ROWS = 60_000      # row numbers of a chunk fit 16 bits
 
-_PACKED = "bucket int, strings binary, lengths binary, ids binary, keys binary, first binary, copies binary"
-_SPANS = "id long, key int, first int, last int"
+_PACKED = "bucket int, chunk long, strings binary, lengths binary, rows binary, first binary, copies binary"
+_SPANS = "chunk long, row int, first int, last int, digest_a long, digest_b long"
 
 
-def _packed(bucket, strings, lengths, ids, keys, first, copies):
+def _packed(bucket, chunk, strings, lengths, rows, first, copies):
     blob = zstandard.ZstdCompressor(level=1).compress
-    return (bucket, blob(strings), blob(lengths.astype(np.int32).tobytes()), blob(ids.astype(np.int64).tobytes()),
-            keys.astype(np.int32).tobytes(), blob(first.astype(np.int32).tobytes()), copies.astype(np.int8).tobytes())
+    return (bucket, chunk, blob(strings), blob(lengths.astype(np.int32).tobytes()), blob(rows.astype(np.uint16).tobytes()),
+            blob(first.astype(np.int32).tobytes()), copies.astype(np.int8).tobytes())
+
+
+def _head(bucket, chunk, digests):
+    """The digests of a chunk's rows, in place of strings."""
+    return (bucket, chunk, np.concatenate(digests, axis=1).tobytes(), None, None, None, None)
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
-_PACKED_ARROW = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("strings", "lengths", "ids", "keys", "first", "copies"))])
-_SPANS_ARROW = pa.schema([("id", pa.int64()), ("key", pa.int32()), ("first", pa.int32()), ("last", pa.int32())])
+_PACKED_ARROW = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), *((c, pa.binary()) for c in ("strings", "lengths", "rows", "first", "copies"))])
+_SPANS_ARROW = pa.schema([("chunk", pa.int64()), ("row", pa.int32()), ("first", pa.int32()), ("last", pa.int32()), ("digest_a", pa.int64()), ("digest_b", pa.int64())])
 
 
 def _super_kmers(words: Words, window: int, mer: int):
@@ -67,8 +76,7 @@ def _super_kmers(words: Words, window: int, mer: int):
     if not len(start):
         return none, none, none, none.view(np.uint64), none.view(np.uint64)
     m = mix(grams(h, mer))
-    keyed = (m & ~_POSITION) | np.arange(len(m), dtype=np.uint64)
-    at = (sliding_min(keyed, window - mer + 1)[start] & _POSITION).astype(np.int64)
+    at = leftmost_min(m, window - mer + 1)[start]
     new = np.ones(len(start), dtype=bool)
     new[1:] = (at[1:] != at[:-1]) | (row[1:] != row[:-1])
     begin = np.flatnonzero(new)
@@ -77,19 +85,20 @@ def _super_kmers(words: Words, window: int, mer: int):
     return w0, size, row[begin], m[at[begin]], A.of_runs(h, w0, w0 + size) ^ size.astype(np.uint64)
 
 
-def _many(window: int, mer: int, least: int):
-    """(minimiser, different strings) of each chunk's minimisers with at least ``least``."""
+def _many(window: int, mer: int, every: int):
+    """(minimiser, n) of each chunk's different strings whose hash falls on one of ``every`` parts."""
     def emit(chunk):
         minimiser, name = (np.concatenate(c) for c in zip(*chunk))
         found, n = np.unique(minimiser[np.unique(name, return_index=True)[1]], return_counts=True)
-        some = n >= least
-        return pa.RecordBatch.from_arrays([pa.array(found[some].view(np.int64)), pa.array(n[some].astype(np.int64))], names=["minimiser", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], names=["minimiser", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, held = [], 0
         for _, buf, offsets in pieces(batches, "text"):
             words = Words(buf, offsets, NOT_BLANK, lower=False)
-            chunk.append(_super_kmers(words, window, mer)[3:])
+            minimiser, name = _super_kmers(words, window, mer)[3:]
+            some = mix(name) % U(every) == 0
+            chunk.append((minimiser[some], name[some]))
             held += len(words)
             if held >= CHUNK_WORDS:
                 yield emit(chunk)
@@ -101,75 +110,76 @@ def _many(window: int, mer: int, least: int):
 
 
 def _send(window: int, mer: int, buckets: int, shared):
-    def emit_windows(chunk):
-        a, b, ids, keys, first = (np.concatenate(c) for c in zip(*chunk))
-        _, index, inverse, count = np.unique(a ^ mix(b), return_index=True, return_inverse=True, return_counts=True)
+    def packed(name, bucket, chosen, pack):
+        """One record for each bucket that chosen rows fall into, in batches."""
         rows = []
-        again = np.flatnonzero(count[inverse] > 1)
-        if len(again):
-            rows.append(_packed(int(a[again[0]] % U(buckets)), b"", np.full(len(again), window), ids[again], keys[again], first[again], np.zeros(0)))
-        bucket = (a[index] % U(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
-            i = index[part]
-            rows.append(_packed(int(bucket[part[0]]), a[i].tobytes() + b[i].tobytes(), np.zeros(0), ids[i], keys[i], first[i], np.minimum(count[part], 2)))
+            rows.append(pack(int(bucket[part[0]]), chosen[part], part))
             if len(rows) >= 256:
                 yield _batch(rows, _PACKED_ARROW)
                 rows = []
         if rows:
             yield _batch(rows, _PACKED_ARROW)
 
-    def emit(chunk):
-        strings, length, size, ids, keys, first, minimiser, name = (
-            sum(c, []) if isinstance(c[0], list) else np.concatenate(c) for c in zip(*chunk))
-        _, index, inverse, count = np.unique(name, return_index=True, return_inverse=True, return_counts=True)
-        rows = []
+    def settled(name, size, row, first, again):
+        """Copies within the chunk repeat each other, whatever other chunks hold."""
+        yield _batch([_packed(name % buckets, name, b"", size[again], row[again], first[again], np.zeros(0))], _PACKED_ARROW)
+
+    def emit_windows(name, chunk):
+        a, b, row, first = (np.concatenate(c) for c in zip(*chunk))
+        _, index, inverse, count = np.unique(a ^ mix(b), return_index=True, return_inverse=True, return_counts=True)
         again = np.flatnonzero(count[inverse] > 1)
-        if len(again):  # copies within the chunk: settled here
-            rows.append(_packed(int(minimiser[again[0]] % U(buckets)), b"", size[again], ids[again], keys[again], first[again], np.zeros(0)))
-        bucket = (minimiser[index] % U(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-        for part in np.split(order, cuts):
-            i = index[part]
-            rows.append(_packed(int(bucket[part[0]]), b"".join([strings[j] for j in i]), length[i], ids[i], keys[i], first[i], np.minimum(count[part], 2)))
-            if len(rows) >= 256:
-                yield _batch(rows, _PACKED_ARROW)
-                rows = []
-        if rows:
-            yield _batch(rows, _PACKED_ARROW)
+        if len(again):
+            yield from settled(name, np.full(len(a), window), row, first, again)
+        yield from packed(name, (a[index] % U(buckets)).astype(np.int64), index, lambda bucket, i, part: _packed(
+            bucket, name, a[i].tobytes() + b[i].tobytes(), np.zeros(0), row[i], first[i], np.minimum(count[part], 2)))
+
+    def emit_strings(name, chunk):
+        strings, length, size, row, first, minimiser, words = (sum(c, []) if isinstance(c[0], list) else np.concatenate(c) for c in zip(*chunk))
+        _, index, inverse, count = np.unique(words, return_index=True, return_inverse=True, return_counts=True)
+        again = np.flatnonzero(count[inverse] > 1)
+        if len(again):
+            yield from settled(name, size, row, first, again)
+        yield from packed(name, (minimiser[index] % U(buckets)).astype(np.int64), index, lambda bucket, i, part: _packed(
+            bucket, name, b"".join([strings[j] for j in i]), length[i], row[i], first[i], np.minimum(count[part], 2)))
+
+    def emit(name, digests, chunk, windows):
+        yield _batch([_head(name % buckets, name, digests)], _PACKED_ARROW)
+        if chunk:
+            yield from emit_strings(name, chunk)
+        if windows:
+            yield from emit_windows(name, windows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = shared.value
-        chunk, windows, held = [], [], 0
+        name = TaskContext.get().partitionId() << 32
+        digests, chunk, windows, held, docs = [], [], [], 0, 0
         for rows, buf, offsets in pieces(batches, "text"):
-            words = Words(buf, offsets, NOT_BLANK, lower=False)
-            found = _super_kmers(words, window, mer)
-            many = np.isin(found[3], hot)
-            held += len(words)
-            if many.any():
-                w0, size, row = (x[many] for x in found[:3])
-                n = size - window + 1
-                at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(w0, n)
-                row = np.repeat(row, n)
-                windows.append((A.of_runs(words.hashes(A), at, at + window), B.of_runs(words.hashes(B), at, at + window),
-                                rows.column("id").to_numpy()[row], rows.column("key").to_numpy()[row], at - words.first[row]))
-            w0, size, row, minimiser, name = (x[~many] for x in found)
-            if len(w0):
-                a, b = words.starts[w0], words.ends[w0 + size - 1]
-                raw = buf.tobytes()
-                ids, keys = rows.column("id").to_numpy(), rows.column("key").to_numpy()
-                chunk.append(([raw[s:e] for s, e in zip(a.tolist(), b.tolist())], b - a, size, ids[row], keys[row], w0 - words.first[row], minimiser, name))
-            if held >= CHUNK_WORDS:
-                if chunk:
-                    yield from emit(chunk)
-                if windows:
-                    yield from emit_windows(windows)
-                chunk, windows, held = [], [], 0
-        if chunk:
-            yield from emit(chunk)
-        if windows:
-            yield from emit_windows(windows)
+            for at in range(0, rows.num_rows, CHUNK_ROWS):
+                part = rows.slice(at, CHUNK_ROWS)
+                o = offsets[at:at + part.num_rows + 1]
+                if held >= CHUNK_WORDS or docs + part.num_rows > CHUNK_ROWS:
+                    yield from emit(name, digests, chunk, windows)
+                    name, digests, chunk, windows, held, docs = name + 1, [], [], [], 0, 0
+                words = Words(buf[o[0]:o[-1]], o - o[0], NOT_BLANK, lower=False)
+                found = _super_kmers(words, window, mer)
+                many = np.isin(found[3], hot)
+                if many.any():
+                    w0, size, row = (x[many] for x in found[:3])
+                    n = size - window + 1
+                    w = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(w0, n)
+                    row = np.repeat(row, n)
+                    windows.append((A.of_runs(words.hashes(A), w, w + window), B.of_runs(words.hashes(B), w, w + window), row + docs, w - words.first[row]))
+                w0, size, row, minimiser, hashed = (x[~many] for x in found)
+                if len(w0):
+                    a, b = words.starts[w0], words.ends[w0 + size - 1]
+                    raw = words.buf.tobytes()
+                    chunk.append(([raw[s:e] for s, e in zip(a.tolist(), b.tolist())], b - a, size, row + docs, w0 - words.first[row], minimiser, hashed))
+                digests.append(np.stack([part.column(c).to_numpy() for c in ("digest_a", "digest_b")]))
+                held, docs = held + len(words), docs + part.num_rows
+        if docs:
+            yield from emit(name, digests, chunk, windows)
 
     return run
 
@@ -178,12 +188,16 @@ def _count(window: int):
     """Windows of one bucket that occur at least twice, as word spans of their rows."""
     def run(table: pa.Table) -> pa.Table:
         blob = zstandard.ZstdDecompressor().decompress
-        settled, held = [], []
+        heads, settled, held = [], [], []
         prints_a, prints_b, string, copies_of, offset = [], [], [], [], []
         begin = 0
         for r in table.to_pylist():
+            if r["copies"] is None:
+                heads.append((r["chunk"], np.frombuffer(r["strings"], np.int64).reshape(2, -1)))
+                continue
             length = np.frombuffer(blob(r["lengths"]), np.int32)
-            whose = (np.frombuffer(blob(r["ids"]), np.int64), np.frombuffer(r["keys"], np.int32), np.frombuffer(blob(r["first"]), np.int32))
+            row = np.frombuffer(blob(r["rows"]), np.uint16)
+            whose = (np.full(len(row), r["chunk"]), row, np.frombuffer(blob(r["first"]), np.int32))
             if not r["copies"]:
                 settled.append((*whose, whose[2] + length))
                 continue
@@ -231,49 +245,66 @@ def _count(window: int):
                 cut[1:] = (string[hit][1:] != string[hit][:-1]) | (offset[hit][1:] != offset[hit][:-1] + 1)
                 i = np.flatnonzero(cut)
                 j = np.append(i[1:], len(hit)) - 1
-                ids, keys, first = (np.concatenate(c) for c in zip(*held))
+                chunk, row, first = (np.concatenate(c) for c in zip(*held))
                 s = string[hit[i]]
-                spans.append((ids[s], keys[s], first[s] + offset[hit[i]], first[s] + offset[hit[j]] + window))
-        if not spans:
-            return _SPANS_ARROW.empty_table()
-        return pa.table([pa.array(np.concatenate(c), type=f.type) for c, f in zip(zip(*spans), _SPANS_ARROW)], schema=_SPANS_ARROW)
+                spans.append((chunk[s], row[s], first[s] + offset[hit[i]], first[s] + offset[hit[j]] + window))
+        out = []
+        for chunk, digests in heads:
+            n = digests.shape[1]
+            out.append(pa.table([np.full(n, chunk), np.arange(n, dtype=np.int32), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), digests[0], digests[1]], schema=_SPANS_ARROW))
+        if spans:
+            chunk, row, first, last = (np.concatenate(c) for c in zip(*spans))
+            none = pa.nulls(len(chunk), pa.int64())
+            out.append(pa.table([chunk, row.astype(np.int32), first.astype(np.int32), last.astype(np.int32), none, none], schema=_SPANS_ARROW))
+        return pa.concat_tables(out) if out else _SPANS_ARROW.empty_table()
 
     return run
 
 
-def _keyed(df: DataFrame, id_col: str, text_col: str):
-    return df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).alias("text"),
-                     F.hash(F.col(text_col)).alias("key"))
+def _digests(text: str) -> list[F.Column]:
+    """Two hashes of a text, 128 bits together."""
+    return [F.xxhash64(F.lit(1), text).alias("digest_a"), F.xxhash64(F.lit(2), text).alias("digest_b")]
+
+
+def _hot(df: DataFrame, text_col: str, window: int, mer: int) -> np.ndarray:
+    """Minimisers of many strings, estimated from every so many-th string; MOST_HOT of them at most."""
+    every = max(1, HOT_STRINGS // 64)
+    counts = df.select(F.col(text_col).alias("text")).mapInArrow(_many(window, mer, every), "minimiser long, n long").groupBy("minimiser").agg(F.sum("n").alias("n"))
+    counts = materialise(counts)
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    least = max(HOT_STRINGS // every, total // MOST_HOT)
+    return counts.filter(F.col("n") >= least).select("minimiser").toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64)
 
 
-def _sent(df: DataFrame, id_col: str, text_col: str, window: int, mer: int, buckets: int) -> DataFrame:
+def _sent(df: DataFrame, text_col: str, window: int, mer: int, buckets: int) -> DataFrame:
     """Packed super-k-mers and, of hot minimisers, windows, with their buckets."""
-    rows = _keyed(df, id_col, text_col)
-    counts = rows.select("text").mapInArrow(_many(window, mer, HOT_IN_CHUNK), "minimiser long, n long").groupBy("minimiser").agg(F.sum("n").alias("n"))
-    hot = counts.filter(F.col("n") >= HOT_STRINGS).select("minimiser").toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64)
-    return rows.mapInArrow(_send(window, mer, buckets, df.sparkSession.sparkContext.broadcast(hot)), _PACKED)
+    with scratch_scope(df.sparkSession):
+        hot = df.sparkSession.sparkContext.broadcast(_hot(df, text_col, window, mer))
+    return df.select(F.col(text_col).alias("text"), *_digests(text_col)).mapInArrow(_send(window, mer, buckets, hot), _PACKED)
 
 
-def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, mer: int = MER) -> DataFrame:
-    """Word spans ``[first, last)`` of each row that repeated windows cover:
-    one row per (id, key) with ``spans`` sorted by their first word. ``key`` is
-    a hash of the text, which tells apart rows of one id."""
+def repeated_spans(df: DataFrame, text_col: str = "text", window: int = WINDOW, mer: int = MER) -> DataFrame:
+    """Word spans ``[first, last)`` of each text that repeated windows cover:
+    one row per text that has some, by its digest, with ``spans`` sorted by their first word."""
     if not 1 <= mer <= window:
         raise ValueError("mer must be between 1 and window")
     spark = df.sparkSession
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-3 * text_bytes(df, text_col) // BUCKET_BYTES))
-    found = _sent(df, id_col, text_col, window, mer, buckets).groupBy("bucket").applyInArrow(_count(window), _SPANS)
-    return found.groupBy("id", "key").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("spans"))
+    found = _sent(df, text_col, window, mer, buckets).groupBy("bucket").applyInArrow(_count(window), _SPANS)
+    spans = F.sort_array(F.collect_list(F.when(F.col("first").isNotNull(), F.struct("first", "last"))))
+    of_rows = found.groupBy("chunk", "row").agg(spans.alias("spans"), F.max("digest_a").alias("digest_a"), F.max("digest_b").alias("digest_b"))
+    # rows of one text have the same spans
+    return of_rows.filter(F.size("spans") > 0).groupBy("digest_a", "digest_b").agg(F.first("spans").alias("spans"))
 
 
 _KEPT_ARROW = pa.schema([("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rest = [c for c in batch.schema.names if c != "__spans"]
+    for part, _, _ in pieces(batches, "__text"):
+        rest = [c for c in part.schema.names if c not in ("__spans", "__text")]
         out = []
-        for text, spans in zip(batch.column("__text").to_pylist(), batch.column("__spans").to_pylist()):
+        for text, spans in zip(part.column("__text").to_pylist(), part.column("__spans").to_pylist()):
             words = (text or "").encode().split()
             keep, at = [], 0
             for s in spans or ():
@@ -281,9 +312,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at = max(at, s["last"])
             keep += words[at:]
             out.append((len(words), len(words) - len(keep), b" ".join(keep).decode()))
-        n = list(zip(*out)) or [[], [], []]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest if c != "__text"), *(pa.array(c, type=f.type) for c, f in zip(n, _KEPT_ARROW))],
-                                         names=[*(c for c in rest if c != "__text"), *_KEPT_ARROW.names])
+        yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), *(pa.array(c, type=f.type) for c, f in zip(zip(*out), _KEPT_ARROW))],
+                                         names=[*rest, *_KEPT_ARROW.names])
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
@@ -293,10 +323,9 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     the columns to return beside them (the id alone if None); they may bear
     any name but these three."""
     carry = [id_col] if carry is None else carry
-    spans = repeated_spans(df, id_col, text_col, window, mer)
-    left = df.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(carry)), F.col(text_col).alias("__text"),
-                     F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.hash(F.col(text_col)).alias("key"))
-    rows = left.join(spans.withColumnRenamed("spans", "__spans"), ["id", "key"], "left").drop("id", "key")
+    spans = repeated_spans(df, text_col, window, mer)
+    left = df.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(carry)), F.col(text_col).alias("__text"), *_digests(text_col))
+    rows = left.join(spans.withColumnRenamed("spans", "__spans"), ["digest_a", "digest_b"], "left").drop("digest_a", "digest_b")
     kinds = ", ".join(f"c{i} {df.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))
     done = rows.mapInArrow(_cut, f"{kinds}{', ' if kinds else ''}n_words long, n_removed long, kept string")
     return done.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(carry)), "n_words", "n_removed", "kept")

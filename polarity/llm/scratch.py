@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from threading import local
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+_OPEN = local()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -21,10 +28,53 @@ def shared_dir(spark: SparkSession) -> str:
     return path or current
 
 
+def _scopes() -> list[dict[str, bool]]:
+    if not hasattr(_OPEN, "scopes"):
+        _OPEN.scopes = []
+    return _OPEN.scopes
+
+
+def _folder(checkpointed: DataFrame) -> str | None:
+    file = checkpointed._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    return file.get() if file.isDefined() else None
+
+
 def materialise(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and cut its lineage with a reliable checkpoint."""
+    """Compute ``df`` once and cut its lineage with a reliable checkpoint. The
+    innermost open ``scratch_scope`` deletes it when it ends."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    done = df.checkpoint(eager=True)
+    if _scopes() and (folder := _folder(done)):
+        _scopes()[-1][folder] = False
+    return done
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes what ``materialise`` wrote inside, but the tables given to the
+    function that the scope yields: these pass to the scope around it, if any.
+
+    Shuffle files go when the JVM collects the plans that own them, so the
+    scope also asks for a collection, as Spark's own cleaner does from time to time.
+    """
+    scopes, mine = _scopes(), {}
+    scopes.append(mine)
+
+    def keep(df: DataFrame) -> DataFrame:
+        mine[_folder(df)] = True
+        return df
+
+    try:
+        yield keep
+    finally:
+        scopes.remove(mine)
+        for folder, kept in mine.items():
+            if not kept:
+                remove(spark, folder)
+            elif scopes:
+                scopes[-1][folder] = False
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,7 +83,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def text_bytes(df: DataFrame, column: str) -> int:
     """Exact size of a text column, which fixes how many buckets a job uses."""
-    from pyspark.sql import functions as F
     return int(df.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()[0])
 
 

@@ -121,6 +121,19 @@ def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(out[:len(out) - rest], out[rest:]) if rest else out
 
 
+def leftmost_min(x: np.ndarray, n: int, most: int = 1 << 24) -> np.ndarray:
+    """Place of the smallest of every ``n`` consecutive hashes. Hashes are
+    compared by their upper bits (40 of 64), equal ones by their place. Arrays
+    longer than ``most`` are taken in stretches that overlap by n - 1."""
+    low = U(most - 1)
+    out = [np.zeros(0, np.int64)]
+    for at in range(0, max(len(x) - n + 1, 0), most - n + 1):
+        part = x[at:at + most]
+        keyed = (part & ~low) | np.arange(len(part), dtype=np.uint64)
+        out.append((sliding_min(keyed, n) & low).astype(np.int64) + at)
+    return np.concatenate(out)
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, row offsets) of a string column; a null is an empty text."""
     column = pc.fill_null(column.cast(pa.large_string()), "")

@@ -51,10 +51,29 @@ def test_a_hot_minimiser_is_split(spark, monkeypatch):
     rows = [(i, prose(2 * i, 40, 100_000) + " " + common + " " + prose(2 * i + 1 - (i % 50 == 0) * 2 * i, 40, 100_000)) for i in range(600)]
     rows += [(700 + i, rows[i][1]) for i in range(3)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    in_bucket = lambda: R._sent(df, "doc_id", "text", 35, 4, 64).selectExpr("bucket", "length(keys) / 4 AS n", "length(copies) AS c").filter("c > 0").groupBy("bucket").sum("n")
+    in_bucket = lambda: R._sent(df, "text", 35, 4, 64).selectExpr("bucket", "length(copies) AS n", "length(copies) AS c").filter("c > 0").groupBy("bucket").sum("n")
     monkeypatch.setattr(R, "HOT_STRINGS", 100)
     sizes = [r[1] for r in in_bucket().collect()]
     assert max(sizes) < 3 * sum(sizes) / 64
     got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in R.remove_repeats(df).collect()}
     assert got == {i: (n, gone, kept) for i, n, gone, kept in brute(rows, 35)}
     assert sum(gone > 0 for _, gone, _ in got.values()) >= 6
+
+
+def test_rows_without_id_keep_what_is_their_own(spark):
+    passage = prose(31, 60)
+    rows = [(None, prose(40 + i, 50) + " " + (passage if i < 2 else "")) for i in range(40)] + [(None, prose(41, 50))] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert rows_of(remove_repeats(df)) == brute(rows, 35)
+
+
+def test_texts_longer_than_a_stretch(edge_docs, edge_rows, monkeypatch):
+    from polarity.llm import words as W
+    import numpy as np
+    x = W.mix(np.arange(5000, dtype=np.uint64) % np.uint64(700))
+    for n in (1, 2, 7, 32):
+        whole, cut = W.leftmost_min(x, n, 1 << 16), W.leftmost_min(x, n, 1 << 6)
+        high = ~np.uint64((1 << 16) - 1)
+        assert len(whole) == len(cut) == len(x) - n + 1
+        assert all(x[i] & high == (x[k:k + n] & high).min() for k, i in enumerate(whole.tolist()))
+        assert (cut - np.arange(len(cut)) < n).all() and (cut >= np.arange(len(cut))).all()
