@@ -25,7 +25,7 @@ from polarity.llm.decontaminate import contamination
 from polarity.llm.ngram_join import linked_groups
 from polarity.llm.packing import pack, word_count
 from polarity.llm.repeats import remove_repeats
-from polarity.llm.scratch import materialise, remove, shared_dir, table
+from polarity.llm.scratch import materialise, remove, scratch_scope, shared_dir, table
 
 
 ROW = "__pipeline_row"
@@ -33,7 +33,16 @@ ROW = "__pipeline_row"
 
 def _numbered(docs: DataFrame) -> DataFrame:
     """``docs`` with ``ROW``, which is stable as it is read from files."""
-    return docs if ROW in docs.columns else materialise(docs.withColumn(ROW, F.monotonically_increasing_id()))
+    if ROW in docs.columns:
+        return docs
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation" or "_metadata" in docs.columns:
+        return materialise(docs.withColumn(ROW, F.monotonically_increasing_id()))
+    # a table as it is read: a row's place in its file says which it is, so texts need not be copied
+    placed = docs.select("*", F.col("_metadata.file_path").alias("__pipeline_file"), F.col("_metadata.row_index").alias("__pipeline_place"))
+    files = sorted(r[0] for r in placed.select("__pipeline_file").distinct().collect())
+    numbers = docs.sparkSession.createDataFrame(list(enumerate(files)), "__pipeline_number long, __pipeline_file string")
+    number = (F.shiftleft("__pipeline_number", 40) + F.col("__pipeline_place")).alias(ROW)
+    return placed.join(numbers, "__pipeline_file").select(*_names(docs), number)
 
 
 def _plain(docs: DataFrame) -> DataFrame:
@@ -51,7 +60,8 @@ def _at(docs: DataFrame, column: str) -> str:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below 0.5."""
-    model = toxicity.train(docs, table(spark, sf_dir, "labels"), usable=~toxicity.held_out("id"))
+    with scratch_scope(spark):
+        model = toxicity.train(docs, table(spark, sf_dir, "labels"), usable=~toxicity.held_out("id"))
     scored = toxicity.score(_plain(docs), model, text_col=_at(docs, "text"))
     return scored.filter("score < 0.5").drop("score", "offending").toDF(*docs.columns)
 
@@ -60,20 +70,21 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Of each group of linked rows the one with the smallest id, of these the one with the smallest text; null ids come last."""
     every = _numbered(docs)
     rows, number, key, text = _plain(every), _at(every, ROW), _at(every, "doc_id"), _at(every, "text")
-    groups = materialise(linked_groups(every.select(F.col(ROW).alias("doc_id"), "text")))
-    several = groups.filter("doc_id != component_id").select("component_id").distinct()
-    members = groups.join(several, "component_id", "left_semi").select(F.col("doc_id").alias("member"), "component_id")
-    order = F.struct(F.col(key).isNull(), F.col(key), F.col(text), F.col("member"))
-    first = members.join(rows.select(number, key, text), F.col("member") == F.col(number)).groupBy("component_id").agg(F.min_by("member", order).alias("first"))
-    copies = members.join(first, "component_id").filter("member != first").select(F.col("member").alias("copy"))
+    with scratch_scope(spark) as keep:
+        groups = materialise(linked_groups(every.select(F.col(ROW).alias("doc_id"), "text")))
+        several = groups.filter("doc_id != component_id").select("component_id").distinct()
+        members = groups.join(several, "component_id", "left_semi").select(F.col("doc_id").alias("member"), "component_id")
+        order = F.struct(F.col(key).isNull(), F.col(key), F.col(text), F.col("member"))
+        first = members.join(rows.select(number, key, text), F.col("member") == F.col(number)).groupBy("component_id").agg(F.min_by("member", order).alias("first"))
+        copies = keep(materialise(members.join(first, "component_id").filter("member != first").select(F.col("member").alias("copy"))))
     return rows.join(copies, rows[number] == F.col("copy"), "left_anti").toDF(*every.columns).select(*_names(docs))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that occur again; other texts stay as they are,
     and documents of which nothing is left go."""
-    every, text = _numbered(docs), _at(docs, "text")
-    done = remove_repeats(_plain(every), _at(every, ROW), text, carry=list(_plain(docs).columns))
+    text = _at(docs, "text")
+    done = remove_repeats(_plain(docs), text, text, carry=list(_plain(docs).columns))
     done = done.filter("n_removed = 0 OR n_removed < n_words").withColumn(text, F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col(text)))
     if "n_chars" in docs.columns:
         n = _at(docs, "n_chars")
@@ -84,8 +95,9 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share no window with a benchmark item."""
     every = _numbered(docs)
-    found = contamination(every.select(F.col(ROW).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
-    hit = found.filter(F.size("spans") > 0).select(F.col("doc_id").alias("hit"))
+    with scratch_scope(spark) as keep:
+        found = contamination(every.select(F.col(ROW).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+        hit = keep(materialise(found.filter(F.size("spans") > 0).select(F.col("doc_id").alias("hit"))))
     rows = _plain(every)
     return rows.join(hit, rows[_at(every, ROW)] == F.col("hit"), "left_anti").toDF(*every.columns).select(*_names(docs))
 
