@@ -41,6 +41,10 @@ SELECT w.doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::B
 FROM w LEFT JOIN kept USING (doc_id)
 """
 
+OP11 = OP3.replace(">= 80 *", ">= 85 *").replace("AS component_id\nFROM w", """AS component_id,
+  w.doc_id = coalesce(least.component_id, w.doc_id) AS kept
+FROM w""")
+
 _ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 OP10 = rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, {_ALNUM}) AS words FROM documents),
@@ -60,4 +64,4 @@ SELECT d.doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-ORACLE = {"op3_ngram_jaccard": OP3, "op4_substring_dedup": OP4, "op10_winnowing": OP10}
+ORACLE = {"op3_ngram_jaccard": OP3, "op4_substring_dedup": OP4, "op10_winnowing": OP10, "op11_minhash_tables": OP11}

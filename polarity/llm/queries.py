@@ -15,6 +15,7 @@ from polarity.llm import token_files, toxicity, warc
 from polarity.llm.decontaminate import contamination, covered
 from polarity.llm.html_text import main_text
 from polarity.llm.licences import scan_licences
+from polarity.llm.minhash_tables import near_duplicates
 from polarity.llm.multiset import edited_fingerprints
 from polarity.llm.ngram_join import linked_groups
 from polarity.llm.oracle import ORACLE  # noqa: F401
@@ -103,3 +104,8 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     n_hit = covered("spans")
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+@query
+def op11_minhash_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))

@@ -13,7 +13,7 @@ def shingles(text, n=5):
     return frozenset(tuple(w[k:k + n]) for k in range(len(w) - n + 1))
 
 
-def brute(rows):
+def brute(rows, percent=80):
     sets = [(i, shingles(t)) for i, t in rows]
     up = {i: i for i, _ in sets}
 
@@ -25,7 +25,7 @@ def brute(rows):
     low = lambda x: (x is not None, x or 0)  # noqa: E731  a null id is the smallest
     for k, (a, s) in enumerate(sets):
         for b, t in sets[:k]:
-            if s and t and 100 * len(s & t) >= 80 * len(s | t) and top(a) != top(b):
+            if s and t and 100 * len(s & t) >= percent * len(s | t) and top(a) != top(b):
                 x, y = sorted((top(a), top(b)), key=low)
                 up[y] = x
     return sorted(((i, len(s), top(i)) for i, s in sets), key=str)
