@@ -64,4 +64,32 @@ SELECT d.doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-ORACLE = {"op3_ngram_jaccard": OP3, "op4_substring_dedup": OP4, "op10_winnowing": OP10, "op11_minhash_tables": OP11}
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(s) + 1), lambda i: ascii(s[i])::BIGINT)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))))"""
+OP12 = f"""
+WITH own AS (
+  SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+heads AS (SELECT conv_id, turns, {_CRC} % 6 AS h FROM (SELECT *, conv_id::VARCHAR AS s FROM own)),
+rebuilt AS (
+  SELECT x.conv_id, list_concat(coalesce(y.turns, [])[1:x.h], x.turns[x.h + 1:]) AS turns
+  FROM heads x LEFT JOIN own y ON y.conv_id = x.conv_id - x.conv_id % 100),
+prefixes AS (
+  SELECT conv_id, d AS depth, len(turns) = d AS ends, md5(turns[1:d]::JSON::VARCHAR) AS node, CASE WHEN d > 0 THEN md5(turns[1:d - 1]::JSON::VARCHAR) END AS up,
+    CASE WHEN d > 0 THEN length(turns[d].text) ELSE 0 END AS chars
+  FROM (SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS d FROM rebuilt)),
+nodes AS (
+  SELECT node, depth, any_value(up) AS up, any_value(chars) AS chars, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+  FROM prefixes GROUP BY node, depth),
+children AS (SELECT up AS node, count(*) AS n_children FROM nodes WHERE up IS NOT NULL GROUP BY up),
+below AS (SELECT DISTINCT a.node AS top, b.node AS node FROM prefixes a JOIN prefixes b ON a.conv_id = b.conv_id AND a.depth <= b.depth),
+sums AS (
+  SELECT top, count(*) FILTER (c.node IS NULL) AS n_leaves, sum((n.n_convs - 1) * n.chars) AS saved_tokens
+  FROM below JOIN nodes n ON n.node = below.node LEFT JOIN children c ON c.node = below.node GROUP BY top)
+SELECT n.conv_id::BIGINT AS conv_id, n.depth::BIGINT AS depth, p.conv_id::BIGINT AS parent_conv_id, n.n_convs::BIGINT AS n_convs,
+  coalesce(c.n_children, 0)::BIGINT AS n_children, s.n_leaves::BIGINT AS n_leaves, s.saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+FROM nodes n LEFT JOIN nodes p ON p.node = n.up LEFT JOIN children c ON c.node = n.node JOIN sums s ON s.top = n.node
+"""
+
+ORACLE = {"op3_ngram_jaccard": OP3, "op4_substring_dedup": OP4, "op10_winnowing": OP10, "op11_minhash_tables": OP11, "op12_prefix_trie": OP12}

@@ -20,8 +20,9 @@ from polarity.llm.multiset import edited_fingerprints
 from polarity.llm.ngram_join import linked_groups
 from polarity.llm.oracle import ORACLE  # noqa: F401
 from polarity.llm.packing import pack, word_count
+from polarity.llm.prefix_trie import mixed_turns, ordered_turns, prefix_trie
 from polarity.llm.repeats import remove_repeats
-from polarity.llm.scratch import materialise, remove, shared_dir, table
+from polarity.llm.scratch import materialise, remove, scratch_scope, shared_dir, table
 
 QUERIES: dict = {}
 END_ID = 2
@@ -109,3 +110,12 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op11_minhash_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv = F.col("conv")
+    heads = F.crc32(conv.cast("string").cast("binary")) % 6
+    with scratch_scope(spark) as keep:
+        turns = materialise(ordered_turns(table(spark, sf_dir, "conversations")))
+        return keep(prefix_trie(mixed_turns(turns, conv - conv % 100, heads, 5)))

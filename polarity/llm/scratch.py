@@ -34,9 +34,11 @@ def _scopes() -> list[dict[str, bool]]:
     return _OPEN.scopes
 
 
-def _folder(checkpointed: DataFrame) -> str | None:
-    file = checkpointed._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
-    return file.get() if file.isDefined() else None
+def _folders(df: DataFrame) -> list[str]:
+    """Folders of the checkpoints that ``df`` reads."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    files = [x.rdd().getCheckpointFile() for x in (leaves.apply(i) for i in range(leaves.size())) if x.getClass().getSimpleName() == "LogicalRDD"]
+    return [f.get() for f in files if f.isDefined()]
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -44,15 +46,15 @@ def materialise(df: DataFrame) -> DataFrame:
     innermost open ``scratch_scope`` deletes it when it ends."""
     shared_dir(df.sparkSession)
     done = df.checkpoint(eager=True)
-    if _scopes() and (folder := _folder(done)):
-        _scopes()[-1][folder] = False
+    if _scopes():
+        _scopes()[-1].update(dict.fromkeys(_folders(done), False))
     return done
 
 
 @contextmanager
 def scratch_scope(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
-    """Deletes what ``materialise`` wrote inside, but the tables given to the
-    function that the scope yields: these pass to the scope around it, if any.
+    """Deletes what ``materialise`` wrote inside, but what the tables read that
+    are given to the function that the scope yields: these pass to the scope around it, if any.
 
     Shuffle files go when the JVM collects the plans that own them, so the
     scope also asks for a collection, as Spark's own cleaner does from time to time.
@@ -61,7 +63,7 @@ def scratch_scope(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFra
     scopes.append(mine)
 
     def keep(df: DataFrame) -> DataFrame:
-        mine[_folder(df)] = True
+        mine.update(dict.fromkeys(_folders(df), True))
         return df
 
     try:
