@@ -29,6 +29,7 @@ from polarity.llm.scratch import materialise, remove, scratch_scope, shared_dir,
 
 
 ROW = "__pipeline_row"
+FILES_BYTES = 32 << 20  # names of a table's files that are broadcast; more are joined by a shuffle
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
@@ -42,6 +43,8 @@ def _numbered(docs: DataFrame) -> DataFrame:
     files = sorted(r[0] for r in placed.select("__pipeline_file").distinct().collect())
     numbers = docs.sparkSession.createDataFrame(list(enumerate(files)), "__pipeline_number long, __pipeline_file string")
     number = (F.shiftleft("__pipeline_number", 40) + F.col("__pipeline_place")).alias(ROW)
+    if sum(map(len, files)) <= FILES_BYTES:  # the driver has them all, so their size is known
+        numbers = F.broadcast(numbers)
     return placed.join(numbers, "__pipeline_file").select(*_names(docs), number)
 
 
