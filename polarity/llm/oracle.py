@@ -92,4 +92,28 @@ SELECT n.conv_id::BIGINT AS conv_id, n.depth::BIGINT AS depth, p.conv_id::BIGINT
 FROM nodes n LEFT JOIN nodes p ON p.node = n.up LEFT JOIN children c ON c.node = n.node JOIN sums s ON s.top = n.node
 """
 
-ORACLE = {"op3_ngram_jaccard": OP3, "op4_substring_dedup": OP4, "op10_winnowing": OP10, "op11_minhash_tables": OP11, "op12_prefix_trie": OP12}
+OP13 = rf"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words
+  FROM (SELECT lang, unnest(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+grams AS (
+  SELECT lang, k, array_to_string(words[i:i + k - 1], ' ') AS phrase, count(*)::HUGEINT AS f
+  FROM (SELECT lang, words, k, unnest(range(1, len(words) - k + 2)) AS i FROM pieces, (SELECT unnest([1, 2, 3]) AS k) WHERE len(words) >= k)
+  GROUP BY ALL),
+totals AS (SELECT lang, sum(f) AS n FROM grams WHERE k = 1 GROUP BY lang),
+found AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM grams WHERE k > 1 AND f >= 10),
+cuts AS (SELECT *, unnest(range(1, k)) AS c FROM found),
+scored AS (
+  SELECT u.lang, u.phrase, u.k, u.w, u.a, c, x.f AS l, y.f AS r, 1000000 * u.a * u.a // (x.f * y.f) AS score
+  FROM cuts u JOIN grams x ON x.lang = u.lang AND x.phrase = array_to_string(u.w[1:c], ' ') JOIN grams y ON y.lang = u.lang AND y.phrase = array_to_string(u.w[c + 1:], ' ')),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+longer AS (
+  SELECT lang, phrase, max(f) AS most
+  FROM (SELECT lang, a AS f, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase FROM found WHERE k = 3) GROUP BY lang, phrase),
+kept AS (SELECT lowest.* FROM lowest LEFT JOIN longer USING (lang, phrase) WHERE most IS NULL OR 100 * most < 50 * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+ORACLE = {"op3_ngram_jaccard": OP3, "op4_substring_dedup": OP4, "op10_winnowing": OP10, "op11_minhash_tables": OP11, "op12_prefix_trie": OP12, "op13_collocations": OP13}

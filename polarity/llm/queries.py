@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from polarity.llm import token_files, toxicity, warc
+from polarity.llm.collocations import collocations
 from polarity.llm.decontaminate import contamination, covered
 from polarity.llm.html_text import main_text
 from polarity.llm.licences import scan_licences
@@ -119,3 +120,8 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     with scratch_scope(spark) as keep:
         turns = materialise(ordered_turns(table(spark, sf_dir, "conversations")))
         return keep(prefix_trie(mixed_turns(turns, conv - conv % 100, heads, 5)))
+
+
+@query
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
