@@ -25,7 +25,7 @@ import zlib
 
 import numpy as np
 
-BLOCK = 4096
+BLOCK = 2048
 ORDER1_BITS = 12
 ORDER2_BITS = 13
 STATES = 5            # no prediction, or 0 to 3 times right in a row

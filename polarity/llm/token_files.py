@@ -6,15 +6,16 @@ to the tokenizer once per task and looked up afterwards; the ids are those of
 whole texts. Added tokens (such as an end-of-text mark) that stand in a text are
 one id each, as in the library by default. ``end_id`` closes each document.
 
-Rows are dealt by ranges of their id and sorted, so each file holds a run of
-documents in ascending order. A file is a sequence of groups, each framed by
+Texts are dealt by ranges of their id (and, for rows of one id, of the text's
+hash) and sorted, then one pass encodes, codes and writes them, so each file
+holds a run of documents in ascending order. A file is a sequence of groups, each framed by
 its length: an index (document ids and counts, checksummed), a table of blocks
 and their words (see ``token_coder``). Spark's text sink writes a group as one
 row of bytes and Spark's binary source reads files back, so files can be in any
 store. A document longer than what is left of a group goes on in the next one.
 
 Null and empty texts are documents of the end id alone. A null document id
-sorts first and stays null. Rows of one id follow each other by their text.
+sorts first and stays null. Rows of one id follow each other by their text's hash.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from polarity.llm.token_coder import BLOCK, decode, encode
 from polarity.llm.words import BLANKS, U, A, pieces
 
 NO_ID = -(1 << 63)
-GROUP_IDS = 1 << 22       # ids that are coded side by side
+GROUP_IDS = 1 << 21       # ids that are coded side by side
 FILE_BYTES = 20 << 20     # text bytes whose ids make a file, on average
 KNOWN_PIECES = 1_000_000  # pieces a worker remembers before it starts anew
 _MAGIC = b"TOKR"
@@ -156,27 +157,11 @@ def _encoder(tokenizer_json: str) -> PieceEncoder:
     return _ENCODERS[tokenizer_json]
 
 
-def _encode_rows(tokenizer, end_id: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(tokenizer.value)
-        wide = "<u2" if max(encoder.size, end_id + 1) <= 1 << 16 else "<u4"
-        for rows, buf, offsets in pieces(batches, "text", 1 << 20):
-            ids, count = encoder.encode(buf, offsets)
-            edge = np.concatenate([[0], np.cumsum(count)])
-            tail = np.array([end_id], wide).tobytes()
-            raw, w = ids.astype(wide).tobytes(), int(wide[-1])
-            yield pa.RecordBatch.from_arrays([rows.column("id"), rows.column("text_hash"), pa.array([raw[w * a:w * b] + tail for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())], pa.binary())],
-                                             names=["id", "text_hash", "ids"])
-
-    return run
-
-
-def token_ids(df: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text_hash, ids): ids of each whole text and the end id, as little-endian integers."""
-    with open(tokenizer_path, encoding="utf-8") as f:  # on the driver; executors get its content
-        tokenizer = df.sparkSession.sparkContext.broadcast(f.read())
-    rows = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_encode_rows(tokenizer, end_id), "id long, text_hash long, ids binary")
+def token_ids(batches: Iterator[pa.RecordBatch], encoder: PieceEncoder, end_id: int) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+    """(documents, ids in each, ids) of runs of rows (id, text); each whole text's ids and the end id."""
+    for rows, buf, offsets in pieces(batches, "text", 1 << 20):
+        ids, count = encoder.encode(buf, offsets)
+        yield rows.column("id").to_pylist(), count + 1, np.insert(ids.astype("<u2"), np.cumsum(count), end_id)
 
 
 def pack_group(documents: np.ndarray, counts: np.ndarray, ids: np.ndarray, vocabulary: int) -> bytes:
@@ -213,22 +198,23 @@ def unpack_groups(data: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndar
         at += 8 + size + 1  # the sink ends a row with a newline
 
 
-def _write(vocabulary: int, wide: str):
+def _write(tokenizer, end_id: int, vocabulary: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         documents, counts, held, n = [], [], [], 0
 
         def group():
             return pa.RecordBatch.from_arrays([pa.array([pack_group(np.array(documents), np.array(counts), np.concatenate(held), vocabulary)], pa.binary())], names=["value"])
 
-        for batch in batches:
-            for document, raw in zip(batch.column("id").to_pylist(), batch.column("ids")):
-                ids = np.frombuffer(raw.as_buffer(), wide)
-                while len(ids):
-                    part, ids = ids[:GROUP_IDS - n], ids[GROUP_IDS - n:]
+        for names, sizes, ids in token_ids(batches, _encoder(tokenizer.value), end_id):
+            at = 0
+            for document, size in zip(names, sizes.tolist()):
+                while size:
+                    m = min(size, GROUP_IDS - n)
+                    size -= m
                     documents.append(document)
-                    counts.append(len(part) | (len(ids) > 0) << 31)  # the last bit: it goes on in the next group
-                    held.append(part)
-                    n += len(part)
+                    counts.append(m | (size > 0) << 31)  # the last bit: it goes on in the next group
+                    held.append(ids[at:at + m])
+                    at, n = at + m, n + m
                     if n == GROUP_IDS:
                         yield group()
                         documents, counts, held, n = [], [], [], 0
@@ -245,8 +231,11 @@ def write_tokens(df: DataFrame, path: str, tokenizer_path: str, end_id: int, id_
     if vocabulary > 1 << 16:
         raise ValueError("the coder takes vocabularies of at most 65536 ids")
     files = max(1, -(-text_bytes(df, text_col) // FILE_BYTES))
-    rows = token_ids(df, tokenizer_path, end_id, id_col, text_col).repartitionByRange(files, "id").sortWithinPartitions("id", "text_hash").select("id", "ids")
-    groups = rows.mapInArrow(_write(vocabulary, "<u2"), "value binary")
+    with open(tokenizer_path, encoding="utf-8") as f:  # on the driver; executors get its content
+        tokenizer = df.sparkSession.sparkContext.broadcast(f.read())
+    rows = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    rows = rows.repartitionByRange(files, "id", "text_hash").sortWithinPartitions("id", "text_hash").select("id", "text")
+    groups = rows.mapInArrow(_write(tokenizer, end_id, vocabulary), "value binary")
     groups.select(F.col("value").cast("string").alias("value")).write.mode("errorifexists").text(path)
 
 

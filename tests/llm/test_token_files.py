@@ -1,4 +1,5 @@
 import zlib
+from types import SimpleNamespace
 
 import public_tokenizers
 import pytest
@@ -55,8 +56,9 @@ def test_documents_that_span_groups_and_files(spark, tokenizer, tmp_path, monkey
     ids = [whole(tokenizer, t) for _, t in rows]
     monkeypatch.setattr(T, "GROUP_IDS", 500)
     import pyarrow as pa
-    batch = pa.record_batch({"id": pa.array([r[0] for r in rows]), "ids": pa.array([np.array(x, "<u2").tobytes() for x in ids], pa.binary())})
-    groups = [b.column(0)[0].as_py() for b in T._write(50_257, "<u2")(iter([batch]))]
+    batch = pa.record_batch({"id": pa.array([r[0] for r in rows]), "text": pa.array([r[1] for r in rows])})
+    given = SimpleNamespace(value=open(PATH, encoding="utf-8").read())
+    groups = [b.column(0)[0].as_py() for b in T._write(given, 2, 50_257)(iter([batch]))]
     assert len(groups) > 5
     read = list(T._read(True)(iter([pa.record_batch({"path": ["f"], "content": pa.array([b"\n".join(groups) + b"\n"], pa.binary())})])))
     got = [r for b in read for r in b.to_pylist()]
@@ -98,3 +100,16 @@ def test_no_cut_divides_an_added_token():
     texts = [a + b for a in marks for b in marks]
     ids, count = encoder.encode(*text_buffer(pa.array(texts, pa.string())))
     assert [x.tolist() for x in np.split(ids, np.cumsum(count)[:-1])] == [whole(plain, t)[:-1] for t in texts]
+
+
+def test_rows_without_id_are_dealt_to_several_files(spark, tokenizer, tmp_path, monkeypatch):
+    monkeypatch.setattr(T, "FILE_BYTES", 4000)
+    rows = [(None if k % 3 else k, prose(k, 40)) for k in range(120)]
+    T.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), f"{tmp_path}/n", PATH, 2)
+    got = T.with_starts(T.read_tokens(spark, f"{tmp_path}/n")).collect()
+    assert len({r["file"] for r in got if r["doc_id"] is None}) > 3
+    got.sort(key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == [None] * 80 + [k for k, _ in rows if k is not None]
+    want = sorted(whole(tokenizer, t) for _, t in rows)
+    assert sorted(np.frombuffer(r["ids"], "<u4").tolist() for r in got) == want
+    assert [r["start"] for r in got] == np.concatenate([[0], np.cumsum([r["n_tokens"] for r in got])])[:-1].tolist()
