@@ -734,6 +734,19 @@ def q_s7_phrases(spark, sf_dir):
     return mentions(table(spark, sf_dir, "documents"), "text", "doc_id", companies_frame(spark, P.PHRASES))
 
 
+@query("s7_many_companies")
+def q_s7_many(spark, sf_dir):
+    """Documents of each company among 20,000 terms; a company is known by all drawn pairs that begin with its word."""
+    from polarity.sources.filters import mentions, words
+    docs = table(spark, sf_dir, "documents")
+    w = words(F.col("text"))
+    pairs = docs.select(F.posexplode(F.arrays_zip(w.alias("company"), F.slice(w, F.lit(2), F.size(w)).alias("next"))).alias("i", "p"))
+    pairs = pairs.filter(f"i % {P.TERM_STEP} = 0 AND p.next IS NOT NULL").selectExpr("p.company", "concat(p.company, ' ', p.next) AS term").distinct()
+    comp = pairs.orderBy(F.md5("term"), "term").limit(P.COMPANY_TERMS)
+    found = mentions(docs, "text", "doc_id", comp)
+    return found.groupBy("company").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"), F.sum("doc_id").alias("doc_sum"))
+
+
 @query("w1_rolling_mean_null_entity")
 def q_w1_null(spark, sf_dir):
     ev = _events(spark, sf_dir).withColumn("user_id", F.expr(f"nullif(user_id, {P.NULLED_USER})"))

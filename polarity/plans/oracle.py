@@ -615,6 +615,17 @@ def _s7_phrases():
     return _mentions(P.PHRASES)
 
 
+@sql("s7_many_companies")
+def _s7_many():
+    return f"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents),
+terms AS (
+  SELECT company, term FROM (SELECT DISTINCT w[i] AS company, w[i] || ' ' || w[i + 1] AS term FROM (SELECT w, unnest(range(1, len(w), {P.TERM_STEP})) AS i FROM w))
+  ORDER BY md5(term), term LIMIT {P.COMPANY_TERMS}),
+pairs AS (SELECT DISTINCT doc_id, w[i] || ' ' || w[i + 1] AS term FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM w)),
+found AS (SELECT DISTINCT doc_id, company FROM pairs JOIN terms USING (term))
+SELECT company, count(*)::BIGINT AS n_docs, min(doc_id)::BIGINT AS first_doc, sum(doc_id)::BIGINT AS doc_sum FROM found GROUP BY company"""
+
+
 _ARTICLES = """a AS (
   SELECT source AS company, doc_id // 40 AS page, doc_id, 'https://news.example/' || doc_id AS url,
     split_part(text, chr(10), 1) || '. ' AS text,

@@ -49,6 +49,9 @@ COMPANIES = (("DER", "der"), ("QUE", "que"), ("ES", "es"), ("THTH", "thth"), ("Z
 # Two-word search terms of the phrase query, and the entity it sets to null.
 PHRASES = (("DELA", "de la"), ("OFTHE", "Of The"), ("INDER", "in der"), ("THE", "the"), ("NONE", "no such phrase"))
 NULLED_USER = 7
+# The many-companies query searches for this many terms: word pairs that begin at every so-many-th word of a text.
+COMPANY_TERMS = 20_000
+TERM_STEP = 10
 # Custom stop-word list (replaces the default) for the T8 custom query.
 CUSTOM_STOPWORDS = ("de", "la", "der", "die", "que", "le", "des", "und", "et", "les", "un", "el")
 # Words a caller adds to the stop words.

@@ -21,8 +21,9 @@ from polarity.operators import reshape as U
 from polarity.operators import sampling as L
 from polarity.operators.scoring import Scorer, create_scorer
 from polarity.schemas import SCORE_CLASSES, require_columns
+from polarity.sources.automaton import with_companies
 from polarity.sources.files import write_csv, write_parquet
-from polarity.sources.filters import lookback, mentions_any
+from polarity.sources.filters import companies_frame, lookback
 
 SOURCES = ("news", "twitter", "both")
 
@@ -87,16 +88,12 @@ def write_company_outputs(results: dict[str, DataFrame], out_dir: str, run_ts: s
 
 
 def of_companies(df: DataFrame, companies: Sequence[tuple[str, str]]) -> DataFrame:
-    """Rows whose text holds a search term of their company; a row without a
-    company comes out once for each company it mentions."""
+    """Rows whose text holds a search term of their company, as whole words in
+    any case; a row without a company comes out once for each company it mentions."""
+    found = with_companies(df, "text", companies_frame(df.sparkSession, companies), found_col="_company")
     if "company" not in df.columns:
-        df = df.withColumn("company", F.lit(None).cast("string"))
-    names: dict[str, list[str]] = {}
-    for company, term in companies:
-        names.setdefault(company, []).append(term)
-    found = F.array(*[F.when(F.coalesce(mentions_any("text", terms), F.lit(False)), F.lit(company)) for company, terms in names.items()])
-    rows = df.withColumn("_company", F.explode(F.array_compact(found)))
-    return (rows.filter(F.col("company").isNull() | (F.col("company") == F.col("_company")))
+        return found.withColumnRenamed("_company", "company")
+    return (found.filter(F.col("company").isNull() | (F.col("company") == F.col("_company")))
             .withColumn("company", F.col("_company")).drop("_company"))
 
 

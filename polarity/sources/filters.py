@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from polarity.operators.joins import broadcast_checked
 from polarity.schemas import require_columns
+from polarity.sources.automaton import with_companies
 
 
 def mentions_one(df: DataFrame, text_col: str, term: str) -> DataFrame:
@@ -33,26 +33,19 @@ def mentions(df: DataFrame, text_col: str, id_col: str, companies: DataFrame,
     company's term as whole words, in any case.
 
     Texts and terms are split by the same rule (runs of letters and digits),
-    so ``$AAPL``, "Goldman Sachs", ``BRK.B`` and ``3M`` are found. Tokens are
-    joined with the size-checked table of first words, and the words that
-    follow are compared in the row; the distinct pairs come from a partial
-    aggregation. A term without letters or digits matches nothing.
+    so ``$AAPL``, "Goldman Sachs", ``BRK.B`` and ``3M`` are found. One automaton
+    of all terms reads each text once (see ``automaton``); the distinct pairs
+    come from a partial aggregation. A term without letters or digits matches
+    nothing.
     """
     require_columns(df, [text_col, id_col])
-    terms = (companies.select(_words(F.col(term_col)).alias("_term"), F.col(company_col).alias("company"))
-             .filter(F.size("_term") > 0).select(F.col("_term")[0].alias("_first"), "_term", "company"))
-    terms = broadcast_checked(terms)
-    words = df.select(id_col, _words(F.col(text_col)).alias("_words"))
-    longest = int(companies.agg(F.max(F.size(_words(F.col(term_col))))).first()[0] or 0)
-    starts = F.transform("_words", lambda w, i: F.struct(w.alias("first"), F.slice(F.col("_words"), i + 1, max(longest, 1)).alias("run")))
-    toks = words.select(id_col, F.explode(F.array_distinct(starts)).alias("_s"))
-    hit = toks.join(terms, F.col("_s.first") == F.col("_first"), "inner")
-    hit = hit.filter(F.slice(F.col("_s.run"), F.lit(1), F.size("_term")) == F.col("_term"))
-    return hit.select(id_col, "company").distinct()
-
-
-def _words(text: F.Column) -> F.Column:
-    """Lower-case runs of letters and digits."""
+    texts = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_words"))
+    found = with_companies(texts, "_words", companies, company_col, term_col)
+    return found.select(F.col("_id").alias(id_col), "company").distinct()
+
+
+def words(text: F.Column) -> F.Column:
+    """The words that mentions are searched in: lower-case runs of letters and digits."""
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
