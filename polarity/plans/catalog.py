@@ -532,6 +532,20 @@ def q_s3(spark, sf_dir):
     return back.select("doc_id", F.md5("text").alias("text_md5"), "source")
 
 
+@query("s3_csv_split")
+def q_s3_split(spark, sf_dir):
+    """The documents as CSV whose texts hold line breaks and quotes, each file read in many tasks."""
+    import uuid
+    from polarity.session import scratch_path
+    from polarity.sources.files import read_text_csv, write_csv
+    docs = table(spark, sf_dir, "documents")
+    text = F.concat(F.lit('"'), F.regexp_replace("text", r"\. ", '.\n"" ,"'), F.lit('"'))
+    path = scratch_path(spark, f"csv-split-{uuid.uuid4().hex}")
+    write_csv(docs.select("doc_id", text.alias("text"), "source"), path)
+    back = read_text_csv(spark, path, "doc_id bigint, text string, source string", split=True)
+    return back.select("doc_id", F.md5("text").alias("text_md5"), "source")
+
+
 @query("s5_page_articles")
 def q_s5(spark, sf_dir):
     from polarity.sources.pages import parse_pages

@@ -580,6 +580,11 @@ def _s3():
     return "SELECT doc_id, md5(text) AS text_md5, source FROM documents"
 
 
+@sql("s3_csv_split")
+def _s3_split():
+    return """SELECT doc_id, md5('"' || replace(text, '. ', '.' || chr(10) || '"" ,"') || '"') AS text_md5, source FROM documents"""
+
+
 @sql("s5_page_articles")
 def _s5():
     body = "regexp_replace(html, '(?s)<!--.*?-->', '', 'g')"

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from polarity.schemas import require_columns
+from polarity.sources.split_csv import read_csv_split
 
 # Both sides of a round trip: texts keep their white space, null and the empty
 # text stay apart.
@@ -18,19 +19,22 @@ FILES_PER_VALUE = 16
 
 
 def read_text_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
-                  text_col: str = "text", multi_line: bool = True) -> DataFrame:
+                  text_col: str = "text", multi_line: bool = True, split: bool = False) -> DataFrame:
     """S3: header CSV with quoted multi-line text; ``ValueError`` without
     ``text_col``. Without a schema every column is read as a string.
 
     White space is kept. ``\\N`` and an unquoted empty field are null, ``""``
     is the empty text, as :func:`write_csv` writes them. ``multi_line=False`` reads files
     whose texts hold no line break and splits them over many tasks; the
-    default reads a file in one task.
+    default reads a file in one task. ``split=True`` reads texts with line breaks
+    in many tasks, at the price of a second pass (see ``split_csv``).
     """
     reader = spark.read.options(**CSV).option("multiLine", multi_line)
     if schema is not None:
         reader = reader.schema(schema)
     df = reader.csv(path)
+    if split:
+        df = read_csv_split(spark, path, df.schema, {k: v for k, v in CSV.items() if k != "header"})
     require_columns(df, [text_col], f"CSV {path}")
     return df
 
