@@ -595,6 +595,32 @@ def q_m6(spark, sf_dir):
     return rounded(out.drop("text"), [f"sentiment_{c}" for c in CLASSES])
 
 
+@query("m6_epochs")
+def q_m6_epochs(spark, sf_dir):
+    """M6 by epochs with M7 inside: rows of each part and class, how many get the same
+    probabilities from the reloaded model, and whether the epochs keep the rules of early
+    stop and best epoch."""
+    import uuid
+    from polarity.operators.epochs import EpochModel, train_epochs
+    from polarity.session import scratch_path
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    data = docs.join(table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") * 2).alias("label")), "doc_id")
+    folder = scratch_path(spark, f"epochs-{uuid.uuid4().hex}")
+    res = train_epochs(data, "text", "label", "doc_id", P.TRAIN_LABELS, folder, epochs=P.EPOCHS, batch_rows=P.EPOCH_BATCH, size=P.TRAIN_FEATURES)
+    f1 = [m["f1"] for m in res.metrics]
+    stop = next((k + 1 for k in range(len(f1)) if k - f1[:k + 1].index(max(f1[:k + 1])) >= 2), P.EPOCHS)
+    ruled = [m["epoch"] for m in res.metrics] == list(range(1, stop + 1)) and res.best == f1.index(max(f1)) + 1
+    res.model.save(spark, f"{folder}/model")
+    part = data.join(res.split.select("doc_id", "split"), "doc_id")
+    a, b = (m.predict(part, "text", f"{n}_") for n, m in (("a", res.model), ("b", EpochModel.load(spark, f"{folder}/model"))))
+    both = a.join(b.drop("text", "label", "split"), "doc_id")
+    same = F.col("a_label") == F.col("b_label")
+    for c in CLASSES:
+        same = same & (F.col(f"a_{c}") == F.col(f"b_{c}"))
+    counts = both.groupBy("split", "label").agg(F.count("*").alias("n_rows"), F.count(F.when(same, 1)).alias("n_same_after_reload"))
+    return counts.withColumns({"epochs_follow_the_rules": F.lit(ruled), "all_scores_in_range": F.lit(all(0 <= x <= 1 for x in f1))})
+
+
 # --------------------------------------------------------------------------
 # filters and preprocessing variants
 

