@@ -250,7 +250,7 @@ def shingle_sets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     other rows hold too, rarest first), ``n_prefix`` of which are the prefix
     that needs ``l`` matches."""
     buckets = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), text_bytes(df, text_col) // 6 // BUCKET_SHINGLES, 1)
-    bits = min((buckets - 1).bit_length(), 14)
+    bits = (buckets - 1).bit_length()
     rows = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).alias("text"))
     sent = rows.mapInArrow(_send(bits, n), "bucket int, chunk long, single binary, rows binary, many binary, counts binary, head binary")
     back = sent.groupBy("bucket").applyInArrow(_count(bits), "chunk long, tokens binary, rows binary, counts binary, head binary")
@@ -294,19 +294,21 @@ def _delta_join(members: DataFrame, sets: DataFrame, percent: int) -> tuple[Data
     """
     t = 100 + percent
     have = members.join(sets.select("rep", "n", "shared"), "rep")
-    size = members.groupBy("p").agg(F.count("*").alias("k"))
+    # tables of one row per group are written first, so that Spark can deal the rows of a hot group in the joins with them
+    size = materialise(members.groupBy("p").agg(F.count("*").alias("k")))
     common = (have.select("p", F.explode("shared").alias("token")).groupBy("p", "token").agg(F.count("*").alias("c"))
               .join(size, "p").filter(2 * F.col("c") > F.col("k")).groupBy("p").agg(F.collect_list("token").alias("core")))
+    common = materialise(common)
     core = F.coalesce("core", F.array().cast("array<long>"))
     delta = F.concat(F.array_except("shared", core), F.array_except(core, F.col("shared")))
     alone = F.col("n") - F.size("shared")
     rows = (have.join(common, "p", "left").select("p", "rep", "g", "n", alone.alias("alone"), delta.alias("delta"))
             .withColumn("d", F.size("delta") + F.col("alone")).withColumn("r", t * F.col("d") - (100 - percent) * F.col("n")))
     rows = materialise(rows)
-    inner = rows.groupBy("p").agg(F.min(F.struct("r", "rep", "g")).alias("m"))
+    inner = materialise(rows.groupBy("p").agg(F.min(F.struct("r", "rep", "g")).alias("m")))
     rows = rows.join(inner, "p").withColumn("out", F.col("r") + F.col("m.r") > 0)
     sure = rows.filter(~F.col("out") & (F.col("g") != F.col("m.g"))).select(F.col("rep").alias("a"), F.col("m.rep").alias("b"))
-    least = rows.filter("out").groupBy("p").agg(F.min("r").alias("r_out"))
+    least = materialise(rows.filter("out").groupBy("p").agg(F.min("r").alias("r_out")))
     rows = rows.join(least, "p")  # groups without outer members are settled
     need = lambda r: F.greatest(F.lit(1), F.ceil((F.col("r") + r) / (2 * t)))
     prefix = lambda r: F.col("d") - need(r) + 1 - F.col("alone")  # noqa: E731  its own shingles come first
