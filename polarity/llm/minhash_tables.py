@@ -16,9 +16,9 @@ one representative, whatever their number.
 Candidates are confirmed on the full sets. The holders of a key are first
 compared with one of them (a star: as many pairs as holders), and once more with
 another one. Keys whose holders are in one group by then need no more pairs. The
-members of the others are compared by an exact prefix filter: of each set only
-the rarest shingles are matched, so many that two linked sets must share one,
-and only pairs of different groups are verified. Pairs are dealt out in blocks;
+holders of the others are compared by their difference to what most of them
+have, by an exact prefix filter on these differences, and only pairs of
+different groups are verified. Pairs are dealt out in blocks;
 a block gets each text that it needs once, and a set is made from its text there.
 
 Words are runs of characters outside blank, tab and line breaks, A-Z in lower
@@ -34,11 +34,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from polarity.llm.components import connected_components
-from polarity.llm.ngram_join import shingles
+from polarity.llm.ngram_join import _delta_join, shingles
 from polarity.llm.scratch import materialise, scratch_scope
 from polarity.llm.words import NOT_BLANK, U, Words, mix, pieces
 
@@ -158,25 +158,19 @@ def _shingle_rows(n: int):
         for part, buf, offsets in pieces(batches, "text"):
             t, row = shingles(Words(buf, offsets, NOT_BLANK, lower=True), n)
             edge = np.searchsorted(row, np.arange(part.num_rows + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([part.column("rep"), part.column("g"), pa.ListArray.from_arrays(pa.array(edge), pa.array(t.view(np.int64)))], names=["rep", "g", "tokens"])
+            yield pa.RecordBatch.from_arrays([part.column("rep"), part.column("g"), pa.ListArray.from_arrays(pa.array(edge), pa.array(t.view(np.int64)))], names=["rep", "g", "shared"])
 
     return run
 
 
-def _prefix_pairs(members: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of members (rep, g) of different groups that share one of the rarest shingles."""
-    sets = members.join(texts, "rep").select("rep", "g", "text").mapInArrow(_shingle_rows(n), "rep long, g long, tokens array<long>")
-    rows = materialise(sets.select("rep", "g", F.size("tokens").alias("n"), F.explode("tokens").alias("token")))
-    seen = materialise(rows.groupBy("token").agg(F.count("*").alias("held"), F.min("g").alias("x"), F.max("g").alias("y")).filter("held > 1"))
-    rows = rows.join(seen, "token")
-    one = Window.partitionBy("rep").orderBy("held", "token")
-    alone = F.col("n") - F.count("*").over(Window.partitionBy("rep"))
-    length = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1
-    rows = rows.select("rep", "g", "n", "token", "x", "y", F.row_number().over(one).alias("place"), (length - alone).alias("most")).filter("place <= most AND x != y")
-    rows = materialise(rows.select("token", "rep", "g", "n"))
-    a, b = (rows.select("token", *(F.col(c).alias(f"{c}_{side}") for c in ("rep", "g", "n"))) for side in "ab")
-    near = (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (F.col("g_a") != F.col("g_b")) & (F.col("rep_a") > F.col("rep_b"))
-    return a.join(b, "token").filter(near).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
+def _rest(mixed: DataFrame, texts: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(sure links, pairs to confirm) among the holders (key, rep, g) of mixed
+    keys, which are compared by their difference to what most holders of the keys
+    of one centre have, so that a large group of near copies never forms its pairs."""
+    centre = materialise(mixed.groupBy("key").agg(F.min("rep").alias("p")))
+    members = materialise(mixed.join(centre, "key").select("p", "rep", "g").distinct())
+    sets = members.select("rep", "g").distinct().join(texts, "rep").select("rep", "g", "text").mapInArrow(_shingle_rows(n), "rep long, g long, shared array<long>")
+    return _delta_join(members, materialise(sets.select("rep", F.size("shared").alias("n"), "shared")), percent)
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE, percent: int = PERCENT,
@@ -201,8 +195,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         links = materialise(links.union(confirmed(_star(mixed, 2), texts, n, percent)))
         group = connected_components(links)
         mixed = _mixed(mixed, group)
-        rest = _prefix_pairs(mixed.select("rep", "g").distinct(), texts, n, percent)
-        links = links.union(confirmed(rest, texts, n, percent))
+        sure, met = _rest(mixed, texts, n, percent)
+        links = materialise(links.union(sure).union(confirmed(met, texts, n, percent)))
         member = materialise(some.select("id", *key).distinct().join(sets.select("rep", *key), key).select("id", "rep"))
         several = member.groupBy("id").agg(F.min("rep").alias("b"), F.max("rep").alias("y")).filter("b != y").select("id", "b")
         several = member.join(several, "id").select(F.col("rep").alias("a"), "b").filter("a != b")  # sets of one id
