@@ -5,8 +5,9 @@ score-if-needed (M9).
 The lexicon scorer is a column expression: each token is paired with its
 three predecessors inside the row, tokens outside the lexicon are filtered
 out by a hash-set test, and the valences of the few hits are summed. A text
-is scored where it is read: no id, no explode, no shuffle. Only a lexicon
-table too large for a plan (``PLAN_LEXICON_ROWS``) is joined instead.
+is scored where it is read: no id, no explode, no shuffle. A lexicon table of more
+entries than a plan should hold is looked up by a broadcast perfect hash in
+the same row, with the same result.
 """
 
 from __future__ import annotations
@@ -21,14 +22,16 @@ from pyspark.sql import types as T
 from polarity import resources
 from polarity.functions.labels import argmax_label, label_from_compound, softmax
 from polarity.functions.text import basic_clean, tokenize
+from polarity.operators.large_lexicon import with_sums
 from polarity.schemas import DEGREE, LEXICON, SCORE_CLASSES, require_columns
 
 # Defaults of the lexicon scorer (parameters, not hard-coded in the rules).
 NEGATION_FACTOR = 0.75
 ALPHA = 15.0
 CONTEXT = 3
-# Entries of a lexicon table that are written into the plan; more are joined.
-PLAN_LEXICON_ROWS = 20_000
+# Entries of a lexicon table that are written into the plan; more are looked up by a
+# perfect hash. Both score every row alike.
+IN_PLAN_ENTRIES = 20_000
 
 
 def lexicon_frame(spark: SparkSession, pairs: Iterable[tuple[str, float]] | None = None) -> DataFrame:
@@ -54,18 +57,6 @@ def lexicon_rows(lexicon: Iterable[tuple[str, float]]) -> list[tuple[str, float]
     return list(seen.items())
 
 
-def _in_context(tokens: Column) -> Column:
-    """Structs ``tok, p1 .. pCONTEXT``: each token with its predecessors, as
-    arrays shifted by 1..CONTEXT and zipped in the row (for the join path)."""
-    n = F.size(tokens)
-
-    def shifted(k: int) -> Column:
-        pad = F.array_repeat(F.lit(None).cast("string"), F.least(F.lit(k), n))
-        return F.concat(pad, F.slice(tokens, 1, F.greatest(n - k, F.lit(0))))
-
-    return F.arrays_zip(tokens.alias("tok"), *[shifted(k).alias(f"p{k}") for k in range(1, CONTEXT + 1)])
-
-
 def _once(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once, however often the body
     names it and wherever the optimizer moves the whole expression."""
@@ -175,11 +166,9 @@ def lexicon_scores(df: DataFrame, id_col: str, tokens: str | Column, lexicon: Da
                    with_compound: bool = False) -> DataFrame:
     """M1: ``id_col``, the ``carry`` columns and the scores of each row.
 
-    A lexicon of pairs, or a table of at most ``PLAN_LEXICON_ROWS`` rows, is
-    scored in the row (:func:`add_lexicon_scores`). A larger table is joined:
-    tokens are exploded, and the sums are grouped by ``id_col``, which must
-    then be unique and not null (a second row of an id raises). Carried
-    columns go through as values, not as grouping keys.
+    Each row is scored by itself, whatever ids repeat. Pairs and short tables
+    are written into the plan (:func:`add_lexicon_scores`), longer tables are
+    looked up by a perfect hash (:mod:`polarity.operators.large_lexicon`).
     """
     tok = F.col(tokens) if isinstance(tokens, str) else tokens
     names = [f"{prefix}{c}" for c in (*SCORE_CLASSES, "label")] + ([f"{prefix}compound"] if with_compound else [])
@@ -189,45 +178,28 @@ def lexicon_scores(df: DataFrame, id_col: str, tokens: str | Column, lexicon: Da
         done = add_lexicon_scores(rows, {prefix: F.col("_tokens")}, pairs, negators, degree, negation_factor, alpha, with_compound)
         return done.select(id_col, *carry, *names)
 
+    rows = df.select(id_col, *carry, tok.alias("_tok"))
+    done = hashed_lexicon_scores(rows, F.col("_tok"), lexicon, negators, degree, negation_factor, alpha, prefix, with_compound)
+    return done.select(id_col, *carry, *names)
+
+
+def hashed_lexicon_scores(df: DataFrame, tokens: Column, lexicon: DataFrame, negators: Sequence[str] | None = None,
+                          degree: Sequence[tuple[str, float]] | None = None, negation_factor: float = NEGATION_FACTOR,
+                          alpha: float = ALPHA, prefix: str = "sentiment_", with_compound: bool = False) -> DataFrame:
+    """M1 in the row for a lexicon table of any size: ``df`` with the score columns."""
     negators = list(resources.negators() if negators is None else negators)
     degree = list(resources.degree_words() if degree is None else degree)
-    toks = F.coalesce(tok, F.array().cast("array<string>"))
-    rows = df.select(F.col(id_col).alias("_id"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)], toks.alias("_toks"))
-    kept = [f"_c{i}" for i in range(len(carry))]
-    ex = (rows.select("_id", *kept, F.size("_toks").alias("_ntok"), F.posexplode_outer(_in_context(F.col("_toks"))).alias("_pos", "_c"))
-          # whatever is carried goes with a text's first token only
-          .select("_id", *[F.when(F.coalesce(F.col("_pos"), F.lit(0)) == 0, F.col(c)).alias(c) for c in kept], "_ntok", "_pos", "_c"))
-    one = lexicon.filter("token IS NOT NULL").groupBy(F.col("token").alias("_lt")).agg(
-        F.min(F.col("valence").cast("double")).alias("_val"), F.max(F.col("valence").cast("double")).alias("_other"))
-    clash = F.concat(F.lit("the lexicon gives more than one valence to "), F.col("_lt"))
-    one = one.select("_lt", F.when(F.col("_val") == F.col("_other"), F.col("_val")).otherwise(
-        F.raise_error(clash).cast("double")).alias("_val"))
-    joined = ex.join(one, F.col("_c.tok") == F.col("_lt"), "left")
-    # the hits, plus one row per text so that texts without hits stay
-    first = F.coalesce(F.col("_pos"), F.lit(0)) == 0
-    joined = joined.filter(F.col("_val").isNotNull() | first)
-    v = _value(F.col("_val"), [F.col(f"_c.p{k}") for k in range(1, CONTEXT + 1)], negators, degree, negation_factor)
-    valued = joined.select("_id", *kept, "_ntok", first.alias("_first"), v.alias("_v"))
-    agg = valued.groupBy("_id").agg(
-        *[F.max_by(c, F.col("_first").cast("int")).alias(c) for c in kept],
-        F.coalesce(F.sum("_v"), F.lit(0.0)).alias("s"),
-        F.coalesce(F.sum(F.when(F.col("_v") > 0, F.col("_v") + 1)), F.lit(0.0)).alias("p"),
-        F.coalesce(F.sum(F.when(F.col("_v") < 0, 1 - F.col("_v"))), F.lit(0.0)).alias("n"),
-        F.count(F.when(F.col("_v") != 0, 1)).alias("k"),
-        F.max("_ntok").alias("_ntok"), F.count(F.when(F.col("_first"), 1)).alias("_rows"))
-    again = F.raise_error(F.concat(F.lit("the id of the texts is null or not unique: "), F.coalesce(F.col("_id").cast("string"), F.lit("null"))))
-    checked = agg.withColumn("_ntok", F.when((F.col("_rows") == 1) & F.col("_id").isNotNull(), F.col("_ntok")).otherwise(again.cast("int")))
-    checked = checked.withColumn("_sums", F.struct("s", "p", "n", "k"))
-    out = checked.withColumns(_shares(F.col("_sums"), F.col("_ntok"), alpha, prefix, with_compound))
-    return out.select(F.col("_id").alias(id_col), *[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)], *names)
+    out = with_sums(df, tokens, lexicon, negators, degree, negation_factor, CONTEXT)
+    shares = _shares(F.col("_sums"), F.col("_n_tokens"), alpha, prefix, with_compound)
+    return out.withColumns(shares).drop("_sums", "_n_tokens")
 
 
 def small_lexicon(lexicon: DataFrame | Iterable[tuple[str, float]]) -> list[tuple[str, float]] | None:
     """The entries of a lexicon that fits a plan; None for a larger table."""
     if not isinstance(lexicon, DataFrame):
         return lexicon_rows(lexicon)
-    rows = lexicon.select("token", F.col("valence").cast("double")).limit(PLAN_LEXICON_ROWS + 1).collect()
-    return lexicon_rows([tuple(r) for r in rows]) if len(rows) <= PLAN_LEXICON_ROWS else None
+    rows = lexicon.select("token", F.col("valence").cast("double")).limit(IN_PLAN_ENTRIES + 1).collect()
+    return lexicon_rows([tuple(r) for r in rows]) if len(rows) <= IN_PLAN_ENTRIES else None
 
 
 # ---------------------------------------------------------------------------
@@ -347,12 +319,8 @@ class LexiconScorer(Scorer):
         if self.pairs is not None:
             return add_lexicon_scores(df, {prefix: self.tokens(text_col)}, self.pairs, self.negators, self.degree,
                                       self.negation_factor, self.alpha, with_compound)
-        if id_col is None:
-            raise ValueError("a lexicon table of this size is joined, which needs a unique id column (id_col)")
-        rows = df.select(id_col, self.tokens(text_col).alias("_tokens"))
-        done = lexicon_scores(rows, id_col, "_tokens", self.lexicon, self.negators, self.degree, self.negation_factor,
-                              self.alpha, prefix=prefix, with_compound=with_compound)
-        return df.join(done, on=id_col, how="left")
+        return hashed_lexicon_scores(df, self.tokens(text_col), self.lexicon, self.negators, self.degree,
+                                     self.negation_factor, self.alpha, prefix, with_compound)
 
 
 class ModelScorer(Scorer):

@@ -118,6 +118,16 @@ def q_m1_lexicon_scores(spark, sf_dir):
     return rounded(sc, ["positive", "negative", "neutral", "compound"])
 
 
+@query("m1_large_lexicon")
+def q_m1_large(spark, sf_dir):
+    """M1 with a lexicon of all tokens of the documents, valued by their length."""
+    from polarity.operators.scoring import hashed_lexicon_scores
+    toks = doc_tokens(spark, sf_dir, stop=False)
+    lexicon = toks.select(F.explode("tokens").alias("token")).distinct().withColumn("valence", (F.length("token") % 9 - 4) / F.lit(2.0))
+    out = hashed_lexicon_scores(toks, F.col("tokens"), lexicon, P.QUERY_NEGATORS, P.QUERY_DEGREE, P.NEGATION_FACTOR, P.ALPHA, "", True)
+    return rounded(out.drop("tokens"), ["positive", "negative", "neutral", "compound"])
+
+
 @query("a1_mean_by_company")
 def q_a1_mean_by_company(spark, sf_dir):
     sc = doc_scores(spark, sf_dir, carry=("source",), prefix="sentiment_")

@@ -124,6 +124,14 @@ def _m1():
     return model_a() + f"\nSELECT doc_id, {ROUND3}, {r6('compound', 'compound')}, label FROM a_labelled"
 
 
+@sql("m1_large_lexicon")
+def _m1_large():
+    base = f"""WITH t AS (SELECT doc_id, {tokens_sql(clean_sql("text"))} AS toks FROM documents),
+lx AS (SELECT token, (length(token) % 9 - 4) / 2.0 AS valence FROM (SELECT DISTINCT unnest(toks) AS token FROM t))"""
+    return base + lexicon_score_sql("t", "doc_id", "lx", P.QUERY_NEGATORS, P.QUERY_DEGREE, P.NEGATION_FACTOR, P.ALPHA, ns="a") + \
+        f"\nSELECT doc_id, {ROUND3}, {r6('compound', 'compound')}, label FROM a_labelled"
+
+
 @sql("a1_mean_by_company")
 def _a1():
     means = ", ".join(r6(f"avg({c})", c) for c in CLASSES)

@@ -86,6 +86,7 @@ def lexicon_score_sql(tokens_cte: str, keys, lexicon, negators, degree,
     ending in ``{ns}_labelled(keys..., extra..., positive, negative, neutral,
     compound, label)``.
 
+    ``lexicon`` are pairs or the name ``lx`` of a CTE (token, valence).
     Formulated differently from the Spark plan: predecessors come from
     ``lag`` over the token position instead of array slices.
     """
@@ -97,7 +98,7 @@ def lexicon_score_sql(tokens_cte: str, keys, lexicon, negators, degree,
     lag = [f"lag(tok, {i}) OVER (PARTITION BY {k} ORDER BY pos)" for i in (1, 2, 3)]
     neg = " OR ".join(f"coalesce(list_contains({negs}, p{i}), false)" for i in (1, 2, 3))
     deg = " + ".join(case_map_sql(f"p{i}", degree) for i in (1, 2, 3))
-    lex = values_sql(lexicon, ["VARCHAR", "DOUBLE"], ["token", "valence"], "lx")
+    lex = lexicon if isinstance(lexicon, str) else values_sql(lexicon, ["VARCHAR", "DOUBLE"], ["token", "valence"], "lx")
     n = ns + "_"
     return f"""
 , {n}e AS (

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from polarity.functions.text import basic_clean, tokenize
+from polarity.operators import large_lexicon
 from polarity.operators import scoring as S
 
 LEX = [("good", 1.9), ("great", 3.1), ("bad", -2.5), ("terrible", -3.1), ("flat", 0.0)]
@@ -149,19 +150,19 @@ def test_repeated_lexicon_tokens(spark):
         S.LexiconScorer([("good", 2.0), ("good", 1.0)])
 
 
-def test_large_lexicon_tables_are_joined(spark, docs, monkeypatch):
+def test_large_lexicon_tables_are_hashed_in_the_row(spark, docs, monkeypatch):
     table = S.lexicon_frame(spark, [*LEX, LEX[0]])
-    small = S.LexiconScorer(table, NEG, DEG).score(docs, "text", "id")
-    monkeypatch.setattr(S, "PLAN_LEXICON_ROWS", 2)
-    large = S.LexiconScorer(table, NEG, DEG)
-    cols = ["id", "expected", "sentiment_label", *[F.round(f"sentiment_{c}", 9).alias(c) for c in S.SCORE_CLASSES]]
-    got = large.score(docs, "text", "id")
-    assert "Join" in got._jdf.queryExecution().executedPlan().toString()
-    assert got.select(*cols).exceptAll(small.select(*cols)).count() == 0
-    with pytest.raises(ValueError, match="id"):
-        large.score(docs, "text")
-    with pytest.raises(Exception, match="not unique"):
-        large.score(spark.createDataFrame(REPEATED, "id long, text string"), "text", "id").collect()
+    repeated = spark.createDataFrame(REPEATED, "id long, text string")
+    small = [S.LexiconScorer(table, NEG, DEG).score(d, "text", with_compound=True) for d in (docs, repeated)]
+    monkeypatch.setattr(S, "IN_PLAN_ENTRIES", 2)
+    for parts in (8_000_000, 3):
+        monkeypatch.setattr(large_lexicon, "PART_ENTRIES", parts)
+        for d, want in zip((docs, repeated), small):
+            got = S.LexiconScorer(table, NEG, DEG).score(d, "text", with_compound=True)
+            plan = got._jdf.queryExecution().executedPlan().toString()
+            assert "Join" not in plan and "Exchange" not in plan and "Generate" not in plan
+            cols = [*d.columns, "sentiment_label", *[F.round(f"sentiment_{c}", 9).alias(c) for c in (*S.SCORE_CLASSES, "compound")]]
+            assert got.select(*cols).exceptAll(want.select(*cols)).count() == 0 and got.count() == want.count()
     clash = S.LexiconScorer(S.lexicon_frame(spark, [*LEX, (LEX[0][0], 9.0)]), NEG, DEG)
     with pytest.raises(Exception, match="more than one valence"):
         clash.score(docs, "text", "id").collect()
