@@ -263,6 +263,20 @@ def q_t6(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", basic_clean("text").alias("clean_text"))
 
 
+@query("t7_raw_tokens")
+def q_t7_raw(spark, sf_dir):
+    from polarity.operators.sentences import raw_words
+    docs = table(spark, sf_dir, "documents").select("doc_id", raw_words(F.concat(F.lit('"It\'s '), "text", F.lit(' isn\'t" 1,000.5'))).alias("w"))
+    return docs.select("doc_id", F.size("w").cast("long").alias("n_words"), F.md5(F.array_join("w", "\n")).alias("words_md5"))
+
+
+@query("t7_sentences")
+def q_t7_sentences(spark, sf_dir):
+    from polarity.operators.sentences import with_sentences
+    out = with_sentences(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    return out.select("doc_id", F.size("sentences").cast("long").alias("n_sentences"), F.md5(F.array_join("sentences", "\n")).alias("sentences_md5"))
+
+
 @query("t8_processed_text")
 def q_t8(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", preprocess("text").alias("processed_text"))
@@ -758,7 +772,9 @@ def q_p6(spark, sf_dir):
 @query("u2_union_all")
 def q_u2(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    parts = [docs.filter(F.col("lang") == x).select("doc_id", "lang", *more) for x, more in (("en", ["source"]), ("de", []), ("fr", ["n_chars"]), ("es", []))]
+    named = ("en", "de", "fr")
+    parts = [docs.filter(F.col("lang") == x).select("doc_id", "lang", *more) for x, more in zip(named, (["source"], [], ["n_chars"]))]
+    parts.append(docs.filter(~F.coalesce(F.col("lang").isin(*named), F.lit(False))).select("doc_id", "lang"))  # all others, and rows without a language
     out = U.union_all(parts)
     return out.groupBy("lang").agg(F.count("*").alias("n"), F.count("source").alias("n_source"), F.count("n_chars").alias("n_n_chars"))
 

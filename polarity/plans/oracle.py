@@ -249,6 +249,40 @@ def _t6():
     return f"SELECT doc_id, {clean_sql('text')} AS clean_text FROM documents"
 
 
+@sql("t7_raw_tokens")
+def _t7_raw():
+    from polarity.operators.sentences import ENDINGS, WORD
+    t = """'"It''s ' || text || ' isn''t" 1,000.5'"""
+    for pattern, new in ((r'(^|[ \t\n\r(\[{<])"', r"\1`` "), ('"', " '' "), (r"(?i)([a-z])(n't)\b", r"\1 \2"), (r"(?i)([a-z])" + ENDINGS + r"\b", r"\1 '\2")):
+        t = f"regexp_replace({t}, {lit(pattern)}, {lit(new)}, 'g')"
+    return f"""SELECT doc_id, len(w)::BIGINT AS n_words, md5(array_to_string(w, chr(10))) AS words_md5
+FROM (SELECT doc_id, regexp_extract_all({t}, {lit("(?i)" + WORD)}) AS w FROM documents)"""
+
+
+@sql("t7_sentences")
+def _t7_sentences():
+    from polarity.operators.sentences import BLANKS, LONGEST, OFTEN, SHARE
+    run = r"([\p{L}\p{N}]+(?:\.[\p{L}\p{N}]+)*)"
+    end = r"[,;:)\]'\"]*$"
+    return f"""WITH w AS (
+  SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS i
+  FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, {lit(BLANKS)}), lambda x: x <> '') AS ws FROM documents)),
+known AS (
+  SELECT token FROM (SELECT lower(regexp_extract(w, {lit(run + r"\.?" + end)}, 1)) AS token, regexp_matches(w, {lit(r"[\p{L}\p{N}]\." + end)}) AS point FROM w)
+  WHERE token <> '' AND length(token) <= {LONGEST} GROUP BY token
+  HAVING count(CASE WHEN point THEN 1 END) >= {OFTEN} AND 100 * count(CASE WHEN point THEN 1 END) >= {SHARE} * count(*)),
+c AS (SELECT *, rtrim(w, '"'')]}}') AS x, lead(w) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM w),
+b AS (
+  SELECT *, regexp_matches(x, '[.!?]$') AND nxt IS NOT NULL AND NOT regexp_matches(nxt, '^\\p{{Ll}}') AS may,
+    CASE WHEN regexp_matches(x, '(^|[^.])[.]$') THEN lower(regexp_extract(x[:-2], {lit(run + "$")}, 1)) ELSE '' END AS base FROM c),
+e AS (
+  SELECT b.*, may AND known.token IS NULL AND NOT regexp_matches(base, '^\\p{{L}}$') AS ends FROM b LEFT JOIN known ON known.token = b.base),
+s AS (SELECT doc_id, i, w, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM e),
+t AS (SELECT doc_id, s, string_agg(w, ' ' ORDER BY i) AS sentence FROM s GROUP BY doc_id, s)
+SELECT d.doc_id, count(sentence)::BIGINT AS n_sentences, md5(coalesce(string_agg(sentence, chr(10) ORDER BY s), '')) AS sentences_md5
+FROM documents d LEFT JOIN t USING (doc_id) GROUP BY d.doc_id"""
+
+
 @sql("t8_processed_text")
 def _t8():
     return f"SELECT doc_id, array_to_string({stop_filter_sql(tokens_sql(clean_sql('text')))}, ' ') " \
@@ -708,7 +742,7 @@ def _p6():
 @sql("u2_union_all")
 def _u2():
     return """SELECT lang, count(*)::BIGINT AS n, count(CASE WHEN lang = 'en' THEN source END)::BIGINT AS n_source,
-count(CASE WHEN lang = 'fr' THEN n_chars END)::BIGINT AS n_n_chars FROM documents WHERE lang IN ('en', 'de', 'fr', 'es') GROUP BY lang"""
+count(CASE WHEN lang = 'fr' THEN n_chars END)::BIGINT AS n_n_chars FROM documents GROUP BY lang"""
 
 
 @sql("s3_csv_edge_texts")

@@ -9,7 +9,7 @@ scoring runs once (the written table also cuts the lineage).
 from __future__ import annotations
 
 import os
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -106,7 +106,7 @@ def example_table(df: DataFrame, text_col: str, score_cols: Sequence[str], width
 def dashboard(df: DataFrame, text_col: str, id_col: str, models: dict[str, str | Scorer],
               reference: str | None = None, num_examples: int = 10, seed: int = 42,
               out_dir: str | None = None, num_disagreements: int | None = 5,
-              compare: bool = True) -> dict[str, DataFrame]:
+              compare: bool = True) -> Mapping[str, DataFrame]:
     """M8: every model's four columns next to the input (``{name}_*``) and
     the report tables over them: label distribution of the reference model
     (A4), box statistics of all scores by the reference label (A11),
@@ -115,7 +115,8 @@ def dashboard(df: DataFrame, text_col: str, id_col: str, models: dict[str, str |
 
     The input is read once by the wide table. With ``out_dir`` that table is
     written (parquet) and the reports read it back; all tables are written
-    there too. Without it each report computes the scores it needs.
+    there too. Without it nothing runs here: a report is made when it is first
+    asked for, and computes the scores it needs.
     ``compare=False`` reports on the reference model alone;
     ``num_disagreements=None`` lists all disagreements.
     """
@@ -134,19 +135,37 @@ def dashboard(df: DataFrame, text_col: str, id_col: str, models: dict[str, str |
     names = names if compare else [reference]
     score_cols = [f"{n}_{c}" for n in names for c in SCORE_CLASSES]
     long = U.melt_scores(wide, [id_col, ref_label], score_cols)
-    out = {
-        "side_by_side": wide,
-        "distribution": A.label_distribution(wide, ref_label),
-        "box": A.box_stats(long, ["model", "score_type", ref_label], "score"),
-        "examples": example_table(L.stratified_sample(wide, ref_label, id_col, num_examples, seed), text_col, score_cols),
-    }
-    for other in names:
-        if other == reference:
-            continue
-        out[f"agreement_{other}"] = A.agreement(wide, ref_label, f"{other}_label")
-        out[f"disagreements_{other}"] = R.top_disagreements(wide, ref_label, f"{other}_label", id_col, num_disagreements)
+    out = Reports({
+        "side_by_side": lambda: wide,
+        "distribution": lambda: A.label_distribution(wide, ref_label),
+        "box": lambda: A.box_stats(long, ["model", "score_type", ref_label], "score"),
+        "examples": lambda: example_table(L.stratified_sample(wide, ref_label, id_col, num_examples, seed), text_col, score_cols),
+        **{f"agreement_{n}": lambda n=n: A.agreement(wide, ref_label, f"{n}_label") for n in names if n != reference},
+        **{f"disagreements_{n}": lambda n=n: R.top_disagreements(wide, ref_label, f"{n}_label", id_col, num_disagreements) for n in names if n != reference},
+    })
     if out_dir:
         for key, frame in out.items():
             if key != "side_by_side":
                 write_csv(frame, os.path.join(out_dir, key), mode="overwrite")
     return out
+
+
+class Reports(Mapping):
+    """Report tables by name, each made when it is first asked for."""
+
+    def __init__(self, makers: dict[str, Callable[[], DataFrame]]):
+        self._makers, self._made = makers, {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._made:
+            self._made[name] = self._makers[name]()
+        return self._made[name]
+
+    def __contains__(self, name) -> bool:
+        return name in self._makers
+
+    def __iter__(self):
+        return iter(self._makers)
+
+    def __len__(self) -> int:
+        return len(self._makers)

@@ -56,6 +56,16 @@ def test_dashboard(spark, tmp_dir):
     assert "agreement_kw" not in alone and {r.model for r in alone["box"].collect()} == {"lex"}
 
 
+def test_dashboard_starts_no_job_before_a_report_is_asked_for(spark):
+    df = spark.createDataFrame([(1, "good"), (2, "old")], "id long, text string")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("lazy", "dashboard")
+    out = PL.dashboard(df, "text", "id", {"lex": LexiconScorer(LEX), "b": LexiconScorer(LEX)})
+    assert "box" in out and len(out) == 6 and not tracker.getJobIdsForGroup("lazy")
+    assert out["distribution"].count() == 2 and tracker.getJobIdsForGroup("lazy")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_company_pipeline_collects(spark):
     rows = [("ACME", "good ACME news", "2024-01-29", "u1"), ("ACME", "bad acme news", "2024-01-28", "u1"), ("ACME", "nothing of it", "2024-01-29", "u2"),
             (None, "Big Blue and $ACME", "2024-01-30", "u3"), ("BLUE", "old big  blue", "2023-01-30", "u4"), ("BLUE", "good big blue", "2024-01-25", "u5")]
