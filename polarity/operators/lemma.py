@@ -1,8 +1,9 @@
 """Lemmatisation with a dictionary ``(token, lemma)``, inside the row.
 
 Texts are never exploded or shuffled. A short dictionary is written into the
-plan (hash-set tests); a longer one, of at most ``DICTIONARY_ROWS`` entries, is
-broadcast to Arrow batches. A token that the dictionary gives more than one
+plan (hash-set tests); a longer one is broadcast to Arrow batches; a table of
+more than ``DICTIONARY_ROWS`` entries is looked up by a perfect hash (see
+``rule_lemmas``). A token that the dictionary gives more than one
 lemma takes the smallest.
 """
 
@@ -14,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from polarity.operators.rule_lemmas import replace_tokens
 from polarity.schemas import LEMMA, require_columns
 
 PLAN_ROWS = 200
@@ -24,12 +26,12 @@ def lemma_frame(spark: SparkSession, pairs) -> DataFrame:
     return spark.createDataFrame(list(pairs), LEMMA)
 
 
-def dictionary(lemmas: DataFrame | Iterable[tuple[str, str]]) -> dict[str, str]:
-    """The dictionary as a mapping; a table of more than ``DICTIONARY_ROWS`` rows is an error."""
+def dictionary(lemmas: DataFrame | Iterable[tuple[str, str]]) -> dict[str, str] | None:
+    """The dictionary as a mapping; None for a table of more than ``DICTIONARY_ROWS`` rows."""
     if isinstance(lemmas, DataFrame):
         rows = lemmas.select("token", "lemma").limit(DICTIONARY_ROWS + 1).collect()
         if len(rows) > DICTIONARY_ROWS:
-            raise ValueError(f"the lemma table has more than {DICTIONARY_ROWS} rows")
+            return None
         lemmas = [tuple(r) for r in rows]
     out: dict[str, str] = {}
     for token, lemma in lemmas:
@@ -71,7 +73,10 @@ def lemmatize_tokens(df: DataFrame, tokens_col: str, lemmas: DataFrame | Iterabl
                      out_col: str = "lemmas") -> DataFrame:
     """``df`` with ``out_col`` = tokens with each replaced by its lemma, in order."""
     require_columns(df, [tokens_col])
-    return df.withColumn(out_col, lemmas_of(F.col(tokens_col), dictionary(lemmas), df.sparkSession))
+    known = dictionary(lemmas)
+    if known is None:
+        return replace_tokens(df, F.col(tokens_col), lemmas, out_col)
+    return df.withColumn(out_col, lemmas_of(F.col(tokens_col), known, df.sparkSession))
 
 
 def lemmatize(df: DataFrame, text_col: str, lemmas: DataFrame | Iterable[tuple[str, str]],
@@ -80,4 +85,7 @@ def lemmatize(df: DataFrame, text_col: str, lemmas: DataFrame | Iterable[tuple[s
     ``text_col``) lemmatised."""
     require_columns(df, [text_col])
     toks = F.array_remove(F.split(F.coalesce(F.col(text_col), F.lit("")), " "), "")
-    return df.withColumn(out_col or text_col, F.array_join(lemmas_of(toks, dictionary(lemmas), df.sparkSession), " "))
+    known, out_col = dictionary(lemmas), out_col or text_col
+    if known is None:
+        return replace_tokens(df, toks, lemmas, out_col).withColumn(out_col, F.array_join(out_col, " "))
+    return df.withColumn(out_col, F.array_join(lemmas_of(toks, known, df.sparkSession), " "))

@@ -7,8 +7,9 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from polarity.functions.text import preprocess
+from polarity.functions.text import preprocess, tokenize
 from polarity.operators.lemma import lemmatize
+from polarity.operators.rule_lemmas import rule_lemma_table
 from polarity.schemas import require_columns
 
 
@@ -19,15 +20,15 @@ def preprocess_dataframe(df: DataFrame, text_column: str, new_column_name: str |
                          extra_stopwords: Iterable[str] = ()) -> DataFrame:
     """The input with ``new_column_name`` (default: ``text_column``
     itself) holding the processed text; ``ValueError`` when the column is
-    missing. Lemmatisation needs a ``(token, lemma)`` dictionary, of which the
-    library has none of its own; so it is off unless asked for. All of it
-    happens in the row.
+    missing. Lemmatisation takes a ``(token, lemma)`` dictionary; without one,
+    lemmas come from rules that the texts' own words confirm (one aggregation
+    over their tokens). It is off unless asked for. Texts stay in their rows.
     """
     require_columns(df, [text_column])
     out_col = new_column_name or text_column
     out = df.withColumn(out_col, preprocess(text_column, clean, remove_stops, custom_stopwords, extra_stopwords))
     if lemmatize_text:
         if lemma_table is None:
-            raise ValueError("lemmatisation needs lemma_table")
+            lemma_table = rule_lemma_table(out, tokenize(out_col))
         out = lemmatize(out, out_col, lemma_table)
     return out.withColumn(out_col, F.coalesce(F.col(out_col), F.lit("")))

@@ -296,6 +296,15 @@ def q_t9(spark, sf_dir):
     return out.select("doc_id", "lemmatized_text")
 
 
+@query("t9_rule_lemmas")
+def q_t9_rules(spark, sf_dir):
+    """Processed texts with the lemmas that rules give and the documents' own words confirm."""
+    from polarity.operators.preprocess import preprocess_dataframe
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = preprocess_dataframe(docs, "text", "done", lemmatize_text=True)
+    return out.select("doc_id", F.md5("done").alias("lemmas_md5"), F.size(tokenize("done")).cast("long").alias("n_tokens"))
+
+
 @query("t14_softmax_logits")
 def q_t14(spark, sf_dir):
     emb = table(spark, sf_dir, "embeddings")

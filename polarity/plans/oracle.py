@@ -304,6 +304,23 @@ def _t9():
             f"AS lemmatized_text FROM documents")
 
 
+@sql("t9_rule_lemmas")
+def _t9_rules():
+    from polarity import resources
+    from polarity.operators.rule_lemmas import KEPT, LEAST_BASE, RULES
+    order = sorted(range(len(RULES)), key=lambda i: (-len(RULES[i][0]), i))
+    rules = values_sql([(*RULES[i], rank) for rank, i in enumerate(order)], ["VARCHAR", "VARCHAR", "INTEGER"], ["ending", "new", "rank"], "r")
+    kept = " OR ".join(f"ends_with(token, {lit(k)})" for k in KEPT)
+    toks = stop_filter_sql(tokens_sql(clean_sql("text")), resources.english_stopwords())
+    return f"""WITH t AS (SELECT doc_id, {toks} AS toks FROM documents),
+e AS (SELECT doc_id, unnest(toks) AS token, unnest(range(len(toks))) AS i FROM t),
+v AS (SELECT DISTINCT token FROM e),
+c AS (SELECT token, token[:length(token) - length(ending)] || new AS base, rank FROM v JOIN {rules} ON ends_with(token, ending) WHERE NOT ({kept})),
+lemma AS (SELECT c.token, arg_min(base, rank) AS lemma FROM c JOIN v ON v.token = c.base WHERE length(base) >= {LEAST_BASE} GROUP BY c.token)
+SELECT t.doc_id, md5(coalesce(string_agg(coalesce(lemma, e.token), ' ' ORDER BY i), '')) AS lemmas_md5, count(e.token)::BIGINT AS n_tokens
+FROM t LEFT JOIN e ON e.doc_id = t.doc_id LEFT JOIN lemma ON lemma.token = e.token GROUP BY t.doc_id"""
+
+
 @sql("t14_softmax_logits")
 def _t14():
     return f"""WITH l AS (
