@@ -60,10 +60,10 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4()}"
     warc.write_warc(table(spark, sf_dir, "pages"), path)
-    captures = warc.assemble(warc.read_warc(spark, path, payloads=False))
+    captures = warc.assemble(warc.read_warc(spark, path, payloads=False), hops=2)  # as write_warc links them
     fields = F.col("metadata.fields")
     done = materialise(captures.select(
-        fields["key"].cast("long").alias("page_id"), fields["payload-bytes"].cast("long").alias("payload_bytes"),
+        F.try_element_at(fields, F.lit("key")).cast("long").alias("page_id"), fields["payload-bytes"].cast("long").alias("payload_bytes"),
         F.col("response.digest").alias("payload_digest"), F.col("response.record_type").alias("record_type"),
         F.try_element_at(fields, F.lit("refers-to-key")).cast("long").alias("refers_to")))
     remove(spark, path)

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OPEN = local()
+FILES_BYTES = 32 << 20  # names of a table's files that are broadcast; more are joined by a shuffle
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -79,6 +80,21 @@ def scratch_scope(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFra
         spark.sparkContext._jvm.System.gc()
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with a number of its own for each row, the same in every job. The
+    rows of a table as it is read are told by their place in their file, so they
+    are not copied; other rows are written first."""
+    if df._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation" or "_metadata" in df.columns:
+        return materialise(df.withColumn(name, F.monotonically_increasing_id()))
+    placed = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__place"))
+    files = sorted(r[0] for r in placed.select("__file").distinct().collect())
+    numbers = df.sparkSession.createDataFrame(list(enumerate(files)), "__number long, __file string")
+    if sum(map(len, files)) <= FILES_BYTES:  # the driver has them all, so their size is known
+        numbers = F.broadcast(numbers)
+    own = [f"`{c.replace('`', '``')}`" for c in df.columns]
+    return placed.join(numbers, "__file").select(*own, (F.shiftleft("__number", 40) + F.col("__place")).alias(name))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

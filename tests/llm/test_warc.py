@@ -33,9 +33,39 @@ def test_round_trip_and_revisits(spark, tmp_path):
                 assert r["response"]["payload_bytes"] == len(payload[i])
 
 
-def test_repeated_rows_are_captures_of_their_own(spark, tmp_path):
-    warc.write_warc(pages(spark, [PAGES[0], PAGES[0]]), f"{tmp_path}/w")
-    assert [r["response"]["record_type"] for r in warc.assemble(warc.read_warc(spark, f"{tmp_path}/w")).collect()] == ["response"] * 2
+def captures(spark, rows, path):
+    warc.write_warc(pages(spark, rows).repartition(2), path)
+    out = []
+    for r in warc.assemble(warc.read_warc(spark, path)).collect():
+        f = r["metadata"]["fields"]
+        out.append((f.get("key"), r["response"]["record_type"], f.get("refers-to-key"), r["response"]["payload"] and bytes(r["response"]["payload"]).decode()))
+    return sorted(out, key=str)
+
+
+def test_every_payload_is_stored_once_whatever_the_keys(spark, tmp_path):
+    """Equal rows, one key with several payloads, ties of the largest key, and rows without a key."""
+    assert captures(spark, [PAGES[0], PAGES[0]], f"{tmp_path}/a") == [("1", "response", None, "<p>é</p>"), ("1", "revisit", "1", None)]
+    got = captures(spark, [(1, "u", "A"), (1, "u", "B"), (2, "u", "A")], f"{tmp_path}/b")
+    assert got == [("1", "response", None, "B"), ("1", "revisit", "2", None), ("2", "response", None, "A")]
+    got = captures(spark, [(None, "u", "A"), (None, "u", "A"), (5, "u", "A"), (5, "v", "A"), (None, None, None), (None, "w", "")], f"{tmp_path}/c")
+    assert [g[1:3] for g in got if g[0] == "5"] in ([("response", None), ("revisit", "5")],) and [g[1:3] for g in got if g[0] is None and g[2]] == [("revisit", "5")] * 2
+    assert sorted(g[1] for g in got if g[0] is None and not g[2]) == ["response", "revisit"]
+
+
+def test_long_payloads_make_small_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "LARGE", 1000)
+    monkeypatch.setattr(warc, "FILE_BYTES", 50_000)
+    rows = [(i, "u", f"{i} " + "x" * (40 if i % 2 else 9000)) for i in range(60)]
+    assert [g[3] for g in captures(spark, rows, f"{tmp_path}/w")] == [h for _, _, h in sorted(rows, key=lambda r: str((str(r[0]), "response", None, r[2])))]
+    assert spark.read.format("binaryFile").load(f"{tmp_path}/w").count() > 8
+
+
+def test_chains_of_any_length(spark):
+    kinds = ["response", "request", *["metadata"] * 9]
+    rows = [(f"{c}{k}", kinds[k], f"{c}{k - 1}" if k else None, None, None, None, None, {}) for c in "ab" for k in range(11)]
+    df = spark.createDataFrame(rows, warc._READ_SQL)
+    got = {r["capture_id"]: (r["request"]["record_id"], r["response"]["record_id"], r["metadata"]["record_id"]) for r in warc.assemble(df).collect()}
+    assert got == {"a0": ("a1", "a0", "a10"), "b0": ("b1", "b0", "b10")}
 
 
 def test_empty_table(spark, tmp_path):
