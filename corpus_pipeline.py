@@ -25,27 +25,15 @@ from polarity.llm.decontaminate import contamination
 from polarity.llm.ngram_join import linked_groups
 from polarity.llm.packing import pack, word_count
 from polarity.llm.repeats import remove_repeats
-from polarity.llm.scratch import materialise, remove, scratch_scope, shared_dir, table
+from polarity.llm.scratch import materialise, numbered, remove, scratch_scope, shared_dir, table
 
 
 ROW = "__pipeline_row"
-FILES_BYTES = 32 << 20  # names of a table's files that are broadcast; more are joined by a shuffle
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
     """``docs`` with ``ROW``, which is stable as it is read from files."""
-    if ROW in docs.columns:
-        return docs
-    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation" or "_metadata" in docs.columns:
-        return materialise(docs.withColumn(ROW, F.monotonically_increasing_id()))
-    # a table as it is read: a row's place in its file says which it is, so texts need not be copied
-    placed = docs.select("*", F.col("_metadata.file_path").alias("__pipeline_file"), F.col("_metadata.row_index").alias("__pipeline_place"))
-    files = sorted(r[0] for r in placed.select("__pipeline_file").distinct().collect())
-    numbers = docs.sparkSession.createDataFrame(list(enumerate(files)), "__pipeline_number long, __pipeline_file string")
-    number = (F.shiftleft("__pipeline_number", 40) + F.col("__pipeline_place")).alias(ROW)
-    if sum(map(len, files)) <= FILES_BYTES:  # the driver has them all, so their size is known
-        numbers = F.broadcast(numbers)
-    return placed.join(numbers, "__pipeline_file").select(*_names(docs), number)
+    return docs if ROW in docs.columns else numbered(docs, ROW)
 
 
 def _plain(docs: DataFrame) -> DataFrame:
