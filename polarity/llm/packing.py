@@ -83,10 +83,12 @@ def pack(df: DataFrame, id_col: str = "doc_id", length_col: str = "n_tokens", so
     column = lambda c, kind: F.col(c).cast(kind) if c else F.lit(None).cast(kind)
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(length_col).cast("long"), F.lit(0)).alias("n"),
                      column(source_col, "string").alias("source"), column(cluster_col, "string").alias("cluster"))
+    # rows without an id are dealt by their place, others by what they are
+    rows = rows.withColumn("tie", F.when(F.col("id").isNull(), F.monotonically_increasing_id()))
     cut = rows.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), F.floor((F.col("n") - 1) / capacity)).cast("long"))))
     cut = cut.withColumn("start", F.col("piece") * capacity).withColumn("n_tokens", F.greatest(F.lit(0), F.least(F.lit(capacity), F.col("n") - F.col("start"))))
     shards = max(1, -(-cut.count() // SHARD_ITEMS))
-    some = cut.filter("n_tokens > 0").withColumn("shard", F.pmod(F.xxhash64("id", "piece"), F.lit(shards)))
+    some = cut.filter("n_tokens > 0").withColumn("shard", F.pmod(F.xxhash64("id", "piece", "n", "cluster", "tie"), F.lit(shards)))
     kind = "id long, piece long, start long, n_tokens long, bin_id long, bin_start long"
     packed = some.select("shard", "id", "piece", "start", "n_tokens", "source", "cluster").groupBy("shard").applyInPandas(_pack(capacity), kind)
     none = cut.filter("n_tokens = 0").select("id", "piece", "start", "n_tokens", F.lit(None).cast("long").alias("bin_id"), F.lit(None).cast("long").alias("bin_start"))

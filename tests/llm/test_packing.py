@@ -61,3 +61,13 @@ def test_documents(spark, edge_docs, no_docs):
 def test_word_count(spark, edge_docs, edge_rows):
     got = {r[0]: r[1] for r in edge_docs.select("doc_id", word_count("text")).collect()}
     assert got == {r[0]: len((r[1] or "").encode().split()) for r in edge_rows}
+
+
+def test_items_of_one_id_or_none_are_dealt_to_many_shards(spark, monkeypatch):
+    from polarity.llm import packing as P
+    monkeypatch.setattr(P, "SHARD_ITEMS", 50)
+    none = spark.range(2000).selectExpr("cast(null as long) AS doc_id", "'s' || id AS source", "cast(7 as long) AS n_tokens", "cast(1 as long) AS cluster")
+    same = spark.range(2000).selectExpr("cast(5 as long) AS doc_id", "'s' || id AS source", "cast(7 as long) AS n_tokens", "id AS cluster")
+    for df in (none, same):
+        shards = P.pack(df).selectExpr("shiftright(bin_id, 32) AS shard").groupBy("shard").count().collect()
+        assert len(shards) > 20 and max(r["count"] for r in shards) < 150 and sum(r["count"] for r in shards) == 2000
