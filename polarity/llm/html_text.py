@@ -15,7 +15,12 @@ Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles
 and reader comments are left out, by tag, role, class or id. Classes and ids
 count if all of their parts say so ("site-footer", not "has-sidebar"), and not
 for an element that holds most of the page's text, comments and consent boxes
-aside. A header inside an article belongs to it.
+aside; the same holds for forms. A name with other parts beside such a word
+("share-buttons-top") counts for a division or list, unless it tells a state
+("comments-open") or a part of the article ("entry-header"), or the element holds
+most of the page or much text without links. A header inside an article or
+main element belongs to it. The work is linear in a page's length, however deep
+its elements are nested.
 
 Null and empty pages give an empty text. Pages without a host follow their own
 best container. Repeated rows each vote. Only the named columns are read.
@@ -33,6 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from polarity.llm.scratch import materialise
+from polarity.llm.words import pieces
 
 #: HTML's element kinds, and words that name what is not the article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -40,17 +46,22 @@ RAW = frozenset("script style textarea title xmp iframe noembed noframes noscrip
 BLOCKS = frozenset("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer
     form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul""".split())
 CONTAINERS = frozenset("body main article section div td".split())
-LEFT_OUT = frozenset("""head nav footer aside form script style noscript template iframe svg math object button select textarea title dialog menu canvas
+LEFT_OUT = frozenset("""head nav footer aside script style noscript template iframe svg math object button select textarea title dialog menu canvas
     audio video map""".split())
 LEFT_OUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
 LEFT_OUT_WORDS = frozenset("""ad ads adv advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies dialog
     discussion disqus footer form header masthead menu menubar modal nav navbar navigation newsletter notice notification overlay pager pagination
     popup promo promotion recommended related reply replies respond share sharing sidebar social sponsor sponsored subscribe subscription toolbar
     widget""".split())
-PLACE_WORDS = frozenset("""area bar block bottom box container global inner item items left link links list lower main outer page panel posts primary right
-    secondary section site slot top unit upper wrap wrapper""".split())  # say nothing beside one of LEFT_OUT_WORDS
+PLACE_WORDS = frozenset("""area articles bar block body bottom box button buttons container count global icon icons inner item items left link links list
+    lower main outer page panel policy posts primary reader right secondary section sign signup site slot stories thread top unit up upper user users
+    wrap wrapper""".split())  # say nothing beside one of LEFT_OUT_WORDS
 COMMENT_WORDS = frozenset("comment comments discussion disqus replies reply respond".split())
 SURE_WORDS = COMMENT_WORDS | frozenset("consent cookie cookies modal newsletter overlay popup".split())  # left out whatever they hold
+STATE_WORDS = frozenset("closed disabled enabled free has hide is no not off on open show toggle with without".split())  # tell what the page has
+ARTICLE_WORDS = frozenset("article blog content entry news post story text".split())  # whose header belongs to the article
+LOOSE_TAGS = frozenset("div section ul ol dl".split())  # that a name with further parts may leave out
+MUCH_TEXT = 300       # characters, most outside links, that such an element keeps
 #: Start tags that end an open element of these kinds, with the tags that keep it open.
 ENDS_SELF = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)),
              "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
@@ -65,7 +76,8 @@ _SPLIT = re.compile(r"[^a-z]+|(?<=[a-z])(?=\d)")
 _DIGITS = re.compile(r"\d+")
 
 
-HARD, NAMED = 1, 2    # left out in any case; by a class or id, if it doesn't hold most of the page
+# left out in any case; if it doesn't hold most of the page; if it holds neither that nor much text without links
+HARD, NAMED, LOOSE = 1, 2, 3
 
 
 def _attributes(source: str) -> dict:
@@ -76,50 +88,88 @@ def _attributes(source: str) -> dict:
     return found
 
 
-def _named(attributes: dict) -> set[str]:
-    """Words of the classes and ids all of whose parts name what is left out."""
+def _named(attributes: dict, loose: bool) -> tuple[set[str], bool]:
+    """(words that name what is left out, whether all parts of a class or id do)."""
     found: set[str] = set()
+    more: set[str] = set()
     for name in f"{attributes.get('class', '')} {attributes.get('id', '')}".split():
         parts = {w for w in _SPLIT.split(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", name).lower()) if w}
-        if parts & LEFT_OUT_WORDS and parts <= LEFT_OUT_WORDS | PLACE_WORDS:
-            found |= parts & LEFT_OUT_WORDS
-    return found
+        words = parts & LEFT_OUT_WORDS
+        if words and parts <= LEFT_OUT_WORDS | PLACE_WORDS:
+            found |= words
+        elif words and loose and not parts & STATE_WORDS and not (words == {"header"} and parts & ARTICLE_WORDS):
+            more |= words
+    return (found, True) if found else (more, False)
 
 
 def _unwanted(tag: str, attributes: dict, inside_article: bool) -> int:
     if tag in LEFT_OUT or (tag == "header" and not inside_article):
         return HARD
+    if tag == "form":
+        return NAMED
     if not attributes or tag in ("html", "body"):
         return 0
     if "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or attributes.get("role", "").lower() in LEFT_OUT_ROLES:
         return HARD
     if "display:none" in attributes.get("style", "").lower().replace(" ", ""):
         return HARD
-    words = _named(attributes)
+    words, whole = _named(attributes, tag in LOOSE_TAGS)
     if tag in ("article", "main"):
         return HARD if words & COMMENT_WORDS else 0
     if inside_article:
         words.discard("header")
-    return HARD if words & SURE_WORDS else NAMED if words else 0
+    if not words:
+        return 0
+    return (HARD if words & SURE_WORDS else NAMED) if whole else LOOSE
+
+
+class Container:
+    """A run of blocks: first one, one after the last, score, score of its own blocks, and the container around it."""
+
+    __slots__ = ("around", "end", "first", "own", "score", "step")
+
+    def __init__(self, step: tuple, first: int, around: Container | None):
+        self.step, self.first, self.end, self.score, self.own, self.around = step, first, first, 0.0, 0.0, around
 
+    @property
+    def tag(self) -> str:
+        return self.step[1].split(".", 1)[0]
 
-def parse(page: str) -> tuple[list[str], list[tuple]]:
-    """(text blocks of the wanted parts, containers as (path, first block, block after the last, score,
-    score of its own blocks, place of the container around it or -1))."""
+    @property
+    def path(self) -> str:
+        """Tags and classes from the root."""
+        out, step = [], self.step
+        while step:
+            out.append(step[1])
+            step = step[0]
+        return ">".join(reversed(out))
+
+
+def _path_hash(path: str) -> int:
+    h = 0
+    for name in path.split(">"):
+        h = hash((h, name))
+    return h
+
+
+def parse(page: str) -> tuple[list[str], list[Container]]:
+    """(text blocks of the wanted parts, containers in the order of their start tags)."""
     blocks, containers, held, total = _parse(page, frozenset())
-    most = frozenset(at for at, n in held.items() if 2 * n > total)
-    return _parse(page, most)[:2] if most else (blocks, containers)
+    stay = frozenset(at for at, (n, linked, kind) in held.items() if 2 * n > total or (kind == LOOSE and n >= MUCH_TEXT and 10 * linked < n))
+    return _parse(page, stay)[:2] if stay else (blocks, containers)
 
 
-def _parse(page: str, wanted: frozenset[int]) -> tuple[list[str], list[tuple], dict[int, int], int]:
-    """Blocks and containers, the characters that each element left out by name
-    holds, by its place in the page, and those of all text. Elements at the
-    places ``wanted`` stay."""
+def _parse(page: str, wanted: frozenset[int]) -> tuple[list[str], list[Container], dict[int, list], int]:
+    """Blocks and containers; the characters, those inside links and the kind of
+    each element left out by name, by its place in the page; and the characters of
+    all text. Elements at the places ``wanted`` stay."""
     blocks: list[str] = []
-    containers: list[list] = []
-    stack: list[tuple] = []       # (tag, path, container or None, left out, link)
+    containers: list[Container] = []
+    stack: list[tuple] = []       # (tag, step of the path, container or None, left out, link)
+    around: list[Container] = []  # open containers
+    opened: dict[str, int] = defaultdict(int)
     out = links = articles = hard = total = 0
-    held: dict[int, int] = {}
+    held: dict[int, list] = {}
     named: list[int] = []
     text: list[str] = []
     linked = at = 0
@@ -127,16 +177,10 @@ def _parse(page: str, wanted: frozenset[int]) -> tuple[list[str], list[tuple], d
     def flush():
         nonlocal linked
         if text:
-            own = True
             block = _BLANK.sub(" ", "".join(text)).strip()
             if block:
-                score, share = max(len(block) - 2 * linked, 0), 1.0
-                for entry in reversed(stack):
-                    if entry[2] is not None:
-                        containers[entry[2]][3] += score * share
-                        containers[entry[2]][4] += score * own
-                        own = False
-                        share *= SHARE
+                if around:
+                    around[-1].own += max(len(block) - 2 * linked, 0)
                 blocks.append(block)
             text.clear()
         linked = 0
@@ -146,17 +190,23 @@ def _parse(page: str, wanted: frozenset[int]) -> tuple[list[str], list[tuple], d
         while len(stack) > depth:
             tag, _, container, unwanted, link = stack[-1]
             hard -= unwanted == HARD
-            if unwanted == NAMED:
-                at = named.pop()
+            if unwanted > HARD:
+                inner = held[named.pop()]
                 if named:
-                    held[named[-1]] += held[at]
+                    held[named[-1]][0] += inner[0]
+                    held[named[-1]][1] += inner[1]
             if tag in BLOCKS or unwanted:
                 flush()
             if container is not None:
-                containers[container][2] = len(blocks)
+                container.end = len(blocks)
+                container.score += container.own
+                around.pop()
+                if container.around:  # each container further out gets a share
+                    container.around.score += SHARE * container.score
             out -= unwanted > 0
             links -= link
-            articles -= tag == "article"
+            articles -= tag in ("article", "main")
+            opened[tag] -= 1
             stack.pop()
 
     def say(piece: str):
@@ -165,7 +215,8 @@ def _parse(page: str, wanted: frozenset[int]) -> tuple[list[str], list[tuple], d
             n = len("".join(piece.split()))
             total += n
             if named:
-                held[named[-1]] += n
+                held[named[-1]][0] += n
+                held[named[-1]][1] += n if links else 0
         if piece and not out:
             piece = unescape(piece)
             text.append(piece)
@@ -183,9 +234,8 @@ def _parse(page: str, wanted: frozenset[int]) -> tuple[list[str], list[tuple], d
             continue
         tag = m[2].lower()
         if m[1]:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if depth is not None:
-                close(depth)
+            if opened[tag]:
+                close(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag))
             elif tag in BLOCKS:
                 flush()
             continue
@@ -193,23 +243,25 @@ def _parse(page: str, wanted: frozenset[int]) -> tuple[list[str], list[tuple], d
             say(" ")
             continue
         if tag in BLOCKS:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in ("p", *CONTAINERS, "table", "li")), None)
-            if depth is not None and stack[depth][0] == "p":
-                close(depth)
+            if opened["p"]:
+                depth = next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in ("p", *CONTAINERS, "table", "li"))
+                if stack[depth][0] == "p":
+                    close(depth)
             flush()
         if tag in ENDS_SELF:
             ended, keep = ENDS_SELF[tag]
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in keep:
-                    break
-                if stack[i][0] in ended.split():
-                    close(i)
-                    break
+            if any(opened[t] for t in ended.split()):
+                for i in range(len(stack) - 1, -1, -1):
+                    if stack[i][0] in keep:
+                        break
+                    if stack[i][0] in ended.split():
+                        close(i)
+                        break
         if tag in VOID:
             continue
         attributes = _attributes(m[3])
         unwanted = _unwanted(tag, attributes, articles > 0)
-        if unwanted == NAMED and m.start() in wanted:
+        if unwanted > HARD and m.start() in wanted:
             unwanted = 0
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)", re.I).search(page, at)
@@ -217,43 +269,43 @@ def _parse(page: str, wanted: frozenset[int]) -> tuple[list[str], list[tuple], d
                 at = end.start() if end else len(page)
         if unwanted and not out:
             flush()
-        classes = sorted(_DIGITS.sub("0", c) for c in attributes.get("class", "").lower().split())
-        path = (stack[-1][1] + ">" if stack else "") + ".".join([tag, *classes])
+        classes = sorted(_DIGITS.sub("0", c) for c in attributes.get("class", "").lower().replace(">", " ").split())
+        before = stack[-1][1] if stack else ()
+        name = ".".join([tag, *classes])
+        step = (before, name, hash((before[2] if before else 0, name)))
         container = None
         if tag in CONTAINERS and not out and not unwanted:
-            container = len(containers)
-            around = next((entry[2] for entry in reversed(stack) if entry[2] is not None), -1)
-            containers.append([path, len(blocks), len(blocks), 0.0, 0.0, around])
+            container = Container(step, len(blocks), around[-1] if around else None)
+            containers.append(container)
+            around.append(container)
         out += unwanted > 0
         hard += unwanted == HARD
-        if unwanted == NAMED:
+        if unwanted > HARD:
             named.append(m.start())
-            held[m.start()] = 0
+            held[m.start()] = [0, 0, unwanted]
         links += tag == "a"
-        articles += tag == "article"
-        stack.append((tag, path, container, unwanted, tag == "a"))
+        articles += tag in ("article", "main")
+        opened[tag] += 1
+        stack.append((tag, step, container, unwanted, tag == "a"))
     flush()
     close(0)
-    return blocks, [tuple(c) for c in containers], held, total
+    return blocks, containers, held, total
 
 
-def best_container(containers) -> tuple | None:
+def best_container(containers: list[Container]) -> Container | None:
     """The highest score (the outermost of equals, as it comes first), or the
     innermost article or main around it; without one, what is around it as long
     as that, body aside, holds unlinked blocks of its own."""
-    best = max(containers, key=lambda c: c[3], default=None)
-    if best is None or best[3] <= 0:
+    best = max(containers, key=lambda c: c.score, default=None)
+    if best is None or best.score <= 0:
         return best
-    tag = lambda c: c[0].rsplit(">", 1)[-1].split(".", 1)[0]
     c = best
-    while True:
-        if tag(c) in ("article", "main"):
+    while c:
+        if c.tag in ("article", "main"):
             return c
-        if c[5] < 0:
-            break
-        c = containers[c[5]]
-    while best[5] >= 0 and containers[best[5]][4] > 0 and tag(containers[best[5]]) != "body":
-        best = containers[best[5]]
+        c = c.around
+    while best.around and best.around.own > 0 and best.around.tag != "body":
+        best = best.around
     return best
 
 
@@ -261,25 +313,26 @@ def extract(page: str | None, path: str | None = None) -> str:
     """Blocks of the containers at ``path``, else of the best one, else of the page."""
     blocks, containers = parse(page or "")
     chosen, upto = [], 0
+    wanted = _path_hash(path) if path is not None else None
     for c in containers:
-        if c[0] == path and c[1] >= upto and c[2] > c[1]:
-            chosen += blocks[c[1]:c[2]]
-            upto = c[2]
+        if c.step[2] == wanted and c.first >= upto and c.end > c.first and c.path == path:
+            chosen += blocks[c.first:c.end]
+            upto = c.end
     if not chosen:
         best = best_container(containers)
-        chosen = blocks[best[1]:best[2]] if best else blocks
+        chosen = blocks[best.first:best.end] if best else blocks
     return "\n".join(chosen)
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch, _, _ in pieces(batches, "html", 4 << 20):
         count: dict = defaultdict(lambda: [0, 0.0])
         for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
             best = best_container(parse(page or "")[1])
-            if best and best[3] > 0:
-                v = count[host, best[0]]
+            if best and best.score > 0:
+                v = count[host, best.path]
                 v[0] += 1
-                v[1] += best[3]
+                v[1] += best.score
         if count:
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in count]), pa.array([k[1] for k in count]), pa.array([v[0] for v in count.values()], pa.int64()),
                                               pa.array([float(round(v[1])) for v in count.values()])], names=["host", "path", "votes", "score"])
@@ -287,7 +340,7 @@ def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _texts(names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch, _, _ in pieces(batches, "__html", 4 << 20):
             found = [extract(page, path) for page, path in zip(batch.column("__html").to_pylist(), batch.column("__path").to_pylist())]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(found, pa.string())], names=[*names, "text"])
 

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -22,7 +24,7 @@ def test_extract(page, want):
 
 def test_container_paths_are_generalised():
     _, containers = parse('<body><div class="post-17 Main"><p>Some words, here.</p></div></body>')
-    assert best_container(containers)[0] == "body>div.main.post-0"
+    assert best_container(containers).path == "body>div.main.post-0"
 
 
 def test_host_consensus_decides_where_a_page_alone_would_not(spark):
@@ -70,3 +72,50 @@ WANT = f"The title\nThe lead.\n{LONG.strip()}"
 ])
 def test_ordinary_layouts_keep_the_article(page, want):
     assert extract(page) == want
+
+
+@pytest.mark.parametrize("page,want", [
+    (SHELL.format(f"<form id=aspnetForm action=x><div class=story>{BODY}</div><input></form>"), WANT),
+    (SHELL.format(f"<form><article>{BODY}<form><p>your name</p></form></article></form>"), WANT),
+    *((SHELL.format(f"<article>{BODY}<div class='{c}'><p>No part of it</p><a href=x>See more</a></div></article>"), WANT)
+      for c in ("related-articles", "newsletter-signup", "share-buttons", "cookie-policy", "share-buttons-top extra", "more-related-reading", "promo-card-x")),
+    (SHELL.format(f"<article>{BODY}<div class=user-comments><div class=comment-body><p>{LONG * 3}</p></div></div></article>"), WANT),
+    (SHELL.format(f"<main><header><h1>The title</h1></header><p>{LONG}</p></main>"), f"The title\n{LONG.strip()}"),
+    (SHELL.format(f"<div class=page><div class='entry-header'><h1>The title</h1></div><p>{LONG}</p></div>"), f"The title\n{LONG.strip()}"),
+    (SHELL.format(f"<article><p>{LONG}</p><div class='share-price-report'><p>{LONG}</p></div></article>"), f"{LONG.strip()}\n{LONG.strip()}"),
+    (SHELL.format(f"<article>{BODY}<p class=share-price>The price rose.</p></article>"), WANT + "\nThe price rose."),
+])
+def test_what_is_left_out_is_told_by_held_text_and_links(page, want):
+    assert extract(page) == want
+
+
+def brute_scores(tree, share=0.6):
+    """Score of each container of a nested list (containers are lists, blocks strings), outermost first."""
+    own = sum(len(x) for x in tree if isinstance(x, str))
+    inner = [brute_scores(x, share) for x in tree if isinstance(x, list)]
+    return [own + share * sum(s[0] for s in inner), *(v for s in inner for v in s)]
+
+
+def test_scores_equal_brute_force():
+    import random
+    r = random.Random(3)
+
+    def tree(depth):
+        return [tree(depth - 1) if depth and r.random() < 0.5 else "w" * r.randrange(1, 30) for _ in range(r.randrange(1, 5))]
+
+    def html(t):
+        return "".join(f"<p>{x}</p>" if isinstance(x, str) else f"<div>{html(x)}</div>" for x in t)
+
+    for _ in range(50):
+        t = tree(5)
+        blocks, containers = parse(f"<div>{html(t)}</div>")
+        assert [round(c.score, 6) for c in containers] == [round(v, 6) for v in brute_scores(t)]
+        assert blocks[containers[0].first:containers[0].end] == re.findall("w+", html(t))
+
+
+def test_deep_markup_takes_linear_time():
+    import time
+    for page in ("<div>x" * 40_000, "<b>" * 30_000 + "<p>x</span>" * 5_000, "<ul><li>x" * 20_000, "<form class=ad><div class=more-related-x>y" * 10_000):
+        t = time.process_time()
+        extract(page)
+        assert time.process_time() - t < len(page) / 1e5 + 0.5
