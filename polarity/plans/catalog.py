@@ -210,6 +210,18 @@ def q_m10_company_pipeline(spark, sf_dir):
     return rounded(A.mean_scores(out["scored"], ["source_type", "company"]), CLASSES)
 
 
+@query("m10_collected")
+def q_m10_collected(spark, sf_dir):
+    """The company pipeline with all that it can collect by: search terms, days before a date, newest rows per company."""
+    from polarity.plans.pipelines import company_pipeline
+    date = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 30).cast("int"))
+    news = table(spark, sf_dir, "documents").select("text", date.alias("date"))
+    out = company_pipeline(news, None, query_scorer(clean=False, stop=False), companies=P.PHRASES, days=P.LOOKBACK_DAYS, as_of=P.AS_OF, per_company=P.TOP_PER_COMPANY)
+    scored = out["scored"].select("company", F.date_format("date", "yyyy-MM-dd").alias("day"), F.md5("text").alias("text_md5"),
+                                  *(F.col(f"sentiment_{c}").alias(c) for c in CLASSES), F.col("sentiment_label").alias("label"))
+    return rounded(scored, CLASSES)
+
+
 @query("m3_score_documents")
 def q_m3_documents(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

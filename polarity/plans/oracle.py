@@ -230,6 +230,22 @@ SELECT source_type, company, {means}, CAST(count(*) AS BIGINT) AS n_rows
 FROM m_labelled GROUP BY source_type, company""")
 
 
+@sql("m10_collected")
+def _m10_collected():
+    toks = stop_filter_sql(tokens_sql(clean_sql("text")))
+    words = "' ' || array_to_string(regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+'), ' ') || ' '"
+    comp = values_sql(P.PHRASES, ["VARCHAR", "VARCHAR"], ["company", "term"], "c")
+    return (f"""WITH dated AS (
+  SELECT doc_id, text, DATE '2024-01-01' + CAST(doc_id % 30 AS INTEGER) AS day, {words.format("text")} AS words FROM documents),
+named AS (
+  SELECT DISTINCT c.company, d.doc_id, d.text, d.day FROM dated d JOIN {comp} ON contains(d.words, {words.format("c.term")})
+  WHERE d.day BETWEEN DATE '{P.AS_OF}' - {P.LOOKBACK_DAYS} AND DATE '{P.AS_OF}'),
+first AS (SELECT * FROM named QUALIFY row_number() OVER (PARTITION BY company ORDER BY day DESC, md5(text), text) <= {P.TOP_PER_COMPANY}),
+tm AS (SELECT company, doc_id, strftime(day, '%Y-%m-%d') AS day, md5(text) AS text_md5, {toks} AS toks FROM first)"""
+            + model("m", "tm", ("company", "doc_id"), ("day", "text_md5")) + f"""
+SELECT company, day, text_md5, {ROUND3}, label FROM m_labelled""")
+
+
 # --------------------------------------------------------------------------
 # text functions
 

@@ -69,7 +69,7 @@ def company_pipeline(news: DataFrame | None = None, posts: DataFrame | None = No
         both = lookback(both, "date", as_of, days)
     if per_company is not None:
         newest = [F.desc("date")] if "date" in both.columns else []
-        both = L.first_k_per_group(both, ["source_type", "company"], [*newest, F.xxhash64("text"), "text"], per_company)
+        both = L.first_k_per_group(both, ["source_type", "company"], [*newest, F.md5("text"), "text"], per_company)
     text_col = "text"
     if do_preprocess:
         both = both.withColumn("processed_text", preprocess("text", custom_stopwords=custom_stopwords))
