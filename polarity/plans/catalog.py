@@ -493,6 +493,34 @@ def q_w2(spark, sf_dir):
     return rounded(out, ["value", "value_rolling"])
 
 
+@query("w2_incremental")
+def q_w2_incremental(spark, sf_dir):
+    """The daily series after three landings, of which each brings late days of the others."""
+    import uuid
+    from polarity.operators.states import add_landing, series
+    from polarity.session import scratch_path
+    ev, folder = _events(spark, sf_dir), scratch_path(spark, f"series-{uuid.uuid4().hex}")
+    for batch in range(3):
+        add_landing(ev.filter(F.pmod("event_id", F.lit(3)) == batch), folder, batch, "event_type", "ts", "value", P.ROLLING_DAYS)
+    out = series(spark, folder).select(F.col("entity").alias("event_type"), F.date_format("date", "yyyy-MM-dd").alias("date"), F.col("mean").alias("value"),
+                                       F.col("n").alias("n_rows"), F.col("rolling").alias("value_rolling"))
+    return rounded(out, ["value", "value_rolling"])
+
+
+@query("a11_quantile_states")
+def q_a11_states(spark, sf_dir):
+    """Quartiles from sketches per type and day, merged for each type; whether their ranks are off by 1 % at most."""
+    from polarity.operators.states import merge_quantiles, quantile_states, quantiles
+    ev = _events(spark, sf_dir).withColumn("day", F.to_date("ts"))
+    states = quantile_states(ev, ["event_type", "day"], "value")
+    ranks = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+    found = quantiles(merge_quantiles(states, ["event_type"]), ranks)
+    rows = ev.filter("value IS NOT NULL").join(F.broadcast(found.drop("n")), "event_type")  # a row for each of a few types
+    near = {c: (F.avg((F.col("value") < F.col(c)).cast("double")) <= r + 0.01) & (F.avg((F.col("value") <= F.col(c)).cast("double")) >= r - 0.01) for c, r in ranks.items()}
+    checked = rows.groupBy("event_type").agg(*(x.alias(f"{c}_within_1_percent") for c, x in near.items()))
+    return found.select("event_type", "n").join(checked, "event_type")
+
+
 @query("l1_first_k_per_company")
 def q_l1(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("company"))

