@@ -641,6 +641,23 @@ def q_s8(spark, sf_dir):
     return lookback(ev, "ts", P.AS_OF, P.LOOKBACK_DAYS).select("event_id", "user_id", "event_type")
 
 
+@query("s8_overlapping_polls")
+def q_s8_polls(spark, sf_dir):
+    """Documents from three polls whose days overlap, the last of which also brings rows before the watermark."""
+    import uuid
+    from polarity.session import scratch_path
+    from polarity.streaming.polls import collected, take_poll
+    day = F.pmod("doc_id", F.lit(30)).cast("int")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("text_md5"), F.date_add(F.lit("2024-01-01").cast("date"), day).cast("timestamp").alias("at"), day.alias("d"))
+    folder = scratch_path(spark, f"polls-{uuid.uuid4().hex}")
+    for k, asked in enumerate(("d <= 14", "d BETWEEN 8 AND 22", "d >= 16 OR d <= 1")):
+        poll = docs.filter(asked).drop("d")
+        take_poll(poll.unionAll(poll), folder, k, "doc_id", "at", 10)
+    rows, late = (collected(docs, folder, kind) for kind in ("rows", "rejects"))
+    return (rows.select("doc_id", "text_md5", F.lit("new").alias("kind")).unionAll(late.select("doc_id", "text_md5", F.col("reason").alias("kind")))
+            .groupBy("doc_id", "text_md5", "kind").agg(F.count("*").alias("n")))
+
+
 @query("s9_url_list")
 def q_s9(spark, sf_dir):
     from polarity.sources.articles import url_list

@@ -810,6 +810,12 @@ def _s8():
 WHERE ts >= TIMESTAMP '{start} 00:00:00' AND ts < TIMESTAMP '{end} 00:00:00'"""
 
 
+@sql("s8_overlapping_polls")
+def _s8_polls():
+    return """SELECT doc_id, md5(text) AS text_md5, 'new' AS kind, 1::BIGINT AS n FROM documents
+UNION ALL SELECT doc_id, md5(text), 'late', 2 FROM documents WHERE doc_id % 30 <= 1"""
+
+
 @sql("s9_url_list")
 def _s9():
     return f"""SELECT company, position, url FROM (
