@@ -227,40 +227,83 @@ class KeywordModel:
         return out
 
 
+def length_batches(lengths: Sequence[int], token_budget: int, batch_size: int | None = None) -> list[list[int]]:
+    """Places of texts in batches of similar length: the longest first, as many a
+    batch as fill ``token_budget`` when all are as long as the longest (one at least)."""
+    order = sorted(range(len(lengths)), key=lambda i: (-lengths[i], i))
+    out, at = [], 0
+    while at < len(order):
+        n = max(1, token_budget // max(lengths[order[at]], 1))
+        n = min(n, batch_size) if batch_size else n
+        out.append(order[at:at + n])
+        at += n
+    return out
+
+
+# Texts and characters that a task holds at most to form batches by length.
+BUFFER_ROWS = 4096
+BUFFER_CHARS = 16 << 20
+
+
 def model_logits(text: str | Column, model_factory: Callable[[], Callable], n_classes: int,
-                 batch_size: int = 16) -> Column:
+                 batch_size: int | None = 16, token_budget: int | None = None) -> Column:
     """Logits ``ARRAY<DOUBLE>`` from a user model, evaluated by an iterator
-    pandas UDF: only the text column crosses to Python, the model is built
-    once per task and fed ``batch_size`` texts at a time."""
+    pandas UDF: only the text column crosses to Python and the model is built
+    once per task. It is fed ``batch_size`` texts at a time, in order; with
+    ``token_budget`` it gets batches of texts of similar length (words), formed in
+    a buffer of ``BUFFER_ROWS`` texts, whose padded size stays under the budget. The
+    last value of each array is then the share of padding in the text's batch."""
+
+    def scored(model, texts: pd.Series):
+        import numpy as np
+        texts = texts.reset_index(drop=True)
+        if token_budget is None:
+            parts = [np.asarray(model(texts.iloc[s:s + batch_size]), dtype="float64").reshape(-1, n_classes) for s in range(0, len(texts), batch_size)]
+            return np.concatenate(parts) if parts else np.zeros((0, n_classes))
+        lengths = texts.fillna("").str.split().str.len().tolist()
+        out = np.zeros((len(texts), n_classes + 1))
+        for places in length_batches(lengths, token_budget, batch_size):
+            slots = max(lengths[places[0]], 1) * len(places)
+            out[places, :-1] = np.asarray(model(texts.iloc[places]), dtype="float64").reshape(len(places), n_classes)
+            out[places, -1] = 1 - sum(lengths[i] for i in places) / slots
+        return out
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def _logits(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import numpy as np
         model = model_factory()
+        held, rows, chars = [], 0, 0
         for texts in batches:
-            parts = []
-            for start in range(0, len(texts), batch_size):
-                chunk = texts.iloc[start:start + batch_size]
-                parts.append(np.asarray(model(chunk), dtype="float64").reshape(len(chunk), n_classes))
-            arr = np.concatenate(parts) if parts else np.zeros((0, n_classes))
-            yield pd.Series(list(arr), index=texts.index)
+            if token_budget is None:
+                yield pd.Series(list(scored(model, texts)))
+                continue
+            held.append(texts)
+            rows, chars = rows + len(texts), chars + int(texts.str.len().fillna(0).sum())
+            if rows >= BUFFER_ROWS or chars >= BUFFER_CHARS:
+                yield pd.Series(list(scored(model, pd.concat(held))))
+                held, rows, chars = [], 0, 0
+        if held:
+            yield pd.Series(list(scored(model, pd.concat(held))))
 
     return _logits(F.col(text) if isinstance(text, str) else text)
 
 
 def model_scores(df: DataFrame, text_col: str, model_factory: Callable[[], Callable],
                  labels: Sequence[str] = SCORE_CLASSES, prefix: str = "sentiment_",
-                 batch_size: int = 16, keep_logits: bool = False) -> DataFrame:
+                 batch_size: int | None = 16, keep_logits: bool = False, token_budget: int | None = None) -> DataFrame:
     """M2: soft-max shares per class + arg-max label, added next to the input.
 
     ``labels`` is the class order of the model's logits (a property of the
-    model). Rows in = rows out; no shuffle.
+    model). Rows in = rows out; no shuffle. ``token_budget`` forms batches by
+    length (``model_logits``) and adds ``{prefix}padded``, the share of padding in
+    a text's batch.
     """
     require_columns(df, [text_col])
     lg = f"{prefix}logits"
     probs = f"{prefix}_probs"
-    out = (df.withColumn(lg, model_logits(text_col, model_factory, len(labels), batch_size))
-             .withColumn(probs, softmax(lg)))
+    out = df.withColumn(lg, model_logits(text_col, model_factory, len(labels), batch_size, token_budget))
+    if token_budget is not None:
+        out = out.withColumns({f"{prefix}padded": F.element_at(lg, -1), lg: F.slice(lg, 1, len(labels))})
+    out = out.withColumn(probs, softmax(lg))
     cols = {}
     for cls in SCORE_CLASSES:
         cols[f"{prefix}{cls}"] = (F.col(probs)[labels.index(cls)] if cls in labels
@@ -329,13 +372,14 @@ class ModelScorer(Scorer):
     name = "model"
 
     def __init__(self, model_factory: Callable[[], Callable], labels: Sequence[str] = SCORE_CLASSES,
-                 batch_size: int = 16):
+                 batch_size: int | None = 16, token_budget: int | None = None):
         self.model_factory = model_factory
         self.labels = list(labels)
         self.batch_size = batch_size
+        self.token_budget = token_budget
 
     def score(self, df, text_col, id_col=None, prefix="sentiment_"):
-        return model_scores(df, text_col, self.model_factory, self.labels, prefix, self.batch_size)
+        return model_scores(df, text_col, self.model_factory, self.labels, prefix, self.batch_size, token_budget=self.token_budget)
 
 
 _REGISTRY: dict[str, Callable[..., Scorer]] = {}

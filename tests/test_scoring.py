@@ -241,3 +241,22 @@ def test_single_text_helpers(spark):
     both = S.compare_models_on_text(spark, "bad bad news", {"lex": S.LexiconScorer(LEX, NEG, DEG),
                                                             "kw": S.create_scorer("keyword")})
     assert set(both) == {"lex", "kw"} and both["lex"]["label"] == "negative"
+
+
+def test_batches_by_length_score_every_text_once_with_little_padding(spark, monkeypatch):
+    assert S.length_batches([], 10) == [] and S.length_batches([0, 0], 10) == [[0, 1]]
+    assert S.length_batches([50, 1, 2, 9, 1], 10) == [[0], [3], [2, 1, 4]]
+    assert S.length_batches([1] * 5, 100, 2) == [[0, 1], [2, 3], [4]]
+    rows = [(i, " ".join(["good"] * (400 if i % 40 == 0 else i % 7) + ["bad"] * (i % 3))) for i in range(900)] + [(1000, None)]
+    df = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    model = lambda: S.KeywordModel([("good",), ("bad",), ()])
+    plain = S.model_scores(df, "text", model, prefix="p_")
+    cols = ["id", *[f"p_{c}" for c in S.SCORE_CLASSES], "p_label"]
+    for buffer in (4096, 50):
+        monkeypatch.setattr(S, "BUFFER_ROWS", buffer)
+        out = S.ModelScorer(model, batch_size=None, token_budget=600).score(df, "text", prefix="p_")
+        assert out.select(cols).exceptAll(plain.select(cols)).count() == 0 and out.count() == 901
+        padded = out.agg(F.avg("p_padded")).first()[0]
+        slots = lambda n: sum(max(len((rows[j][1] or "").split()) for j in range(i, min(i + n, 900))) * n for i in range(0, 900, n))
+        unsorted = 1 - sum(len((t or "").split()) for _, t in rows) / slots(16)
+        assert padded < unsorted / 2
