@@ -65,3 +65,55 @@ def test_every_word_of_a_broad_vocabulary_counts(spark):
     used = {w for i, t in rows if i % 3 == 0 for w in t.split()}
     missed = [w["doc_id"] for w in T.score(alone, model).filter("score < 0.5").collect() if words[w["doc_id"]] in used]
     assert len(used & set(words)) > 300 and missed == []
+
+
+def test_the_gradient_is_the_slope_of_the_noisy_or_loss():
+    import math
+    from types import SimpleNamespace
+
+    import numpy as np
+    docs = [(1, [[0, 2], [1]], 1), (0, [[2]], 0), (1, [], 2), (0, [[0], [1, 2], [0, 1]], 3), (1, [[3]], 0)]  # label, features of sentences, plain sentences
+    w = np.array([0.4, -1.1, 0.7, 1.9, -0.8])  # the bias last
+
+    def loss(w):
+        total = 0.0
+        for label, sentences, plain in docs:
+            clean = math.prod(1 - 1 / (1 + math.exp(-(w[-1] + sum(w[f] for f in s)))) for s in [*sentences, *[[]] * plain])
+            total -= math.log(1 - clean) if label else math.log(clean)
+        return total
+
+    of, s, feature = [], [], []
+    for d, (_, sentences, _) in enumerate(docs):
+        for fs in sentences:
+            s += [len(of)] * len(fs)
+            feature += fs
+            of.append(d)
+    row = tuple(np.array(x, np.int32).tobytes() for x in ([d[0] for d in docs], [d[2] for d in docs], of, s, feature))
+    got = next(T._gradient(SimpleNamespace(value=w))(iter([row])))
+    step = 1e-6
+    for k in range(len(w)):
+        e = np.eye(len(w))[k] * step
+        assert abs(got[k] - (loss(w + e) - loss(w - e)) / (2 * step)) < 1e-5
+
+
+def test_scores_equal_a_plain_noisy_or(spark):
+    import math
+
+    import numpy as np
+    import pyarrow as pa
+
+    from polarity.llm.words import ALNUM, Words, text_buffer
+    texts = ["One bad day. A good one! Bad bad bad?", "", None, "nothing here", "bad\nworse. x", "Good. " * 40 + "bad"]
+    model = T.Model(np.zeros(1 << T.HASH_BITS, dtype=np.float32), -3.0)
+    rng = np.random.default_rng(1)
+    model.weights[rng.integers(0, len(model.weights), len(model.weights) // 2)] = 0.5
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {r["id"]: r["score"] for r in T.score(df, model, carry=["id"]).collect()}
+    for i, t in enumerate(texts):
+        words = Words(*text_buffer(pa.array([t], pa.string())), ALNUM, lower=True)
+        feature, sentence, first = T._features(words)
+        clean = 1.0
+        for s in range(len(first)):
+            x = model.bias + sum(float(model.weights[f]) for f in {int(f) for f, n in zip(feature, sentence) if n == s})
+            clean *= 1 - 1 / (1 + math.exp(-x))
+        assert abs(got[i] - (1 - clean)) < 1e-9
