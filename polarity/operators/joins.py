@@ -30,7 +30,7 @@ def _driver_built(plan) -> bool:
 def first_match_lookup(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
                        order_col: str | None = None) -> DataFrame:
     """Left join keeping every left row once; of duplicate right keys the
-    first one (by ``order_col``, else the key itself) wins.
+    first one wins: by ``order_col``, else by its place in the input.
 
     The de-duplication is a partial aggregation on the right side
     (``min_by``), so a hot key does not gather its rows in one task.
@@ -39,11 +39,9 @@ def first_match_lookup(left: DataFrame, right: DataFrame, left_key: str, right_k
     """
     cols = [c for c in right.columns if c != right_key]
     packed = F.struct(*[F.col(c) for c in cols])
-    if order_col is None:
-        best = F.min(packed)
-    else:
-        best = F.min_by(packed, F.col(order_col))
-    dedup = right.groupBy(right_key).agg(best.alias("_m")).select(right_key, "_m.*")
+    place = F.monotonically_increasing_id() if order_col is None else F.col(order_col)
+    placed = right.select(F.col(right_key), packed.alias("_row"), place.alias("_place"))
+    dedup = placed.groupBy(right_key).agg(F.min_by("_row", "_place").alias("_m")).select(right_key, "_m.*")
     dedup = broadcast_checked(dedup)
     if left_key == right_key:
         return left.join(dedup, on=left_key, how="left")

@@ -198,6 +198,8 @@ def test_first_match_lookup(spark):
     right = spark.createDataFrame([(10, "b", 2), (10, "a", 1), (11, "c", 1)], "uid int, name string, pos int")
     out = {r.eid: r.name for r in first_match_lookup(left, right, "uid", "uid", order_col="pos").collect()}
     assert out == {1: "a", 2: "c", 3: None}
+    out = {r.eid: r.name for r in first_match_lookup(left, right.coalesce(1), "uid", "uid").collect()}
+    assert out == {1: "b", 2: "c", 3: None}
 
 
 def test_a_cluster_session_must_name_a_shared_folder(spark, monkeypatch):
