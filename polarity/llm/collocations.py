@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from polarity.llm.scratch import materialise, scratch_scope, text_bytes
 from polarity.llm.words import U, Words, mix, pieces
 
-CHUNK_WORDS = 1_500_000   # words that a map task counts before it sends them; fewer than 2**21
+CHUNK_WORDS = 1_000_000   # words that a map task counts before it sends them; fewer than 2**21
 BUCKET_WORDS = 2_000_000  # word occurrences that a bucket gets on average
 SAMPLE = 64
 HOT_WORDS = 1_000_000
