@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer, StopWordsRemover
+from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer, SQLTransformer, StopWordsRemover
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,18 +32,19 @@ from polarity.schemas import SCORE_CLASSES, require_columns
 DEFAULT_GRID = ({"regParam": 0.01, "elasticNetParam": 0.0},
                 {"regParam": 0.1, "elasticNetParam": 0.0})
 NUM_FEATURES = 1 << 16
-# Tokens of a text that training reads by default; None reads whole texts.
-TRAIN_TOKENS = 128
 
 
-def feature_stages(num_features: int = NUM_FEATURES, stopwords: Sequence[str] | None = None) -> list:
-    """Tokens of the cleaned text -> stop words -> hashed counts -> IDF."""
+def feature_stages(num_features: int = NUM_FEATURES, stopwords: Sequence[str] | None = None, max_tokens: int | None = None) -> list:
+    """Tokens of the cleaned text -> stop words -> hashed counts -> IDF. With
+    ``max_tokens`` a stage of the model keeps the first tokens (T15), so that
+    training and prediction read the same part of a text."""
     tok = RegexTokenizer(inputCol="_clean", outputCol="_tok", pattern=" ", gaps=True, minTokenLength=1)
-    stop = StopWordsRemover(inputCol="_tok", outputCol="_words",
+    cut = [SQLTransformer(statement=f"SELECT *, slice(_tok, 1, {int(max_tokens)}) AS _cut FROM __THIS__")] if max_tokens else []
+    stop = StopWordsRemover(inputCol="_cut" if cut else "_tok", outputCol="_words",
                             stopWords=list(resources.english_stopwords() if stopwords is None else stopwords))
     tf = HashingTF(inputCol="_words", outputCol="_tf", numFeatures=num_features)
     idf = IDF(inputCol="_tf", outputCol="_features")
-    return [tok, stop, tf, idf]
+    return [tok, *cut, stop, tf, idf]
 
 
 def classifier(label_col: str = "label", max_iter: int = 50, **params) -> LogisticRegression:
@@ -75,23 +76,24 @@ class TrainResult:
 
 def train_classifier(df: DataFrame, text_col: str, label_col: str, id_col: str,
                      grid: Sequence[dict] = DEFAULT_GRID, test_frac: float = 0.2, seed: int = 42,
-                     max_tokens: int | None = TRAIN_TOKENS, max_iter: int = 50,
+                     max_tokens: int | None = None, max_iter: int = 50,
                      num_features: int = NUM_FEATURES) -> TrainResult:
     """M6: fit one pipeline per grid point on the train split, keep the one
     with the best weighted F1 on the validation split.
 
     The features are fitted and kept once for all grid points. Only the
-    metric rows (one per grid point) reach the driver.
+    metric rows (one per grid point) reach the driver. Whole texts are read
+    unless ``max_tokens`` is given, which the model then keeps.
     """
     require_columns(df, [text_col, label_col, id_col])
     data = df.select(id_col, text_col, F.col(label_col).cast("int").alias(label_col))
     # the split counts ids and labels, and marks the rows with a comparison
     split = stratified_split(data, label_col, id_col, test_frac, seed)
-    train = with_clean_text(split.filter(F.col("split") == "train"), text_col, max_tokens)
-    val = with_clean_text(split.filter(F.col("split") == "val"), text_col, max_tokens)
+    train = with_clean_text(split.filter(F.col("split") == "train"), text_col)
+    val = with_clean_text(split.filter(F.col("split") == "val"), text_col)
     # the features do not depend on the grid: fit them once, keep the
     # vectors of both parts while the classifiers are fitted, then release
-    feats = Pipeline(stages=feature_stages(num_features)).fit(train)
+    feats = Pipeline(stages=feature_stages(num_features, max_tokens=max_tokens)).fit(train)
     train_f = feats.transform(train).select(id_col, label_col, "_features").persist(StorageLevel.MEMORY_AND_DISK)
     val_f = feats.transform(val).select(id_col, label_col, "_features").persist(StorageLevel.MEMORY_AND_DISK)
     best = None

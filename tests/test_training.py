@@ -43,3 +43,14 @@ def test_train_predict_save_load(spark, train_df, tmp_dir):
     again = scorer.score(train_df, "text")
     cols = ["id", "sentiment_positive", "sentiment_negative", "sentiment_label"]
     assert again.select(cols).exceptAll(pred.select(cols)).count() == 0
+
+
+def test_the_model_keeps_how_much_of_a_text_it_reads(spark, train_df, tmp_dir):
+    res = TR.train_classifier(train_df, "text", "label", "id", grid=({"regParam": 0.01},), max_iter=10, num_features=1 << 10, max_tokens=4)
+    TR.save_model(res.model, os.path.join(tmp_dir, "cut"))
+    labels = ["negative", "neutral", "positive"]
+    model = TR.load_model(os.path.join(tmp_dir, "cut"))
+    longer = train_df.withColumn("text", F.concat("text", F.lit(" weak weak losses decline gloomy")))
+    cols = ["id", "sentiment_positive", "sentiment_label"]
+    a, b = (TR.predict(model, d, "text", labels).select(cols) for d in (train_df, longer))
+    assert a.exceptAll(b).count() == 0
