@@ -58,7 +58,7 @@ def ordered_turns(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "tur
                      F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter("conv IS NOT NULL")
     # ranges are cut by short keys; among rows that these tell not apart only whole texts may be dealt to several ranges
     start = [F.substring(c, 1, 32) for c in ("role", "text")]
-    tie = F.when((F.length("role") <= 32) & (F.length("text") <= 32), F.monotonically_increasing_id()).otherwise(0)
+    tie = F.when((F.length("role") <= 32) & (F.length("text") <= 32), F.monotonically_increasing_id()).otherwise((1 << 63) - 1)  # a longer text comes after its start
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.withColumns({"role_start": start[0], "text_start": start[1], "tie": tie})
     rows = rows.repartitionByRange(parts, "conv", "turn", "role_start", "text_start", "tie").withColumn("part", F.spark_partition_id())

@@ -83,3 +83,9 @@ def test_copies_long_conversations_and_empty_table(spark):
     got = trie(spark, rows)
     assert got == brute(rows)
     assert trie(spark, []) == []
+
+
+def test_texts_that_begin_alike_keep_their_order_over_ranges(spark):
+    start = "s" * 32
+    rows = [(1, 1, "user", start + "x" * (k % 3)) for k in range(60)] + [(1, 1, "u" * (32 + k % 2), start[:30 + k % 5]) for k in range(40)]
+    assert trie(spark, rows) == brute(rows)
