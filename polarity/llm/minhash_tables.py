@@ -166,8 +166,8 @@ def _shingle_rows(n: int):
 def _rest(mixed: DataFrame, texts: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(sure links, pairs to confirm) among the holders (key, rep, g) of mixed
     keys, which are compared by their difference to what most holders of the keys
-    of one centre have, so that a large group of near copies never forms its pairs."""
-    centre = materialise(mixed.groupBy("key").agg(F.min("rep").alias("p")))
+    of one smallest group have, so that a large group of near copies never forms its pairs."""
+    centre = materialise(mixed.groupBy("key").agg(F.min("g").alias("p")))
     members = materialise(mixed.join(centre, "key").select("p", "rep", "g").distinct())
     sets = members.select("rep", "g").distinct().join(texts, "rep").select("rep", "g", "text").mapInArrow(_shingle_rows(n), "rep long, g long, shared array<long>")
     return _delta_join(members, materialise(sets.select("rep", F.size("shared").alias("n"), "shared")), percent)
@@ -189,14 +189,18 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         held = materialise(table_keys(sets, collections))
         wanted = held.select("rep").distinct().join(sets.select("rep", "id", "text_hash"), "rep")
         texts = materialise(source.join(wanted, ["id", "text_hash"]).groupBy("rep").agg(F.first("text").alias("text")))
-        links = materialise(confirmed(_star(held.withColumn("g", F.col("rep")), 1), texts, n, percent))
-        group = connected_components(links)
-        mixed = _mixed(held, group)
-        links = materialise(links.union(confirmed(_star(mixed, 2), texts, n, percent)))
-        group = connected_components(links)
-        mixed = _mixed(mixed, group)
-        sure, met = _rest(mixed, texts, n, percent)
-        links = materialise(links.union(sure).union(confirmed(met, texts, n, percent)))
+        # each step keeps its result only; its own tables and shuffles go
+        with scratch_scope(spark) as step:
+            links = step(materialise(confirmed(_star(held.withColumn("g", F.col("rep")), 1), texts, n, percent)))
+        with scratch_scope(spark) as step:
+            mixed = step(_mixed(held, connected_components(links)))
+        with scratch_scope(spark) as step:
+            links = step(materialise(links.union(confirmed(_star(mixed, 2), texts, n, percent))))
+        with scratch_scope(spark) as step:
+            mixed = step(_mixed(mixed, connected_components(links)))
+        with scratch_scope(spark) as step:
+            sure, met = _rest(mixed, texts, n, percent)
+            links = step(materialise(links.union(sure).union(confirmed(met, texts, n, percent))))
         member = materialise(some.select("id", *key).distinct().join(sets.select("rep", *key), key).select("id", "rep"))
         several = member.groupBy("id").agg(F.min("rep").alias("b"), F.max("rep").alias("y")).filter("b != y").select("id", "b")
         several = member.join(several, "id").select(F.col("rep").alias("a"), "b").filter("a != b")  # sets of one id
