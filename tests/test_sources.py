@@ -213,3 +213,15 @@ def test_a_cluster_session_must_name_a_shared_folder(spark, monkeypatch):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         session.ensure_checkpoint_dir(Session)
+
+
+def test_pages_are_parsed_slab_by_slab(spark):
+    """The pages of a batch are Python strings a slab at a time."""
+    import pyarrow as pa
+    from polarity.sources import pages
+    html = [f"<article>{i} " + "x" * 5000 + "</article>" for i in range(400)] + [None, ""]
+    taken = [len(x) for x in pages._slabs([pa.array(html), pa.array([None, None])])]
+    assert sum(taken) == 404 and max(taken[:-1]) <= 60
+    rows = spark.createDataFrame([(i, "http://a.b/c", h) for i, h in enumerate(html)], "page_id long, url string, html string").coalesce(1)
+    got = {r.page_id: (r.text, r.error) for r in pages.parse_pages(rows).collect()}
+    assert got == {i: (None, "missing html") if h is None else (pages.extract(h)[1], None) for i, h in enumerate(html)}
