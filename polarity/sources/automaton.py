@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 from polarity.functions.word_runs import code_points, letters_and_digits, slabs, word_bounds, word_hashes
 
 AUTOMATON_BYTES = 64 << 20  # text of terms that go into one automaton
+SLAB_BYTES = 1 << 18        # text that is searched at once
 
 
 @dataclass
@@ -126,7 +127,7 @@ def find(a: Automaton, hashes: np.ndarray, row: np.ndarray) -> tuple[np.ndarray,
 def _search(shared, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton, companies, edges = shared.value
-        for rows in slabs(batches, "_text"):
+        for rows in slabs(batches, "_text", SLAB_BYTES):
             points, at = code_points(rows.column("_text"))
             start, end, row = word_bounds(points, at, letters_and_digits())
             row, term = find(automaton, word_hashes(points, start, end), row)

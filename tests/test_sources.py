@@ -225,3 +225,21 @@ def test_pages_are_parsed_slab_by_slab(spark):
     rows = spark.createDataFrame([(i, "http://a.b/c", h) for i, h in enumerate(html)], "page_id long, url string, html string").coalesce(1)
     got = {r.page_id: (r.text, r.error) for r in pages.parse_pages(rows).collect()}
     assert got == {i: (None, "missing html") if h is None else (pages.extract(h)[1], None) for i, h in enumerate(html)}
+
+
+def test_texts_are_searched_slab_by_slab(monkeypatch):
+    """The texts of a batch become wide arrays a slab at a time."""
+    import numpy as np
+    import pyarrow as pa
+    from polarity.sources import automaton
+
+    class Shared:
+        value = automaton._numbered([("Acme", "acme corp")])[0]
+
+    seen, real = [], automaton.word_bounds
+    monkeypatch.setattr(automaton, "word_bounds", lambda points, *more: seen.append(len(points)) or real(points, *more))
+    texts = pa.array([f"{i} Acme Corp ".lower() + "word " * 1000 for i in range(400)])
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(400)), texts], names=["c0", "_text"])
+    found = [r for b in automaton._search(Shared, ["c0"])([batch]) for r in b.to_pylist()]
+    assert found == [{"c0": i, "_found": [0]} for i in range(400)]
+    assert max(seen) <= 300_000
