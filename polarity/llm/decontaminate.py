@@ -30,6 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from polarity.llm.scratch import lean
 from polarity.llm.words import ALNUM, U, Words, grams, inside_rows, leftmost_min, mix, pieces
 
 N = 10
@@ -120,7 +121,7 @@ _NAMES = ["id", "key", "number", "n_words", "kind", "print", "place", "words"]
 def benchmark_prints(items: DataFrame, item_col: str = "item_id", text_col: str = "text", n: int = N, k: int = K) -> DataFrame:
     """Kept fingerprints of the items with the words around them."""
     return (items.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(text_col).alias("text"))
-            .mapInArrow(_item_prints(n, k), "kind int, print long, item string, item_words array<long>"))
+            .mapInArrow(lean(_item_prints(n, k)), "kind int, print long, item string, item_words array<long>"))
 
 
 def _filter_bits(prints: DataFrame, size: int) -> bytes:
@@ -145,7 +146,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     lengths = sorted(r[0] for r in prints.filter(F.col("kind") < n).select("kind").distinct().collect())
     bits = spark.sparkContext.broadcast(_filter_bits(prints, FILTER_BITS))
     found = docs.select(F.col(id_col).cast("long").alias("id"), F.hash(text_col).alias("key"), F.col(text_col).alias("text")).mapInArrow(
-        _document_prints(n, k, lengths, bits, FILTER_BITS), "id long, key int, number long, n_words long, kind int, print long, place int, words array<long>")
+        lean(_document_prints(n, k, lengths, bits, FILTER_BITS)), "id long, key int, number long, n_words long, kind int, print long, place int, words array<long>")
     sides = prints.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     hits = found.withColumn("salt", F.pmod("number", F.lit(SALTS)).cast("int")).join(sides, ["kind", "print", "salt"], "left")
     same = f"i -> words[i] = item_words[i] AND words[i] != 0"

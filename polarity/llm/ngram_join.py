@@ -40,12 +40,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from polarity.llm.components import connected_components
-from polarity.llm.scratch import materialise, text_bytes
+from polarity.llm.scratch import lean, lean_group, materialise, text_bytes
 from polarity.llm.words import NOT_BLANK, U, A, Words, grams, inside_rows, mix, pieces
 
 SHINGLE = 5
 NO_ID = -(1 << 63)
 CHUNK_SHINGLES = 1_000_000
+PIECE = 1 << 17              # text bytes that are hashed at once
 CHUNK_ROWS = 60_000          # row places of a chunk fit 16 bits
 BUCKET_SHINGLES = 1_500_000  # that a bucket counts on average
 LONGEST = 8                  # largest l a row may choose
@@ -97,10 +98,12 @@ def _send(bits: int, n: int):
 
     def emit(chunk, name):
         ids, sizes, digests, tokens = (np.concatenate(c) for c in zip(*chunk))
+        chunk.clear()
         row = np.repeat(np.arange(len(ids), dtype=np.uint16), sizes)
         tokens = tokens & U((1 << (48 + bits)) - 1)
         order = np.argsort(tokens, kind="stable")
         tokens, row = tokens[order], row[order]
+        del order
         begin = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if len(tokens) else np.zeros(0, np.int64)
         count = np.diff(np.append(begin, len(tokens)))
         several = count > 1
@@ -109,8 +112,10 @@ def _send(bits: int, n: int):
                 "many_rows": row[np.repeat(several, count)] if len(begin) else row}
         rows = [(name % (1 << bits), name, None, None, None, None, _zip(pickle.dumps(head)))]
         single, where = tokens[begin[~several]], row[begin[~several]]
+        del head, tokens, row, begin, count, several
         order = np.lexsort((where, single & mask))
         single, where = single[order], where[order]
+        del order
         many_order = np.argsort(many & mask, kind="stable")
         many, many_count = many[many_order], many_count[many_order]
         edges = np.arange((1 << bits) + 1, dtype=np.uint64)
@@ -129,7 +134,7 @@ def _send(bits: int, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name = TaskContext.get().partitionId() << 32
         chunk, held, docs = [], 0, 0
-        for rows, buf, offsets in pieces(batches, "text"):
+        for rows, buf, offsets in pieces(batches, "text", PIECE):
             for at in range(0, rows.num_rows, CHUNK_ROWS):
                 part = rows.slice(at, CHUNK_ROWS)
                 o = offsets[at:at + part.num_rows + 1]
@@ -252,9 +257,9 @@ def shingle_sets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     buckets = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), text_bytes(df, text_col) // 6 // BUCKET_SHINGLES, 1)
     bits = (buckets - 1).bit_length()
     rows = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).alias("text"))
-    sent = rows.mapInArrow(_send(bits, n), "bucket int, chunk long, single binary, rows binary, many binary, counts binary, head binary")
-    back = sent.groupBy("bucket").applyInArrow(_count(bits), "chunk long, tokens binary, rows binary, counts binary, head binary")
-    return back.groupBy("chunk").applyInArrow(_prefixes(percent), _SETS)
+    sent = rows.mapInArrow(lean(_send(bits, n)), "bucket int, chunk long, single binary, rows binary, many binary, counts binary, head binary")
+    back = sent.groupBy("bucket").applyInArrow(lean_group(_count(bits)), "chunk long, tokens binary, rows binary, counts binary, head binary")
+    return back.groupBy("chunk").applyInArrow(lean_group(_prefixes(percent)), _SETS)
 
 
 def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:

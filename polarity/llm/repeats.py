@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from polarity.llm.scratch import materialise, scratch_scope, text_bytes
+from polarity.llm.scratch import lean, lean_group, materialise, scratch_scope, text_bytes
 from polarity.llm.words import NOT_BLANK, U, A, B, Words, grams, inside_rows, leftmost_min, mix, pieces
 
 WINDOW = 35
@@ -269,7 +269,7 @@ def _digests(text: str) -> list[F.Column]:
 def _hot(df: DataFrame, text_col: str, window: int, mer: int) -> np.ndarray:
     """Minimisers of many strings, estimated from every so many-th string; MOST_HOT of them at most."""
     every = max(1, HOT_STRINGS // 64)
-    counts = df.select(F.col(text_col).alias("text")).mapInArrow(_many(window, mer, every), "minimiser long, n long").groupBy("minimiser").agg(F.sum("n").alias("n"))
+    counts = df.select(F.col(text_col).alias("text")).mapInArrow(lean(_many(window, mer, every)), "minimiser long, n long").groupBy("minimiser").agg(F.sum("n").alias("n"))
     counts = materialise(counts)
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     least = max(HOT_STRINGS // every, total // MOST_HOT)
@@ -280,7 +280,7 @@ def _sent(df: DataFrame, text_col: str, window: int, mer: int, buckets: int) ->
     """Packed super-k-mers and, of hot minimisers, windows, with their buckets."""
     with scratch_scope(df.sparkSession):
         hot = df.sparkSession.sparkContext.broadcast(_hot(df, text_col, window, mer))
-    return df.select(F.col(text_col).alias("text"), *_digests(text_col)).mapInArrow(_send(window, mer, buckets, hot), _PACKED)
+    return df.select(F.col(text_col).alias("text"), *_digests(text_col)).mapInArrow(lean(_send(window, mer, buckets, hot)), _PACKED)
 
 
 def repeated_spans(df: DataFrame, text_col: str = "text", window: int = WINDOW, mer: int = MER) -> DataFrame:
@@ -290,7 +290,7 @@ def repeated_spans(df: DataFrame, text_col: str = "text", window: int = WINDOW,
         raise ValueError("mer must be between 1 and window")
     spark = df.sparkSession
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-3 * text_bytes(df, text_col) // BUCKET_BYTES))
-    found = _sent(df, text_col, window, mer, buckets).groupBy("bucket").applyInArrow(_count(window), _SPANS)
+    found = _sent(df, text_col, window, mer, buckets).groupBy("bucket").applyInArrow(lean_group(_count(window)), _SPANS)
     spans = F.sort_array(F.collect_list(F.when(F.col("first").isNotNull(), F.struct("first", "last"))))
     of_rows = found.groupBy("chunk", "row").agg(spans.alias("spans"), F.max("digest_a").alias("digest_a"), F.max("digest_b").alias("digest_b"))
     # rows of one text have the same spans
@@ -327,5 +327,5 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     left = df.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(carry)), F.col(text_col).alias("__text"), *_digests(text_col))
     rows = left.join(spans.withColumnRenamed("spans", "__spans"), ["digest_a", "digest_b"], "left").drop("digest_a", "digest_b")
     kinds = ", ".join(f"c{i} {df.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))
-    done = rows.mapInArrow(_cut, f"{kinds}{', ' if kinds else ''}n_words long, n_removed long, kept string")
+    done = rows.mapInArrow(lean(_cut), f"{kinds}{', ' if kinds else ''}n_words long, n_removed long, kept string")
     return done.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(carry)), "n_words", "n_removed", "kept")

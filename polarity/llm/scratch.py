@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 from threading import local
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,6 +82,34 @@ def scratch_scope(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFra
         spark.sparkContext._jvm.System.gc()
 
 
+def give_back() -> None:
+    """Hand the machine what this worker's allocators hold free: a worker stays for later tasks."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over a task's Arrow batches, which gives memory back when the task ends."""
+    def task(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return task
+
+
+def lean_group(run: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """``run`` on a group's table, which gives memory back when the group is done."""
+    def group(table: pa.Table) -> pa.Table:
+        out = run(table)
+        give_back()
+        return out
+
+    return group
+
+
 def numbered(df: DataFrame, name: str) -> DataFrame:
     """``df`` with a number of its own for each row, the same in every job. The
     rows of a table as it is read are told by their place in their file, so they

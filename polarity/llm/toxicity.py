@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from polarity.llm.scratch import materialise
+from polarity.llm.scratch import lean, materialise
 from polarity.llm.words import ALNUM, U, A, Words, mix, pieces
 
 SAMPLE = 24_000      # labelled documents at most
@@ -40,6 +40,7 @@ SIGNIFICANT = 3.0    # standard errors between the classes' shares of documents
 FEATURES = 4096      # the strongest ones, which are kept in any case
 STEPS = 300
 RATE = 0.1
+PIECE = 1 << 17      # text bytes that are counted or scored at once
 TASKS = 16           # of a gradient step, at most
 DECAY = 0.1          # L2 weight, against the summed loss
 PREFIXES = (3, 4, 5, 6)
@@ -70,7 +71,7 @@ def _features(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros((2, 1 << HASH_BITS), dtype=np.int64)
-    for rows, buf, offsets in pieces(batches, "text"):
+    for rows, buf, offsets in pieces(batches, "text", PIECE):
         words = Words(buf, offsets, ALNUM, lower=True)
         feature, sentence, first = _features(words)
         row = np.searchsorted(words.first, first, side="right") - 1
@@ -165,13 +166,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return empty
     a, b = F.col("toxic") / size[1], F.col("clean") / size[0]
     p = (F.col("toxic") + F.col("clean") + 1) / (size[0] + size[1] + 2)
-    counts = texts.mapInArrow(_class_counts, "feature long, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counts = texts.mapInArrow(lean(_class_counts), "feature long, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     strength = F.abs(a - b) / F.sqrt(p * (1 - p) * (1 / size[0] + 1 / size[1]))
     ranked = materialise(counts.select("feature", strength.alias("strength"), (F.col("clean") + F.col("toxic")).alias("support")))
     most = max(FEATURES, ranked.filter((F.col("support") >= SUPPORT) & (F.col("strength") >= SIGNIFICANT)).count())
     order = [F.desc((F.col("support") >= SUPPORT) & (F.col("strength") >= SIGNIFICANT)), F.desc("strength"), "feature"]
     kept = ranked.orderBy(*order).limit(most).select("feature").toArrow().column(0).to_numpy()  # 8 MB at most
-    found = materialise(texts.mapInArrow(_occurrences(kept), ", ".join(f"{c} binary" for c in _OCCURRENCES)))
+    found = materialise(texts.mapInArrow(lean(_occurrences(kept)), ", ".join(f"{c} binary" for c in _OCCURRENCES)))
     w, bias = _fit(found, size[0] + size[1], len(kept))
     empty.weights[kept] = w
     return Model(empty.weights, bias)
@@ -184,7 +185,7 @@ def _score(shared, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         known = model.weights != 0
-        for rows, buf, offsets in pieces(batches, "__text"):
+        for rows, buf, offsets in pieces(batches, "__text", PIECE):
             words = Words(buf, offsets, ALNUM, lower=True)
             feature, sentence, first = _features(words)
             hit = known[feature]
@@ -213,7 +214,7 @@ def score(df: DataFrame, model: Model, text_col: str = "text", carry: list[str]
     names = [f"c{i}" for i in range(len(carry))]
     rows = df.select(*(F.col(c).alias(n) for c, n in zip(carry, names)), F.col(text_col).alias("__text"))
     kinds = "".join(f"{n} {df.schema[c].dataType.simpleString()}, " for n, c in zip(names, carry))
-    done = rows.mapInArrow(_score(df.sparkSession.sparkContext.broadcast(model), names), kinds + _SCORED)
+    done = rows.mapInArrow(lean(_score(df.sparkSession.sparkContext.broadcast(model), names)), kinds + _SCORED)
     return done.select(*(F.col(n).alias(c) for n, c in zip(names, carry)), "score", "offending")
 
 

@@ -47,3 +47,26 @@ def test_pieces_keep_rows_whole_and_take_slices():
     seen = [(rows.num_rows, buf.tobytes().decode()) for rows, buf, _ in pieces(iter([batch]), "text", 10)]
     assert sum(n for n, _ in seen) == 4
     assert "".join(t for _, t in seen) == "é" * 30 + "z"
+
+
+def test_a_pass_gives_memory_back_when_its_task_ends():
+    """What the allocators of a worker keep free is the machine's again."""
+    import numpy as np
+    import pyarrow as pa
+    from polarity.llm.scratch import lean, lean_group
+
+    def held():
+        return next(int(x.split()[1]) >> 10 for x in open("/proc/self/status") if x.startswith("RssAnon"))
+
+    def run(batches):
+        for n in batches:
+            arrays = [np.ones(1 << 12) for _ in range(n)]  # 32 KB each, from the heap
+            last = np.ones(1 << 10)
+            del arrays
+            yield last
+
+    before = held()
+    out = list(lean(run)(iter([4000, 4000])))
+    assert [x.sum() for x in out] == [1024.0, 1024.0] and held() - before < 40
+    table = pa.table({"a": [1, 2]})
+    assert lean_group(lambda t: t.slice(1))(table).to_pylist() == [{"a": 2}]
