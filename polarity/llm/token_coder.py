@@ -2,21 +2,22 @@
 
 Ids are cut into blocks of ``block`` ids. Every block starts with an empty
 model, has a checksum, and can be decoded by itself; blocks of a group are
-coded side by side, one id of each per step, with numpy.
+coded side by side, one id of each per step, with numpy (its calls cost less
+per id the more blocks there are).
 
 An id is coded as a choice and, if need be, the id itself:
 
 * order 2 predicts the id that last followed the two ids before, order 1 the
   one that last followed the id before (hashed contexts). Each prediction has
   a confidence, the number of times it held in a row.
-* the choice (order 2 right, order 1 right, neither) is mixed from counts that
-  the block keeps for each pair of confidences.
-* otherwise order 0 codes the id by the counts of the block's ids so far
-  (brought up to date after 256, 512, 1024, ... ids), with an escape for ids
-  not seen, which are coded as equally likely.
+* the choice (order 2 right, order 1 right, order 0, an id new to order 0) is mixed
+  from counts that the block keeps for each pair of confidences.
+* order 0 codes the id by the counts of the block's ids so far (brought up to
+  date after 64, 128, 256, ... ids); new ids are coded as equally likely.
 
 The arithmetic is a range coder of 48 bits that emits 16-bit words; carries
-are resolved when a block is finished.
+are resolved when a block is finished. Its numbers stay below 2**53, so they
+are kept as floats, whose quotients, rounded down, are exact here.
 """
 
 from __future__ import annotations
@@ -25,83 +26,60 @@ import zlib
 
 import numpy as np
 
-BLOCK = 2048
-ORDER1_BITS = 12
-ORDER2_BITS = 13
+BLOCK = 1024
+ORDER1_BITS = 9
+ORDER2_BITS = 9
 STATES = 5            # no prediction, or 0 to 3 times right in a row
-FIRST_COUNTS = 256    # ids after which order 0 counts for the first time
-_U = np.uint64
-_TOP, _LOW = _U(1 << 32), _U((1 << 32) - 1)
-_S16, _S32 = _U(16), _U(32)
-
-
-def _context1(p1):
-    return (p1 * 40503 >> 3) & ((1 << ORDER1_BITS) - 1)
-
-
-def _context2(p1, p2):
-    return (p1 * 40503 + p2 * 60493 + (p2 >> 5)) & ((1 << ORDER2_BITS) - 1)
-
-
-def _last_in_context(key: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For positions in coding order: the id at the last position of the same
-    key (-1: none) and the state of that prediction."""
-    order = np.argsort(key, kind="stable")
-    k, v = key[order], ids[order]
-    again = np.zeros(len(k), dtype=bool)
-    again[1:] = k[1:] == k[:-1]
-    guess = np.full(len(k), -1, dtype=np.int64)
-    guess[1:][again[1:]] = v[:-1][again[1:]]
-    at = np.arange(len(k))
-    miss = np.maximum.accumulate(np.where(again & (guess == v), 0, at))  # last place that was not predicted
-    state = np.zeros(len(k), dtype=np.int64)
-    state[1:] = np.where(again[1:], np.minimum(at[:-1] - miss[:-1], STATES - 2) + 1, 0)
-    out, states = np.empty_like(guess), np.empty_like(state)
-    out[order], states[order] = guess, state
-    return out, states
-
-
-def _earlier_counts(key: np.ndarray, choice: np.ndarray) -> np.ndarray:
-    """Per position: 1 + how often each of the three choices was made before under the same key."""
-    order = np.argsort(key, kind="stable")
-    k = key[order]
-    begin = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-    size = np.diff(np.append(begin, len(k)))
-    out = np.empty((len(k), 3), dtype=np.int64)
-    for c in range(3):
-        hit = (choice[order] == c).astype(np.int64)
-        before = np.cumsum(hit) - hit
-        out[order, c] = 1 + before - np.repeat(before[begin], size)
-    return out
-
-
-class Order0:
-    """Counts of the ids of each lane's first ``t`` ids; an escape weighs as many as there are different ids."""
-
-    def __init__(self, ids: np.ndarray, lanes: int):
-        lane = np.repeat(np.arange(lanes, dtype=np.int64), ids.shape[1])
-        self.keys, count = np.unique(lane << 17 | ids.ravel(), return_counts=True)
-        self.upto = np.concatenate([[0], np.cumsum(count)])
-        edge = np.searchsorted(self.keys, np.arange(lanes + 1, dtype=np.int64) << 17)
-        self.base = self.upto[edge[:-1]]
-        self.escape = np.diff(edge)
-        self.total = self.upto[edge[1:]] - self.base + self.escape
-        self.count = count
-
-    def find(self, lane, ids):
-        """(low, width, known) of ids."""
-        key = lane << 17 | ids
-        i = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        known = self.keys[i] == key
-        return (np.where(known, self.escape[lane] + self.upto[i] - self.base[lane], 0), np.where(known, self.count[i], self.escape[lane]), known)
-
-    def at(self, lane, value):
-        """(id or -1 for the escape, low, width) at a cumulative value."""
-        inside = value - self.escape[lane]
-        i = np.searchsorted(self.upto, self.base[lane] + np.maximum(inside, 0), side="right") - 1
-        known = inside >= 0
-        return (np.where(known, self.keys[i] & 0x1FFFF, -1), np.where(known, self.escape[lane] + self.upto[i] - self.base[lane], 0),
-                np.where(known, self.count[i], self.escape[lane]))
+FIRST_COUNTS = 64     # ids after which order 0 counts for the first time
+MOST = 4095           # ids in a block, so that counts fit their fields
+STEP = 3              # weight of a choice that was made, against 1 for each at first
+_TOP, _DOWN, _WORD = 2.0 ** 32, 2.0 ** -32, 2.0 ** 16
+_CELLS = STATES * STATES * 2
+_ONES, _FIELD = 0x0001000100010001, 0xFFFF  # four counts of 16 bits in one integer; times _ONES: their sums
+_ORDER2, _ORDER1, _ORDER0, _NEW = range(4)
+_FRESH = 1 << 30      # marks a new id among the encoder's intervals
+_CHUNK = 16           # blocks whose ids are looked up at once
+_MIX1, _MIX2 = np.uint32(2654435769), np.uint32(65599)
+
+
+class _Model:
+    """The predictions and choice counts of blocks that are coded side by side."""
+
+    def __init__(self, lanes: int, vocabulary: int):
+        lane = np.arange(lanes, dtype=np.uint32)
+        self.base1, self.base2, self.base = lane << ORDER1_BITS, lane << ORDER2_BITS, lane * np.uint32(_CELLS)
+        self.last1, self.last2 = np.zeros(lanes << ORDER1_BITS, np.uint32), np.zeros(lanes << ORDER2_BITS, np.uint32)  # id * 8 + state
+        self.counts = np.full(lanes * _CELLS, _ONES, np.int64)
+        self.mixed = np.full(lanes, vocabulary, np.uint32) * _MIX1
+        self.before = self.mixed * _MIX2
+
+    def keep(self, lanes: int) -> None:
+        """Go on with the first lanes only."""
+        self.base1, self.base2, self.base, self.mixed, self.before = (x[:lanes] for x in (self.base1, self.base2, self.base, self.mixed, self.before))
+
+    def predict(self) -> None:
+        self.at1 = (self.mixed >> (32 - ORDER1_BITS)) + self.base1
+        self.at2 = (self.mixed + self.before >> (32 - ORDER2_BITS)) + self.base2
+        self.guess1, self.guess2 = self.last1.take(self.at1), self.last2.take(self.at2)
+        self.state1, self.state2 = self.guess1 & 7, self.guess2 & 7
+        self.at = (self.state2 * STATES + self.state1) * 2 + ((self.guess1 ^ self.guess2) < 8) + self.base
+        self.count = self.counts.take(self.at)
+        self.sums = self.count * _ONES
+        self.total = (self.sums >> 48).astype(np.float64)
+
+    def interval(self, shift: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(low, width) of the choices, given as 16 times their number."""
+        width = self.count >> shift & _FIELD
+        return ((self.sums >> shift & _FIELD) - width).astype(np.float64), width.astype(np.float64)
+
+    def learn(self, ids: np.ndarray, marked: np.ndarray, right1: np.ndarray, right2: np.ndarray, shift: np.ndarray) -> None:
+        """``marked`` are ids times 8."""
+        self.counts[self.at] = self.count + (STEP << shift)
+        fresh = marked + 1
+        self.last1[self.at1] = fresh + np.minimum(self.state1, STATES - 2) * right1
+        self.last2[self.at2] = fresh + np.minimum(self.state2, STATES - 2) * right2
+        self.before = self.mixed * _MIX2
+        self.mixed = ids * _MIX1
 
 
 def _updates(steps: int) -> list[int]:
@@ -112,86 +90,121 @@ def _updates(steps: int) -> list[int]:
     return out
 
 
-class _Encoder:
-    def __init__(self, lanes: int, steps: int):
-        self.low, self.range = np.zeros(lanes, _U), np.full(lanes, (1 << 48) - 1, _U)
-        self.words, self.n = np.zeros((lanes, 4 * steps + 4), np.uint32), np.zeros(lanes, np.int64)
+def _order0(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted ids of each lane (flat), where the runs of equal ones begin, and the runs' lengths.
+    A run's place in its lane is the low end of its interval."""
+    flat = np.sort(ids, axis=1, kind="stable").ravel()
+    new = np.ones(len(flat), dtype=bool)
+    new[1:] = flat[1:] != flat[:-1]
+    new[::ids.shape[1]] = True
+    begin = np.flatnonzero(new)
+    return flat, begin, np.diff(begin, append=len(flat))
 
-    def put(self, lane, low, width, total):
-        """lane: an index array, or a slice for the first lanes."""
-        part = self.range[lane] // total
-        new_low, new_range = self.low[lane] + part * low, part * width
-        small = new_range < _TOP
-        if small.any():
-            who = np.flatnonzero(small)
-            where = who if isinstance(lane, slice) else lane[who]
-            self.words[where, self.n[where]] = new_low[who] >> _S32
-            self.n[where] += 1
-            new_low[who] = (new_low[who] & _LOW) << _S16
-            new_range[who] <<= _S16
-        self.low[lane], self.range[lane] = new_low, new_range
 
-    def finish(self) -> list[np.ndarray]:
-        lanes = np.arange(len(self.n))
-        for shift in (32, 16, 0):
-            self.words[lanes, self.n] = (self.low >> _U(shift)) & _U(0x1FFFF if shift == 32 else 0xFFFF)
-            self.n += 1
-        carry = np.zeros(len(self.n), np.uint32)
-        for i in range(int(self.n.max(initial=0)) - 1, -1, -1):
-            w = self.words[:, i] + carry
-            self.words[:, i], carry = w & np.uint32(0xFFFF), w >> np.uint32(16)
-        return [self.words[i, :n].astype("<u2") for i, n in enumerate(self.n)]
+def _intervals(grid: np.ndarray) -> np.ndarray:
+    """By (step, lane): low << 12 | width in order 0, or for new ids their own place and ``_FRESH``."""
+    lanes, steps = grid.shape
+    due = _updates(steps)
+    out = np.empty((steps, lanes), np.int32)
+    seen = np.zeros(_CHUNK << 16, np.uint16)  # by (lane, id): where the id's run begins, if it has one
+    for a in range(0, lanes, _CHUNK):
+        part = grid[a:a + _CHUNK]
+        lane = np.arange(len(part))[:, None]
+        out[:FIRST_COUNTS, a:a + _CHUNK] = (part[:, :FIRST_COUNTS].astype(np.int32) << 12 | 1 | _FRESH).T
+        for t, to in zip(due, [*due[1:], steps]):
+            flat, begin, width = _order0(part[:, :t])
+            seen[(begin // t << 16) + flat[begin]] = begin % t
+            want = part[:, t:to]
+            low = np.minimum(seen.take((lane << 16) + want), t - 1)
+            at = low + lane * t
+            widths = np.ones(len(flat), np.int32)
+            widths[begin] = width
+            out[t:to, a:a + _CHUNK] = np.where(flat.take(at) == want, low.astype(np.int32) << 12 | widths.take(at), want.astype(np.int32) << 12 | 1 | _FRESH).T
+    return out
 
 
 def _lanes(ids: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids as (lane, step), and the length of each lane; only the last may be short."""
     n = -(-len(ids) // block)
-    grid = np.zeros(n * block, np.int64)
+    grid = np.zeros(n * block, np.uint16)
     grid[:len(ids)] = ids
     length = np.full(n, block)
     length[-1:] = len(ids) - (n - 1) * block
     return grid.reshape(n, block)[:, :length.max(initial=0)], length
 
 
+def _finish(words: np.ndarray, place: np.ndarray, low: np.ndarray) -> list[bytes]:
+    """The words of each lane, with its last three and all carries; ``words`` is flat, by (word, lane)."""
+    lanes = len(low)
+    for scale in (_DOWN, 1 / _WORD, 1.0):
+        word = np.floor(low * scale)
+        words[place] = word.astype(np.uint32)
+        low = low - word / scale
+        place = place + lanes
+    size = place // lanes
+    words = words.reshape(-1, lanes)[:size.max()]
+    carry = np.zeros(lanes, np.uint32)
+    for i in range(len(words) - 1, -1, -1):
+        words[i] += carry
+        carry = words[i] >> 16
+    return [w[:n].tobytes() for w, n in zip(np.ascontiguousarray(words.astype("<u2").T), size.tolist())]
+
+
 def encode(ids: np.ndarray, vocabulary: int, block: int = BLOCK) -> list[tuple[int, int, bytes]]:
     """(number of ids, checksum of them as little-endian 32-bit integers, words) of each block."""
+    if block > MOST:
+        raise ValueError(f"blocks have at most {MOST} ids")
     if not len(ids):
         return []
-    grid, length = _lanes(np.asarray(ids, np.int64), block)
+    grid, length = _lanes(ids, block)
     lanes, steps = grid.shape
-    before = np.full((lanes, steps + 2), vocabulary, np.int64)
-    before[:, 2:] = grid
-    p1, p2 = before[:, 1:-1], before[:, :-2]
-    lane = np.arange(lanes, dtype=np.int64)[:, None]
-    flat = grid.ravel()
-    guess2, state2 = _last_in_context((lane << ORDER2_BITS | _context2(p1, p2)).ravel(), flat)
-    guess1, state1 = _last_in_context((lane << ORDER1_BITS | _context1(p1)).ravel(), flat)
-    choice = np.where(guess2 == flat, 2, np.where(guess1 == flat, 1, 0))
-    key = (lane * (STATES * STATES * 2) + ((state2 * STATES + state1) * 2 + (guess1 == guess2)).reshape(lanes, steps)).ravel()
-    n = _earlier_counts(key, choice)
-    low = np.where(choice == 0, 0, np.where(choice == 1, n[:, 0], n[:, 0] + n[:, 1]))
-    turn = lambda x: np.ascontiguousarray(x.reshape(lanes, steps).T).astype(_U)
-    low, width, total = turn(low), turn(np.take_along_axis(n, choice[:, None], 1)[:, 0]), turn(n.sum(axis=1))
-    choice = np.ascontiguousarray(choice.reshape(lanes, steps).T)
-    out = _Encoder(lanes, steps)
-    order0, due = None, _updates(steps)
+    intervals, turned = _intervals(grid), np.ascontiguousarray(grid.T)
+    model, totals = _Model(lanes, vocabulary), np.array([1.0, 1.0, 1.0, vocabulary])
+    low, range_, place = np.zeros(lanes), np.full(lanes, 2.0 ** 48 - 1), np.arange(lanes)
+    words = np.zeros((2 * steps + 8) * lanes, np.uint32)
+    short = []
     for t in range(steps):
-        if due and t == due[0]:
-            order0 = Order0(grid[:, :t] if length[-1] >= t else np.where(np.arange(t) < length[:, None], grid[:, :t], grid[:, :1]), lanes)
-            due.pop(0)
-        active = lanes if t < length[-1] else lanes - 1
-        out.put(slice(0, active), low[t, :active], width[t, :active], total[t, :active])
-        rest = np.flatnonzero(choice[t, :active] == 0)
-        if len(rest) and order0 is not None:
-            a, b, known = order0.find(rest, grid[rest, t])
-            out.put(rest, a.astype(_U), b.astype(_U), order0.total[rest].astype(_U))
-            rest = rest[~known]
-        if len(rest):
-            out.put(rest, grid[rest, t].astype(_U), _U(1), _U(vocabulary))
-    words = out.finish()
-    return [(int(m), zlib.crc32(grid[i, :m].astype("<u4").tobytes()), w.tobytes()) for i, (m, w) in enumerate(zip(length, words))]
-
-
+        if t == length[-1]:
+            short = [(low[-1:], place[-1:])]
+            low, range_, place = low[:-1], range_[:-1].copy(), place[:-1].copy()
+            model.keep(lanes - 1)
+        if t >= FIRST_COUNTS and t & (t - 1) == 0:
+            totals[_ORDER0] = t
+        k = len(low)
+        id_ = turned[t, :k].astype(np.uint32)
+        marked = id_ << 3
+        model.predict()
+        right1, right2 = (model.guess1 ^ marked) < 8, (model.guess2 ^ marked) < 8
+        missed = ~(right1 | right2)
+        own = np.where(missed, intervals[t, :k], 1)
+        choice = (right1 > right2).view(np.uint8) + missed.view(np.uint8) * 2 + (own >= _FRESH)
+        shift = choice.astype(np.int64) << 4
+        a, b = model.interval(shift)
+        part = np.floor(range_ / model.total)
+        low = low + part * a
+        part = np.floor(part * b / totals.take(choice))
+        low += part * (own >> 12 & 0xFFFF).astype(np.float64)
+        range_ = part * (own & 0xFFF).astype(np.float64)
+        model.learn(id_, marked, right1, right2, shift)
+        small = range_ < _TOP
+        word = np.floor(low * _DOWN)
+        words[place] = word.astype(np.uint32)
+        up = small * (_WORD - 1) + 1
+        low = (low - word * _TOP * small) * up
+        range_ *= up
+        place = place + small * np.int64(lanes)
+        who = np.flatnonzero(range_ < _TOP)
+        if len(who):
+            word = np.floor(low[who] * _DOWN)
+            words[place[who]] = word.astype(np.uint32)
+            low[who] = (low[who] - word * _TOP) * _WORD
+            range_[who] *= _WORD
+            place[who] += lanes
+    coded = _finish(words, *(np.concatenate(x) for x in zip((place, low), *((p, x) for x, p in short))))
+    return [(int(m), zlib.crc32(grid[i, :m].astype("<u4").tobytes()), w) for i, (m, w) in enumerate(zip(length, coded))]
+
+
+@np.errstate(all="ignore")  # a damaged block may lead anywhere before its checksum is seen
 def decode(blocks: list[tuple[int, int, bytes]], vocabulary: int) -> np.ndarray:
     """Ids of blocks that were encoded together or apart (longest first); raises on a wrong checksum."""
     if not blocks:
@@ -200,77 +213,64 @@ def decode(blocks: list[tuple[int, int, bytes]], vocabulary: int) -> np.ndarray:
     if (np.diff(length) > 0).any():
         raise ValueError("a block is longer than the one before")
     lanes, steps = len(blocks), int(length.max())
-    sizes = np.array([len(b[2]) // 2 for b in blocks])
-    words = np.zeros((lanes, sizes.max() + 1), _U)
+    longer = np.searchsorted(-length, -np.arange(steps), side="left").tolist()  # lanes longer than a step
+    sizes = [len(b[2]) // 2 for b in blocks]
+    words = np.zeros((lanes, max(*sizes, 3) + 1), np.uint16)  # a damaged block may read past its end
     for i, b in enumerate(blocks):
         words[i, :sizes[i]] = np.frombuffer(b[2], "<u2")
-    n = np.full(lanes, 3)
-    code = words[:, 0] << _S32 | words[:, 1] << _S16 | words[:, 2]
-    range_ = np.full(lanes, (1 << 48) - 1, _U)
-    last = sizes  # reading past the end of a damaged block yields zeros
-
-    def settle(lane, part, low, width):
-        c, r = code[lane] - part * low, part * width
-        small = r < _TOP
-        if small.any():
-            who = np.flatnonzero(small)
-            where = who if isinstance(lane, slice) else lane[who]
-            c[who] = c[who] << _S16 | words[where, np.minimum(n[where], last[where])]
-            n[where] += 1
-            r[who] <<= _S16
-        code[lane], range_[lane] = c, r
-
-    grid = np.zeros((lanes, steps), np.int64)
-    base1, base2 = np.arange(lanes) << ORDER1_BITS, np.arange(lanes) << ORDER2_BITS
-    basec = np.arange(lanes) * (STATES * STATES * 2)
-    guess1, state1 = np.full(lanes << ORDER1_BITS, -1, np.int32), np.zeros(lanes << ORDER1_BITS, np.int8)
-    guess2, state2 = np.full(lanes << ORDER2_BITS, -1, np.int32), np.zeros(lanes << ORDER2_BITS, np.int8)
-    counts = np.ones((lanes * STATES * STATES * 2, 3), np.int64)
-    p1, p2 = np.full(lanes, vocabulary, np.int64), np.full(lanes, vocabulary, np.int64)
-    order0, due = None, _updates(steps)
-    one, whole = _U(1), _U(vocabulary)
+    place = np.arange(lanes) * words.shape[1]
+    words = words.ravel()
+    code = words.take(place) * _TOP + words.take(place + 1) * _WORD + words.take(place + 2)
+    place += 3
+    range_ = np.full(lanes, 2.0 ** 48 - 1)
+    model, totals = _Model(lanes, vocabulary), np.array([1.0, 1.0, 1.0, vocabulary])
+    grid = np.zeros((steps, lanes), np.uint16)
+    order0, base0, last0 = np.zeros(lanes, np.int64), np.arange(lanes), 0
     for t in range(steps):
-        if due and t == due[0]:
-            order0 = Order0(np.where(np.arange(t) < length[:, None], grid[:, :t], grid[:, :1]), lanes)
-            due.pop(0)
-        k = int(np.searchsorted(-length, -t, side="left"))  # lanes longer than t
-        if k < len(p1):
-            p1, p2 = p1[:k], p2[:k]
-        i1, i2 = base1[:k] + _context1(p1), base2[:k] + _context2(p1, p2)
-        g1, g2 = guess1[i1], guess2[i2]
-        s1, s2 = state1[i1], state2[i2]
-        c = basec[:k] + (s2.astype(np.int64) * STATES + s1) * 2 + (g1 == g2)
-        m = counts[c]
-        a, b = m[:, 0], m[:, 0] + m[:, 1]
-        total = (b + m[:, 2]).astype(_U)
-        part = range_[:k] // total
-        value = np.minimum(code[:k] // part, total - one).astype(np.int64)
-        choice = (value >= a).astype(np.int64) + (value >= b)
-        low = np.where(choice == 0, 0, np.where(choice == 1, a, b))
-        width = m[np.arange(k), choice]
-        settle(slice(0, k), part, low.astype(_U), width.astype(_U))
-        counts[c, choice] += 1
-        ids = np.where(choice == 2, g2, g1).astype(np.int64)
-        rest = np.flatnonzero(choice == 0)
-        if len(rest) and order0 is not None:
-            tot = order0.total[rest].astype(_U)
-            part = range_[rest] // tot
-            value = np.minimum(code[rest] // part, tot - one).astype(np.int64)
-            found, low, width = order0.at(rest, value)
-            settle(rest, part, low.astype(_U), width.astype(_U))
-            ids[rest] = found
-            rest = rest[found < 0]
-        if len(rest):
-            part = range_[rest] // whole
-            value = np.minimum(code[rest] // part, whole - one)
-            settle(rest, part, value, one)
-            ids[rest] = value.astype(np.int64)
-        state1[i1] = np.where((s1 > 0) & (g1 == ids), np.minimum(s1 + 1, STATES - 1), 1)
-        state2[i2] = np.where((s2 > 0) & (g2 == ids), np.minimum(s2 + 1, STATES - 1), 1)
-        guess1[i1], guess2[i2] = ids, ids
-        grid[:k, t] = ids
-        p2, p1 = p1, ids
+        if t >= FIRST_COUNTS and t & (t - 1) == 0:
+            flat, begin, width = _order0(np.ascontiguousarray(grid[:t].T))
+            order0 = np.repeat(flat[begin].astype(np.int64) << 32 | begin % t << 16 | width, width)  # by (lane, value)
+            base0, totals[_ORDER0], last0 = np.arange(lanes) * t, t, t - 1
+        k = longer[t]
+        if k < len(code):
+            code, range_, place = code[:k], range_[:k], place[:k]
+            model.keep(k)
+        model.predict()
+        part = np.floor(range_ / model.total)
+        value = (code / part).astype(np.int64)
+        sums = model.sums
+        choice = (value >= (sums & _FIELD)).view(np.uint8) + (value >= (sums >> 16 & _FIELD)) + (value >= (sums >> 32 & _FIELD))
+        shift = choice.astype(np.int64) << 4
+        a, b = model.interval(shift)
+        code = code - part * a
+        part = np.floor(part * b / totals.take(choice))
+        value = (code / part).astype(np.int64)  # 0 after a prediction
+        marked = np.where(choice == _ORDER2, model.guess2, model.guess1) & 0xFFFFFFF8
+        range_ = part.copy()
+        who = np.flatnonzero(choice == _NEW)
+        marked[who] = value[who] << 3
+        who = np.flatnonzero(choice == _ORDER0)
+        if len(who):
+            found = order0.take(base0[who] + np.clip(value[who], 0, last0))
+            marked[who] = found >> 32 << 3
+            value[who] = found >> 16 & _FIELD
+            range_[who] *= found & _FIELD
+        code -= part * value.astype(np.float64)
+        id_ = marked >> 3
+        grid[t, :k] = id_
+        model.learn(id_, marked, (model.guess1 ^ marked) < 8, (model.guess2 ^ marked) < 8, shift)
+        small = range_ < _TOP
+        up = small * (_WORD - 1) + 1
+        code = code * up + (words.take(place, mode="clip") * small).astype(np.float64)
+        range_ *= up
+        place = place + small
+        who = np.flatnonzero(range_ < _TOP)
+        if len(who):
+            code[who] = code[who] * _WORD + words.take(place[who], mode="clip")
+            range_[who] *= _WORD
+            place[who] += 1
+    grid = np.ascontiguousarray(grid.T)
     for i, (m, crc, _) in enumerate(blocks):
         if zlib.crc32(grid[i, :m].astype("<u4").tobytes()) != crc:
             raise ValueError(f"wrong checksum in block {i}")
-    return np.concatenate([grid[i, :m] for i, m in enumerate(length)])
+    return grid.ravel() if length[-1] == steps else np.concatenate([grid[i, :m] for i, m in enumerate(length)])

@@ -1,9 +1,9 @@
 """Token files: documents as id streams in range-coded blocks.
 
 Encoding splits texts at places where the tokenizer surely splits too (before a
-blank that follows a visible character), so that each distinct piece is given
-to the tokenizer once per task and looked up afterwards; the ids are those of
-whole texts. Added tokens (such as an end-of-text mark) that stand in a text are
+blank that follows a visible character and, if it is byte-level, between a letter
+and a sign), so that a worker gives each distinct piece to the tokenizer once and
+looks it up afterwards; the ids are those of whole texts. Added tokens (such as an end-of-text mark) that stand in a text are
 one id each, as in the library by default. ``end_id`` closes each document.
 
 Texts are dealt by ranges of their id (and, for rows of one id, of the text's
@@ -20,10 +20,12 @@ sorts first and stays null. Rows of one id follow each other by their text's has
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,17 +35,30 @@ from pyspark.sql import functions as F
 
 from polarity.llm.scratch import text_bytes
 from polarity.llm.token_coder import BLOCK, decode, encode
-from polarity.llm.words import BLANKS, U, A, pieces
+from polarity.llm.words import BLANKS, A, pieces, text_buffer
 
 NO_ID = -(1 << 63)
-GROUP_IDS = 1 << 21       # ids that are coded side by side
+GROUP_IDS = 5 << 20       # ids that are coded side by side
+SLAB_BYTES = 4 << 20      # text bytes that are tokenised at once
 FILE_BYTES = 20 << 20     # text bytes whose ids make a file, on average
-KNOWN_PIECES = 1_000_000  # pieces a worker remembers before it starts anew
-_MAGIC = b"TOKR"
+KNOWN_PIECES = 2_000_000  # pieces a worker remembers before it starts anew
+KNOWN_IDS = 16_000_000    # and their ids
+_MAGIC = b"TOK2"
 _HEAD = struct.Struct("<4sIIIIQ")  # magic, documents, blocks, vocabulary, bytes of the index, ids
 _BLOCK = struct.Struct("<III")     # ids, checksum, bytes
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[list(BLANKS)] = True
+_WORDS = re.compile(r"[A-Za-z ]*")
+_LETTER = np.array([chr(c).isalpha() and c < 0x80 for c in range(256)])
+
+
+def _splits_at_words(tokenizer_json: str) -> bool:
+    """Whether this is a byte-level tokenizer whose own rule takes a run of letters,
+    with a blank before it or without, as one word whatever stands beside it."""
+    given = json.loads(tokenizer_json)
+    split, model = given.get("pre_tokenizer") or {}, given["model"]
+    return (given.get("normalizer") is None and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space", True)
+            and model.get("type") == "BPE" and not model.get("dropout"))
 
 
 class PieceEncoder:
@@ -55,38 +70,53 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.encode_special_tokens = special_as_text
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         added = self.tokenizer.get_added_tokens_decoder()
         lengths = [len(added[i].content.encode()) if i in added else len(self.tokenizer.id_to_token(i) or "") for i in range(self.size)]
-        wide = [t.content.encode() for t in added.values() if t.rstrip or _BLANK[list(t.content.encode())].any()]  # a cut may fall into these
-        self.wide = re.compile(b"(?=(" + b"|".join(re.escape(x) for x in sorted(wide, key=len, reverse=True)) + b"))") if wide else None
+        self.by_words = _splits_at_words(tokenizer_json) and not any(t.single_word or _WORDS.fullmatch(t.content) for t in added.values())
+        blank = [t.content.encode() for t in added.values() if t.rstrip or _BLANK[list(t.content.encode())].any()]
+        self.beside = not blank  # no added token reaches over a blank
+        self.wide = [t.content.encode() for t in added.values()] if self.by_words else blank  # a cut may fall into these
+        self.wide.sort(key=len, reverse=True)
         self.bytes_of = np.array(lengths, dtype=np.int64)  # a byte-level vocabulary has a sign per byte
         self.forget()
 
     def forget(self):
         self.names = np.zeros(0, np.uint64)  # hashes of known pieces, sorted
-        self.start, self.count, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.start, self.count, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, self.dtype)
 
     @staticmethod
-    def cuts(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    def cuts(buf: np.ndarray, offsets: np.ndarray, by_words: bool = False) -> np.ndarray:
         """Starts of pieces: row starts, and blanks after a visible character.
         Characters of two bytes from C3 on are visible, as is ASCII from 0x21;
-        others may be blank, and no cut is made after them."""
+        others may be blank, and no cut is made after them. ``by_words`` also
+        cuts between an ASCII letter and an ASCII sign."""
         n = len(buf)
         cut = np.zeros(n + 1, dtype=bool)
         if n > 1:
-            last = buf[:-1]
-            visible = (last > 0x20) & (last < 0x7F)
-            lead = np.zeros(n - 1, np.uint8)
-            lead[1:] = buf[:-2]
-            visible |= (last >= 0x80) & (lead >= 0xC3) & (lead <= 0xDF)
-            cut[1:n] = _BLANK[buf[1:]] & visible
+            seen = buf - np.uint8(0x21) < 0x7F - 0x21
+            last, visible = buf[:-1], seen[:-1].copy()
+            if (buf > 0x7F).any():
+                lead = np.zeros(n - 1, np.uint8)
+                lead[1:] = buf[:-2]
+                visible |= (last >= 0x80) & (lead >= 0xC3) & (lead <= 0xDF)
+            blank = buf[1:] - np.uint8(0x09) < 5
+            blank |= buf[1:] == 0x20
+            np.logical_and(blank, visible, out=cut[1:n])
+            if by_words:
+                letter = (buf | np.uint8(0x20)) - np.uint8(0x61) < 26
+                cut[1:n] |= letter[:-1] & (seen & ~letter & (buf - np.uint8(0x30) > 9))[1:]
         cut[offsets] = True
         return np.flatnonzero(cut[:n])
 
     def _around_added(self, start: np.ndarray, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """The cuts but those inside an added token or at its end; row starts stay."""
+        raw = buf.tobytes()
+        here = [x for x in self.wide if x in raw]
+        if not here:
+            return start
         whole = np.zeros(len(buf) + 1, dtype=bool)
-        for m in self.wide.finditer(buf.tobytes()):
+        for m in re.finditer(b"(?=(" + b"|".join(map(re.escape, here)) + b"))", raw):
             whole[m.start() + 1:m.end(1) + 1] = True
         whole[offsets] = False
         return start[~whole[start]]
@@ -94,24 +124,36 @@ class PieceEncoder:
     def _learn(self, raw: bytes, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place among the ids, number of ids) of new pieces."""
         first, last = np.frombuffer(raw, np.uint8)[start], np.frombuffer(raw, np.uint8)[end - 1]
-        plain = _BLANK[first] & (last > 0x20) & (last < 0x7F) & (self.wide is None)  # may stand side by side
-        found = [np.zeros(0, np.uint32)]
+        word = np.zeros(len(start), dtype=bool)
+        if self.by_words:  # these are one word to the tokenizer, so its model takes them as they are
+            other = np.concatenate([[0], np.cumsum(~_LETTER[np.frombuffer(raw, np.uint8)])])
+            bare = start + (first == 0x20)
+            word = (bare < end) & (other[end] == other[bare])
+        plain = ~word & _BLANK[first] & (last > 0x20) & (last < 0x7F) & self.beside  # may stand side by side
+        found = [np.zeros(0, self.dtype)]
         count = np.zeros(len(start), np.int64)
-        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+        order = np.concatenate([np.flatnonzero(word), np.flatnonzero(plain), np.flatnonzero(~word & ~plain)])
+        i = np.flatnonzero(word)
+        if len(i):
+            text, tokenize = raw.decode("latin-1").replace(" ", "\u0120"), self.tokenizer.model.tokenize
+            each = [[t.id for t in tokenize(text[s:e])] for s, e in zip(start[i].tolist(), end[i].tolist())]
+            count[i] = list(map(len, each))
+            found.append(np.fromiter(chain.from_iterable(each), self.dtype))
         i = np.flatnonzero(plain)
         if len(i):
-            ids = np.array(self.tokenizer.encode(b"".join(raw[s:e] for s, e in zip(start[i], end[i])).decode(), add_special_tokens=False).ids, dtype=np.uint32)
+            joined = b"".join([raw[s:e] for s, e in zip(start[i].tolist(), end[i].tolist())]).decode()
+            ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype=self.dtype)
             ends = np.cumsum(self.bytes_of[ids])
             upto = np.searchsorted(ends, np.cumsum(end[i] - start[i])) + 1
             if not (ends[upto - 1] == np.cumsum(end[i] - start[i])).all():
                 raise ValueError("the tokenizer joins pieces; it can't be used by pieces")
             count[i] = np.diff(upto, prepend=0)
             found.append(ids)
-        i = np.flatnonzero(~plain)
+        i = np.flatnonzero(~word & ~plain)
         if len(i):
-            each = self.tokenizer.encode_batch([raw[s:e].decode() for s, e in zip(start[i], end[i])], add_special_tokens=False)
+            each = self.tokenizer.encode_batch_fast([raw[s:e].decode() for s, e in zip(start[i], end[i])], add_special_tokens=False)
             count[i] = [len(x.ids) for x in each]
-            found.append(np.array([t for x in each for t in x.ids], dtype=np.uint32))
+            found.append(np.array([t for x in each for t in x.ids], dtype=self.dtype))
         ids = np.concatenate(found)
         begin = np.empty(len(order), np.int64)
         begin[order] = np.cumsum(count[order]) - count[order] + len(self.ids)
@@ -120,30 +162,41 @@ class PieceEncoder:
 
     def encode(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows, ids in each row)."""
-        start = self.cuts(buf, offsets)
+        start = self.cuts(buf, offsets, self.by_words)
         if self.wide:
             start = self._around_added(start, buf, offsets)
-        end = np.append(start[1:], len(buf))
         if not len(start):
-            return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
-        name, index, which = np.unique(A.of_runs(A.codes[buf], start, end) ^ (end - start).astype(np.uint64), return_index=True, return_inverse=True)
-        if len(self.names) > KNOWN_PIECES:
+            return np.zeros(0, self.dtype), np.zeros(len(offsets) - 1, np.int64)
+        each = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(np.append(start, len(buf))), pa.py_buffer(np.ascontiguousarray(buf))]).dictionary_encode()
+        at = self._places(*text_buffer(each.dictionary))
+        count = self.count[at]
+        upto = np.concatenate([[0], np.cumsum(count)])
+        ids = self.ids[np.repeat(self.start[at] - upto[:-1], count) + np.arange(upto[-1])]
+        width = self.dtype.itemsize
+        coded = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(upto * width), pa.py_buffer(ids)]).take(each.indices)
+        ids = np.frombuffer(coded.buffers()[2], self.dtype)
+        upto = np.frombuffer(coded.buffers()[1], np.int64, len(start) + 1) // width
+        return ids[:upto[-1]], np.diff(upto[np.searchsorted(start, offsets)])
+
+    def _places(self, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Where each of these distinct pieces stands among the known ones; new ones are learnt."""
+        start, end = offsets[:-1], offsets[1:]
+        name = A.of_runs(A.codes[buf], start, end) ^ (end - start).astype(np.uint64)
+        order = np.argsort(name)
+        name = name[order]
+        if len(self.names) > KNOWN_PIECES or len(self.ids) > KNOWN_IDS:
             self.forget()
         at = np.searchsorted(self.names, name)
-        known = np.zeros(len(name), dtype=bool)
+        new = np.ones(len(name), dtype=bool)
         inside = at < len(self.names)
-        known[inside] = self.names[at[inside]] == name[inside]
-        if not known.all():
-            new = ~known
-            begin, count = self._learn(buf.tobytes(), start[index[new]], end[index[new]])
+        new[inside] = self.names[at[inside]] != name[inside]
+        if new.any():
+            begin, count = self._learn(buf.tobytes(), start[order[new]], end[order[new]])
             self.names, self.start, self.count = (np.insert(old, at[new], x) for old, x in ((self.names, name[new]), (self.start, begin), (self.count, count)))
             at = np.searchsorted(self.names, name)
-        place = at[which]
-        count = self.count[place]
-        upto = np.cumsum(count)
-        ids = self.ids[np.repeat(self.start[place] - (upto - count), count) + np.arange(upto[-1])]
-        edge = np.searchsorted(start, offsets)
-        return ids, np.diff(np.concatenate([[0], upto])[edge])
+        out = np.empty_like(at)
+        out[order] = at
+        return out
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}
@@ -159,9 +212,9 @@ def _encoder(tokenizer_json: str) -> PieceEncoder:
 
 def token_ids(batches: Iterator[pa.RecordBatch], encoder: PieceEncoder, end_id: int) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
     """(documents, ids in each, ids) of runs of rows (id, text); each whole text's ids and the end id."""
-    for rows, buf, offsets in pieces(batches, "text", 1 << 20):
+    for rows, buf, offsets in pieces(batches, "text", SLAB_BYTES):
         ids, count = encoder.encode(buf, offsets)
-        yield rows.column("id").to_pylist(), count + 1, np.insert(ids.astype("<u2"), np.cumsum(count), end_id)
+        yield rows.column("id").to_pylist(), count + 1, np.insert(ids, np.cumsum(count), end_id)
 
 
 def pack_group(documents: np.ndarray, counts: np.ndarray, ids: np.ndarray, vocabulary: int) -> bytes:

@@ -39,3 +39,31 @@ def test_damage_is_found():
     damaged = bytes([words[40] ^ 1])
     with pytest.raises(ValueError, match="checksum"):
         decode([(n, crc, words[:40] + damaged + words[41:])], V)
+
+
+def test_ids_that_need_two_words_a_step():
+    ids = np.random.default_rng(7).integers(0, 1 << 16, 30_000)
+    ids[9000:12_000] = 65_535
+    assert (decode(encode(ids, 1 << 16), 1 << 16) == ids).all()
+
+
+def test_ids_seen_again_cost_less_than_new_ones():
+    r = np.random.default_rng(8)
+    few = sum(len(w) for _, _, w in encode(r.choice(r.integers(0, V, 20), 20_000), V))
+    assert few < sum(len(w) for _, _, w in encode(r.integers(0, V, 20_000), V)) / 2.5
+
+
+def test_blocks_whose_counts_would_not_fit_are_refused():
+    with pytest.raises(ValueError, match="at most"):
+        encode(np.zeros(10, int), V, 1 << 16)
+
+
+def test_an_id_takes_few_calls(monkeypatch):
+    """A step of all blocks looks up each table once: the calls depend on the steps, not on the blocks."""
+    from polarity.llm import token_coder as C
+    calls = []
+    predict = C._Model.predict
+    monkeypatch.setattr(C._Model, "predict", lambda self: calls.append(1) or predict(self))
+    ids = np.random.default_rng(9).zipf(1.3, 64 * C.BLOCK) % V
+    assert (decode(encode(ids, V), V) == ids).all()
+    assert len(calls) == 2 * C.BLOCK <= 2 * 1024

@@ -113,3 +113,49 @@ def test_rows_without_id_are_dealt_to_several_files(spark, tokenizer, tmp_path,
     want = sorted(whole(tokenizer, t) for _, t in rows)
     assert sorted(np.frombuffer(r["ids"], "<u4").tolist() for r in got) == want
     assert [r["start"] for r in got] == np.concatenate([[0], np.cumsum([r["n_tokens"] for r in got])])[:-1].tolist()
+
+
+def test_a_word_is_learnt_once_whatever_sign_follows(tokenizer):
+    from polarity.llm.words import text_buffer
+    import pyarrow as pa
+    encoder = T.PieceEncoder(open(PATH, encoding="utf-8").read(), special_as_text=False)
+    texts = ["".join(f" zorble{s}" for s in ("", ".", ",", "!", "?", ";", "'s", "'ll", "-x", "_y", "(z)", "9", "\u00e9", "'", "''t")), " zorble.\n", "a'b'sc 'd ''e it's. \t,x"]
+    ids, count = encoder.encode(*text_buffer(pa.array(texts, pa.string())))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(count)[:-1])] == [whole(tokenizer, t)[:-1] for t in texts]
+    known = len(encoder.names)
+    again = ["".join(f" zorble{s}" for s in ("?", "!", ";", ".", ","))]
+    ids, _ = encoder.encode(*text_buffer(pa.array(again, pa.string())))
+    assert ids.tolist() == whole(tokenizer, again[0])[:-1] and len(encoder.names) == known
+    encoder.encode(*text_buffer(pa.array([" zorble:"], pa.string())))
+    assert len(encoder.names) == known + 1  # the sign only
+
+
+def test_words_are_cut_only_where_the_tokenizer_cuts(tokenizer):
+    from polarity.llm.words import text_buffer
+    from tokenizers import AddedToken, pre_tokenizers
+    import pyarrow as pa
+    texts = [*ODD, "end.of, <|endoftext|>it<|endoftext|> a.b##c ab##", "x-y z"]
+    for change in ("prefix", "single", "letters", "signs"):
+        t = Tokenizer.from_file(PATH)
+        if change == "prefix":
+            t.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=True)
+        else:
+            t.add_tokens([{"single": AddedToken("##", single_word=True), "letters": AddedToken("of"), "signs": AddedToken("b##c")}[change]])
+        encoder = T.PieceEncoder(t.to_str(), special_as_text=False)
+        assert encoder.by_words == (change == "signs")
+        if change != "prefix":  # pieces were never those of a tokenizer that adds blanks
+            ids, count = encoder.encode(*text_buffer(pa.array(texts, pa.string())))
+            assert [x.tolist() for x in np.split(ids, np.cumsum(count)[:-1])] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_vocabularies_over_16_bits_keep_their_ids():
+    from polarity.llm.words import text_buffer
+    import pyarrow as pa
+    t = Tokenizer.from_file(PATH)
+    t.add_tokens([f"<extra {k}>" for k in range(16_000)])
+    encoder = T.PieceEncoder(t.to_str())
+    texts = ["a <extra 15999> b.", "<extra 0><extra 15998>"]
+    ids, count = encoder.encode(*text_buffer(pa.array(texts, pa.string())))
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert max(map(max, want)) > 65_535
+    assert [x.tolist() for x in np.split(ids, np.cumsum(count)[:-1])] == want
